@@ -7,19 +7,83 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arealis.llm import ann, html_text, jaccard, languages, packing, scoring, substrings, suffixes, urls, warc
+
+#: Where the vocabulary of op3 lies; None: as the public_tokenizers package gives it.
+TOKENIZER: str | None = None
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from arealis.llm.substrings import repeats
+def tokenizer() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, path = warc.archive(_table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.coalesce(F.aggregate("repeats", F.lit(0).cast("long"), lambda a, x: a + x["length"]), F.lit(0).cast("long"))
-    return repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substrings.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = suffixes.n_hit()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest")
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = ~languages.trains()
+    dictionaries = languages.learn(docs.where(languages.trains()))
+    return languages.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_packing": op3_packing,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_url_filter": op5_url_filter,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op8_html_text": op8_html_text,
+    "op9_lm_score": op9_lm_score,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {}
