@@ -69,9 +69,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held = ~languages.trains()
     dictionaries = languages.learn(docs.where(languages.trains()))
-    return languages.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+    found = languages.identify(docs, dictionaries, keep=["doc_id"])
+    return found.select("doc_id", (~languages.trains()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from arealis.llm import words as W
 
 SCHEMA = "doc_id long, text string, hit binary, n_words long, items array<string>, longest long"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 class Tests:
@@ -126,15 +127,17 @@ def longest(w: W.Words, tests: Tests, place: np.ndarray, window: np.ndarray) ->
     return n
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, text, hit (a byte per word, 1 if inside a window), n_words, items (ids of items with
-    occurring windows, sorted), longest (words of the longest verbatim match, 0 if none). A document is clean if items
-    is empty and longest is 0."""
+    occurring windows, sorted), longest (words of the longest verbatim match, 0 if none), and the columns to keep."""
     spark = documents.sparkSession
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = total // block_bytes + 1
-    out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
+    kinds, keep = dict(documents.dtypes), [c for c in keep or [] if c not in NAMES]
+    schema = ", ".join([SCHEMA, *[f"`{c}` {kinds[c]}" for c in keep]])
+    start = [F.lit(None).cast("binary").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest")]
+    out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *start, *[F.col(f"`{c}`") for c in keep])
     for i in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else tests
         sent = spark.sparkContext.broadcast(block.toArrow())
@@ -156,9 +159,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                     if known.ids[t] is not None:
                         items[d].add(known.ids[t])
                 marks = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(w.first.astype(np.int32)), pa.py_buffer(hit)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, pa.array(w.counts(), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(most, pa.int64())], ["doc_id", "text", "hit", "n_words", "items", "longest"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, pa.array(w.counts(), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(most, pa.int64()), *b.columns[6:]], [*NAMES, *keep])
 
-        out = out.mapInArrow(look, SCHEMA)
+        out = out.mapInArrow(look, schema)
     return out
 
 
