@@ -15,8 +15,9 @@ whichever elements count as frequent: that choice moves cost, not results.
 
 Steps: (1) documents with equal sets in a batch are one; (2) a sixteenth of the signatures pairs each document with the
 smallest that shares one; pairs are verified exactly and linked ones joined to components; (3) all signatures meet,
-one row for each signature and component of a batch; only signatures that several components share go on, and all their
-pairs across components are verified. Pairs inside a component need no test, so groups of copies cost no pairs.
+one row for each signature and component of a batch; components that share one are compared, first their smallest
+documents. Jaccard distance is a metric, so distances to those tell which other members are too far apart to link; the
+rest is verified. Pairs inside a component need no test, so groups of copies cost no pairs.
 
 Nulls and ties: a text without words, or null, has an empty set and links with nothing. A null id gets its n_shingles,
 no component and no links. Rows with the same id are one document with several texts. Other columns aren't read. An
@@ -36,8 +37,9 @@ from arealis.llm.graph import components
 
 U = np.uint64
 ROW_BITS = 20
-#: Elements counted as frequent: at most so many, those in most sets; 16 MB in each task.
-FREQUENT = 2_000_000
+#: Elements counted as frequent: those seen in most sets, at most so many (16 MB in each task), seen in SEEN sets at least.
+FREQUENT, SEEN = 2_000_000, 8
+TESTED = ["a", "b", "b_uid", "linked", "distance"]
 ROWS_SCHEMA = "kind int, uid long, doc_id long, n long, rep long, element long, sets long"
 
 
@@ -65,7 +67,7 @@ class Sets:
             if len(short):
                 values.append(W.grams(h, k)[w.first[short]])
                 owners.append(short)
-        value, owner = np.concatenate(values), np.concatenate(owners).astype(np.int32)
+        value, owner = np.concatenate(values), np.concatenate(owners).astype(np.uint16 if len(ends) <= 1 << 16 else np.int32)
         order = np.argsort(value)
         order = order[np.argsort(owner[order], kind="stable")]
         value, owner = value[order], owner[order]
@@ -99,7 +101,7 @@ def _parts(value: np.ndarray, owner: np.ndarray, docs: int, k: int, tag: int) ->
     h = W.mix(value ^ U(tag))
     part = (h >> U(33)) % U(n1)
     slot = (owner * n1 + part.astype(np.int64)) * n2 + (h % U(n2)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot)
     s = slot[order]
     sums, full = np.zeros(docs * n1 * n2, U), np.zeros(docs * n1 * n2, bool)
     if len(s):
@@ -121,41 +123,36 @@ def _parts(value: np.ndarray, owner: np.ndarray, docs: int, k: int, tag: int) ->
 
 def signatures(sets: Sets, chosen: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the number of the set of each, for the chosen sets."""
-    keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    place = np.minimum(np.searchsorted(frequent, sets.value), max(len(frequent) - 1, 0))
-    rare = frequent[place] != sets.value if len(frequent) else np.ones(len(sets.value), bool)
-    size = sets.size
-    for j in np.unique(np.searchsorted(BANDS, size[chosen], side="right") - 1).tolist():
+    keys, owners, size = [np.zeros(0, U)], [np.zeros(0, np.int64)], sets.size
+    band_of = np.searchsorted(BANDS, size[chosen], side="right") - 1
+    for j in np.unique(band_of).tolist():
+        docs = chosen[band_of == j]
+        n = size[docs]
+        owner = np.repeat(np.arange(len(docs)), n)
+        value = sets.value[np.repeat(sets.begin[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        rare = np.ones(len(value), bool)
+        if len(frequent):
+            rare = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] != value
         for band in range(j, -1, -1):  # the band of the smaller set of a pair
-            low, high = int(BANDS[band]), int(BANDS[band + 1]) - 1
-            most = high * 100 // percent
-            if most < BANDS[j]:
+            high = int(BANDS[band + 1]) - 1
+            here = n <= high * 100 // percent
+            if not here.any():
                 break
-            docs = chosen[(size[chosen] >= max(low, BANDS[j])) & (size[chosen] <= min(most, int(BANDS[j + 1]) - 1))]
-            if not len(docs):
-                continue
             k = high * (100 - percent) // percent
-            number = np.full(len(size), -1)
-            number[docs] = np.arange(len(docs))
-            member = number[sets.owner] >= 0
-            weak = np.arange(len(docs))
-            for scheme, use in enumerate((rare, None)):
-                here = member & (use if use is not None else True)
-                number[:] = -1
-                number[docs[weak]] = np.arange(len(weak))
-                here &= number[sets.owner] >= 0
-                got, of, strong = _parts(sets.value[here], number[sets.owner[here]], len(weak), k, (band * 4 + scheme) << 32)
+            for scheme in range(2):
+                number = np.cumsum(here) - 1
+                use = here[owner] & rare if scheme == 0 else here[owner]
+                of = np.flatnonzero(here)
+                got, o, strong = _parts(value[use], number[owner[use]], len(of), k, (band * 4 + scheme) << 32)
                 keys.append(got)
-                owners.append(docs[weak[of]])
-                weak = weak[~strong]
-                if not len(weak):
+                owners.append(docs[of[o]])
+                here = here.copy()
+                here[of[strong]] = False
+                if not here.any():
                     break
-            else:
-                number[:] = -1
-                number[docs[weak]] = 1
-                here = number[sets.owner] >= 0
-                keys.append(W.mix(sets.value[here] + U((band * 4 + 2) << 32)))
-                owners.append(sets.owner[here])
+            use = here[owner]
+            keys.append(W.mix(value[use] + U((band * 4 + 2) << 32)))
+            owners.append(docs[owner[use]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -193,7 +190,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
             mine = np.zeros(n, bool)
             mine[own] = True
             element, count = np.unique(sets.value[mine[sets.owner]], return_counts=True)
-            many = count >= max(4, len(own) // 1000)
+            many = count >= 2
             zeros = lambda k: np.zeros(k, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), pa.array(uid), b.id_list(), pa.array(sets.size), pa.array(b.ids[stands], pa.int64(), mask=b.ids[stands] == B.NO_ID), pa.array(zeros(n)), pa.array(zeros(n))], ["kind", "uid", "doc_id", "n", "rep", "element", "sets"])
             k = int(many.sum())
@@ -201,8 +198,14 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
     seen = B.stored(batches.mapInArrow(survey, ROWS_SCHEMA), "survey")
     docs = seen.where("kind = 0").select("uid", "doc_id", "n", "rep")
-    top = seen.where("kind = 1").groupBy("element").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "element").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(top.select("element").toArrow().column(0).to_numpy().view(np.uint64)))
+    often = B.stored(seen.where("kind = 1").groupBy("element").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= SEEN), "often")
+    total = 0
+    steps = F.floor(F.log2("sets") * 4)  # counts in steps of a quarter power of two
+    for step, n in sorted(((r.step, r.n) for r in often.groupBy(steps.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if (total := total + n) > FREQUENT:
+            often = often.where(steps > step)
+            break
+    frequent = spark.sparkContext.broadcast(np.sort(often.select("element").toArrow().column(0).to_numpy().view(np.uint64)))
 
     def signed(b: B.Batch) -> tuple[Sets, np.ndarray, np.ndarray]:
         sets = Sets(b.text, b.ends, shingle)
@@ -260,45 +263,44 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
         asked = rows.filter(rows.column("b_uid").is_valid())
         index, inverse = np.unique(asked.column("b_uid").to_numpy() & ((1 << ROW_BITS) - 1), return_inverse=True)
         sets = _some(b, index, shingle)
-        ok = []
+        ok, far = [], []
         for u, i in zip(asked.column("a_uid").to_pylist(), inverse.tolist(), strict=True):
             x, y = other[u], sets.of(i)
             small, large = (x, y) if len(x) < len(y) else (y, x)
             common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            ok.append(100 * common >= percent * (len(x) + len(y) - common))
-        return asked.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            union = len(x) + len(y) - common
+            ok.append(100 * common >= percent * union)
+            far.append(1 - common / union)
+        return pa.table([asked.column("a"), asked.column("b"), asked.column("b_uid"), pa.array(ok, pa.bool_()), pa.array(far, pa.float64())], TESTED)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b of the pairs that link: the first one's set is sent to the second one's batch."""
+        """linked and distance of each pair: the first one's set is sent to the second one's batch."""
         pairs = B.stored(pairs.distinct(), f"{name}-pairs")
         needs = pairs.select(batch_of("a_uid").alias("batch"), "a_uid", batch_of("b_uid").alias("to")).distinct()
         sent = B.settle(batches, needs, lambda b, t: fetch(b, t) if len(t) else pa.table({"batch": pa.array([], pa.int64()), "a_uid": pa.array([], pa.int64()), "elements": pa.array([], pa.binary())}), "batch long, a_uid long, elements binary")
         tests = sent.unionByName(pairs.withColumn("batch", batch_of("b_uid")), allowMissingColumns=True)
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return B.stored(B.settle(batches, tests, lambda b, t: test(b, t) if len(t) else none, "a long, b long"), f"{name}-links")
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())], TESTED)
+        return B.stored(B.settle(batches, tests, lambda b, t: test(b, t) if len(t) else none, "a long, b long, b_uid long, linked boolean, distance double"), f"{name}-links")
+
+    def linked(tested: DataFrame) -> DataFrame:
+        return tested.where("linked").select("a", "b")
 
     few = batches.mapInArrow(ask_few, B.REQUEST).groupBy("bucket").applyInArrow(pairs_of, pair)
     equal = docs.where("n > 0 and rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    sure = verified(few, "few").unionByName(equal)
+    sure = linked(verified(few, "few")).unionByName(equal)
     roots = components(sure)
 
     labels = docs.join(roots, docs["doc_id"] == roots["node"]).select(batch_of("uid").alias("batch"), "uid", "root")
 
-    def labelled(b: B.Batch, rows: pa.Table) -> tuple[Sets, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each (signature, root) once, with the entries it stands for."""
+    def ask_all(b: B.Batch, rows: pa.Table) -> pa.Table:
         root = b.ids.copy()
         root[rows.column("uid").to_numpy() & ((1 << ROW_BITS) - 1)] = rows.column("root").to_numpy()
-        sets, keys, owner = signed(b)
-        keys = keys & ~U((1 << 24) - 1)  # 40 bits; a chance meeting costs a test
-        order = np.lexsort((root[owner], keys))
-        keys, owner = keys[order], owner[order]
-        r = root[owner]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (r[1:] != r[:-1])
-        return keys, owner, new, r
-
-    def ask_all(b: B.Batch, rows: pa.Table) -> pa.Table:
-        keys, _, new, root = labelled(b, rows)
+        _, keys, owner = signed(b)
+        keys, root = keys & ~U((1 << 24) - 1), root[owner]  # 40 bits; a chance meeting costs a test
+        order = np.lexsort((root, keys))
+        keys, root = keys[order], root[order]
+        new = np.ones(len(keys), bool)  # each (signature, root) once
+        new[1:] = (keys[1:] != keys[:-1]) | (root[1:] != root[:-1])
         keys, root = keys[new], root[new]
         at = B.cut(keys, buckets)
         full = np.flatnonzero(np.diff(at))
@@ -308,33 +310,41 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
         return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), b.batch)), pa.array(ks, pa.binary()), pa.array(ms, pa.binary())], ["bucket", "batch", "keys", "more"])
 
     def mixed(table: pa.Table) -> pa.Table:
-        """For each entry whether its signature has several roots."""
+        """Pairs of roots that share a signature, each once."""
         parts = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        roots = np.concatenate([_numbers(x, np.int64) for x in table.column("more").to_pylist()])
-        keys, sizes = np.concatenate(parts), [len(x) for x in parts]
-        order = np.argsort(keys, kind="stable")
-        k, r = keys[order], roots[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        several = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
-        flag = np.empty(len(k), np.uint8)
-        flag[order] = np.repeat(several, np.diff(np.concatenate([first, [len(k)]])))
-        at = np.cumsum([0, *sizes])
-        return pa.table([table.column("batch"), table.column("bucket"), pa.array([flag[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["batch", "bucket", "reply"])
-
-    def collect(b: B.Batch, rows: pa.Table) -> pa.Table:
-        marked = rows.filter(rows.column("reply").is_valid())
-        if not any(any(x) for x in marked.column("reply").to_pylist()):
-            return pa.table([pa.array([], pa.int64())] * 4, ["key", "root", "doc", "uid"])
-        keys, owner, new, root = labelled(b, rows.filter(rows.column("uid").is_valid()))
-        hit = B.answered(marked, keys[new], buckets, "uint8")[np.cumsum(new) - 1] > 0
-        return pa.table([pa.array(keys[hit].view(np.int64)), pa.array(root[hit]), pa.array(b.ids[owner[hit]]), pa.array((b.batch << ROW_BITS) + owner[hit])], ["key", "root", "doc", "uid"])
+        keys, roots = np.concatenate(parts), np.concatenate([_numbers(x, np.int64) for x in table.column("more").to_pylist()])
+        order = np.lexsort((roots, keys))
+        keys, roots = keys[order], roots[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])
+        keys, roots = keys[new], roots[new]
+        found, step = [np.zeros((0, 2), np.int64)], 1
+        while len(at := np.flatnonzero(keys[step:] == keys[:-step])):  # the roots `step` places apart in one signature
+            found = [np.unique(np.concatenate([*found, np.stack([roots[at], roots[at + step]], axis=1)]), axis=0)]
+            step += 1
+        return pa.table([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["x", "y"])
 
     labels = B.stored(labels, "labels")
-    replies = B.settle(batches, labels, ask_all, B.REQUEST).groupBy("bucket").applyInArrow(mixed, B.REPLY)
-    met = B.stored(B.settle(batches, replies.unionByName(labels, allowMissingColumns=True), collect, "key long, root long, doc long, uid long").distinct(), "met")
-    x, y = met.select("key", F.col("root").alias("xr"), F.col("doc").alias("a"), F.col("uid").alias("a_uid")), met.select("key", F.col("root").alias("yr"), F.col("doc").alias("b"), F.col("uid").alias("b_uid"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("xr") < F.col("yr"))).select("a", "a_uid", "b", "b_uid")
-    more = verified(rest, "rest")
+    met = B.stored(B.settle(batches, labels, ask_all, B.REQUEST).groupBy("bucket").applyInArrow(mixed, "x long, y long").distinct(), "met")
+    # one text for each document is enough: equal ids are one node, and rows that stand for equal sets are equal
+    node = docs.where("n > 0 and rep = doc_id").select("doc_id", "uid").distinct()
+    named = lambda c: node.select(F.col("doc_id").alias(c), F.col("uid").alias(f"{c}_uid"))
+    # Jaccard distance is a metric: members x and y of two components are at least d(roots) - d(x, root) - d(y, root) apart
+    apart = verified(met.select(F.col("x").alias("a"), F.col("y").alias("b")).join(named("a"), "a").join(named("b"), "b").select("a", "a_uid", "b", "b_uid"), "roots")
+    used = B.stored(met.select(F.explode(F.array("x", "y")).alias("root")).distinct(), "used")
+    inside = roots.join(used, "root", "left_semi").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    inside = verified(inside.join(named("a"), "a").join(named("b"), "b").select("a", "a_uid", "b", "b_uid"), "members")
+    member = inside.select(F.col("a").alias("root"), F.col("b").alias("doc"), F.col("b_uid").alias("uid"), "distance").unionByName(named("root").join(used, "root", "left_semi").select("root", F.col("root").alias("doc"), F.col("root_uid").alias("uid"), F.lit(0.0).alias("distance")))
+    member = B.stored(member, "member")
+    widest = member.groupBy("root").agg(F.max("distance").alias("widest"))
+    near, slack = 1 - percent / 100, 1e-9
+    open_ = apart.groupBy("a", "b").agg(F.min("distance").alias("d"))
+    side = lambda c: member.select(F.col("root").alias(f"{c}_root"), F.col("doc").alias(c), F.col("uid").alias(f"{c}_uid"), F.col("distance").alias(f"{c}_d"))
+    open_ = open_.select(F.col("a").alias("a_root"), F.col("b").alias("b_root"), "d")
+    open_ = open_.join(widest.select(F.col("root").alias("b_root"), "widest"), "b_root").where(F.col("d") > near)
+    rest = B.stored(open_.join(side("a"), "a_root").where(F.col("d") - F.col("a_d") - F.col("widest") <= near + slack), "open")
+    rest = rest.join(side("b"), "b_root").where((F.col("d") - F.col("a_d") - F.col("b_d") <= near + slack) & ((F.col("a") != F.col("a_root")) | (F.col("b") != F.col("b_root"))))
+    more = B.stored(linked(apart).unionByName(linked(verified(rest.select("a", "a_uid", "b", "b_uid"), "rest"))), "more")
     if not more.isEmpty():
         roots = components(sure.unionByName(more))
     return docs.join(roots, docs["doc_id"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
