@@ -15,9 +15,10 @@ whichever elements count as frequent: that choice moves cost, not results.
 
 Steps: (1) documents with equal sets in a batch are one; (2) a sixteenth of the signatures pairs each document with the
 smallest that shares one; pairs are verified exactly and linked ones joined to components; (3) all signatures meet,
-one row for each signature and component of a batch; components that share one are compared, first their smallest
-documents. Jaccard distance is a metric, so distances to those tell which other members are too far apart to link; the
-rest is verified. Pairs inside a component need no test, so groups of copies cost no pairs.
+one row for each signature and component of a batch. Components that share one are put in the group of the smallest
+of them, their hub. Within a group, texts of different components are compared by parity sketches, whose differing bits
+never exceed the differing elements; only pairs that these don't rule out leave the task, and they are verified exactly.
+Pairs inside a component need no test, so groups of copies cost no pairs; large groups are cut into squares.
 
 Nulls and ties: a text without words, or null, has an empty set and links with nothing. A null id gets its n_shingles,
 no component and no links. Rows with the same id are one document with several texts. Other columns aren't read. An
@@ -39,6 +40,10 @@ U = np.uint64
 ROW_BITS = 20
 #: Elements counted as frequent: those seen in most sets, at most so many (16 MB in each task), seen in SEEN sets at least.
 FREQUENT, SEEN = 2_000_000, 8
+SKETCH = "root long, doc long, uid long, n long, sketch binary"
+SKETCH_NAMES = [x.split()[0] for x in SKETCH.split(", ")]
+#: Texts on each side of a square of comparisons.
+SIDE = 2048
 TESTED = ["a", "b", "b_uid", "linked", "distance"]
 ROWS_SCHEMA = "kind int, uid long, doc_id long, n long, rep long, element long, sets long"
 
@@ -166,6 +171,46 @@ def _numbers(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements by the low bits of their hash; from two to four bits for each element, a power of two."""
+    bits = max(64, 1 << int(2 * len(elements) - 1).bit_length())
+    n = np.bincount((elements & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(n.astype(np.uint8), bitorder="little")
+
+
+def near_sketches(table: pa.Table, percent: int) -> np.ndarray:
+    """(doc, uid, doc, uid) of pairs, one of them upper, of different roots that may link.
+
+    The parities of two sets differ in at most as many bits as the sets differ in elements, so too many differing bits
+    rule a pair out. The larger sketch is folded to the size of the smaller."""
+    up = np.array(table.column("upper").to_pylist(), bool)
+    root, doc, uid, n = (table.column(c).to_numpy() for c in ("root", "doc", "uid", "n"))
+    blobs = table.column("sketch").to_pylist()
+    size = np.array([len(x) for x in blobs])
+    found = [np.zeros((0, 4), np.int64)]
+    for small in np.unique(size).tolist():
+        here = np.flatnonzero(size == small)
+        there = np.flatnonzero(size == 2 * small)
+        x = np.frombuffer(b"".join(blobs[i] for i in here), np.uint64).reshape(len(here), small // 8)
+        y = np.frombuffer(b"".join(blobs[i] for i in there), np.uint64).reshape(len(there), small // 4)
+        both = np.concatenate([x, y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]]) if len(there) else x
+        index = np.concatenate([here, there])
+        for k, i in enumerate(index):
+            if not up[i]:
+                continue
+            ok = ~up[index] & (root[index] != root[i]) & (100 * np.minimum(n[index], n[i]) >= percent * np.maximum(n[index], n[i]))
+            ok &= np.arange(len(index)) < len(here) if k >= len(here) else True  # two folded sketches meet in their own size
+            at = np.flatnonzero(ok)
+            if len(at):
+                bits = np.bitwise_count(both[at] ^ both[k]).sum(axis=1, dtype=np.int64)
+                at = index[at[bits * (100 + percent) <= (n[index[at]] + n[i]) * (100 - percent)]]
+                pairs = np.stack([np.full(len(at), doc[i]), np.full(len(at), uid[i]), doc[at], uid[at]], axis=1)
+                turn = pairs[:, 1] > pairs[:, 3]
+                pairs[turn] = pairs[turn][:, [2, 3, 0, 1]]
+                found.append(pairs)
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = df.sparkSession
@@ -310,41 +355,48 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
         return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), b.batch)), pa.array(ks, pa.binary()), pa.array(ms, pa.binary())], ["bucket", "batch", "keys", "more"])
 
     def mixed(table: pa.Table) -> pa.Table:
-        """Pairs of roots that share a signature, each once."""
+        """The roots that share a signature, each with the smallest of them, its hub."""
         parts = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         keys, roots = np.concatenate(parts), np.concatenate([_numbers(x, np.int64) for x in table.column("more").to_pylist()])
         order = np.lexsort((roots, keys))
         keys, roots = keys[order], roots[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])
-        keys, roots = keys[new], roots[new]
-        found, step = [np.zeros((0, 2), np.int64)], 1
-        while len(at := np.flatnonzero(keys[step:] == keys[:-step])):  # the roots `step` places apart in one signature
-            found = [np.unique(np.concatenate([*found, np.stack([roots[at], roots[at + step]], axis=1)]), axis=0)]
-            step += 1
-        return pa.table([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["x", "y"])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        hubs = np.repeat(roots[first], np.diff(np.concatenate([first, [len(keys)]])))
+        found = np.unique(np.stack([hubs, roots], axis=1)[hubs != roots], axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["hub", "root"])
+
+    def draw(b: B.Batch, rows: pa.Table) -> pa.Table:
+        """Sketches of the named texts: bit i is the parity of the elements whose hash falls on it."""
+        if not len(rows):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], SKETCH_NAMES)
+        uid, index = np.unique(rows.column("uid").to_numpy(), return_index=True)
+        sets = _some(b, uid & ((1 << ROW_BITS) - 1), shingle)
+        blobs = [sketch(sets.of(i)).tobytes() for i in range(len(uid))]
+        return pa.table([rows.column("root").take(pa.array(index)), rows.column("doc").take(pa.array(index)), pa.array(uid), pa.array(sets.size), pa.array(blobs, pa.binary())], SKETCH_NAMES)
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Pairs of texts of different components that the sketches don't rule out."""
+        out = near_sketches(table, percent)
+        return pa.table([pa.array(out[:, i]) for i in range(4)], ["a", "a_uid", "b", "b_uid"])
 
     labels = B.stored(labels, "labels")
-    met = B.stored(B.settle(batches, labels, ask_all, B.REQUEST).groupBy("bucket").applyInArrow(mixed, "x long, y long").distinct(), "met")
-    # one text for each document is enough: equal ids are one node, and rows that stand for equal sets are equal
-    node = docs.where("n > 0 and rep = doc_id").select("doc_id", "uid").distinct()
-    named = lambda c: node.select(F.col("doc_id").alias(c), F.col("uid").alias(f"{c}_uid"))
-    # Jaccard distance is a metric: members x and y of two components are at least d(roots) - d(x, root) - d(y, root) apart
-    apart = verified(met.select(F.col("x").alias("a"), F.col("y").alias("b")).join(named("a"), "a").join(named("b"), "b").select("a", "a_uid", "b", "b_uid"), "roots")
-    used = B.stored(met.select(F.explode(F.array("x", "y")).alias("root")).distinct(), "used")
-    inside = roots.join(used, "root", "left_semi").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    inside = verified(inside.join(named("a"), "a").join(named("b"), "b").select("a", "a_uid", "b", "b_uid"), "members")
-    member = inside.select(F.col("a").alias("root"), F.col("b").alias("doc"), F.col("b_uid").alias("uid"), "distance").unionByName(named("root").join(used, "root", "left_semi").select("root", F.col("root").alias("doc"), F.col("root_uid").alias("uid"), F.lit(0.0).alias("distance")))
-    member = B.stored(member, "member")
-    widest = member.groupBy("root").agg(F.max("distance").alias("widest"))
-    near, slack = 1 - percent / 100, 1e-9
-    open_ = apart.groupBy("a", "b").agg(F.min("distance").alias("d"))
-    side = lambda c: member.select(F.col("root").alias(f"{c}_root"), F.col("doc").alias(c), F.col("uid").alias(f"{c}_uid"), F.col("distance").alias(f"{c}_d"))
-    open_ = open_.select(F.col("a").alias("a_root"), F.col("b").alias("b_root"), "d")
-    open_ = open_.join(widest.select(F.col("root").alias("b_root"), "widest"), "b_root").where(F.col("d") > near)
-    rest = B.stored(open_.join(side("a"), "a_root").where(F.col("d") - F.col("a_d") - F.col("widest") <= near + slack), "open")
-    rest = rest.join(side("b"), "b_root").where((F.col("d") - F.col("a_d") - F.col("b_d") <= near + slack) & ((F.col("a") != F.col("a_root")) | (F.col("b") != F.col("b_root"))))
-    more = B.stored(linked(apart).unionByName(linked(verified(rest.select("a", "a_uid", "b", "b_uid"), "rest"))), "more")
+    met = B.stored(B.settle(batches, labels, ask_all, B.REQUEST).groupBy("bucket").applyInArrow(mixed, "hub long, root long").distinct(), "met")
+    # all members of those components, with their sketches
+    used = B.stored(met.select(F.explode(F.array("hub", "root")).alias("root")).distinct(), "used")
+    node = docs.where("n > 0 and rep = doc_id").select("doc_id", "uid").join(roots, F.col("doc_id") == F.col("node"), "left")
+    node = node.select(F.coalesce("root", "doc_id").alias("root"), F.col("doc_id").alias("doc"), "uid").join(used, "root", "left_semi")
+    member = B.stored(B.settle(batches, node.withColumn("batch", batch_of("uid")), draw, SKETCH), "sketches")
+    # a hub's group: its own members against those of the roots that met it, and these against each other, in squares of bounded size
+    group = met.unionByName(met.select("hub", F.col("hub").alias("root")).distinct())
+    count = member.groupBy("root").agg(F.count("*").alias("c"))
+    sizes = group.join(count, "root").groupBy("hub").agg(F.sum("c").alias("all"), F.sum(F.when(F.col("root") != F.col("hub"), F.col("c"))).alias("others"))
+    sizes = B.stored(sizes.select("hub", F.ceil(F.col("all") / SIDE).alias("columns"), F.ceil(F.col("others") / SIDE).alias("rows")), "sizes")
+    rows = group.join(sizes, "hub").join(member, "root")
+    salt = lambda n: F.pmod(F.xxhash64("uid"), F.col(n))
+    upper = rows.where("root <> hub").select("hub", salt("rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(True).alias("upper"), *SKETCH_NAMES)
+    lower = rows.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), salt("columns").alias("j"), F.lit(False).alias("upper"), *SKETCH_NAMES)
+    near = upper.unionByName(lower).groupBy("hub", "i", "j").applyInArrow(compare, pair)
+    more = B.stored(linked(verified(near, "rest")), "more")
     if not more.isEmpty():
         roots = components(sure.unionByName(more))
     return docs.join(roots, docs["doc_id"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
