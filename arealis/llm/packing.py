@@ -11,6 +11,7 @@ documents of their own. Other columns of the input aren't read. An empty table g
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from arealis.llm import words as W
 from arealis.llm.batches import stored
 
 #: Words whose ids a task remembers.
-CACHE = 1_500_000
+CACHE = 400_000
 
 
 class Encoder:
@@ -38,13 +39,14 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids, self.sizes, self.at = [], [], 0
+        self.ids, self.sizes = array("I"), array("I")
 
     def learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[h] = len(self.sizes)
-            self.ids.extend(e.ids)
-            self.sizes.append(len(e.ids))
+        for lo in range(0, len(words), 1000):  # the tokenizer's own results are large, so a few words at a time
+            for h, e in zip(hashes[lo : lo + 1000], self.tokenizer.encode_batch_fast(words[lo : lo + 1000], add_special_tokens=False), strict=True):
+                self.known[h] = len(self.sizes)
+                self.ids.extend(e.ids)
+                self.sizes.append(len(e.ids))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and where each text's stop."""
@@ -55,9 +57,9 @@ class Encoder:
         h = h.tolist()
         new = [i for i, x in enumerate(h) if x not in self.known]
         self.learn([h[i] for i in new], [w.bytes_of(first[i]).decode("utf-8", "replace") for i in new])
-        sizes = np.array(self.sizes, np.int64)
+        sizes = np.array(self.sizes).astype(np.int64)
         begins = np.cumsum(sizes) - sizes
-        flat = np.array(self.ids, self.kind)
+        flat = np.array(self.ids).astype(self.kind)
         word = np.array([self.known[x] for x in h], np.int64)[inverse] if h else np.zeros(0, np.int64)
         n = sizes[word]
         done = np.cumsum(n)
