@@ -21,13 +21,6 @@ def _matrix(b: pa.RecordBatch, start: int) -> np.ndarray:
     return np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(start, b.num_columns)])
 
 
-def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    return df.where(ok)
-
-
 def moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: str | None = None, weight: str | None = None) -> DataFrame:
     """Rows (fold, pos, value): the flattened matrix of sums of w * z * z', z = (1, features, targets), per fold."""
     columns = [*features, *targets]
@@ -41,6 +34,9 @@ def moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold
             folds = np.array(b.column(0).to_pylist(), object)
             w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             z = np.column_stack([np.ones(b.num_rows), _matrix(b, 2)])
+            # incomplete rows go here: a filter over many columns makes the optimiser infer constraints without end
+            ok = np.isfinite(z).all(axis=1) & np.isfinite(w)
+            folds, w, z = folds[ok], w[ok], z[ok]
             for f in set(folds.tolist()):
                 m = folds == f
                 part = (z[m] * w[m, None]).T @ z[m]
@@ -48,7 +44,7 @@ def moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold
         keys = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sums[k].ravel().tolist() for k in keys], pa.list_(pa.float64()))], ["fold", "gram"])
 
-    rows = complete(df, columns).select((F.col(fold).cast("string") if fold else F.lit("all")).alias("fold"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.select((F.col(fold).cast("string") if fold else F.lit("all")).alias("fold"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in columns])
     parts = rows.mapInArrow(run, "fold string, gram array<double>")
     return parts.select("fold", F.posexplode("gram").alias("pos", "value")).groupBy("fold", "pos").agg(F.sum("value").alias("value")).where(F.col("pos") < side * side)
 
@@ -144,7 +140,9 @@ def press(df: DataFrame, g: Grams, target: int, alphas: Sequence[float]) -> dict
         sums = np.zeros(len(alphas))
         for b in rows:
             if b.num_rows:
-                x, y = _matrix(b, 1), b.column(0).to_numpy(zero_copy_only=False)
+                x, y = _matrix(b, 1), b.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+                ok = np.isfinite(x).all(axis=1) & np.isfinite(y)
+                x, y = x[ok], y[ok]
                 s = (x - mean) * inv
                 for i, (q, f) in enumerate(zip(inverses, fits, strict=True)):
                     h = 1 / n + np.einsum("ij,jk,ik->i", s, q, s)
@@ -152,7 +150,7 @@ def press(df: DataFrame, g: Grams, target: int, alphas: Sequence[float]) -> dict
         yield pa.RecordBatch.from_arrays([pa.array(range(len(alphas)), pa.int32()), pa.array(sums)], ["i", "s"])
 
     columns = [g.targets[target], *g.features]
-    rows = complete(df, [*g.features, *g.targets]).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     found = rows.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
     return {alphas[r.i]: r.s / n for r in found}
 

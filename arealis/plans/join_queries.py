@@ -119,63 +119,63 @@ def join_asof_shifted(spark, d):
 
 
 DATES = ["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
-POLL = f"p AS (SELECT DATE '2024-01-01' AS x, unnest([{', '.join(f'DATE {chr(39)}{x}{chr(39)}' for x in DATES)}]) AS at)"
-SURVEY = f"""{POLL}, s AS (SELECT at, user_id % 10 AS institute, CAST(ts AS DATE) AS day, event_type AS block, sum(value) AS v FROM events JOIN p ON CAST(ts AS DATE) BETWEEN at - 7 AND at GROUP BY 1, 2, 3, 4),
-n AS (SELECT at, institute, day, block, 100 * v / sum(v) OVER (PARTITION BY at, institute, day) AS share, count(*) OVER (PARTITION BY at, institute, day) AS k FROM s), c AS (SELECT * FROM n WHERE k = 5)"""
+POLL = f"p AS (SELECT CAST(unnest({DATES}) AS DATE) AS poll_date)"
+SURVEY = f"""{POLL}, s AS (SELECT poll_date, user_id % 10 AS institute, CAST(ts AS DATE) AS day, event_type AS block, sum(value) AS v FROM events JOIN p ON CAST(ts AS DATE) BETWEEN poll_date - 7 AND poll_date GROUP BY 1, 2, 3, 4),
+n AS (SELECT poll_date, institute, day, block, 100 * v / sum(v) OVER (PARTITION BY poll_date, institute, day) AS share, count(*) OVER (PARTITION BY poll_date, institute, day) AS k FROM s), c AS (SELECT * FROM n WHERE k = 5)"""
 
 
 def surveys(t: Tables):
-    dates = t.spark.createDataFrame([(x,) for x in DATES], "at string").select(F.to_date("at").alias("at"))
+    dates = t.spark.createDataFrame([(x,) for x in DATES], "poll_date string").select(F.to_date("poll_date").alias("poll_date"))
     rows = t.events.select("ts", (F.col("user_id") % 10).alias("institute"), F.col("event_type").alias("block"), "value")
-    near = J.interval(rows, dates, "ts", "at", 7)
-    return S.shares(near.withColumn("day", F.to_date("ts")), ["at", "institute", "day"], "block", "value", 5)
+    near = J.interval(rows, dates, "ts", "poll_date", 7)
+    return S.shares(near.withColumn("day", F.to_date("ts")), ["poll_date", "institute", "day"], "block", "value", 5)
 
 
-@query("join_interval", f"WITH {POLL} SELECT at, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN p ON CAST(ts AS DATE) BETWEEN at - 7 AND at GROUP BY 1")
+@query("join_interval", f"WITH {POLL} SELECT poll_date, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN p ON CAST(ts AS DATE) BETWEEN poll_date - 7 AND poll_date GROUP BY 1")
 def join_interval(spark, d):
     t = Tables(spark, d)
-    dates = spark.createDataFrame([(x,) for x in DATES], "at string").select(F.to_date("at").alias("at"))
-    return rounded(J.interval(t.events.select("ts", "value"), dates, "ts", "at", 7).groupBy("at").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
+    dates = spark.createDataFrame([(x,) for x in DATES], "poll_date string").select(F.to_date("poll_date").alias("poll_date"))
+    return rounded(J.interval(t.events.select("ts", "value"), dates, "ts", "poll_date", 7).groupBy("poll_date").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
 
 
-@query("agg_poll_shares", f"WITH {SURVEY} SELECT at, institute, day, block, round(share, 6) AS share FROM c")
+@query("agg_poll_shares", f"WITH {SURVEY} SELECT poll_date, institute, day, block, round(share, 6) AS share FROM c")
 def agg_poll_shares(spark, d):
-    return rounded(surveys(Tables(spark, d)).select("at", "institute", "day", "block", "share"))
+    return rounded(surveys(Tables(spark, d)).select("poll_date", "institute", "day", "block", "share"))
 
 
-@query("agg_poll_average", f"WITH {SURVEY}, i AS (SELECT at, institute, block, avg(share) AS share FROM c GROUP BY 1, 2, 3) SELECT at, block, round(avg(share), 6) AS share FROM i GROUP BY 1, 2")
+@query("agg_poll_average", f"WITH {SURVEY}, i AS (SELECT poll_date, institute, block, avg(share) AS share FROM c GROUP BY 1, 2, 3) SELECT poll_date, block, round(avg(share), 6) AS share FROM i GROUP BY 1, 2")
 def agg_poll_average(spark, d):
-    return rounded(S.average(surveys(Tables(spark, d)), ["at"], "institute", "block"))
+    return rounded(S.average(surveys(Tables(spark, d)), ["poll_date"], "institute", "block"))
 
 
-TRUTH = "truth AS (SELECT at, block, avg(share) AS truth FROM c GROUP BY 1, 2)"
+TRUTH = "truth AS (SELECT poll_date, block, avg(share) AS truth FROM c GROUP BY 1, 2)"
 
 
-@query("agg_house_effects", f"WITH {SURVEY}, {TRUTH} SELECT institute, block, count(*) AS n, round(avg(share - truth) * count(*) / (count(*) + 2), 6) AS effect FROM c JOIN truth USING (at, block) GROUP BY 1, 2")
+@query("agg_house_effects", f"WITH {SURVEY}, {TRUTH} SELECT institute, block, count(*) AS n, round(avg(share - truth) * count(*) / (count(*) + 2), 6) AS effect FROM c JOIN truth USING (poll_date, block) GROUP BY 1, 2")
 def agg_house_effects(spark, d):
     s = surveys(Tables(spark, d))
-    return rounded(S.house_effects(s, s.groupBy("at", "block").agg(F.avg("share").alias("truth")), ["at", "block"], "institute", "block"))
+    return rounded(S.house_effects(s, s.groupBy("poll_date", "block").agg(F.avg("share").alias("truth")), ["poll_date", "block"], "institute", "block"))
 
 
-@query("topk_errors", f"WITH {SURVEY}, {TRUTH}, h AS (SELECT institute, block, avg(share - truth) * count(*) / (count(*) + 2) AS effect FROM c JOIN truth USING (at, block) GROUP BY 1, 2) SELECT institute, block, round(effect, 6) AS effect FROM h ORDER BY abs(effect) DESC, institute, block LIMIT 5")
+@query("topk_errors", f"WITH {SURVEY}, {TRUTH}, h AS (SELECT institute, block, avg(share - truth) * count(*) / (count(*) + 2) AS effect FROM c JOIN truth USING (poll_date, block) GROUP BY 1, 2) SELECT institute, block, round(effect, 6) AS effect FROM h ORDER BY abs(effect) DESC, institute, block LIMIT 5")
 def topk_errors(spark, d):
     s = surveys(Tables(spark, d))
-    h = S.house_effects(s, s.groupBy("at", "block").agg(F.avg("share").alias("truth")), ["at", "block"], "institute", "block")
+    h = S.house_effects(s, s.groupBy("poll_date", "block").agg(F.avg("share").alias("truth")), ["poll_date", "block"], "institute", "block")
     return rounded(h.select("institute", "block", "effect").orderBy(F.desc(F.abs("effect")), "institute", "block").limit(5))
 
 
-@query("agg_weighted_recent", f"WITH {SURVEY}, w AS (SELECT *, exp(-0.1 * date_diff('day', day, at)) AS w FROM c), r AS (SELECT at, block, sum(w * share) / sum(w) AS share FROM w GROUP BY 1, 2) SELECT at, block, round(100 * share / sum(share) OVER (PARTITION BY at), 6) AS share FROM r")
+@query("agg_weighted_recent", f"WITH {SURVEY}, w AS (SELECT *, exp(-0.1 * date_diff('day', day, poll_date)) AS w FROM c), r AS (SELECT poll_date, block, sum(w * share) / sum(w) AS share FROM w GROUP BY 1, 2) SELECT poll_date, block, round(100 * share / sum(share) OVER (PARTITION BY poll_date), 6) AS share FROM r")
 def agg_weighted_recent(spark, d):
-    return rounded(S.recent(surveys(Tables(spark, d)), "at", "day", "block", 0.1))
+    return rounded(S.recent(surveys(Tables(spark, d)), "poll_date", "day", "block", 0.1))
 
 
 @query(
     "st_lambda_selection",
-    f"WITH {SURVEY}, {TRUTH}, g AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]) AS rate), r AS (SELECT rate, at, block, sum(exp(-rate * date_diff('day', day, at)) * share) / sum(exp(-rate * date_diff('day', day, at))) AS e FROM c, g GROUP BY 1, 2, 3) SELECT rate, round(sqrt(avg((e - truth) * (e - truth))), 6) AS rmse FROM r JOIN truth USING (at, block) GROUP BY 1",
+    f"WITH {SURVEY}, {TRUTH}, g AS (SELECT unnest(CAST([0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0] AS DOUBLE[])) AS rate), r AS (SELECT rate, poll_date, block, sum(exp(-rate * date_diff('day', day, poll_date)) * share) / sum(exp(-rate * date_diff('day', day, poll_date))) AS e FROM c, g GROUP BY 1, 2, 3) SELECT rate, round(sqrt(avg((e - truth) * (e - truth))), 6) AS rmse FROM r JOIN truth USING (poll_date, block) GROUP BY 1",
 )
 def st_lambda_selection(spark, d):
     s = surveys(Tables(spark, d))
-    return rounded(S.rate_errors(s, s.groupBy("at", "block").agg(F.avg("share").alias("truth")), "at", "day", "block", [0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]))
+    return rounded(S.rate_errors(s, s.groupBy("poll_date", "block").agg(F.avg("share").alias("truth")), "poll_date", "day", "block", [0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]))
 
 
 MAP = "CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'low' WHEN p_brand LIKE 'Brand#1%' THEN 'one' WHEN p_brand LIKE '%5%' THEN 'five' ELSE 'other' END"
@@ -289,7 +289,7 @@ def sort_global(spark, d):
     return Tables(spark, d).orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("win_poll_delta", f"WITH {SURVEY}, a AS (SELECT at, block, avg(share) AS share FROM c GROUP BY 1, 2) SELECT at, block, round(share - lag(share) OVER (PARTITION BY block ORDER BY at), 6) AS change FROM a")
+@query("win_poll_delta", f"WITH {SURVEY}, a AS (SELECT poll_date, block, avg(share) AS share FROM c GROUP BY 1, 2) SELECT poll_date, block, round(share - lag(share) OVER (PARTITION BY block ORDER BY poll_date), 6) AS change FROM a")
 def win_poll_delta(spark, d):
-    a = surveys(Tables(spark, d)).groupBy("at", "block").agg(F.avg("share").alias("share"))
-    return rounded(a.select("at", "block", (F.col("share") - F.lag("share").over(Window.partitionBy("block").orderBy("at"))).alias("change")))
+    a = surveys(Tables(spark, d)).groupBy("poll_date", "block").agg(F.avg("share").alias("share"))
+    return rounded(a.select("poll_date", "block", (F.col("share") - F.lag("share").over(Window.partitionBy("block").orderBy("poll_date"))).alias("change")))

@@ -100,7 +100,7 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 def parallel_arrays(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """One row per key: arrays of the order column and of each column, all in the same order."""
     grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_r"))
-    return grouped.select(*keys, *[F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in (order, *columns)])
+    return grouped.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (order, *columns)])
 
 
 def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
