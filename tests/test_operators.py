@@ -161,8 +161,8 @@ def test_quantile_levels(spark):
 
 
 def test_mask(spark):
-    df = spark.createDataFrame([(50.0, 30.0, 20.0, True, False, True), (5.0, 5.0, 5.0, False, False, False)], "A double, B double, C double, a boolean, b boolean, c boolean")
-    got = [tuple(r)[:3] for r in I.masked(df, {"A": "a", "B": "b", "C": "c"}, 1.0).collect()]
+    df = spark.createDataFrame([(50.0, 30.0, 20.0, True, False, True), (5.0, 5.0, 5.0, False, False, False)], "A double, B double, C double, has_a boolean, has_b boolean, has_c boolean")
+    got = [tuple(r)[:3] for r in I.masked(df, {"A": "has_a", "B": "has_b", "C": "has_c"}, 1.0).collect()]
     assert got[0] == pytest.approx((50 + 30 * 5 / 7, 0, 20 + 30 * 2 / 7)) and got[1] == (0, 0, 0)
 
 
