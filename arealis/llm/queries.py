@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import ann, html_text, jaccard, languages, packing, scoring, substrings, suffixes, urls, warc
+from arealis.llm import ann, html_text, jaccard, languages, oracle, packing, scoring, substrings, suffixes, urls, warc
 
 #: Where the vocabulary of op3 lies; None: as the public_tokenizers package gives it.
 TOKENIZER: str | None = None
@@ -52,7 +52,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = suffixes.n_hit()
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_bundles": oracle.OP1,
+    "op2_substring_dedup": oracle.OP2,
+    "op4_jaccard_join": oracle.OP4,
+    "op6_decontaminate": oracle.OP6,
+    "op7_vector_dedup": oracle.OP7,
+}
