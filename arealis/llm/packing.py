@@ -23,18 +23,24 @@ from pyspark.sql import functions as F
 from arealis.llm import words as W
 from arealis.llm.batches import stored
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+STOP = W._table(b".,")
 #: Words whose ids a task remembers.
 CACHE = 400_000
 
 
 class Encoder:
-    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once."""
+    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once in a task."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        # a vocabulary that lower-cases and parts letters from other signs
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.folds = all(ids(x + y) == ids(x.lower()) + ids(y) for x, y in (("The", "."), ("X", ",y"), ("is", ".."), ("IS", ",")))
         self.forget()
 
     def forget(self) -> None:
@@ -50,7 +56,13 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and where each text's stop."""
-        w = W.words_of(texts)
+        buf, ends = W.buffers(texts)
+        if self.folds and b"<|" not in buf.tobytes():  # the name of a special token counts in small letters only
+            buf = W.LOWER[buf]
+        # the vocabulary never joins a letter and a point or comma, so words with and without them are one entry
+        a, z = buf[:-1], buf[1:]
+        cuts = np.flatnonzero((LETTER[a] & STOP[z]) | (STOP[a] & LETTER[z])) + 1 if self.folds else None
+        w = W.Words(buf, ends, W.SPACES, cuts)
         h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.known) + len(h) > CACHE:
             self.forget()

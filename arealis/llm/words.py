@@ -53,12 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts. start, end: bytes in buf; text: number of each word's text; first: index of each text's first word, and the total."""
 
-    def __init__(self, buf: np.ndarray, ends: np.ndarray, separators: np.ndarray):
+    def __init__(self, buf: np.ndarray, ends: np.ndarray, separators: np.ndarray, cuts: np.ndarray | None = None):
+        """cuts: places inside words where a word ends and the next begins."""
         self.buf, self.ends = buf, ends
         inside = ~separators[buf] if len(buf) else np.zeros(0, bool)
         edge = np.zeros(len(buf) + 1, bool)  # a text begins here
         edge[0] = True
         edge[ends] = True
+        if cuts is not None:
+            edge[cuts] = True
         before = np.concatenate([[False], inside[:-1]]) if len(buf) else inside
         after = np.concatenate([inside[1:], [False]]) if len(buf) else inside
         self.start = np.flatnonzero(inside & (~before | edge[:-1]))
