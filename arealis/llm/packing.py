@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,22 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 STOP = W._table(b".,")
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 250_000
+
+
+@cache
+def _tokenizer(path: str):
+    """Read once in each Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
     """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once in a task."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         # a vocabulary that lower-cases and parts letters from other signs
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
@@ -87,7 +94,7 @@ def tokenised(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: st
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in W.pieces(rows, 1, 4 << 20):
+        for b in W.pieces(rows, 1, 2 << 20):
             ids, stops = encoder.encode(b.column(1), end)
             n = np.diff(stops, prepend=0)
             width = ids.itemsize
