@@ -11,7 +11,6 @@ documents of their own. Other columns of the input aren't read. An empty table g
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,39 +26,61 @@ from arealis.llm.batches import stored
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 STOP = W._table(b".,")
-#: Words whose ids a task remembers.
-CACHE = 250_000
-
-
-@cache
-def _tokenizer(path: str):
-    """Read once in each Python worker."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Words whose ids a Python worker remembers, some 50 bytes each.
+CACHE = 1_000_000
 
 
 class Encoder:
-    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once in a task."""
+    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once."""
+
+    #: Parts words that are tokenised as one text; where a word has it, words are tokenised one by one.
+    PART = " \x01 "
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        # a vocabulary that lower-cases and parts letters from other signs
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        # a vocabulary that lower-cases and parts letters from other signs
         self.folds = all(ids(x + y) == ids(x.lower()) + ids(y) for x, y in (("The", "."), ("X", ",y"), ("is", ".."), ("IS", ",")))
+        part = ids(self.PART)
+        self.part = part[0] if len(part) == 1 and all(ids(x + self.PART + y) == ids(x) + part + ids(y) for x, y in (("the", "."), (",", "x1"))) else None
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.sizes = array("I"), array("I")
-
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        for lo in range(0, len(words), 1000):  # the tokenizer's own results are large, so a few words at a time
-            for h, e in zip(hashes[lo : lo + 1000], self.tokenizer.encode_batch_fast(words[lo : lo + 1000], add_special_tokens=False), strict=True):
-                self.known[h] = len(self.sizes)
-                self.ids.extend(e.ids)
-                self.sizes.append(len(e.ids))
+        """keys: sorted hashes of the known words; slot: each one's place in begins and sizes, which point into ids."""
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.sizes, self.begins = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and how many each has."""
+        if self.part is not None:
+            text = self.PART.encode().join(words).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            parts = np.flatnonzero(ids == self.part)
+            if len(parts) == len(words) - 1:
+                return np.delete(ids, parts), np.diff(parts, prepend=-1, append=len(ids)) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        # the tokenizer's own results are large, so a few words at a time
+        found = [self.tokens(words[lo : lo + 200]) for lo in range(0, len(words), 200)]
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.slot = np.concatenate([self.slot, len(self.sizes) + np.arange(len(hashes))])[order]
+        self.keys = keys[order]
+        self.ids = np.concatenate([self.ids, *[i.astype(self.kind) for i, _ in found]])
+        self.sizes = np.concatenate([self.sizes, *[n for _, n in found]])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def unknown(self, h: np.ndarray) -> np.ndarray:
+        """Places of those among sorted hashes that aren't known."""
+        if not len(self.keys):
+            return np.arange(len(h))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != h)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and where each text's stop."""
@@ -71,29 +92,34 @@ class Encoder:
         cuts = np.flatnonzero((LETTER[a] & STOP[z]) | (STOP[a] & LETTER[z])) + 1 if self.folds else None
         w = W.Words(buf, ends, W.SPACES, cuts)
         h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) + len(h) > CACHE:
+        new = self.unknown(h)
+        if len(new) and len(self.keys) + len(new) > CACHE:
             self.forget()
-        h = h.tolist()
-        new = [i for i, x in enumerate(h) if x not in self.known]
-        self.learn([h[i] for i in new], [w.bytes_of(first[i]).decode("utf-8", "replace") for i in new])
-        sizes = np.array(self.sizes).astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
-        flat = np.array(self.ids).astype(self.kind)
-        word = np.array([self.known[x] for x in h], np.int64)[inverse] if h else np.zeros(0, np.int64)
-        n = sizes[word]
+            new = self.unknown(h)
+        if len(new):
+            data, at = buf.tobytes(), first[new]
+            self.learn(h[new], [data[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        word = self.slot[np.searchsorted(self.keys, h)][inverse] if len(h) else np.zeros(0, np.int64)
+        n = self.sizes[word]
         done = np.cumsum(n)
-        source = np.repeat(begins[word] - (done - n), n)
+        source = np.repeat(self.begins[word] - (done - n), n)
         source += np.arange(len(source))
-        ids = flat[source]
+        ids = self.ids[source]
         stops = np.concatenate([[0], done])[w.first[1:]]
         return np.insert(ids, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One in each Python worker: tasks that follow each other there share its words."""
+    return Encoder(path)
+
+
 def tokenised(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str) -> DataFrame:
     """Stored rows: part, doc_id, before (tokens earlier in the partition), n, ids."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, total = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, total = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in W.pieces(rows, 1, 2 << 20):
             ids, stops = encoder.encode(b.column(1), end)
             n = np.diff(stops, prepend=0)
