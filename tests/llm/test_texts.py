@@ -273,3 +273,19 @@ def test_languages_odd(spark, odd):
         assert (r.lang_pred == "und") == (not any(x.isalpha() for x in r.text or "")) == r.rejected or r.lang_pred != "und"
     assert {r.lang_pred for r in languages.identify(df, {}).collect()} == {"und"}
     assert languages.identify(df.limit(0), taught).count() == 0
+
+
+def test_encoder_equals_the_tokenizer_on_odd_words(monkeypatch):
+    import pyarrow as pa
+
+    from arealis.llm import queries
+
+    texts = ["plain words, and Points.", "a \x01 b", "x\x01y \x01\x01 \x01", "", None, "<|endoftext|> and <|ENDOFTEXT|>", "don't  stop here　now", "été İstanbul ΣΣ 123 45.67,89", "...,,, a.b,c"]
+    encoder = packing.Encoder(queries.tokenizer())
+    monkeypatch.setattr(packing, "CACHE", 12)  # words are forgotten again and again
+    for some in (texts, texts[::-1], texts[:3]):
+        ids, stops = encoder.encode(pa.array(some, pa.string()), 1)
+        begin = 0
+        for text, stop in zip(some, stops.tolist(), strict=True):
+            assert ids[begin:stop].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
+            begin = stop
