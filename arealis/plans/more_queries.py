@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arealis.functions import text as X
 from arealis.operators import intervals as I  # noqa: E741
+from arealis.operators import joins as J
 from arealis.operators import linear as L
 from arealis.operators import panel as P
 from arealis.operators import polls as S
@@ -237,3 +238,46 @@ def ml_elastic_net_cv(spark, d):
     grid = ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).build()
     best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=3, seed=7).fit(rows)
     return best.transform(rows).select("vec_id", "y", "prediction")
+
+
+@query("map_poll_block", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'low' WHEN p_brand LIKE 'Brand#2%' THEN 'two' WHEN p_brand LIKE '%3%' THEN 'three' WHEN p_brand LIKE '%4%' THEN 'four' ELSE 'other' END AS block FROM part")
+def map_poll_block(spark, d):
+    """An ordered chain: exact codes, then prefixes, then substrings; the first rule that fits wins."""
+    part = Tables(spark, d).part
+    exact = J.rule_chain(F.col("p_type"), [("exact", {"ECONOMY": "low"})], "")
+    rest = J.rule_chain(F.col("p_brand"), [("prefix", [("Brand#2", "two")]), ("substring", [("3", "three"), ("4", "four")])], "other")
+    return part.select("p_partkey", F.coalesce(F.nullif(exact, F.lit("")), rest).alias("block"))
+
+
+@query("map_party_block_basic", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'low' WHEN 'PROMO' THEN 'low' WHEN 'STANDARD' THEN 'mid' ELSE 'other' END AS block FROM part")
+def map_party_block_basic(spark, d):
+    """The plain table of codes."""
+    codes = {"ECONOMY": "low", "PROMO": "low", "STANDARD": "mid"}
+    return Tables(spark, d).part.select("p_partkey", J.rule_chain(F.col("p_type"), [("exact", codes)], "other").alias("block"))
+
+
+def kernel_residual(spark, d, landmarks: int = 24, width: float = 1.0):
+    """Left-out-fold residuals fitted on kernel features: distances to `landmarks` rows, chosen by hash (a fixed, documented
+    number, as in any landmark method); the penalty is fixed."""
+    x, names = features(Tables(spark, d), 8)
+    x = L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 1.0).withColumn("left", F.col("y") - F.col("oof"))
+    complete = x.where(" and ".join(f"{c} is not null" for c in names))
+    points = complete.orderBy(F.xxhash64("vec_id"), "vec_id").select(*names).limit(landmarks).collect()
+    near = lambda p: F.exp(-sum(((F.col(c) - F.lit(float(p[c]))) ** 2 for c in names), F.lit(0.0)) / (2 * width**2))
+    kernel = [f"k{i}" for i in range(len(points))]
+    x = x.withColumns({k: near(p) for k, p in zip(kernel, points, strict=True)})
+    return L.out_of_fold(x, L.grams(x, kernel, ["left"], "fold"), "fold", 0, 1.0, out="more").select("vec_id", "fold", "y", "oof", (F.col("oof") + F.col("more")).alias("fitted"))
+
+
+@query("ml_kernel_residual")
+def ml_kernel_residual(spark, d):
+    return kernel_residual(spark, d)
+
+
+@query("ml_kernel_calibration")
+def ml_kernel_calibration(spark, d):
+    """The factor that brings the 90th percentile of the scaled errors to that of a normal distribution."""
+    r = kernel_residual(spark, d).withColumn("e", F.col("y") - F.col("fitted"))
+    sd = r.agg(F.stddev_pop("e").alias("sd"))
+    scaled = r.crossJoin(F.broadcast(sd)).select(F.abs(P.ratio("e", "sd")).alias("z"))  # sd is one row
+    return scaled.agg((F.percentile("z", 0.9) / 1.645).alias("factor"), F.count("*").alias("n"))
