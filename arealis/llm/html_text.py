@@ -3,9 +3,10 @@
 Each page is cut into blocks, and each block is in one of three zones: the article (article and main elements), furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by class, id and role), or open (all
 else). The token streams of a host's pages are concatenated and their suffixes sorted; substrings of at least
-`length` tokens that occur in several distinct pages are boilerplate. The text of a page with an article is the article:
-passages that articles share are kept there, as nothing of an article may be dropped. Of a page without one, it is the
-unique runs of the open zone. Pages with equal token streams count as one page, so copies don't erase each other.
+`length` tokens that occur in several distinct pages are boilerplate. Zones are a prior: the text is taken from the
+article or, of a page without one, from the open zone. In the open zone all boilerplate goes. In an article runs of at
+least `long` tokens of boilerplate go; an article that would lose half of its tokens is an edited copy of other articles
+and is kept whole. Pages with equal token streams count as one page, so copies don't erase each other.
 
 A host with more pages than `chunk` is dealt over several groups by a hash of the page. Only hosts above one in 20,000 of
 all pages and above `chunk` are: at most 20,000 hosts are sent to the tasks.
@@ -128,8 +129,15 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> n
     return W.cover(n, np.flatnonzero(distinct[rank] >= pages), length)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 8, least: int = 3, chunk: int = 400) -> DataFrame:
-    """One row per page: page_id, url, text, n_boilerplate (tokens of the open zone that repeat over the host's pages)."""
+def long_runs(marks: np.ndarray, length: int) -> np.ndarray:
+    """The marks that stand in runs of at least `length`."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    return W.cover(len(marks), begin[size >= length], size[size >= length])
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 8, least: int = 3, chunk: int = 400, long: int = 16) -> DataFrame:
+    """One row per page: page_id, url, text, n_boilerplate (tokens of the article or open zone left out, as they repeat over the host's pages)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
@@ -161,20 +169,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for k, (z, x) in enumerate(zip(zones, texts, strict=True)):
             article = (z == MAIN).any()
             base = np.searchsorted(block_page, k)
-            kept, n = [], 0
-            for j, t in enumerate(x):
-                if z[j] != (MAIN if article else OPEN):
-                    continue
-                if article:
-                    kept.append(t)
-                    continue
-                a, b = w.first[base + j], w.first[base + j + 1]
-                n += int(covered[a:b].sum())
-                left = [w.bytes_of(i).decode() for i in range(a, b) if not covered[i]]
-                if left:
-                    kept.append(" ".join(left))
+            chosen = [j for j in range(len(x)) if z[j] == (MAIN if article else OPEN)]
+            spans = [(w.first[base + j], w.first[base + j + 1]) for j in chosen]
+            gone = np.concatenate([covered[a:b] for a, b in spans]) if spans else np.zeros(0, bool)
+            if article:
+                gone = long_runs(gone, long)
+                if 2 * gone.sum() >= len(gone):
+                    gone[:] = False
+            kept, at = [], 0
+            for j, (a, b) in zip(chosen, spans, strict=True):
+                own = gone[at : at + b - a]
+                at += b - a
+                if article and not own.any():
+                    kept.append(x[j])
+                elif not own.all():
+                    kept.append(" ".join(w.bytes_of(a + i).decode() for i in np.flatnonzero(~own)))
             out.append(" ".join(kept))
-            counts.append(n)
+            counts.append(int(gone.sum()))
         return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
     dealt = rows.join(F.broadcast(hot), "host", "left").select("page_id", "url", "host", "html", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("long").alias("part"))

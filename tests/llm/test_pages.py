@@ -113,6 +113,21 @@ def test_host_boilerplate(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_boilerplate_inside_articles(spark):
+    """A notice that a host's articles share goes; a short shared sentence, copies and edited copies of an article stay."""
+    notice = " ".join(f"n{j}" for j in range(20))
+    short = " ".join(f"s{j}" for j in range(9))
+    own = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(4)]
+    edited = [" ".join(f"e{j}" if j % 20 != 10 + i else f"edit{i}x{j}" for j in range(60)) for i in range(4)]
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{short}</p><p>{t}</p><p>{notice}</p></article>") for i, t in enumerate(own)]
+    rows += [(10 + i, f"http://h.example/{10 + i}", f"<article><p>{t}</p></article>") for i, t in enumerate(edited)]
+    rows += [(20 + i, f"http://h.example/{20 + i}", f"<article>{notice} copy</article>") for i in range(3)]
+    got = {r.page_id: (r.text, r.n_boilerplate) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [(f"{short} {t}", 20) for t in own]
+    assert [got[10 + i] for i in range(4)] == [(t, 0) for t in edited]
+    assert [got[20 + i] for i in range(3)] == [(f"{notice} copy", 0)] * 3
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
