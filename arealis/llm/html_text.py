@@ -9,7 +9,10 @@ least `long` tokens of boilerplate go; an article that would lose half of its to
 and is kept whole. Pages with equal token streams count as one page, so copies don't erase each other.
 
 A host with more pages than `chunk` is dealt over several groups by a hash of the page. Only hosts above one in 20,000 of
-all pages and above `chunk` are: at most 20,000 hosts are sent to the tasks.
+all pages and above `chunk` are: at most 20,000 hosts are sent to the tasks. Repeats are counted over the whole host all
+the same, in two exchanges of keys. First each group sends short keys of its windows' anchors (of each window of `length`
+tokens the part of half that length with the smallest hash) and learns which may lie in enough pages; of windows with such
+an anchor it then sends whole hashes and the token streams they stand in, and learns which do. Its suffix array covers them.
 
 Nulls and ties: a null html is empty and gives an empty text. A null url is a host of its own, the empty one. Repeated
 rows and repeated or null ids each get a row. Other columns aren't read. An empty table gives an empty result.
@@ -17,6 +20,7 @@ rows and repeated or null ids each get a row. Other columns aren't read. An empt
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -104,8 +108,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return found
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> np.ndarray:
-    """Which tokens are covered by substrings of at least `length` that occur in at least `pages` distinct pages.
+def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens are covered by substrings of at least `length` that occur in at least `pages` distinct pages, or start where `known` says so.
 
     A suffix array by doubling: suffixes are ranked by 1, 2, 4 ... tokens until `length` tokens are compared; equal
     neighbours then share that prefix."""
@@ -126,9 +130,145 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int, pages: int) -> n
     r, p = rank[order], page[order]
     first = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
     distinct = np.bincount(r, first)
+    if known is not None:
+        distinct[rank[known]] = pages
     return W.cover(n, np.flatnonzero(distinct[rank] >= pages), length)
 
 
+class Streams:
+    """The token streams of a group of pages. `one`: the first page of each stream; `salt`: a hash of the host."""
+
+    def __init__(self, table: pa.Table):
+        import zstandard as zstd
+
+        unpack = zstd.ZstdDecompressor().decompress
+        whole = [unpack(x).decode() for x in table.column("blocks").to_pylist()]
+        self.texts = [x.split("\n") if x else [] for x in whole]  # white space in blocks is single spaces
+        self.block_page = np.repeat(np.arange(len(self.texts)), [len(x) for x in self.texts])
+        self.w = W.words_of(pa.array([t for x in self.texts for t in x], pa.string()))
+        self.h = self.w.hashes()
+        self.page = self.block_page[self.w.text] if len(self.w) else np.zeros(0, np.int64)
+        first = np.searchsorted(self.page, np.arange(len(self.texts) + 1))
+        self.spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+        self.names = np.array([_digest(self.h[a:b].tobytes()) for a, b in self.spans], np.uint64)
+        self.stream = [self.h[a:b].tobytes() for a, b in self.spans]
+        seen: dict[bytes, int] = {}
+        self.one = np.array([seen.setdefault(x, k) == k for k, x in enumerate(self.stream)], bool)
+        self.host, self.part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
+        self.salt = np.uint64(_digest(self.host.encode()))
+
+    def windows(self, length: int) -> np.ndarray:
+        """Where windows of pages with distinct streams begin."""
+        n = len(self.h) - length + 1
+        return np.flatnonzero((self.page[:n] == self.page[length - 1 :]) & self.one[self.page[:n]]) if n > 0 else np.zeros(0, np.int64)
+
+    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
+        return W.mix(W.grams(self.h, length)[at] ^ self.salt)
+
+    def anchors(self, at: np.ndarray, length: int) -> np.ndarray:
+        half = max(1, length // 2)
+        g = W.grams(self.h, half)
+        low = g[at]
+        for i in range(1, length - half + 1):
+            low = np.minimum(low, g[at + i])
+        return W.mix(low ^ self.salt)
+
+    def request(self, slices: int, keys: np.ndarray, values: np.ndarray, more: np.ndarray) -> pa.Table:
+        """Rows of REQUEST for sorted slices of keys; values are what is sent of them."""
+        order = np.lexsort((values, keys % np.uint64(slices)))
+        of = (keys % np.uint64(slices))[order].astype(np.int64)
+        values, more = values[order], more[order]
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        ends = np.concatenate([at[1:], [len(of)]]) if len(of) else at
+        cells = [[x[a:b].tobytes() for a, b in zip(at, ends, strict=True)] for x in (values, more)]
+        return _rows(self, of[at], *cells)
+
+
+REQUEST, REPLY = "host string, part long, slice int, keys binary, more binary", "host string, part long, slice int, reply binary"
+
+
+def _digest(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
+
+
+def _rows(s: Streams, of: np.ndarray, keys: list[bytes], more: list[bytes]) -> pa.Table:
+    n = len(of)
+    return pa.table([pa.array([s.host] * n, pa.string()), pa.array([s.part] * n, pa.int64()), pa.array(of, pa.int32()), pa.array(keys, pa.binary()), pa.array(more, pa.binary())], ["host", "part", "slice", "keys", "more"])
+
+
+def _unread(table: pa.Table, kind: str, more: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values and rows of all requests of a slice."""
+    keys = [np.frombuffer(x, kind) for x in table.column("keys").to_pylist()]
+    return np.concatenate(keys), np.concatenate([np.frombuffer(x, more) for x in table.column("more").to_pylist()]), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+
+
+def _replies(table: pa.Table, keys: np.ndarray, row: np.ndarray, hit: np.ndarray) -> pa.Table:
+    """To each request those of its keys that were hit; requests without any get no row."""
+    keys, row = keys[hit], row[hit]
+    at = np.searchsorted(row, np.arange(table.num_rows + 1))
+    full = np.flatnonzero(np.diff(at))
+    return table.select(["host", "part", "slice"]).take(pa.array(full)).append_column("reply", pa.array([keys[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()))
+
+
+def whole_host(pages: DataFrame, length: int, least: int, slices: int) -> DataFrame:
+    """Rows of REPLY: the hashes of each group's windows that lie in at least `least` distinct pages of the host. Groups with part -1 are whole hosts and ask nothing."""
+    few = np.uint64(slices)
+    empty = pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())], ["host", "part", "slice", "keys", "more"])
+
+    def first(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            return empty
+        s = Streams(table)
+        at = s.windows(length)
+        if not len(at):
+            return empty
+        key, page = s.anchors(at, length), s.page[at]
+        order = np.lexsort((page, key))
+        key, page = key[order], page[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        counts = np.add.reduceat((new | np.concatenate([[True], page[1:] != page[:-1]])).astype(np.int64), np.flatnonzero(new))
+        key = key[new]
+        return s.request(slices, key, (key // few).astype(np.uint32), np.minimum(counts, least).astype(np.uint16))
+
+    def maybe(table: pa.Table) -> pa.Table:
+        keys, n, row = _unread(table, "uint32", "uint16")
+        _, of = np.unique(keys, return_inverse=True)
+        return _replies(table, keys, row, (np.bincount(of, n) >= least)[of])
+
+    def second(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not replies.num_rows:
+            return empty
+        s = Streams(table)
+        at = s.windows(length)
+        key = s.anchors(at, length)
+        sent = [(np.frombuffer(x, np.uint32).astype(np.uint64), k) for x, k in zip(replies.column("reply").to_pylist(), replies.column("slice").to_pylist(), strict=True)]
+        of, low = key % few, (key // few).astype(np.uint32).astype(np.uint64)
+        wanted = np.concatenate([x * few + np.uint64(k) for x, k in sent])
+        at = at[np.isin(low * few + of, wanted)]
+        key, name = s.keys(at, length), s.names[s.page[at]]
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        pair = new | np.concatenate([[True], name[1:] != name[:-1]])
+        key, name, new = key[pair], name[pair], new[pair]
+        begin = np.flatnonzero(new)
+        rank = np.arange(len(key)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(key)]])))
+        key, name = key[rank < least], name[rank < least]  # more pages than needed say nothing more
+        return s.request(slices, key, key, name)
+
+    def surely(table: pa.Table) -> pa.Table:
+        keys, names, row = _unread(table, "uint64", "uint64")
+        distinct, of = np.unique(keys, return_inverse=True)
+        order = np.lexsort((names, of))
+        o, m = of[order], names[order]
+        pair = np.concatenate([[True], (o[1:] != o[:-1]) | (m[1:] != m[:-1])])
+        return _replies(table, keys, row, (np.bincount(o[pair], minlength=len(distinct)) >= least)[of])
+
+    groups = ["host", "part"]
+    candidates = pages.groupBy(*groups).applyInArrow(first, REQUEST).groupBy("slice").applyInArrow(maybe, REPLY)
+    return pages.groupBy(*groups).cogroup(candidates.groupBy(*groups)).applyInArrow(second, REQUEST).groupBy("slice").applyInArrow(surely, REPLY)
+
+
 def long_runs(marks: np.ndarray, length: int) -> np.ndarray:
     """The marks that stand in runs of at least `length`."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
@@ -142,29 +282,33 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > max(chunk, total // 20_000)).select("host", F.ceil(F.col("n") / chunk).alias("groups"))
+    hot = sizes.where(F.col("n") > max(chunk, total // 20_000)).select("host", "n", F.ceil(F.col("n") / chunk).alias("groups"))
+    many = hot.agg(F.sum("n")).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard as zstd
+
+        pack = zstd.ZstdCompressor(level=3).compress
         for b in batches:
             found = [blocks(x or "") for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([bytes(z for z, _ in x) for x in found], pa.binary()), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))], ["page_id", "url", "host", "part", "zones", "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([bytes(z for z, _ in x) for x in found], pa.binary()), pa.array([pack("\n".join(t for _, t in x).encode()) for x in found], pa.binary())], ["page_id", "url", "host", "part", "zones", "blocks"])
 
-    def keep(table: pa.Table) -> pa.Table:
+    def cover_and_keep(table: pa.Table, replies: pa.Table | None) -> pa.Table:
         zones = [np.frombuffer(x, np.uint8) for x in table.column("zones").to_pylist()]
-        texts = table.column("blocks").to_pylist()
-        flat = [t for x in texts for t in x]
-        block_page = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-        w = W.words_of(pa.array(flat, pa.string()))
-        h, page = w.hashes(), block_page[w.text] if len(w) else np.zeros(0, np.int64)
+        s = Streams(table)
+        texts, block_page, w, h, page = s.texts, s.block_page, s.w, s.h, s.page
         covered = np.zeros(len(w), bool)
         if len(w) >= length:
-            first, stream = np.searchsorted(page, np.arange(len(texts) + 1)), {}
-            one = [stream.setdefault(h[a:b].tobytes(), k) == k for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
-            distinct = np.flatnonzero(np.array(one)[page])
-            gone = repeated(h[distinct], page[distinct], length, least)
-            marks = {k: gone[a:b] for k, a, b in ((k, *np.searchsorted(page[distinct], [k, k + 1])) for k in np.flatnonzero(one))}
-            for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                covered[a:b] = marks[stream[h[a:b].tobytes()]]
+            distinct = np.flatnonzero(s.one[page])
+            known = np.zeros(len(w), bool)
+            if replies is not None and replies.num_rows:
+                at = s.windows(length)
+                sure = np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("reply").to_pylist()])
+                known[at[np.isin(s.keys(at, length), sure)]] = True
+            gone = repeated(h[distinct], page[distinct], length, least, known[distinct])
+            marks = {s.stream[k]: gone[a:b] for k, a, b in ((k, *np.searchsorted(page[distinct], [k, k + 1])) for k in np.flatnonzero(s.one))}
+            for (a, b), stream in zip(s.spans, s.stream, strict=True):
+                covered[a:b] = marks[stream]
         out, counts = [], []
         for k, (z, x) in enumerate(zip(zones, texts, strict=True)):
             article = (z == MAIN).any()
@@ -188,6 +332,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             counts.append(int(gone.sum()))
         return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
-    dealt = rows.join(F.broadcast(hot), "host", "left").select("page_id", "url", "host", "html", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("long").alias("part"))
-    cut_pages = dealt.mapInArrow(cut, "page_id long, url string, host string, part long, zones binary, blocks array<string>")
-    return cut_pages.groupBy("host", "part").applyInArrow(keep, "page_id long, url string, text string, n_boilerplate long")
+    dealt = rows.join(F.broadcast(hot.drop("n")), "host", "left").select("page_id", "url", "host", "html", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(-1)).cast("long").alias("part"))
+    cut_pages = dealt.mapInArrow(cut, "page_id long, url string, host string, part long, zones binary, blocks binary")
+    schema = "page_id long, url string, text string, n_boilerplate long"
+    groups = cut_pages.groupBy("host", "part")
+
+    def keep(table: pa.Table) -> pa.Table:
+        return cover_and_keep(table, None)
+
+    def keep_known(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return cover_and_keep(table, replies)
+
+    if not many:
+        return groups.applyInArrow(keep, schema)
+    found = whole_host(cut_pages, length, least, max(64, many // 32_000))
+
+    return groups.cogroup(found.groupBy("host", "part")).applyInArrow(keep_known, schema)

@@ -128,6 +128,22 @@ def test_boilerplate_inside_articles(spark):
     assert [got[20 + i] for i in range(3)] == [(f"{notice} copy", 0)] * 3
 
 
+def test_host_of_many_groups(spark):
+    """A host dealt over many groups gives the texts it gives as one group."""
+    rare, common = (" ".join(f"{c}{j}" for j in range(12)) for c in "rc")
+    rows = []
+    for i in range(60):
+        own = " ".join(f"w{i}x{j}" for j in range(30))
+        said = f"<div>{own}</div>" + (f"<div>{rare}</div>" if i % 20 == 7 else "") + (f"<div>{common}</div>" if i % 2 else "")
+        rows.append((i, f"http://h.example/{i}", said))
+    twice = " ".join(f"t{j}" for j in range(20))  # copies of one page over the groups are one page
+    rows += [(100 + i, f"http://h.example/{100 + i}", f"<div>{twice}</div>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r.page_id: (r.text, r.n_boilerplate) for r in html_text.main_text(df, chunk=c).collect()} for c in (400, 5))
+    assert one == many and len(one) == len(rows)
+    assert all(rare not in one[i][0] and one[i][1] == 24 for i in (7, 27, 47)) and one[100] == (twice, 0)
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
