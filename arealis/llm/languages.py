@@ -2,8 +2,10 @@
 
 Texts are reduced to small letters and single spaces. For each language a raw-content zstandard dictionary is filled with excerpts of labelled training documents, a bounded
 sample: at most `documents` of them with `excerpt` characters each, chosen by a hash of the id. Each whole text is
-compressed once with each dictionary. A text is rejected if it has no letter, or if the best language leads by less
-than `margin` of the second best size; texts under `least` bytes can't lead by much and aren't rejected for that.
+compressed once with each dictionary, in blocks of `block` bytes with the dictionary anew, so that the lead doesn't depend
+on the length; a language's size is the sum over the blocks. A text is rejected if it has no letter, or if the best
+language leads by less than `margin` of the second best size; texts under `least` bytes can't lead by much and aren't
+rejected for that: a tie among them has score 0.
 
 Nulls and ties: a null text and one without letters are `und` with score 0, rejected. Equal sizes fall to the language
 that comes first by name. Rows without lang or id teach nothing but are predicted. Repeated rows each get a row. Other
@@ -42,7 +44,7 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return {lang: " ".join(x).encode() for lang, x in sorted(content.items())}
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = 0.001, least: int = 100, level: int = 3, keep: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = 0.001, least: int = 100, block: int = 16 << 10, level: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Columns to keep (all if None) and lang_pred, score (0 to 1: the lead over the second best), rejected."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +62,9 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
                     lang.append("und")
                     score.append(0.0)
                     continue
-                sizes = sorted((len(p.compress(t.as_buffer())), name) for name, p in packers)
+                text = memoryview(t.as_buffer())
+                parts = [text[i : i + block] for i in range(0, len(text), block)]
+                sizes = sorted((sum(len(p.compress(x)) for x in parts), name) for name, p in packers)
                 lang.append(sizes[0][1])
                 score.append(1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
             sizes = [t.as_buffer().size if t.is_valid else 0 for t in b.column(0)]

@@ -275,6 +275,23 @@ def test_languages_odd(spark, odd):
     assert languages.identify(df.limit(0), taught).count() == 0
 
 
+def test_languages_of_long_texts(spark):
+    """The lead doesn't shrink with the length; a short tie is seen by its score."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taught = languages.learn(docs.where(languages.trains()))
+    said = {k: "" for k in taught}
+    for r in docs.where(~languages.trains()).where("lang is not null and text is not null").orderBy("doc_id").collect():
+        if r.lang in said and len(said[r.lang]) < 200_000:
+            said[r.lang] += " " + r.text
+    rows = [(k, n, (t * (n // len(t) + 1))[:n]) for k, t in said.items() for n in (20_000, 10_000_000)]
+    got = languages.identify(spark.createDataFrame(rows, "lang string, n long, text string").repartition(4), taught, keep=["lang", "n"]).collect()
+    score = {(r.lang, r.n): r.score for r in got}
+    assert all(r.lang_pred == r.lang and not r.rejected for r in got)
+    assert all(score[k, 10_000_000] > score[k, 20_000] / 3 for k in said)
+    tie = languages.identify(spark.createDataFrame([("some short words",)], "text string"), {"a": b"other words here", "b": b"other words here"}).collect()
+    assert [(r.lang_pred, r.score, r.rejected) for r in tie] == [("a", 0.0, False)]
+
+
 def test_encoder_equals_the_tokenizer_on_odd_words(monkeypatch):
     import pyarrow as pa
 
