@@ -3,8 +3,8 @@
 Equal vectors are one node. Each shard of nodes gets a graph: layers of ever fewer nodes, each node linked to near but
 mutually distant neighbours. Every node is searched in every shard: down the layers to a near node, then with a beam on
 the lowest layer. A search whose beam is full of hits is repeated with a beam twice as wide, in the end as wide as the
-shard. After a shard is built, its beam is widened until an audit, a spread sample of its nodes compared with all of
-the shard, finds the wanted share of links. Cosines are computed in double precision. Links stay in the task: it
+shard. After a shard is built, its beam is widened until an audit, a random sample of its nodes compared with all of
+the shard, finds the wanted share of links to other nodes; the sample grows until it holds enough links. Cosines are computed in double precision. Links stay in the task: it
 returns counts and a spanning forest of what it found, and components are joined from the forests.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
@@ -167,10 +167,18 @@ class Graph:
             open_, wide = np.concatenate(again) if again else np.zeros(0, np.int64), wide * 2
 
     def audited(self, least: float, beam: int, recall: float, sample: int) -> int:
-        """The beam with which a spread sample of nodes finds the wanted share of its links."""
-        rows = np.unique(np.linspace(0, self.n - 1, min(sample, self.n)).astype(np.int64))
-        true = sum(int((self.x[rows[i : i + ROWS]] @ self.x.T >= least).sum()) for i in range(0, len(rows), ROWS))
-        while beam < self.n and sum(len(f) for _, f in self.within(self.x[rows], least, beam)) < recall * true:
+        """The beam with which a random sample finds the wanted share of its links to other nodes. It has `sample` nodes and as many links at least, or is the whole shard."""
+        order = np.random.default_rng(self.n).permutation(self.n)
+        block, linked, true, at = max(1, min(ROWS, (1 << 24) // self.n)), [], 0, 0
+        while at < self.n and (at < sample or true < sample):
+            rows = order[at : at + block]
+            near = self.x[rows] @ self.x.T >= least
+            near[np.arange(len(rows)), rows] = False
+            n = near.sum(axis=1)
+            linked.append(rows[n > 0])
+            true, at = true + int(n.sum()), at + len(rows)
+        rows = np.concatenate(linked) if linked else order[:0]
+        while true and beam < self.n and sum(int((f != rows[r]).sum()) for r, f in self.within(self.x[rows], least, beam)) < recall * true:
             beam *= 2
         return beam
 

@@ -255,3 +255,20 @@ def test_graph_recall():
     g = ann.Graph(x, np.arange(1500))
     true = (x @ x.T >= 0.95).sum()
     assert sum(len(f) for _, f in g.within(x, 0.95, 24)) >= 0.97 * true
+
+
+def test_audit_counts_no_match_with_itself():
+    """A search that finds only the node itself must fail the audit, also where links are few."""
+
+    class Lossy(ann.Graph):
+        def within(self, q, least, beam):
+            for r, found in super().within(q, least, beam):
+                yield r, found if beam >= 96 else found[self.x[found] @ q[r] > 1 - 1e-9]
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 16))
+    x[1499] = x[0] + rng.normal(size=16) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.Graph(x, np.arange(1500)).audited(0.95, 24, 0.99, 256) < 1500
+    assert Lossy(x, np.arange(1500)).audited(0.95, 24, 0.99, 256) >= 96
+    assert ann.Graph(x[:400], np.arange(400)).audited(0.95, 24, 0.99, 256) == 24
