@@ -1,6 +1,6 @@
 """Near-duplicate vectors with hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one node. Each shard of nodes gets a graph: layers of ever fewer nodes, each node linked to near but
+Equal vectors are one node. There are as many shards as keep each at about `shard_size` nodes, `shards` at least. Each gets a graph: layers of ever fewer nodes, each node linked to near but
 mutually distant neighbours. Every node is searched in every shard: down the layers to a near node, then with a beam on
 the lowest layer. A search whose beam is full of hits is repeated with a beam twice as wide, in the end as wide as the
 shard. After a shard is built, its beam is widened until an audit, a random sample of its nodes compared with all of
@@ -189,7 +189,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, shards: int = 6, beam: int = 24, recall: float = 0.99, audit: int = 256, block: int = 8192) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, shards: int = 6, shard_size: int = 100_000, beam: int = 24, recall: float = 0.99, audit: int = 256, block: int = 8192) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least `least`), component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -197,8 +197,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     ok = F.coalesce(F.col("vec_id").isNotNull() & finite & (square > 0) & (square < float("inf")), F.lit(False))
     rows = rows.withColumn("key", F.when(ok, F.concat_ws("-", F.xxhash64("v").cast("string"), F.hash("v").cast("string"), F.size("v").cast("string"))))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = stored(classes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")), "vectors")
-    parts = max(1, -(-classes.count() // block))
+    classes = stored(classes.withColumn("dim", F.size("v")), "vectors")
+    distinct = classes.count()
+    shards = max(shards, -(-distinct // shard_size))
+    classes = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+    parts = max(1, -(-distinct // block))
 
     def build(table: pa.Table) -> pa.Table:
         import pickle

@@ -272,3 +272,16 @@ def test_audit_counts_no_match_with_itself():
     assert ann.Graph(x, np.arange(1500)).audited(0.95, 24, 0.99, 256) < 1500
     assert Lossy(x, np.arange(1500)).audited(0.95, 24, 0.99, 256) >= 96
     assert ann.Graph(x[:400], np.arange(400)).audited(0.95, 24, 0.99, 256) == 24
+
+
+def test_shards_grow_with_the_table(spark, monkeypatch):
+    """More vectors make more graphs, not larger ones; the links are the same."""
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=8).tolist() for _ in range(200)]
+    x += [(np.array(v) + rng.normal(size=8) * 0.01).tolist() for v in x[:50]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    graphs = []
+    monkeypatch.setattr(ann, "stored", lambda d, name, keep=ann.stored: (out := keep(d, name), graphs.append(out) if name == "graphs" else None)[0])
+    got = ann.near_duplicates(df, shards=1, shard_size=50).collect()
+    assert graphs[0].count() == 5
+    assert sorted(tuple(r) for r in got) == sorted(expect_vectors(list(range(250)), x))
