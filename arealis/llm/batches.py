@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 NO_ID = np.iinfo(np.int64).max
 BATCH_BYTES = 8 << 20
+#: Rows of a batch at most: a row's number in its batch has 20 bits.
+BATCH_ROWS = 1 << 18
 REQUEST = "bucket int, batch long, keys binary, more binary"
 REPLY = "batch long, bucket int, reply binary"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names in spark.checkpoint.dir; it is set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"  # one machine: any folder is shared
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -41,7 +45,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) -> DataFrame:
-    """Columns batch, ids, ends, text, nulls: some texts in one row. A row has one text at least and about `size` bytes.
+    """Columns batch, ids, ends, text, nulls: some texts in one row. A row has one text at least, about `size` bytes and BATCH_ROWS texts at most.
 
     ids: int64 (a null id is the largest integer); ends: where each text ends in `text`; nulls: a byte for each text, 1 if it is null.
     """
@@ -52,6 +56,7 @@ def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_
 
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
+        filled = count = 0
 
         def out() -> pa.RecordBatch:
             nonlocal number
@@ -61,7 +66,6 @@ def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["batch", "ids", "ends", "text", "nulls"])
 
-        filled = 0
         for b in rows:
             buf, ends = buffers(b.column(1))
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -69,19 +73,20 @@ def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_
             lo, begin = 0, 0
             while lo < len(ids):
                 hi = max(lo + 1, int(np.searchsorted(ends, begin + size - filled, side="right")))
+                hi = min(hi, lo + BATCH_ROWS - count)
                 stop = int(ends[hi - 1])
                 held.append((buf[begin:stop], np.diff(ends[lo:hi], prepend=begin), ids[lo:hi], nulls[lo:hi]))
-                filled += stop - begin
+                filled, count = filled + stop - begin, count + hi - lo
                 lo, begin = hi, stop
-                if filled >= size or lo < len(ids):
+                if filled >= size or count >= BATCH_ROWS or lo < len(ids):
                     yield out()
-                    filled = 0
+                    filled = count = 0
         if held:
             yield out()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     packed = rows.mapInArrow(pack, "batch long, ids binary, ends binary, text binary, nulls binary")
-    n = max(1, min(4096, rows.rdd.getNumPartitions()))
+    n = max(1, min(50_000, rows.rdd.getNumPartitions()))
     name = f"batches_{uuid.uuid4().hex[:12]}"
     packed.write.option("compression", "zstd").option("path", work_dir(spark, name)).bucketBy(n, "batch").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -123,6 +128,16 @@ def request(batch: int, keys: np.ndarray, more: np.ndarray | None, buckets: int)
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), batch), pa.int64()), pa.array(ks, pa.binary()), pa.array(ms, pa.binary())], ["bucket", "batch", "keys", "more"])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, first bytes first: bytes that are mostly zero then compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def numbers(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 class Asked:
     """All requests of a bucket in a task: keys and values of all, and the row each came from."""
 
@@ -172,5 +187,7 @@ def answered(replies: pa.Table, keys: np.ndarray, buckets: int, kind: str) -> np
 
 
 def bucket_count(batches: DataFrame, per_batch: int = 2) -> int:
-    """As many buckets as batches, times per_batch: a bucket then holds about as much as a batch."""
-    return max(8, batches.count() * per_batch)
+    """As many buckets as batches, times per_batch: a bucket then holds about as much as a batch. With very many batches it
+    holds as much as four, so that fewer rows are exchanged."""
+    n = batches.count()
+    return max(8, min(n * per_batch, 256 + n // 4))

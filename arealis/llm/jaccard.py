@@ -161,16 +161,6 @@ def signatures(sets: Sets, chosen: np.ndarray, frequent: np.ndarray, percent: in
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, first bytes first: bytes that are mostly zero then compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def _numbers(blob: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Parities of the elements by the low bits of their hash; from two to four bits for each element, a power of two."""
     bits = max(64, 1 << int(2 * len(elements) - 1).bit_length())
@@ -215,7 +205,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = df.sparkSession
     batches = B.stored_batches(df, id_col, text_col)
-    buckets = max(8, batches.count() // 2)
+    buckets = max(8, batches.count() // 4)
 
     def classes(b: B.Batch, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
         """The rows that stand for themselves, and for each row the one that stands for it: that with the smallest id of equal sets."""
@@ -350,14 +340,14 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
         at = B.cut(keys, buckets)
         full = np.flatnonzero(np.diff(at))
         small = (keys >> U(24)).astype(np.uint64)
-        ks = [_planes(np.diff(small[at[i] : at[i + 1]], prepend=U(0))) for i in full]
-        ms = [_planes(root[at[i] : at[i + 1]]) for i in full]
+        ks = [B.planes(np.diff(small[at[i] : at[i + 1]], prepend=U(0))) for i in full]
+        ms = [B.planes(root[at[i] : at[i + 1]]) for i in full]
         return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), b.batch)), pa.array(ks, pa.binary()), pa.array(ms, pa.binary())], ["bucket", "batch", "keys", "more"])
 
     def mixed(table: pa.Table) -> pa.Table:
         """The roots that share a signature, each with the smallest of them, its hub."""
-        parts = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        keys, roots = np.concatenate(parts), np.concatenate([_numbers(x, np.int64) for x in table.column("more").to_pylist()])
+        parts = [np.cumsum(B.numbers(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        keys, roots = np.concatenate(parts), np.concatenate([B.numbers(x, np.int64) for x in table.column("more").to_pylist()])
         order = np.lexsort((roots, keys))
         keys, roots = keys[order], roots[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

@@ -31,7 +31,9 @@ CACHE = 1_000_000
 
 
 class Encoder:
-    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once."""
+    """Ids of texts. Texts are cut at ASCII white space, which no token of the vocabulary crosses, and each distinct word is tokenised once.
+
+    Words are found by a hash and compared byte by byte; a piece where two words share a hash is encoded without the cache."""
 
     #: Parts words that are tokenised as one text; where a word has it, words are tokenised one by one.
     PART = " \x01 "
@@ -49,8 +51,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """keys: sorted hashes of the known words; slot: each one's place in begins and sizes, which point into ids."""
+        """keys: sorted hashes of the known words; slot: each one's place in begins and sizes, which point into ids, and in at and long, which point into its bytes."""
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.at, self.long = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.sizes, self.begins = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +77,9 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *[i.astype(self.kind) for i, _ in found]])
         self.sizes = np.concatenate([self.sizes, *[n for _, n in found]])
         self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        self.long = np.concatenate([self.long, np.array([len(x) for x in words], np.int64)])
+        self.at = np.cumsum(self.long) - self.long
 
     def unknown(self, h: np.ndarray) -> np.ndarray:
         """Places of those among sorted hashes that aren't known."""
@@ -100,6 +106,9 @@ class Encoder:
             data, at = buf.tobytes(), first[new]
             self.learn(h[new], [data[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
         word = self.slot[np.searchsorted(self.keys, h)][inverse] if len(h) else np.zeros(0, np.int64)
+        size = w.end - w.start
+        if not (np.array_equal(self.long[word], size) and W.same(buf, w.start, self.bytes, self.at[word], size).all()):
+            return self.plainly(w, end)
         n = self.sizes[word]
         done = np.cumsum(n)
         source = np.repeat(self.begins[word] - (done - n), n)
@@ -109,6 +118,16 @@ class Encoder:
         return np.insert(ids, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
+    def plainly(self, w: W.Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes."""
+        known: dict[bytes, int] = {}
+        word = np.array([known.setdefault(w.bytes_of(i), len(known)) for i in range(len(w))], np.int64)
+        found = [i.astype(self.kind) for x in known for i in np.split(*(lambda t: (t[0], np.cumsum(t[1])[:-1]))(self.tokens([x])))]
+        out = [found[i] for i in word.tolist()]
+        stops = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)[w.first[1:]]
+        return np.insert(np.concatenate([np.zeros(0, self.kind), *out]), stops, end), stops + np.arange(1, len(stops) + 1)
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     """One in each Python worker: tasks that follow each other there share its words."""

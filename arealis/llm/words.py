@@ -1,17 +1,24 @@
-"""Words of whole texts and their 64-bit hashes, computed with numpy over the bytes of many texts at once.
+"""Words of whole texts and their digests, computed with numpy over the bytes of many texts at once.
 
 These helpers run inside Spark tasks. A word is a maximal run of bytes that are not separators; separators
 are ASCII, so a word never cuts a UTF-8 character. Texts never run into each other: each ends its last word.
+
+A word's digest has 128 bits: SipHash-1-3 of its bytes under a fixed key, for many words at once; words of more than
+`LONG` bytes take BLAKE2b. Unlike a polynomial it has no families of texts that collide. Where a whole digest decides
+that two words or windows are equal, chance can mislead with a probability of about pairs / 2**128; where 64 bits do, the
+operators compare bytes (`same`), or meet only within one pair of texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes hashed at a time, so that temporary arrays stay small whatever the length of the texts.
-CHUNK = 1 << 20
+#: Words hashed at a time, so that temporary arrays stay in the cache.
+STEP = 1 << 14
 
 
 def _table(separators: bytes) -> np.ndarray:
@@ -28,17 +35,11 @@ NOT_ALNUM = _table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_R, _Q = 0x9E3779B97F4A7C15, U(0xD6E8FEB86659FD93)
-_R_INV = pow(_R, -1, 2**64)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK + 4096)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size, r, U)])) for r in (_R, _R_INV)]
-    return _POWERS[0], _POWERS[1]
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_KEY = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))  # digits of pi
+_INIT = (U(0x736F6D6570736575), U(0x646F72616E646F6D ^ 0xEE), U(0x6C7967656E657261), U(0x7465646279746573))  # fixed values of SipHash
+_REST = np.array([(1 << 8 * i) - 1 for i in range(8)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,33 +76,110 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def digests(self, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit halves of each word's digest; the second is empty unless `both`."""
+        low, high = np.empty(len(self), U), np.empty(len(self) if both else 0, U)
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded.data, 0, (1,))  # eight bytes from each place
+        size = self.end - self.start
+        for lo in range(0, len(self), STEP):
+            part = slice(lo, lo + STEP)
+            x, y = _sip(eight, self.start[part], np.minimum(size[part], LONG), both)
+            low[part] = x
+            if both:
+                high[part] = y
+        for i in np.flatnonzero(size > LONG).tolist():
+            d = hashlib.blake2b(self.buf[self.start[i] : self.end[i]], digest_size=16).digest()
+            low[i] = int.from_bytes(d[:8], "little")
+            if both:
+                high[i] = int.from_bytes(d[8:], "little")
+        return low, high
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        out, n, lo = np.empty(len(self), U), len(self), 0
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(self.start, self.start[lo] + CHUNK)))
-            base, stop = int(self.start[lo]), int(self.end[hi - 1])
-            up, down = _powers(stop - base + 1)
-            sums = np.zeros(stop - base + 1, U)
-            np.cumsum(_BYTE[self.buf[base:stop]] * up[: stop - base], out=sums[1:])
-            s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
-            out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
-            lo = hi
-        return mix(out)
+        """The first half of each word's digest."""
+        return self.digests(False)[0]
 
     def bytes_of(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
+def _round(v: list[np.ndarray]) -> None:
+    a, b, c, d = v
+    a += b
+    b[:] = (b << U(13)) | (b >> U(51))
+    b ^= a
+    a[:] = (a << U(32)) | (a >> U(32))
+    c += d
+    d[:] = (d << U(16)) | (d >> U(48))
+    d ^= c
+    a += d
+    d[:] = (d << U(21)) | (d >> U(43))
+    d ^= a
+    c += b
+    b[:] = (b << U(17)) | (b >> U(47))
+    b ^= c
+    c[:] = (c << U(32)) | (c >> U(32))
+
+
+def _sip(eight: np.ndarray, start: np.ndarray, size: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """SipHash-1-3 with 128 bits of the byte strings at `start`; eight: the eight bytes from each place."""
+    v = [np.full(len(start), k ^ x, U) for k, x in zip(_KEY * 2, _INIT, strict=True)]
+    for j in range(0, int(size.max(initial=0)) // 8 * 8, 8):
+        at = np.flatnonzero(size >= j + 8)
+        block, some = eight[start[at] + j], [x[at] for x in v]
+        some[3] ^= block
+        _round(some)
+        some[0] ^= block
+        for x, y in zip(v, some, strict=True):
+            x[at] = y
+    rest = size & 7
+    block = (eight[np.minimum(start + size - rest, len(eight) - 1)] & _REST[rest]) | (size.astype(U) << U(56))
+    v[3] ^= block
+    _round(v)
+    v[0] ^= block
+    v[2] ^= U(0xEE)
+    for _ in range(3):
+        _round(v)
+    low = v[0] ^ v[1] ^ v[2] ^ v[3]
+    if not both:
+        return low, low[:0]
+    v[1] ^= U(0xDD)
+    for _ in range(3):
+        _round(v)
+    return low, v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each of some byte strings of `a` equals one of `b` of the same size, byte by byte."""
+    out = np.ones(len(size), bool)
+    x, y = (np.ndarray(len(z) + 1, "<u8", np.concatenate([z, np.zeros(8, np.uint8)]).data, 0, (1,)) for z in (a, b))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(a[a_at[i] : a_at[i] + size[i]], b[b_at[i] : b_at[i] + size[i]])
+    open_, j = np.flatnonzero(size <= LONG), 0
+    while len(open_):
+        left = size[open_] - j
+        differ = x[a_at[open_] + j] ^ y[b_at[open_] + j]
+        differ = np.where(left < 8, differ & _REST[np.minimum(left, 7)], differ)
+        out[open_[differ != 0]] = False
+        j += 8
+        open_ = open_[(left > 8) & (differ == 0)]
+    return out
+
+
+def factors(k: int, lane: int = 0) -> np.ndarray:
+    """Odd factors without structure, one for each place of a window."""
+    return mix(np.arange(1, k + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U((lane + 1) << 32)) | U(1)
+
+
+def grams(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     """A hash of every k consecutive values; windows that cross texts are among them and must be masked."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = h[:n].copy()
+    f = factors(k, lane)
+    out = h[:n] * f[0]
     for i in range(1, k):
-        out *= _Q
-        out += h[i : n + i]
+        out += h[i : n + i] * f[i]
     return mix(out + U(k))
 
 
