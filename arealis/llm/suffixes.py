@@ -1,14 +1,19 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
 A shard is some megabytes of documents inside a Spark task. Its suffix array holds the suffixes that begin as some
-benchmark text does; all others can't match. Every suffix of every benchmark item is looked up by binary search, which
-gives the range of places where its window occurs word for word; matches are then followed to their longest extent.
-Documents never leave their task, so there is no shuffle. The benchmark is sent to the tasks in blocks of bounded size;
-with several blocks the documents pass through one step for each.
+benchmark text does; all others can't match. Every distinct window of the benchmark's suffixes is looked up by binary
+search, which gives the range of places where it occurs word for word: ranges are kept, not pairs of places and windows,
+so repeated words cost no more than others. Matches are then followed to their longest extent and located: documents and
+items that meet are ranked together by doubling, and each suffix is compared with its neighbours among the items.
+Documents never leave their task, so there is no shuffle. Words are found by a hash and compared byte by byte.
+
+The benchmark is sent to the tasks in blocks of at most `block_bytes`; with several blocks the documents are marked and
+stored once for each, so that the driver and the tasks hold one block at a time.
 
 Nulls and ties: a null or wordless text has no windows and is clean. Items with null or wordless text are ignored. An
 item with a null id still marks words, but isn't listed. Repeated items count once; repeated documents each get a row.
-Other columns of the inputs aren't read. An empty table of documents gives an empty result, an empty benchmark no hits.
+Of equally long matches at a word, one is named. Other columns of the inputs aren't read. An empty table of documents
+gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -21,28 +26,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm import words as W
+from arealis.llm.batches import stored
+
+MATCH = "array<struct<start:long,length:long,item_id:string,item_start:long>>"
+KINDS = {"doc_id": "long", "text": "string", "hit": "binary", "n_words": "long", "items": "array<string>", "matches": MATCH}
+_MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
-SCHEMA = "doc_id long, text string, hit binary, n_words long, items array<string>, longest long"
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after another."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Tests:
-    """The benchmark's suffixes: word ranks, and windows by (place, number of words, item)."""
+    """The benchmark's suffixes: word ranks, and its distinct windows with their items."""
 
     def __init__(self, table: pa.Table, window: int):
-        w = W.words_of(table.column("text"), W.NOT_ALNUM, lower=True)
-        self.vocabulary, ranks = np.unique(w.hashes(), return_inverse=True)
+        w = self.w = W.words_of(table.column("text"), W.NOT_ALNUM, lower=True)
+        self.vocabulary, first, ranks = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        self.at, self.long = w.start[first], (w.end - w.start)[first]
+        if not (np.array_equal(self.long[ranks], w.end - w.start) and W.same(w.buf, w.start, w.buf, self.at[ranks], self.long[ranks]).all()):
+            raise ValueError("two words of the benchmark share a digest")
         self.ranks = ranks.astype(np.uint64) + np.uint64(1)
-        n, at = w.counts(), np.arange(len(w)) - w.first[w.text] if len(w) else np.zeros(0, np.int64)
-        size = np.minimum(n, window)[w.text]
-        self.place = np.flatnonzero(at + size <= n[w.text])
-        self.size = size[self.place]
-        self.left = n[w.text] - at  # words from each place to its item's end
-        self.item = w.text[self.place]
         self.ids = table.column("item_id").to_pylist()
         self.per = max(1, 64 // max(1, int(len(self.vocabulary)).bit_length()))
         self.bits = np.uint64(64 // self.per)
         self.depth = -(-window // self.per)
+        n, at = w.counts(), np.arange(len(w)) - w.first[w.text] if len(w) else np.zeros(0, np.int64)
+        size = np.minimum(n, window)[w.text]
+        place = np.flatnonzero(at + size <= n[w.text])
+        # equal windows are one: its first place, its number of words, its items
+        size, item = size[place], w.text[place]
+        keys = [size, *self.bounds(place, size, 0)]
+        order = np.lexsort((item, *keys[::-1]))
+        new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)]) if len(place) else np.zeros(0, bool)
+        self.place, self.size = place[order][new], size[order][new]
+        self.items = item[order]
+        self.first_item = np.concatenate([np.flatnonzero(new), [len(order)]])
+
+    def rank(self, w: W.Words) -> np.ndarray:
+        """1 and more for the benchmark's words, 0 for others."""
+        h = w.hashes()
+        rank = np.searchsorted(self.vocabulary, h)
+        rank[rank == len(self.vocabulary)] = 0
+        known = np.flatnonzero((self.vocabulary[rank] == h) & (self.long[rank] == w.end - w.start))
+        known = known[W.same(w.buf, w.start[known], self.w.buf, self.at[rank[known]], self.long[rank[known]])]
+        out = np.zeros(len(w), np.uint64)
+        out[known] = rank[known] + 1
+        return out
 
     def keys(self, ranks: np.ndarray, text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """The first words of the suffixes at `at`, packed into integers that sort as the words do."""
@@ -83,17 +115,11 @@ def search(sorted_keys: list[np.ndarray], query: list[np.ndarray], right: bool)
     return lo
 
 
-def matches(w: W.Words, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place of the shard, window of the tests) where the window occurs."""
-    none = np.zeros(0, np.int64)
-    if not len(w) or not len(tests.place):
-        return none, none
-    h = w.hashes()
-    rank = np.searchsorted(tests.vocabulary, h)
-    rank[rank == len(tests.vocabulary)] = 0
-    known = tests.vocabulary[rank] == h
-    ranks = np.where(known, rank + 1, 0).astype(np.uint64)
-    if tests.size.min() > 1:  # suffixes that begin with two words that follow each other in no item can't match
+def occurrences(ranks: np.ndarray, text: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's suffix array as far as it matters, and the range of it where each window of the tests occurs."""
+    none = np.zeros(len(tests.place), np.int64)
+    known = ranks > 0
+    if len(tests.place) and tests.size.min() > 1:  # suffixes that begin with two words that follow each other in no item can't match
         base = np.uint64(len(tests.vocabulary) + 1)
         pairs = np.unique(tests.ranks[:-1] * base + tests.ranks[1:])
         mine = ranks[:-1] * base + ranks[1:]
@@ -101,67 +127,132 @@ def matches(w: W.Words, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
         known[:-1] &= pairs[np.minimum(found, len(pairs) - 1)] == mine
         known[-1:] = False
     at = np.flatnonzero(known)
-    if not len(at):
-        return none, none
-    keys = tests.keys(ranks, w.text, at)
+    if not len(at) or not len(tests.place):
+        return at[:0], none, none
+    keys = tests.keys(ranks, text, at)
     order = np.lexsort(keys[::-1])
-    array, keys = at[order], [k[order] for k in keys]
+    keys = [k[order] for k in keys]
     lo = search(keys, tests.bounds(tests.place, tests.size, 0), False)
     hi = search(keys, tests.bounds(tests.place, tests.size, 1), True)
-    n = np.maximum(hi - lo, 0)
-    window = np.repeat(np.arange(len(n)), n)
-    return array[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], window
+    return at[order], lo, np.maximum(lo, hi)
+
+
+def longest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a the length of the longest run that starts there and occurs in b, and where in b.
+
+    Values below 0 match nothing. Runs are shorter than `most`. All suffixes are ranked by 1, 2, 4 ... values; neighbours
+    in the order are then compared from the longest prefix down."""
+    both = np.concatenate([a, b]).astype(np.int64)
+    n = len(both)
+    alone = np.flatnonzero(both < 0)
+    both[alone] = both.max(initial=0) + 1 + np.arange(len(alone))
+    levels = [np.unique(both, return_inverse=True)[1].astype(np.int64)]
+    while (step := 1 << (len(levels) - 1)) < most and levels[-1].max(initial=0) < n - 1:
+        next_ = np.full(n, -1, np.int64)
+        next_[: n - step] = levels[-1][step:]
+        levels.append(np.unique(levels[-1] * np.int64(n + 1) + next_ + 1, return_inverse=True)[1].astype(np.int64))
+    order = np.argsort(levels[-1], kind="stable")
+    where = np.where(order >= len(a), np.arange(n), -1)
+    before, after = np.maximum.accumulate(where), n - 1 - np.maximum.accumulate(np.where(where >= 0, n - 1 - where, -1)[::-1])[::-1]
+    after[after >= n] = -1
+    mine = np.flatnonzero(order < len(a))
+    length, at = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for near in (before, after):
+        p, q = order[mine], np.where(near[mine] >= 0, order[np.maximum(near[mine], 0)], n)
+        off = np.zeros(len(p), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            x, y = p + off, q + off
+            ok = (x < n) & (y < n)
+            ok[ok] = levels[k][x[ok]] == levels[k][y[ok]]
+            off[ok] += 1 << k
+        better = off > length[p]
+        length[p[better]], at[p[better]] = off[better], q[better] - len(a)
+    return length, at
+
+
+def located(w: W.Words, ranks: np.ndarray, starts: np.ndarray, tests: Tests, docs: np.ndarray, items: np.ndarray) -> pa.Array:
+    """The maximal matches of each document; docs and items: those that meet; starts: places where a window begins."""
+    d = _ranges(w.first[docs], w.first[docs + 1])
+    i = _ranges(tests.w.first[items], tests.w.first[items + 1])
+    cut = lambda values, text: np.insert(values, np.flatnonzero(np.diff(text)) + 1, -1)  # noqa: E731  texts don't run into each other
+    x = cut(np.where(ranks[d] > 0, ranks[d].astype(np.int64), -1), w.text[d])
+    y = np.append(cut(tests.ranks[i].astype(np.int64), tests.w.text[i]), -1)
+    size, at = longest(np.append(x, -1), y, int(tests.w.counts()[items].max(initial=0)) + 1)
+    # back to places of the shard and of the tests
+    size, at = (z[np.arange(len(d)) + np.searchsorted(docs, w.text[d])] for z in (size, at))
+    turn = np.full(len(y) + 1, -1, np.int64)
+    turn[np.arange(len(i)) + np.searchsorted(items, tests.w.text[i])] = i
+    begins = np.zeros(len(w), bool)
+    begins[starts] = True
+    first = begins[d]
+    first[1:] &= ~(begins[d[:-1]] & (w.text[d[1:]] == w.text[d[:-1]]) & (size[:-1] == size[1:] + 1))
+    d, size, source = d[first], size[first], turn[at[first]]
+    item = tests.w.text[source]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(w.text[d], minlength=len(w.ends)))])
+    fields = [pa.array(d - w.first[w.text[d]]), pa.array(size), pa.array([tests.ids[k] for k in item.tolist()], pa.string()), pa.array(source - tests.w.first[item])]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "length", "item_id", "item_start"])).cast(_MATCHES)
 
 
-def longest(w: W.Words, tests: Tests, place: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """How many words each match has when it is followed to the right as far as it goes."""
-    h = w.hashes()
-    theirs = tests.vocabulary[(tests.ranks - np.uint64(1)).astype(np.int64)]
-    start, n = tests.place[window], tests.size[window].astype(np.int64)
-    stop = np.minimum(w.first[w.text[place] + 1] - place, tests.left[start])
-    go = np.flatnonzero(n < stop)
-    while len(go):
-        go = go[h[place[go] + n[go]] == theirs[start[go] + n[go]]]
-        n[go] += 1
-        go = go[n[go] < stop[go]]
-    return n
+def marked(b: pa.RecordBatch, tests: Tests) -> list[pa.Array]:
+    """The columns of KINDS after doc_id and text."""
+    w = W.words_of(b.column(1), W.NOT_ALNUM, lower=True)
+    ranks = tests.rank(w) if len(tests.vocabulary) else np.zeros(len(w), np.uint64)
+    array, lo, hi = occurrences(ranks, w.text, tests)
+    hit = np.zeros(len(w), bool)
+    if not b.column(2).null_count and len(b):
+        hit |= np.frombuffer(b"".join(x or b"" for x in b.column(2).to_pylist()), np.uint8).astype(bool)
+    full, pairs, starts = np.flatnonzero(hi > lo), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    windows = np.int64(max(1, len(lo)))
+    for size in np.unique(tests.size[full]).tolist():  # ranges of windows of one size don't meet
+        here = full[tests.size[full] == size]
+        place = array[_ranges(lo[here], hi[here])]
+        hit |= W.cover(len(w), place, size)
+        starts.append(place)
+        pairs.append(np.unique(w.text[place] * windows + np.repeat(here, hi[here] - lo[here])))
+    pair = np.concatenate(pairs)
+    doc, window = pair // windows, pair % windows
+    n = tests.first_item[window + 1] - tests.first_item[window] if len(pair) else pair
+    item = tests.items[_ranges(tests.first_item[window], tests.first_item[window] + n)] if len(pair) else pair
+    met = np.unique(np.repeat(doc, n) * np.int64(len(tests.ids) + 1) + item)
+    doc, item = met // (len(tests.ids) + 1), met % (len(tests.ids) + 1)
+    items = [set(x or ()) for x in b.column(4).to_pylist()]
+    for d, t in zip(doc.tolist(), item.tolist(), strict=True):
+        if tests.ids[t] is not None:
+            items[d].add(tests.ids[t])
+    matches = b.column(5)
+    if len(met):
+        found = located(w, ranks, np.concatenate(starts), tests, np.unique(doc), np.unique(item))
+        matches = found if not any(len(x or ()) for x in matches.to_pylist()) else pa.array([(x or []) + y for x, y in zip(matches.to_pylist(), found.to_pylist(), strict=True)], _MATCHES)
+    marks = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(w.first.astype(np.int32)), pa.py_buffer(hit.astype(np.uint8))])
+    return [marks, pa.array(w.counts(), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), matches.cast(_MATCHES)]
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, text, hit (a byte per word, 1 if inside a window), n_words, items (ids of items with
-    occurring windows, sorted), longest (words of the longest verbatim match, 0 if none), and the columns to keep."""
+    occurring windows, sorted), matches (longest verbatim matches: start word, words, item, start word there), and the
+    columns to keep. Of runs that start where a window does, those are listed that don't merely end an earlier one."""
     spark = documents.sparkSession
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = total // block_bytes + 1
-    kinds, keep = dict(documents.dtypes), [c for c in keep or [] if c not in NAMES]
-    schema = ", ".join([SCHEMA, *[f"`{c}` {kinds[c]}" for c in keep]])
-    start = [F.lit(None).cast("binary").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest")]
+    kinds, keep = dict(documents.dtypes), [c for c in keep or [] if c not in KINDS]
+    names = [*KINDS, *keep]
+    schema = ", ".join([*[f"{c} {k}" for c, k in KINDS.items()], *[f"`{c}` {kinds[c]}" for c in keep]])
+    start = [F.lit(None).cast("binary").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast(MATCH).alias("matches")]
     out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *start, *[F.col(f"`{c}`") for c in keep])
     for i in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else tests
-        sent = spark.sparkContext.broadcast(block.toArrow())
+        sent = spark.sparkContext.broadcast(block.toArrow())  # block_bytes, or one larger item
 
         def look(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = Tests(sent.value, window)
             for b in W.pieces(rows, 1, 4 << 20):
-                w = W.words_of(b.column(1), W.NOT_ALNUM, lower=True)
-                place, found = matches(w, known)
-                hit = W.cover(len(w), place, known.size[found]).astype(np.uint8)
-                before = b.column(2)
-                if before.null_count < len(before):
-                    hit |= np.frombuffer(b"".join(x or b"" for x in before.to_pylist()), np.uint8)
-                doc = w.text[place]
-                most = np.asarray(b.column(5).to_numpy(zero_copy_only=False)).copy()
-                np.maximum.at(most, doc, longest(w, known, place, found))
-                items = [set(x) for x in b.column(4).to_pylist()]
-                for d, t in np.unique(np.stack([doc, known.item[found]]), axis=1).T.tolist():
-                    if known.ids[t] is not None:
-                        items[d].add(known.ids[t])
-                marks = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(w.first.astype(np.int32)), pa.py_buffer(hit)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks, pa.array(w.counts(), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(most, pa.int64()), *b.columns[6:]], [*NAMES, *keep])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *marked(b, known), *b.columns[6:]], names)
 
         out = out.mapInArrow(look, schema)
+        if blocks > 1:
+            out = stored(out, "marked")
+            sent.unpersist()
     return out
 
 
