@@ -162,7 +162,9 @@ def read_bundles(index: DataFrame, path: str) -> DataFrame:
                         source.seek(at)
                         yield _rows(list(parse(opener.decompress(source.read(size)))))
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORD)
+    bundles = index.select("bundle").distinct()
+    # the names are few bytes, so adaptive execution would read all bundles in one task
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame, ids: DataFrame, path: str) -> DataFrame:
