@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from arealis.llm import words as W
 from arealis.llm.batches import stored
 
-LONGEST = 24
 NOT_LETTERS = W._table(bytes([*range(0x00, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -45,31 +44,37 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n: lower-cased words of ASCII letters or other alphabets in all texts, at most LONGEST bytes long."""
+    """word, n: lower-cased words of ASCII letters or other alphabets in all texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(rows, 0, 4 << 20):
             w = W.words_of(b.column(0), NOT_LETTERS, lower=True)
-            h, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-            short = w.end[first] - w.start[first] <= LONGEST
-            yield pa.RecordBatch.from_arrays([pa.array([w.bytes_of(i).decode("utf-8", "replace") for i in first[short]], pa.string()), pa.array(n[short])], ["word", "n"])
+            _, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([w.bytes_of(i).decode("utf-8", "replace") for i in first], pa.string()), pa.array(n)], ["word", "n"])
 
     return texts.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def viterbi(name: str, found: list[tuple[int, int, int]], total: int) -> list[str]:
-    """The most probable split. found: (place, length, count) of the dictionary words in the name; any other letter run costs more the longer it is."""
-    best = [0.0] + [-math.inf] * len(name)
-    back = [0] * (len(name) + 1)
-    arcs: dict[int, list[tuple[int, float]]] = {}
-    for at, size, n in found:
-        arcs.setdefault(at, []).append((size, math.log(n / total)))
-    for i in range(len(name)):
-        known = {size for size, _ in arcs.get(i, [])}
-        unknown = [(size, -math.log(total) - size * math.log(26.0)) for size in range(1, min(LONGEST, len(name) - i) + 1) if size not in known]
-        for size, weight in arcs.get(i, []) + unknown:
-            if best[i] + weight > best[i + size]:
-                best[i + size], back[i + size] = best[i] + weight, i
+    """The most probable split. found: (place, length, count) of the dictionary words in the name. Any other run of
+    letters has the probability of a word seen once, over 26 for each letter. Of equal splits the one with the longer last word."""
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for at, size, n in sorted(found):
+        ends.setdefault(at + size, []).append((at, math.log(n / total)))
+    best, back, rare, letter = [0.0], [0], -math.log(total), -math.log(26.0)
+    run, begin = -math.inf, 0  # the best split whose last part is no word and ends here
+    for i in range(1, len(name) + 1):
+        if best[i - 1] + rare > run:
+            run, begin = best[i - 1] + rare, i - 1
+        run += letter
+        top, source = -math.inf, 0
+        for at, weight in ends.get(i, []):
+            if best[at] + weight > top:
+                top, source = best[at] + weight, at
+        if run > top:
+            top, source = run, begin
+        best.append(top)
+        back.append(source)
     out, i = [], len(name)
     while i:
         out.append(name[back[i] : i])
@@ -78,11 +83,15 @@ def viterbi(name: str, found: list[tuple[int, int, int]], total: int) -> list[st
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name, words for distinct names of letters (column name)."""
-    counts = stored(counts, "words")
+    """name, words for distinct names of letters (column name). Names and dictionary words may have any length: a name
+    meets the dictionary in a row for each of its places and each length that a dictionary word of at most its length has."""
+    counts, names = stored(counts, "words"), stored(names, "names")
     total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    lengths = sorted(r.size for r in counts.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect())  # at most as many as the longest name has letters
     at = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    parts = at.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("at") + 1))).alias("size")).select("name", "at", "size", F.col("name").substr(F.col("at"), F.col("size")).alias("word"))
+    sizes = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= F.length("name") - F.col("at") + 1)
+    parts = at.select("name", "at", F.explode(sizes).alias("size")).select("name", "at", "size", F.col("name").substr(F.col("at"), F.col("size")).alias("word"))
     arcs = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("at", "size", "n")).alias("arcs"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +116,7 @@ def judge(pages: DataFrame, texts: DataFrame, rules: dict[str, str], id_col: str
 
     hosts = urls.select("host").distinct()
     split = hosts.select("host", F.explode(F.split("host", "[^\\p{Ll}]+")).alias("name")).where("name <> ''")
-    words = segmented(split.select(F.substring("name", 1, 253).alias("name")).distinct(), word_counts(texts, text_col))
+    words = segmented(split.select("name").distinct(), word_counts(texts, text_col))
     host_words = stored(split.join(words, "name").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words")), "host-words")
     steps = F.filter(F.split(F.lower("path"), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
     steps = F.transform(steps, lambda x: F.concat(F.lit("/"), F.regexp_replace(x, "\\p{N}+", "#")))
