@@ -162,6 +162,14 @@ def test_decontaminate(spark, odd):
     for block in (32 << 20, 200):
         out = suffixes.decontaminate(df, bench, block_bytes=block).select("doc_id", "n_words", hit, F.size("items"), F.sha2(F.array_join("items", ","), 256), hit > 0)
         assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(expect_hits(rows, items), key=key)
+    texts = {str(i): re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER)) for i, t in items}
+    for r in suffixes.decontaminate(df, bench).where("doc_id is not null and size(matches) > 0").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.translate(ASCII_LOWER))
+        for m in r.matches:
+            there = texts[str(m.item_id)]
+            assert w[m.start : m.start + m.length] == there[m.item_start : m.item_start + m.length]
+            after = [(a, b) for i, a in enumerate(texts.values()) for b in range(len(a)) if a[b : b + m.length + 1] == w[m.start : m.start + m.length + 1] and len(w) > m.start + m.length]
+            assert not after  # no item has a longer one
     assert suffixes.decontaminate(df, bench.limit(0)).where(hit > 0).count() == 0
 
 
@@ -217,40 +225,51 @@ def held_out(i, parts, which):
     return i is None or zlib.crc32(str(i).encode()) % parts == which
 
 
-def test_scores(spark, odd):
+def test_scores(spark, odd, monkeypatch):
     rows, df = odd
-    got = scoring.score(df).collect()
     tokens = [(i, [*re.findall(WORD, (t or "").translate(ASCII_LOWER)), None]) for i, t in rows]
     train = [w for i, w in tokens if not held_out(i, 7, 2)]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for w in train for p in zip(["<s>", *w], w))
-    fans, states = Counter(h for h, _ in pairs), Counter(h for w in train for h in ["<s>", *w[:-1]])
-
-    def model(w, kappa):
-        total, state = 0.0, "<s>"
-        for x in w:
-            p, m = (c[x] + 1) / (n + v + 1), kappa * fans[state]
-            total += log10((pairs[state, x] + m * p) / (states[state] + m) if states[state] else p)
-            state = x
-        return total
-
-    want = [(i, held_out(i, 7, 2), len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, w in tokens]
-    for g, x in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key)):
-        assert g[:5] == x[:5] and g[5] == pytest.approx(x[5])
-    kappa = {k for k in scoring.KAPPAS if all(any(r[6] == pytest.approx(model(w, k)) for r in got if r[0] == i) for i, w in tokens)}
-    assert len(kappa) == 1
-    # the model is a distribution: tokens and one unseen kind sum to 1 in every state
-    k = kappa.pop()
-    for state in ["<s>", *list(c)[:20]]:
-        total = sum((pairs[state, x] + k * fans[state] * (c[x] + 1) / (n + v + 1)) / (states[state] + k * fans[state]) for x in c if states[state])
-        assert not states[state] or total + k * fans[state] / (states[state] + k * fans[state]) / (n + v + 1) == pytest.approx(1)
+    twos = Counter(p for w in train for p in zip(["<s>", *w], w))
+    threes = Counter(p for w in train for p in zip(["<s>", *w], w, w[1:]))
+    c["<s>"] = len(train)
+
+    def p(u, h, x, k=(5.0, 3.0), g=(0.7, 0.5)):
+        out = (c[x] + 1) / (n + v + 1)
+        if c[h]:
+            m = k[0] * c[h] ** g[0]
+            out = (twos[h, x] + m * out) / (c[h] + m)
+        if u is not None and twos[u, h]:
+            m = k[1] * twos[u, h] ** g[1]
+            out = (threes[u, h, x] + m * out) / (twos[u, h] + m)
+        return out
+
+    def model(w):
+        return sum(log10(p(None if j == 0 else ["<s>", *w][j - 1], ["<s>", *w][j], x)) for j, x in enumerate(w))
+
+    want = [(i, held_out(i, 7, 2), len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 1) / (n + v + 1)) for x in w), model(w)) for i, w in tokens]
+    for segment, size in ((256, 8 << 20), (3, 3000)):
+        monkeypatch.setattr(scoring, "SEGMENT", segment)
+        batches = scoring.B.stored_batches
+        monkeypatch.setattr(scoring.B, "stored_batches", lambda d, i, t, size=size, batches=batches: batches(d, i, t, size))
+        got = scoring.score(df).collect()
+        monkeypatch.setattr(scoring.B, "stored_batches", batches)
+        assert len(got) == len(want)
+        for g, x in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key)):
+            assert g[:5] == x[:5] and g[5] == pytest.approx(x[5]) and g[6] == pytest.approx(x[6])
+    # the model is a distribution: tokens and one unseen kind sum to 1 after every history
+    kinds = [x for x in c if x != "<s>"] + ["unseen"]
+    for u, h in [(None, "<s>"), *[x for x in twos if x[1] is not None][:20]]:
+        assert sum(p(u, h, x) for x in kinds) == pytest.approx(1)
     assert scoring.score(df.limit(0)).count() == 0
 
 
 def test_scores_beat_the_base(spark):
     got = [r for r in queries.op9_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    bigram = [r for r in scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), strength=(5.0, 1e12)).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.score for r in bigram)
 
 
 def test_languages(spark):
@@ -306,3 +325,69 @@ def test_encoder_equals_the_tokenizer_on_odd_words(monkeypatch):
         for text, stop in zip(some, stops.tolist(), strict=True):
             assert ids[begin:stop].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
             begin = stop
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters that a polynomial modulo 2**64 can't tell apart once n reaches 10."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_collide_in_polynomials(spark, n):
+    a, b = thue_morse(n)
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([a, *rest[:4]])), (4, " ".join([b, *rest[:4]])), (5, f"{a} x"), (6, f"{b} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [(r.doc_id, r.n_words, sum(x.length for x in r.repeats), r.kept_text) for r in substrings.repeats(df).collect()]
+    assert sorted(got) == sorted(expect_repeats(rows))
+    assert sorted(tuple(r) for r in jaccard.links(df).collect()) == sorted(expect_links(rows))
+    items = [(1, " ".join([a, *rest[:9]])), (2, b)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    from pyspark.sql import functions as F
+
+    hit = suffixes.n_hit()
+    out = suffixes.decontaminate(df, bench).select("doc_id", "n_words", hit, F.size("items"), F.sha2(F.array_join("items", ","), 256), hit > 0)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expect_hits(rows, items))
+    expect_pieces_ok(rows, packing.pack(df, queries.tokenizer()).collect())
+    known = {r.doc_id: r.n_known for r in scoring.score(spark.createDataFrame([(0, a), (next(i for i in range(99) if held_out(i, 7, 2)), b)], "doc_id long, text string")).collect()}
+    assert sorted(known.values()) == [1, 2]  # only the end of the held-out text is known
+
+
+def test_encoder_when_hashes_collide(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    encoder = packing.Encoder(queries.tokenizer())
+    monkeypatch.setattr(packing.W.Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))
+    texts = ["the cat sat", "one two six  ten", None, "", "The CAT, sat."]
+    for some in (texts[:1], texts):
+        ids, stops = encoder.encode(pa.array(some, pa.string()), 1)
+        assert ids.tolist() == [i for t in some for i in [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]] and len(stops) == len(some)
+
+
+def test_very_many_short_texts(spark):
+    """More null rows in a partition than a batch may have, and a pair of near copies."""
+    from pyspark.sql import functions as F
+
+    w = [f"w{i}" for i in range(60)]
+    few = spark.createDataFrame([(2_000_000, " ".join(w)), (2_000_001, " ".join(w[:-1]))], "doc_id long, text string")
+    df = spark.range(1_100_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).unionByName(few).coalesce(1)
+    assert [tuple(r) for r in jaccard.links(df).where("doc_id >= 2000000").orderBy("doc_id").collect()] == [(2_000_000, 56, 2_000_000), (2_000_001, 55, 2_000_000)]
+    assert [r.n_words for r in substrings.repeats(df).where("doc_id >= 2000000").orderBy("doc_id").collect()] == [60, 59]
+    assert scoring.score(df).where("doc_id >= 2000000 and n_tokens > 59").count() == 2
+
+
+def test_one_word_of_megabytes_and_repeated(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a " * 2_000_000), (2, "x" * 4_000_000), (3, "b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, "a " * 400), (8, "x" * 4_000_000)], "item_id long, text string")
+    out = suffixes.decontaminate(df, bench).select("doc_id", "n_words", suffixes.n_hit(), F.array_join("items", ","), F.array_max(F.transform("matches", lambda m: m["length"]))).orderBy("doc_id").collect()
+    assert [tuple(r) for r in out] == [(1, 2_000_000, 2_000_000, "7", 400), (2, 1, 1, "8", 1), (3, 2, 0, "", None)]
+    assert [(r.doc_id, r.n_words) for r in substrings.repeats(df).orderBy("doc_id").collect()] == [(1, 2_000_000), (2, 1), (3, 2)]
+    assert [(r.doc_id, r.n_shingles) for r in jaccard.links(df).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 1)]
+    assert [(r.doc_id, r.n_tokens) for r in scoring.score(df).orderBy("doc_id").collect()] == [(1, 2_000_001), (2, 2), (3, 3)]
