@@ -1,16 +1,15 @@
 """Main text of web pages, with a suffix array over the pages of each host.
 
 Each page is cut into blocks, and each block is in one of three zones: the article (article and main elements), furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by class, id and role), or open (all
-else). The token streams of a host's pages are concatenated and their suffixes sorted; substrings of at least
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by a whole name in class, id or
+role; inside an article only by element, or if it is named as advert or comment), or open (all else). The token streams of a host's pages are concatenated and their suffixes sorted; substrings of at least
 `length` tokens that occur in several distinct pages are boilerplate. Zones are a prior: the text is taken from the
 article or, of a page without one, from the open zone. In the open zone all boilerplate goes. In an article runs of at
 least `long` tokens of boilerplate go; an article that would lose half of its tokens is an edited copy of other articles
 and is kept whole. Pages with equal token streams count as one page, so copies don't erase each other.
 
-A host with more pages than `chunk` is dealt over several groups by a hash of the page. Only hosts above one in 20,000 of
-all pages and above `chunk` are: at most 20,000 hosts are sent to the tasks. Repeats are counted over the whole host all
-the same, in two exchanges of keys. First each group sends short keys of its windows' anchors (of each window of `length`
+A host with more pages than `chunk` is dealt over several groups by a hash of the page, so a group stays small at any
+size. Repeats are counted over the whole host all the same, in two exchanges of keys, and the result doesn't depend on `chunk`. First each group sends short keys of its windows' anchors (of each window of `length`
 tokens the part of half that length with the smallest hash) and learns which may lie in enough pages; of windows with such
 an anchor it then sends whole hashes and the token streams they stand in, and learns which do. Its suffix array covers them.
 
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm import words as W
+from arealis.llm.batches import stored
 
 #: Elements whose content is no text, furniture, the article, inline elements and elements without end.
 SILENT = frozenset("script style template noscript svg math title iframe object canvas select option textarea button audio video".split())
@@ -39,20 +39,36 @@ ARTICLE = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title".split())
-#: Names in class, id or role that make an element furniture.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|side|header|masthead|footer|comments?|disqus|share|sharing|social|related|popup|modal|newsletter|subscribe|login|signup|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-MAIN_NAMES = re.compile(r"(?:^|\s)(?:main|article|articlebody)(?:$|\s)", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Names in class, id or role that make an element furniture, everywhere and outside articles; only whole names count.
+ASIDES = frozenset("ad ads advert advertisement adsbygoogle comment comments comment-list disqus_thread".split())
+NAMES = ASIDES | frozenset("""banner sponsor sponsored promo cookie cookies cookie-notice cookie-banner consent notice notices menu main-menu nav navbar
+    navigation breadcrumb breadcrumbs sidebar side header site-header masthead footer site-footer disqus share sharing social related popup modal
+    newsletter subscribe login signup complementary contentinfo search""".split())
+MAIN_NAMES = frozenset("main article articlebody".split())
+NAME, STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
+ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
 OPEN, MAIN, OUT = 0, 1, 2
 
 
+def names(attributes: str) -> set[str]:
+    """The names in class, id, role and itemprop."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return {x for k in ("class", "id", "role", "itemprop") for x in found.get(k, "").lower().split()}
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of each block in page order, without empty ones."""
+    """(zone, text) of each block in page order, without empty ones. One pass over the page, whatever it holds.
+
+    A tag ends at the first > outside quotes. Once a page has a quote that is never closed, quotes count no more in it."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}  # how many of each element are on the stack
     text: list[str] = []
-    zone, at = OPEN, 0
+    zone, quotes = OPEN, True
+    at = begin = 0  # where to look for a tag; where the text before it begins
 
     def close() -> None:
         if text:
@@ -62,48 +78,72 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def shut(name: str) -> None:
         nonlocal zone
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                zone = stack[k][1]
-                del stack[k:]
+        while open_.get(name):
+            top, zone = stack.pop()
+            open_[top] -= 1
+            if top == name:
                 return
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def end_of(at: int) -> int:
+        """The place after a tag's end, or -1."""
+        nonlocal quotes
+        p = at
+        while quotes and (m := STOP.search(page, p)):
+            if m[0] == ">":
+                return m.end()
+            p = page.find(m[0], m.end()) + 1
+            if not p:
+                quotes = False
+        return page.find(">", at) + 1 or -1
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            mark = next((z for a, z in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(a, at)), None)
+            end = page.find(mark or ">", at + 4 if mark else at)
+            if end < 0 and not mark:
+                break
+            text.append(page[begin:at])
+            at = begin = len(page) if end < 0 else end + len(mark or ">")
+            continue
+        closing = page.startswith("/", at + 1)
+        if not (m := NAME.match(page, at + 1 + closing)):
+            at += 1
             continue
-        name = m[2].lower()
+        if (end := end_of(m.end())) < 0:
+            break
+        name, said = m[0].lower(), page[m.end() : end - 1]
+        text.append(page[begin:at])
+        at = begin = end
         if name not in INLINE:
             close()
-        if m[1]:
+        if closing:
             shut(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            last = ENDS[name].search(page, at)
+            at = begin = last.end() if last else len(page)
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or said.endswith("/"):
             continue
         if name not in INLINE and stack and stack[-1][0] == "p":
             shut("p")
         before = zone
         if zone >= 0:
-            names = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            said = " ".join(names.values())
+            called = names(said) if said else set()
             after = zone
             if name in SILENT:
                 after = -1
-            elif zone != OUT and (name in FURNITURE and not (name == "header" and zone == MAIN) or said and NAMES.search(said) and name not in ("html", "body")):
+            elif zone == MAIN and (name in FURNITURE and name != "header" or called & ASIDES) or zone == OPEN and (name in FURNITURE or called & NAMES and name not in ("html", "body")):
                 after = OUT
-            elif zone == OPEN and (name in ARTICLE or said and MAIN_NAMES.search(said)):
+            elif zone == OPEN and (name in ARTICLE or called & MAIN_NAMES):
                 after = MAIN
             if after != zone:
                 close()
                 zone = after
         stack.append((name, before))
-    text.append(page[at:].split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!]", page[at:]) else page[at:])
+        open_[name] = open_.get(name, 0) + 1
+    rest = page[begin:]
+    text.append(rest.split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!]", rest) else rest)
     close()
     return found
 
@@ -281,8 +321,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > max(chunk, total // 20_000)).select("host", "n", F.ceil(F.col("n") / chunk).alias("groups"))
+    hot = stored(sizes.where(F.col("n") > chunk).select("host", "n", F.ceil(F.col("n") / chunk).alias("groups")), "large-hosts")
     many = hot.agg(F.sum("n")).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +371,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             counts.append(int(gone.sum()))
         return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
-    dealt = rows.join(F.broadcast(hot.drop("n")), "host", "left").select("page_id", "url", "host", "html", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(-1)).cast("long").alias("part"))
+    # Spark sends the large hosts to all tasks if they are few by its own measure
+    dealt = rows.join(hot.drop("n"), "host", "left").select("page_id", "url", "host", "html", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(-1)).cast("long").alias("part"))
     cut_pages = dealt.mapInArrow(cut, "page_id long, url string, host string, part long, zones binary, blocks binary")
     schema = "page_id long, url string, text string, n_boilerplate long"
     groups = cut_pages.groupBy("host", "part")

@@ -98,6 +98,58 @@ def test_blocks():
     assert html_text.blocks("a < b <3 <p") and html_text.blocks("<script>never ends") == []
 
 
+def test_names_inside_articles():
+    page = "<div class=sidebar>out</div><article><p class='social-science'>one</p><div class=search-results>two</div><p class='related menu'>three</p><div id=comments>four</div></article>"
+    assert html_text.blocks(page) == [(html_text.OUT, "out"), (html_text.MAIN, "one"), (html_text.MAIN, "two"), (html_text.MAIN, "three"), (html_text.OUT, "four")]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "</b>", "<i></b>", "<", "<!", "<!-- ", "&amp", "<p class='", '<p class="x" id=', "<textarea>", "<x y='\"", "<p>", "<div class=a "])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    html_text.blocks(piece * 1000)
+    began = time.time()
+    html_text.blocks("<article>" + piece * (1_000_000 // len(piece)) + " end")
+    assert time.time() - began < 6  # a second or two; quadratic scanners take minutes
+
+
+def test_quotes_that_never_close():
+    assert html_text.blocks("<p title='a>b'>one</p><p title=\"x>two</p><p>it's three</p>") == [(html_text.OPEN, "one"), (html_text.OPEN, "two"), (html_text.OPEN, "it's three")]
+
+
+def expect_open_text(rows, length=8, least=3):
+    """Brute force for pages without article: words under windows that stand on `least` different pages of the host go."""
+    where = {}
+    for _, host, w in rows:
+        for p in range(len(w) - length + 1):
+            where.setdefault((host, tuple(w[p : p + length])), set()).add(tuple(w))
+    out = {}
+    for i, host, w in rows:
+        gone = set()
+        for p in range(len(w) - length + 1):
+            if len(where[host, tuple(w[p : p + length])]) >= least:
+                gone |= set(range(p, p + length))
+        out[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    return out
+
+
+def test_open_pages_against_brute_force(spark):
+    """Pages without article on hosts of many sizes: the same texts whatever the size of the groups."""
+    import random
+
+    rng = random.Random(8)
+    passages = [[f"p{k}x{j}" for j in range(rng.choice([7, 8, 9, 15, 40]))] for k in range(12)] + [[("a" * 1024, "b" * 1024)[j % 2] for j in range(9)]]
+    rows = []
+    for i in range(160):
+        w = [x for k in range(rng.choice([0, 1, 3])) for x in [*rng.choice(passages), *[f"w{i}x{k}{j}" for j in range(rng.choice([1, 5, 30]))]]]
+        rows.append((i, rng.choice(["a.example", "a.example", "a.example", "b.example", "c.example"]), w))
+    rows += [(200 + i, host, w) for i, (_, host, w) in enumerate(rows[:30])]
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", "".join(f"<div>{' '.join(w[k : k + 6])}</div>" for k in range(0, len(w), 6))) for i, host, w in rows], "page_id long, url string, html string")
+    want = expect_open_text(rows)
+    for chunk in (1, 3, 400):
+        assert {r.page_id: r.text for r in html_text.main_text(df, chunk=chunk).collect()} == want
+
+
 def test_host_boilerplate(spark):
     """Without an article element, passages repeated over the host's pages go; copies of a page don't erase it."""
     shared = "all of these words stand on every page of this host you know"
@@ -108,7 +160,7 @@ def test_host_boilerplate(spark):
     for chunk in (400, 1):
         got = {r.page_id: r.text for r in html_text.main_text(df, chunk=chunk, least=3).collect()}
         assert len(got) == len(rows) and got[None] == "" and got[20] == ""
-        assert chunk == 1 or all(got[i] == t for i, t in enumerate(own))
+        assert all(got[i] == t for i, t in enumerate(own))
         assert all(got[10 + i] == own[0] for i in range(6))
     assert html_text.main_text(df.limit(0)).count() == 0
 
@@ -186,6 +238,51 @@ def test_urls(spark, small):
     assert urls.judge(df, docs.limit(0), queries.URL_RULES).count() == len(odd)
 
 
+def test_verdicts_against_a_plain_model(spark, small):
+    """Every page's verdict against Viterbi and Bayes written plainly, with a host of 300 letters among the pages."""
+    import math
+    from collections import Counter
+
+    docs = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    count = Counter(w for t in docs for w in re.findall(r"[^\x00-\x60\x7B-\x7F]+", (t or "").translate(low)))
+    some = [w for w, _ in count.most_common(40) if w.isascii()]
+    rows += [(90_000, f"http://{(''.join(some) * 9)[:300]}.com/x"), (90_001, f"http://{(''.join(some) * 9)[:300]}.net/x"), (90_002, f"http://{'q' * 70}.com/q/1/2?x"), (90_003, None)]
+    total = sum(count.values())
+
+    def split(name):
+        best = [(0.0, [])]
+        for i in range(1, len(name) + 1):
+            options = []
+            for k in range(i):
+                part = name[k:i]
+                options.append((best[k][0] + (math.log(count[part] / total) if part in count else -math.log(total) - len(part) * math.log(26.0)), k))
+            top, k = max(options, key=lambda o: (o[0], -o[1]))
+            best.append((top, [*best[k][1], name[k:i]]))
+        return best[-1][1]
+
+    parsed = [(i, *split_url(u), expect_rule(*split_url(u))) for i, u in rows]
+    tokens = {}
+    for _, host, path, _ in parsed:
+        words = [w for name in re.findall(r"[^\W\d_A-Z]+", host) for w in split(name)]
+        tokens[host, path] = words + ["/" + re.sub(r"\d+", "#", x) for x in re.findall(r"[^\W_]+", path.lower())]
+    seen, n = {"block": Counter(), "allow": Counter()}, Counter()
+    for _, host, path, rule in parsed:
+        if rule:
+            seen[queries.URL_RULES[rule]].update(tokens[host, path])
+            n[queries.URL_RULES[rule]] += 1
+    kinds = len({x for t in tokens.values() for x in t}) + 1  # and one that is unseen
+    sums = {k: sum(c.values()) for k, c in seen.items()}
+    want = {}
+    for i, host, path, rule in parsed:
+        odds = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(math.log((seen["block"][x] + 1) / (sums["block"] + kinds)) - math.log((seen["allow"][x] + 1) / (sums["allow"] + kinds)) for x in tokens[host, path])
+        want[i] = (queries.URL_RULES[rule] if rule else "block" if odds > 0 else "allow", None if rule else round(odds, 6))
+    texts = spark.createDataFrame([(t,) for t in docs], "text string")
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), texts, queries.URL_RULES).collect()
+    assert {r.page_id: (r.verdict, None if r.log_odds is None else round(r.log_odds, 6)) for r in got} == want
+
+
 def test_segmentation(spark):
     texts = spark.createDataFrame([("cheap pills and a spam farm; cheap Pills pills the farm",), (None,), ("",)], "text string")
     names = spark.createDataFrame([("cheappills",), ("spamfarm",), ("qqq",)], "name string")
