@@ -1,11 +1,16 @@
 """Near-duplicate vectors with hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one node. There are as many shards as keep each at about `shard_size` nodes, `shards` at least. Each gets a graph: layers of ever fewer nodes, each node linked to near but
-mutually distant neighbours. Every node is searched in every shard: down the layers to a near node, then with a beam on
-the lowest layer. A search whose beam is full of hits is repeated with a beam twice as wide, in the end as wide as the
-shard. After a shard is built, its beam is widened until an audit, a random sample of its nodes compared with all of
-the shard, finds the wanted share of links to other nodes; the sample grows until it holds enough links. Cosines are computed in double precision. Links stay in the task: it
-returns counts and a spanning forest of what it found, and components are joined from the forests.
+Equal vectors are one node. Shards have about `shard_size` nodes, fewer if vectors are long. Each gets a graph: layers of
+ever fewer nodes, each node linked to near but mutually distant neighbours. Graphs and vectors are written once below the
+shared folder. A task takes one graph and one block of vectors, which it reads by path, so nothing is copied through a
+shuffle. It searches each vector: down the layers to a near node, then with a beam on the lowest layer. A search whose
+beam is full of hits is repeated with a beam twice as wide, in the end against the whole shard. Before, the task audits
+its beam: a random sample of its vectors, of its own shard or another, is compared with all of the graph's, and the beam
+is doubled until the search finds the wanted share of their links. Cosines are computed in double precision.
+
+Links count for both ends, whoever found them. Searches that compared a vector with the whole shard are exact and return
+counts: of links, and for each node of how many such vectors found it. All others have few links and return them; each
+pair counts once. Components are joined from spanning forests, so a group of m near copies costs no m * m rows.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
 vectors of different length; rows with a null id are returned with no links and no component. Repeated rows are other
@@ -19,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.batches import stored
+from arealis.llm.batches import shared_uri, stored, work_dir
 from arealis.llm.graph import components
 from arealis.llm.words import mix
 
@@ -146,8 +153,8 @@ class Graph:
         best = np.argsort(-val, axis=1, kind="stable")
         return np.take_along_axis(ids, best, 1), np.take_along_axis(val, best, 1)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, nodes with a cosine of at least `least`) for each query; full beams are widened."""
+    def links_of(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(row, nodes with a cosine of at least `least`, whether it was compared with all nodes) for each query; full beams are widened."""
         open_, wide = np.arange(len(q)), min(beam, self.n)
         while len(open_):
             whole = wide >= min(self.n, 8 * beam)
@@ -155,32 +162,46 @@ class Graph:
             for lo in range(0, len(open_), ROWS):
                 rows = open_[lo : lo + ROWS]
                 if whole:  # the beam has become the shard
-                    sims = q[rows] @ self.x.T
-                    for r, s in zip(rows.tolist(), sims, strict=True):
-                        yield r, np.flatnonzero(s >= least)
+                    for few in range(0, len(rows), step := max(1, (1 << 24) // self.n)):
+                        sims = q[rows[few : few + step]] @ self.x.T
+                        for r, s in zip(rows[few : few + step].tolist(), sims, strict=True):
+                            yield r, np.flatnonzero(s >= least), True
                     continue
                 ids, sims = self._search(q[rows], wide, 0)
                 full = sims[:, -1] >= least
                 again.append(rows[full])
                 for r, i, s in zip(rows[~full].tolist(), ids[~full], sims[~full], strict=True):
-                    yield r, i[s >= least]
+                    yield r, i[s >= least], False
             open_, wide = np.concatenate(again) if again else np.zeros(0, np.int64), wide * 2
 
-    def audited(self, least: float, beam: int, recall: float, sample: int) -> int:
-        """The beam with which a random sample finds the wanted share of its links to other nodes. It has `sample` nodes and as many links at least, or is the whole shard."""
-        order = np.random.default_rng(self.n).permutation(self.n)
+    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+        for r, found, _ in self.links_of(q, least, beam):
+            yield r, found
+
+    def audit(self, q: np.ndarray, own: np.ndarray, least: float, beam: int, recall: float, sample: int, most: int | None = None) -> tuple[int, int, int]:
+        """The beam with which a random sample of queries finds the wanted share of its links to other nodes, how many links it has, and how many of them were found.
+
+        own: the node that each query is, or -1. The sample has `sample` queries and as many links at least, or `most` queries, or is all of them."""
+        order = np.random.default_rng(len(q)).permutation(len(q))[:most]
         block, linked, true, at = max(1, min(ROWS, (1 << 24) // self.n)), [], 0, 0
-        while at < self.n and (at < sample or true < sample):
+        while at < len(order) and (at < sample or true < sample):
             rows = order[at : at + block]
-            near = self.x[rows] @ self.x.T >= least
-            near[np.arange(len(rows)), rows] = False
+            near = q[rows] @ self.x.T >= least
+            is_node = np.flatnonzero(own[rows] >= 0)
+            near[is_node, own[rows[is_node]]] = False
             n = near.sum(axis=1)
             linked.append(rows[n > 0])
             true, at = true + int(n.sum()), at + len(rows)
         rows = np.concatenate(linked) if linked else order[:0]
-        while true and beam < self.n and sum(int((f != rows[r]).sum()) for r, f in self.within(self.x[rows], least, beam)) < recall * true:
+        count = lambda: sum(int((f != own[rows[r]]).sum()) for r, f in self.within(q[rows], least, beam))
+        found = count() if true else 0
+        while found < recall * true and beam < self.n:
             beam *= 2
-        return beam
+            found = count()
+        return beam, true, found
+
+    def audited(self, least: float, beam: int, recall: float, sample: int) -> int:
+        return self.audit(self.x, np.arange(self.n), least, beam, recall, sample)[0]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -189,59 +210,154 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, shards: int = 6, shard_size: int = 100_000, beam: int = 24, recall: float = 0.99, audit: int = 256, block: int = 8192) -> DataFrame:
-    """One row per vector: vec_id, n_links (other vectors with a cosine of at least `least`), component_id, kept."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    ok = F.coalesce(F.col("vec_id").isNotNull() & finite & (square > 0) & (square < float("inf")), F.lit(False))
-    rows = rows.withColumn("key", F.when(ok, F.concat_ws("-", F.xxhash64("v").cast("string"), F.hash("v").cast("string"), F.size("v").cast("string"))))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = stored(classes.withColumn("dim", F.size("v")), "vectors")
-    distinct = classes.count()
-    shards = max(shards, -(-distinct // shard_size))
-    classes = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    parts = max(1, -(-distinct // block))
+class Links:
+    """What a task returns: rows of LINKS."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+
+    def add(self, kind: int, a, b, na, nb) -> None:
+        columns = np.broadcast_arrays(np.asarray(a, np.int64), np.asarray(b, np.int64), np.asarray(na, np.int64), np.asarray(nb, np.int64))
+        self.parts.append((np.full(columns[0].size, kind), *[np.atleast_1d(c) for c in columns]))
+
+    def batch(self, mine: int, theirs: int) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.int64)] * 5
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*columns, np.full(n, mine), np.full(n, theirs))], LINKS_NAMES)
+
+
+EDGE, EXACT, FOUND_BY, LINK, AUDIT = range(5)
+#: edge: a and b are in one component; exact: a has na links in the shard `theirs`; found by: exact vectors of `mine` that
+#: stand for na rows have a link to a of `theirs`; link: a and b, which stand for na and nb rows; audit: na links, nb found.
+LINKS = "kind long, a long, b long, na long, nb long, mine long, theirs long"
+LINKS_NAMES = [x.split()[0] for x in LINKS.split(", ")]
+
+
+def searched(g: Graph, ids: np.ndarray, weight: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_weight: np.ndarray, own: np.ndarray, least: float, beam: int) -> Links:
+    """The links between a graph's nodes and a block of queries."""
+    out, up = Links(), np.arange(g.n)  # up: nodes joined so far
+    by, touched = np.zeros(g.n, np.int64), np.zeros(g.n, bool)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = int(up[x])
+        return x
+
+    for r, found, exact in g.links_of(q, least, beam):
+        found = found[found != own[r]]
+        if not len(found):
+            continue
+        touched[found] = True
+        roots = {top(x) for x in np.unique(up[found]).tolist()}
+        low = min(roots)
+        up[list(roots)] = low
+        up[found] = low
+        out.add(EDGE, q_ids[r], ids[found[0]], 0, 0)
+        if exact:
+            out.add(EXACT, q_ids[r], 0, weight[found].sum(), 0)
+            by[found] += q_weight[r]
+        else:
+            out.add(LINK, q_ids[r], ids[found], q_weight[r], weight[found])
+    at = np.flatnonzero(touched)
+    ends = np.array([top(x) for x in at.tolist()], np.int64)
+    out.add(EDGE, ids[at[ends != at]], ids[ends[ends != at]], 0, 0)
+    at = np.flatnonzero(by)
+    out.add(FOUND_BY, ids[at], 0, by[at], 0)
+    return out
+
+
+def search_all(df: DataFrame, least: float, shards: int, shard_size: int, beam: int, recall: float, audit: int, block: int) -> DataFrame:
+    """Rows of LINKS of all shards' graphs with all vectors. df: dim, rep, n, v."""
+    spark = df.sparkSession
+    path = shared_uri(work_dir(spark, "graphs"))
+    sizes = df.groupBy("dim").agg(F.count("*").alias("size"))
+    room = F.least(F.lit(shard_size), F.greatest(F.lit(1), F.floor(F.lit(1 << 25) / F.col("dim"))))
+    sizes = stored(sizes.select("dim", F.greatest(F.lit(shards), F.ceil(F.col("size") / room)).alias("shards")), "sizes")
+    dealt = df.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("long") + F.shiftleft(F.col("dim").cast("long"), 32))
 
     def build(table: pa.Table) -> pa.Table:
         import pickle
 
-        ids, x = table.column("rep").to_numpy(), _matrix(table.column("v"))
+        ids, x, shard = table.column("rep").to_numpy(), _matrix(table.column("v")), table.column("shard")[0].as_py()
         graph = Graph(x, ids)
-        wide = graph.audited(least, beam, recall, audit)
-        blob = pickle.dumps((ids, table.column("n").to_numpy(), graph, wide), protocol=5)
-        return pa.table([table.column("dim")[:1], table.column("shard")[:1], pa.array([blob], pa.binary())], ["dim", "shard", "graph"])
+        graph.x = None
+        files, folder = pafs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        name = f"graph-{shard}-{TaskContext.get().taskAttemptId()}"
+        with files.open_output_stream(f"{folder}/{name}.x", compression=None) as sink:
+            sink.write(memoryview(np.ascontiguousarray(x)).cast("B"))
+        with files.open_output_stream(f"{folder}/{name}", compression=None) as sink:
+            pickle.dump((ids, table.column("n").to_numpy(), graph), sink, protocol=5)
+        return pa.table([table.column("dim")[:1], pa.array([shard]), pa.array([len(ids)]), pa.array([name])], ["dim", "shard", "size", "name"])
 
-    graphs = stored(classes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
+    graphs = stored(dealt.select("dim", "shard", "rep", "n", "v").groupBy("shard").applyInArrow(build, "dim int, shard long, size long, name string"), "graphs")
 
-    def look(queries: pa.Table, graph: pa.Table) -> pa.Table:
+    def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        a, n, b = [], [], []
-        if len(queries) and len(graph):
-            ids, counts, g, wide = pickle.loads(graph.column("graph")[0].as_py())
-            mine, known = queries.column("rep").to_numpy(), set()
-            for r, found in g.within(_matrix(queries.column("v")), least, wide):
-                found = np.sort(found[ids[found] != mine[r]])
-                if not len(found):
-                    continue
-                a.append(mine[r])
-                n.append(int(counts[found].sum()))
-                b.append(int(ids[found[0]]))
-                if (same := found.tobytes()) not in known:  # these are joined once; a later vector with the same links needs one edge
-                    known.add(same)
-                    a.extend([mine[r]] * (len(found) - 1))
-                    n.extend([0] * (len(found) - 1))
-                    b.extend(ids[found[1:]].tolist())
-        return pa.table([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], ["a", "n", "b"])
-
-    part = F.pmod(F.xxhash64(F.lit(7), F.col("rep")), F.lit(parts)).cast("int")
-    queries = classes.select("dim", "rep", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    links = stored(queries.groupBy("dim", "shard", "part").cogroup(copies.groupBy("dim", "shard", "part")).applyInArrow(look, "a long, n long, b long"), "links")
-    roots = components(links)
-    counts = links.groupBy("a").agg(F.sum("n").alias("links"))
-    known = classes.select("key", "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+        files, folder = pafs.FileSystem.from_uri(path)
+
+        def vectors(name: str, dim: int, lo: int, hi: int) -> np.ndarray:
+            with files.open_input_file(f"{folder}/{name}.x") as source:
+                source.seek(lo * dim * 8)
+                return np.frombuffer(source.read((hi - lo) * dim * 8), np.float64).reshape(-1, dim)
+
+        def nodes(name: str) -> tuple[np.ndarray, np.ndarray, Graph]:
+            with files.open_input_stream(f"{folder}/{name}", compression=None) as source:
+                return pickle.loads(source.read())
+
+        for b in rows:
+            for pair in b.to_pylist():
+                ids, weight, g = nodes(pair["graph"])
+                g.x = vectors(pair["graph"], pair["dim"], 0, len(ids))
+                lo, hi = pair["block"] * block, min(pair["size"], (pair["block"] + 1) * block)
+                same = pair["graph"] == pair["queries"]
+                q_ids, q_weight = (x[lo:hi] for x in ((ids, weight) if same else nodes(pair["queries"])[:2]))
+                q, own = vectors(pair["queries"], pair["dim"], lo, hi), np.arange(lo, hi) if same else np.full(hi - lo, -1)
+                wide, true, found = g.audit(q, own, least, beam, recall, audit, 2 * audit)
+                links = searched(g, ids, weight, q, q_ids, q_weight, own, least, wide)
+                links.add(AUDIT, 0, 0, true, found)
+                yield links.batch(pair["mine"], pair["theirs"])
+
+    one = graphs.select("dim", F.col("shard").alias("theirs"), F.col("name").alias("graph"))
+    blocks = graphs.select("dim", F.col("shard").alias("mine"), F.col("name").alias("queries"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("block"))
+    pairs = one.join(blocks, "dim")  # a row for each graph and block of queries of the same dimension, without vectors
+    tasks = pairs.count()
+    return stored(pairs.repartition(max(1, min(tasks, 20_000))).mapInArrow(look, LINKS), "links")
+
+
+def counted(links: DataFrame) -> DataFrame:
+    """a, links: of each vector, in rows that it links with."""
+    exact = links.where(F.col("kind") == EXACT).select("a", F.col("theirs").alias("shard"), "na")
+    known = stored(exact.select("a", "shard"), "exact")
+    found = links.where(F.col("kind") == LINK)
+    both = found.select("a", "b", F.col("mine").alias("sa"), F.col("theirs").alias("sb"), F.col("nb").alias("n"))
+    both = both.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("theirs").alias("sa"), F.col("mine").alias("sb"), F.col("na").alias("n"))).dropDuplicates(["a", "b"])
+    is_a, is_b = known.select("a", F.col("shard").alias("sb")), known.select(F.col("a").alias("b"), F.col("shard").alias("sa"))
+    both = both.join(is_a, ["a", "sb"], "left_anti").join(is_b, ["b", "sa"], "left_anti")
+    by = links.where(F.col("kind") == FOUND_BY).select("a", F.col("mine").alias("shard"), F.col("na").alias("n")).join(known, ["a", "shard"], "left_anti")
+    return exact.select("a", F.col("na").alias("n")).unionByName(both.select("a", "n")).unionByName(by.select("a", "n")).groupBy("a").agg(F.sum("n").alias("links"))
+
+
+def recall_of(links: DataFrame) -> tuple[int, int]:
+    """How many links the audits of all tasks had, and how many of them the searches found."""
+    r = links.where(F.col("kind") == AUDIT).agg(F.coalesce(F.sum("na"), F.lit(0)), F.coalesce(F.sum("nb"), F.lit(0))).first()
+    return r[0], r[1]
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, shards: int = 1, shard_size: int = 100_000, beam: int = 24, recall: float = 0.99, audit: int = 256, block: int = 8192) -> DataFrame:
+    """One row per vector: vec_id, n_links (other vectors with a cosine of at least `least`), component_id, kept."""
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    ok = F.coalesce(F.col("vec_id").isNotNull() & finite & (square > 0) & (square < float("inf")), F.lit(False))
+    rows = rows.withColumn("key", F.when(ok, F.concat_ws("-", F.xxhash64("v").cast("string"), F.hash("v").cast("string"), F.size("v").cast("string"))))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = stored(classes.withColumn("dim", F.size("v")), "vectors")
+    links = search_all(classes, least, shards, shard_size, beam, recall, audit, block)
+    roots = components(links.where(F.col("kind").isin(EDGE, LINK)))
+    known = classes.select("key", "rep", "n").join(counted(links), F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     known = stored(known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root")), "classes")
     out = rows.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("root", "vec_id")

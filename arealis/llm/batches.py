@@ -36,6 +36,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def shared_uri(path: str) -> str:
+    """The folder's address for file systems outside Spark."""
+    if "://" in path:
+        return path
+    return path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df below the shared folder and read it again: its lineage ends there, and it survives lost executors."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.batches import stored, work_dir
+from arealis.llm.batches import shared_uri, stored, work_dir
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the format
 INDEX = "page_id long, bundle string, frame int, frame_at long, frame_size long, place long, length long"
@@ -186,7 +186,5 @@ def fetch(index: DataFrame, ids: DataFrame, path: str) -> DataFrame:
 
 def archive(pages: DataFrame, path: str | None = None, **names: str) -> tuple[DataFrame, str]:
     """Write all pages; returns the index and the folder of the bundles."""
-    path = path or work_dir(pages.sparkSession, "warc")
-    if "://" not in path:
-        path = path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
+    path = shared_uri(path or work_dir(pages.sparkSession, "warc"))
     return write_bundles(roles(pages, **names), path), path

@@ -382,3 +382,28 @@ def test_shards_grow_with_the_table(spark, monkeypatch):
     got = ann.near_duplicates(df, shards=1, shard_size=50).collect()
     assert graphs[0].count() == 5
     assert sorted(tuple(r) for r in got) == sorted(expect_vectors(list(range(250)), x))
+
+
+def test_links_count_for_both_ends(spark):
+    """Dense groups, whose searches end as comparisons with the whole shard, beside sparse ones; several shards and blocks."""
+    rng = np.random.default_rng(6)
+    x = [rng.normal(size=8) for _ in range(60)]
+    x += [x[0] + rng.normal(size=8) * 0.02 for _ in range(230)] + [x[1] + rng.normal(size=8) * 0.35 for _ in range(100)] + [v + rng.normal(size=8) * 0.1 for v in x[2:60]]
+    x = [v.tolist() for v in x]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    want = sorted(expect_vectors(list(range(len(x))), x))
+    for shards, block in ((1, 8192), (3, 40)):
+        assert sorted(tuple(r) for r in ann.near_duplicates(df, shards=shards, block=block, beam=8).collect()) == want
+
+
+def test_audits_across_shards(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 16))
+    x[450:] = x[:450] + rng.normal(size=(450, 16)) * 0.05
+    df = spark.createDataFrame([(16, i, 1, v.tolist()) for i, v in enumerate(x)], "dim int, rep long, n long, v array<double>")
+    links = ann.search_all(df, 0.95, 4, 1000, 24, 0.99, 64, 100)
+    true, found = ann.recall_of(links)
+    assert true > 300 and found >= 0.99 * true
+    assert ann.recall_of(links.where(F.col("mine") != F.col("theirs")))[0] > 200
