@@ -82,10 +82,10 @@ class Automaton:
 
     def __init__(self, t: Tokens, gram_n: np.ndarray, word_n: np.ndarray, total: int, distinct: int, strength: tuple[float, float], growth: tuple[float, float]):
         n, words = len(t.word), len(t.words)
-        self.t, self.word = t, np.searchsorted(t.words, t.word)
-        self.two, self.three = np.searchsorted(t.grams, t.two), np.zeros(n, np.int64)
-        self.three[t.inner] = np.searchsorted(t.grams, t.three[t.inner])
-        before = np.searchsorted(t.words, t.before)
+        self.t, self.word = t, W.locate(t.words, t.word)
+        self.two, self.three = W.locate(t.grams, t.two), np.zeros(n, np.int64)
+        self.three[t.inner] = W.locate(t.grams, t.three[t.inner])
+        before = W.locate(t.words, t.before)
         self.known = word_n > 0
         root = (word_n + 1) / (total + distinct + 1)
         self.root_weight, self.root_next = np.log10(root), np.where(self.known, 1 + np.arange(words), 0)
@@ -93,9 +93,9 @@ class Automaton:
         self.source, self.next = np.full(len(t.grams), -1, np.int64), np.zeros(len(t.grams), np.int64)
         p, self.fall = np.zeros(len(t.grams)), np.zeros(1 + words + len(t.grams))
         self.fail = np.zeros(len(self.fall), np.int64)
-        place = np.zeros(len(t.grams), np.int64)  # where an n-gram occurs
+        place = np.full(len(t.grams), -1, np.int64)  # where an n-gram occurs
         place[self.two] = np.arange(n)
-        pairs = np.unique(self.two)
+        pairs = np.flatnonzero(place >= 0)
         c, h, at = gram_n[pairs], word_n[before[place[pairs]]], place[pairs]
         mass = self.mass(word_n, strength[0], growth[0])
         seen = c > 0
@@ -110,8 +110,9 @@ class Automaton:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.fall[state] = np.where(seen, np.log10(mass / (c + mass)), 0)
         inner = np.flatnonzero(t.inner)
+        place[:] = -1
         place[self.three[inner]] = inner
-        threes = np.unique(self.three[inner])
+        threes = np.flatnonzero(place >= 0)
         at = place[threes]
         c, h = gram_n[threes], gram_n[self.two[at - 1]]
         m = self.mass(h, strength[1], growth[1])

@@ -183,6 +183,20 @@ def grams(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     return mix(out + U(k))
 
 
+def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of evenly spread sorted keys; all wanted ones are among them. A table of their first bits leaves few to compare."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    bits = max(1, int(len(keys)).bit_length())
+    table = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits))
+    at = table[wanted >> U(64 - bits)]
+    open_ = np.flatnonzero(keys[at] < wanted)
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[keys[at[open_]] < wanted[open_]]
+    return at
+
+
 def window_starts(w: Words, k: int) -> np.ndarray:
     """Whether k words of one text start at each word."""
     ok = np.zeros(len(w), bool)
