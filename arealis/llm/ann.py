@@ -34,6 +34,8 @@ from arealis.llm.graph import components
 from arealis.llm.words import mix
 
 DEGREE, BUILD_BEAM, EXPAND, ROWS = 12, 40, 4, 256
+#: How far a cosine in single precision may be from the one in double precision.
+ROUNDING = 1e-4
 
 
 def diverse(sims: np.ndarray, ids: np.ndarray, vectors: np.ndarray, degree: int) -> np.ndarray:
@@ -53,8 +55,11 @@ def diverse(sims: np.ndarray, ids: np.ndarray, vectors: np.ndarray, degree: int)
 
 
 class Graph:
+    """Searches run in single precision; links are verified in double precision."""
+
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.x, self.n = vectors, len(vectors)
+        self.n = len(vectors)
+        self.hold(vectors)
         u = (mix(ids.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
         self.level = np.minimum((-np.log(np.maximum(u, 1e-12)) / math.log(DEGREE)).astype(np.int64), 6)
         self.links = [np.full((self.n, DEGREE * (2 if lay == 0 else 1)), -1, np.int32) for lay in range(int(self.level.max()) + 1)]
@@ -66,8 +71,15 @@ class Graph:
             self._insert(self.order[done : done + step], self.order[:done])
             done += step
 
+    def hold(self, vectors: np.ndarray | None) -> None:
+        """Take the vectors, or let them go before the graph is written."""
+        self.x = vectors
+        self.y = self.seen = None
+        if vectors is not None:
+            self.y, self.seen = vectors.astype(np.float32), np.zeros((ROWS, self.n), bool)
+
     def _insert(self, new: np.ndarray, old: np.ndarray) -> None:
-        x = self.x[new]
+        x = self.y[new]
         within = x @ x.T
         np.fill_diagonal(within, -2)
         for lay in range(int(self.level[new].max()), -1, -1):
@@ -82,7 +94,7 @@ class Graph:
                 ids, sims = np.concatenate([ids, found], axis=1), np.concatenate([sims, s], axis=1)
             best = np.argsort(-np.where(ids < 0, -3, sims), axis=1, kind="stable")[:, :BUILD_BEAM]
             ids, sims = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
-            self._join(lay, new[mine], diverse(sims, ids, self.x, DEGREE))
+            self._join(lay, new[mine], diverse(sims, ids, self.y, DEGREE))
 
     def _join(self, lay: int, nodes: np.ndarray, to: np.ndarray) -> None:
         links = self.links[lay]
@@ -90,7 +102,7 @@ class Graph:
         links[nodes, : to.shape[1]] = to
         a, b = np.repeat(nodes, to.shape[1]), to.ravel()
         a, b = a[b >= 0], b[b >= 0]
-        sims = np.einsum("ij,ij->i", self.x[a], self.x[b])
+        sims = np.einsum("ij,ij->i", self.y[a], self.y[b])
         order = np.lexsort((-sims, b))
         a, b = a[order], b[order]
         begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
@@ -105,28 +117,29 @@ class Graph:
             ids = np.concatenate([links[t].astype(np.int64), extra[lo : lo + ROWS]], axis=1)
             ids = np.sort(ids, axis=1)
             ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-            sims = np.where(ids < 0, -3, np.einsum("rcd,rd->rc", self.x[np.maximum(ids, 0)], self.x[t]))
+            sims = np.where(ids < 0, -3, np.einsum("rcd,rd->rc", self.y[np.maximum(ids, 0)], self.y[t]))
             best = np.argsort(-sims, axis=1, kind="stable")
-            links[t] = diverse(np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1), self.x, width)
+            links[t] = diverse(np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1), self.y, width)
 
     def search(self, q: np.ndarray, beam: int, lay: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and cosines of the nearest found nodes of a layer."""
+        q = q.astype(np.float32)
         out = [self._search(q[i : i + ROWS], beam, lay) for i in range(0, len(q), ROWS)]
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def _search(self, q: np.ndarray, beam: int, lay: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.full((len(q), 1), self.entry, np.int64)
-        sims = (q @ self.x[self.entry])[:, None]
+        sims = (q @ self.y[self.entry])[:, None]
         for upper in range(len(self.links) - 1, lay, -1):
             at, sims = self._beam(q, at[:, :1], sims[:, :1], 1, upper)
         return self._beam(q, at[:, :1], sims[:, :1], beam, lay)
 
     def _beam(self, q: np.ndarray, at: np.ndarray, sims: np.ndarray, beam: int, lay: int) -> tuple[np.ndarray, np.ndarray]:
         rows, links = len(q), self.links[lay]
-        ids, val = np.full((rows, beam), -1, np.int64), np.full((rows, beam), -3.0)
+        ids, val = np.full((rows, beam), -1, np.int64), np.full((rows, beam), -3, np.float32)
         ids[:, 0], val[:, 0] = at[:, 0], sims[:, 0]
-        seen = np.zeros((rows, self.n), bool)
-        seen[np.arange(rows), at[:, 0]] = True
+        seen, marks = self.seen, [(np.arange(rows), at[:, 0])]
+        seen[marks[0]] = True
         fresh = ids >= 0
         e = min(EXPAND, beam)
         active = np.arange(rows)
@@ -143,19 +156,22 @@ class Graph:
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             near[seen[active[:, None], np.maximum(near, 0)]] = -1
             r, c = np.nonzero(near >= 0)
-            seen[active[r], near[r, c]] = True
-            s = np.full(near.shape, -3.0)
-            s[r, c] = np.einsum("ij,ij->i", self.x[near[r, c]], q[active[r]])
+            marks.append((active[r], near[r, c]))
+            seen[marks[-1]] = True
+            s = np.full(near.shape, -3, np.float32)
+            s[r, c] = np.einsum("ij,ij->i", self.y[near[r, c]], q[active[r]])
             all_ids, all_val = np.concatenate([ids[active], near], axis=1), np.concatenate([val[active], s], axis=1)
             all_fresh = np.concatenate([fresh[active], near >= 0], axis=1)
             best = np.argpartition(-all_val, beam - 1, axis=1)[:, :beam]
             ids[active], val[active], fresh[active] = (np.take_along_axis(z, best, 1) for z in (all_ids, all_val, all_fresh))
+        for mark in marks:
+            seen[mark] = False
         best = np.argsort(-val, axis=1, kind="stable")
         return np.take_along_axis(ids, best, 1), np.take_along_axis(val, best, 1)
 
     def links_of(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(row, nodes with a cosine of at least `least`, whether it was compared with all nodes) for each query; full beams are widened."""
-        open_, wide = np.arange(len(q)), min(beam, self.n)
+        open_, wide, single = np.arange(len(q)), min(beam, self.n), q.astype(np.float32)
         while len(open_):
             whole = wide >= min(self.n, 8 * beam)
             again = []
@@ -167,11 +183,12 @@ class Graph:
                         for r, s in zip(rows[few : few + step].tolist(), sims, strict=True):
                             yield r, np.flatnonzero(s >= least), True
                     continue
-                ids, sims = self._search(q[rows], wide, 0)
-                full = sims[:, -1] >= least
+                ids, sims = self._search(single[rows], wide, 0)
+                full = sims[:, -1] >= least - ROUNDING
                 again.append(rows[full])
                 for r, i, s in zip(rows[~full].tolist(), ids[~full], sims[~full], strict=True):
-                    yield r, i[s >= least], False
+                    near = i[s >= least - ROUNDING]
+                    yield r, near[self.x[near] @ q[r] >= least], False
             open_, wide = np.concatenate(again) if again else np.zeros(0, np.int64), wide * 2
 
     def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -281,7 +298,7 @@ def search_all(df: DataFrame, least: float, shards: int, shard_size: int, beam:
 
         ids, x, shard = table.column("rep").to_numpy(), _matrix(table.column("v")), table.column("shard")[0].as_py()
         graph = Graph(x, ids)
-        graph.x = None
+        graph.hold(None)
         files, folder = pafs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
         name = f"graph-{shard}-{TaskContext.get().taskAttemptId()}"
@@ -310,7 +327,7 @@ def search_all(df: DataFrame, least: float, shards: int, shard_size: int, beam:
         for b in rows:
             for pair in b.to_pylist():
                 ids, weight, g = nodes(pair["graph"])
-                g.x = vectors(pair["graph"], pair["dim"], 0, len(ids))
+                g.hold(vectors(pair["graph"], pair["dim"], 0, len(ids)))
                 lo, hi = pair["block"] * block, min(pair["size"], (pair["block"] + 1) * block)
                 same = pair["graph"] == pair["queries"]
                 q_ids, q_weight = (x[lo:hi] for x in ((ids, weight) if same else nodes(pair["queries"])[:2]))
