@@ -102,6 +102,14 @@ def expand_group(code: Column, groups: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_union(F.array(code), F.coalesce(F.try_element_at(table, code), F.array().cast("array<string>"))))
 
 
+def coalition_code(text: Column, codes: dict[str, str], inside: dict[str, str] | None = None) -> Column:
+    """The code of a coalition's first party; parties of `inside` are known by a part of their name; else UNKNOWN."""
+    first = F.trim(F.split(text, "-")[0])
+    for part, name in (inside or {}).items():
+        first = F.when(first.contains(part), F.lit(name)).otherwise(first)
+    return F.coalesce(lookup(codes, first), F.lit("UNKNOWN"))
+
+
 def round_from_columns(headers: Column, coalition: str = r"[-+/]") -> Column:
     """2 if more than half of the headers name coalitions and there are at most eight, else 1."""
     joint = F.size(F.filter(headers, lambda h: h.rlike(coalition)))

@@ -54,6 +54,18 @@ def coverage(df: DataFrame, actual: str, low: str, high: str, keys: Sequence[str
     return df.groupBy(*keys).agg(ratio(F.sum(inside), F.sum(w)).alias("coverage"), F.avg(F.col(high) - F.col(low)).alias("width"))
 
 
+def run_block(df: DataFrame, actual: str, predicted: str, calibration: Column, alphas: Sequence[float], weight: str) -> DataFrame:
+    """alpha, n, coverage, weighted coverage and width of the rows outside `calibration`, with widths from the rows inside."""
+    rows = df.withColumn("_e", F.col(actual) - F.col(predicted))
+    out = None
+    for alpha in alphas:
+        width = half_widths(rows.where(calibration), "_e", alpha).select(F.col("half_width").alias("_w"))
+        inside = F.when(F.abs("_e") <= F.col("_w"), 1.0).otherwise(0.0)
+        one = rows.where(~calibration).crossJoin(F.broadcast(width)).agg(F.lit(alpha).alias("alpha"), F.count("*").alias("n"), F.avg(inside).alias("coverage"), ratio(F.sum(inside * F.col(weight)), F.sum(weight)).alias("weighted"), F.avg(2 * F.col("_w")).alias("width"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def masked(df: DataFrame, present: dict[str, str], rate: float = 0.0) -> DataFrame:
     """Predictions of blocks that aren't on a unit's slate become 0; `rate` of that mass goes to the others in proportion."""
     blocks = list(present)

@@ -22,31 +22,43 @@ def _matrix(b: pa.RecordBatch, start: int) -> np.ndarray:
 
 
 def moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: str | None = None, weight: str | None = None) -> DataFrame:
-    """Rows (fold, pos, value): the flattened matrix of sums of w * z * z', z = (1, features, targets), per fold."""
+    """Rows (fold, gram): the flattened matrix of sums of w * z * z', z = (1, features, targets), per fold. Tasks send one
+    matrix for each fold; these are added in two steps, so no task adds up more than a share of them."""
     columns = [*features, *targets]
     side = len(columns) + 1
 
+    def packed(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], ["fold", "gram"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for b in rows:
             if not b.num_rows:
                 continue
-            folds = np.array(b.column(0).to_pylist(), object)
+            code = b.column(0).dictionary_encode()
             w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             z = np.column_stack([np.ones(b.num_rows), _matrix(b, 2)])
             # incomplete rows go here: a filter over many columns makes the optimiser infer constraints without end
             ok = np.isfinite(z).all(axis=1) & np.isfinite(w)
-            folds, w, z = folds[ok], w[ok], z[ok]
-            for f in set(folds.tolist()):
-                m = folds == f
-                part = (z[m] * w[m, None]).T @ z[m]
-                sums[f] = sums[f] + part if f in sums else part
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sums[k].ravel().tolist() for k in keys], pa.list_(pa.float64()))], ["fold", "gram"])
+            number = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k, name in [*enumerate(code.dictionary.to_pylist()), (-1, None)]:
+                m = ok & (number == k)
+                if m.any():
+                    part = (z[m] * w[m, None]).T @ z[m]
+                    sums[name] = sums[name] + part if name in sums else part
+        yield packed(sums)
+
+    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in rows:
+            for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(blob, "<f8")
+                sums[name] = sums[name] + part if name in sums else part
+        yield packed(sums)
 
     rows = df.select((F.col(fold).cast("string") if fold else F.lit("all")).alias("fold"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in columns])
-    parts = rows.mapInArrow(run, "fold string, gram array<double>")
-    return parts.select("fold", F.posexplode("gram").alias("pos", "value")).groupBy("fold", "pos").agg(F.sum("value").alias("value")).where(F.col("pos") < side * side)
+    parts = rows.mapInArrow(run, "fold string, gram binary")
+    return parts.repartition(max(1, int(rows.rdd.getNumPartitions() ** 0.5))).mapInArrow(add, "fold string, gram binary").where(F.length("gram") == 8 * side * side)
 
 
 @dataclass
@@ -74,7 +86,7 @@ def grams(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold:
     side = 1 + len(features) + len(targets)
     out: dict[str, np.ndarray] = {}
     for r in moments(df, features, targets, fold, weight).toLocalIterator():
-        out.setdefault(r.fold, np.zeros(side * side))[r.pos] = r.value
+        out[r.fold] = out.get(r.fold, 0.0) + np.frombuffer(r.gram, "<f8")
     return Grams(list(features), list(targets), {k: v.reshape(side, side) for k, v in sorted(out.items(), key=lambda kv: str(kv[0]))})
 
 
@@ -124,6 +136,29 @@ def solve(gram: np.ndarray, features: Sequence[str], target: int, alpha: float,
     return Fit(list(features), float(y - beta @ mean), beta, mean)
 
 
+def component_shares(gram: np.ndarray, k: int) -> np.ndarray:
+    """Shares of variance of the first k principal components of the standardised features."""
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    inv = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0)
+    values = np.linalg.eigvalsh(cov * np.outer(inv, inv))[::-1]
+    return values[:k] / values.sum()
+
+
+def fold_r2(g: Grams, target: int, alpha: float) -> float:
+    """R2 of left-out-fold predictions, from the Grams alone: a fold's squared errors are a quadratic form of its Gram."""
+    p, total, left = len(g.features), g.total, 0.0
+    sd = np.sqrt(np.maximum(np.diag(total)[1 : p + 1] / total[0, 0] - (total[0, 1 : p + 1] / total[0, 0]) ** 2, 0))
+    at = [*range(p + 1), p + 1 + target]
+    for f, own in g.by_fold.items():
+        fit = solve(g.without(f), g.features, target, alpha, sd)
+        w = np.concatenate([[fit.intercept], fit.coefficients, [-1.0]])
+        left += float(w @ own[np.ix_(at, at)] @ w)
+    y = total[0, p + 1 + target] / total[0, 0]
+    return 1 - left / float(total[p + 1 + target, p + 1 + target] - total[0, 0] * y * y)
+
+
 def press(df: DataFrame, g: Grams, target: int, alphas: Sequence[float]) -> dict[float, float]:
     """Mean squared leave-one-row-out error of the ridge for each penalty, in one scan: e / (1 - leverage) per row."""
     p = len(g.features)

@@ -46,10 +46,32 @@ def event_means(df: DataFrame, event: Sequence[str], columns: Sequence[str], wei
     return df.groupBy(*event).agg(*[ratio(F.sum(F.col(weight) * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col(weight)))).alias(f"mean_{c}") for c in columns])
 
 
+def with_means(df: DataFrame, event: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Each row with its event's means: new name to column. Rows with a null key have none.
+
+    Units are averaged in part before the shuffle, and the few events go back by a join, so no task holds a whole event."""
+    means = df.groupBy(*event).agg(*[F.avg(c).alias(name) for name, c in columns.items()])
+    return df.join(means, list(event), "left")
+
+
 def deviations(df: DataFrame, event: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Each column less its event mean: dev_<column>."""
-    w = Window.partitionBy(*event)
-    return df.withColumns({f"dev_{c}": F.col(c) - F.avg(c).over(w) for c in columns})
+    out = with_means(df, event, {f"_mean_{c}": c for c in columns})
+    return out.withColumns({f"dev_{c}": F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop(*[f"_mean_{c}" for c in columns])
+
+
+def condition_rows(df: DataFrame, kinds: Sequence[str], kind: str, unit: str, order: Sequence[str], columns: Sequence[str], indicators: Sequence[str], depth: int = 2) -> DataFrame:
+    """The training table of a set of event kinds: deviations from the mean of kind and event, lags of columns and
+    deviations over the unit's rows of these kinds, and only rows in which all of these and the indicators are known."""
+    rows = deviations(df.where(F.col(kind).isin(list(kinds))), list(dict.fromkeys([kind, *order])), columns)
+    both = [*columns, *[f"dev_{c}" for c in columns]]
+    return lags(rows, [unit], order, both, depth).dropna(subset=[*indicators, *[f"{c}_lag{k}" for c in both for k in range(1, depth + 1)]])
+
+
+def restrict_rows(df: DataFrame, where: Column, keep: DataFrame, key: str) -> DataFrame:
+    """All rows but those of `where` whose key isn't in `keep`."""
+    marked = keep.select(F.col(key).alias("_key")).distinct().withColumn("_kept", F.lit(True))
+    return df.join(marked, F.col(key) == F.col("_key"), "left").where(~where | F.col("_kept").isNotNull()).drop("_key", "_kept")
 
 
 def lags(df: DataFrame, unit: Sequence[str], order: Sequence[str], columns: Sequence[str], depth: int = 1) -> DataFrame:

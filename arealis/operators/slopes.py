@@ -21,6 +21,22 @@ def ols(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> D
     return s.select(*keys, "n", slope.alias("slope"), F.sqrt(rest / F.greatest(n - 2, F.lit(1)) / F.col("_xx")).alias("se"))
 
 
+def left_out_pair(df: DataFrame, keys: Sequence[str], a: str, b: str, y: str, out: str = "left_out") -> DataFrame:
+    """Prediction of each row's y from a and b by the least-squares plane of the other rows of its group: from the plane of all
+    rows and the row's leverage. Null where the others don't determine a plane. Rows with a null value are left out."""
+    ok = df.dropna(subset=[a, b, y])
+    mean = [F.avg(c).alias(f"_m{i}") for i, c in enumerate((a, b, y))]
+    pairs = {"_aa": (a, a), "_bb": (b, b), "_ab": (a, b), "_ay": (a, y), "_by": (b, y)}
+    sums = ok.groupBy(*keys).agg(F.count("*").alias("_n"), *mean, *[F.covar_pop(x, z).alias(k) for k, (x, z) in pairs.items()])
+    x, z = F.col(a) - F.col("_m0"), F.col(b) - F.col("_m1")
+    det = F.col("_aa") * F.col("_bb") - F.col("_ab") ** 2
+    fit = F.col("_m2") + ratio((F.col("_ay") * F.col("_bb") - F.col("_by") * F.col("_ab")) * x + (F.col("_by") * F.col("_aa") - F.col("_ay") * F.col("_ab")) * z, det)
+    leverage = (1 + ratio(x * x * F.col("_bb") - 2 * x * z * F.col("_ab") + z * z * F.col("_aa"), det)) / F.col("_n")
+    joined = ok.join(sums, list(keys))
+    left = F.when(leverage < 1 - 1e-9, F.col(y) - (F.col(y) - fit) / (1 - leverage))
+    return joined.withColumn(out, left).drop("_n", "_m0", "_m1", "_m2", *pairs)
+
+
 def shrink(slopes: DataFrame, slope: str = "slope", se: str = "se") -> DataFrame:
     """Empirical Bayes: slopes drawn to their precision-weighted mean; tau2 is the variance beyond the sampling error: shrunk."""
     w = 1 / F.greatest(F.col(se) ** 2, F.lit(1e-12))

@@ -64,7 +64,7 @@ def cf_mask_sweep(spark, d):
 def cf_realistic_calibration(spark, d):
     """Half widths where each event's level is known, and where it is the last one."""
     r = residuals(Tables(spark, d))
-    known = r.select(F.lit("known level").alias("level"), (F.col("r") - F.avg("r").over(Window.partitionBy("event"))).alias("r"))
+    known = P.with_means(r, ["event"], {"_mean": "r"}).select(F.lit("known level").alias("level"), (F.col("r") - F.col("_mean")).alias("r"))
     return rounded(I.half_widths(known.unionByName(r.select(F.lit("last level").alias("level"), "r")), "r", 0.1, ["level"]), 5)
 
 

@@ -20,9 +20,9 @@ def fn_iso_date(spark, d):
     return Tables(spark, d).orders.select("o_orderkey", X.iso_date(s).alias("d"))
 
 
-@query("fn_name_normalise", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(left(text, 200), 'ß', ' '), 'œ', ' '))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
+@query("fn_name_normalise", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(text, 'ß', ' '), 'œ', ' '))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
 def fn_name_normalise(spark, d):
-    return Tables(spark, d).documents.select("doc_id", X.normalised_name(F.substring("text", 1, 200)).alias("name"))
+    return Tables(spark, d).documents.select("doc_id", X.normalised_name(F.col("text")).alias("name"))
 
 
 @query("fn_department", "WITH c AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 99999 AS VARCHAR), 5, '0') AS loc FROM customer) SELECT c_custkey, CASE WHEN left(loc, 2) IN ('97', '98') THEN left(loc, 3) ELSE left(loc, 2) END AS dep FROM c")

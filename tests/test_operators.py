@@ -221,3 +221,37 @@ def test_materialise_and_sinks(spark, tmp_path, small):
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == nation.count()
     arrays = io.parallel_arrays(nation, ["n_regionkey"], "n_nationkey", ["n_name"]).collect()
     assert all(r.n_nationkey == sorted(r.n_nationkey) and len(r.n_name) == len(r.n_nationkey) for r in arrays)
+
+
+def test_no_window_holds_a_whole_event(spark, small):
+    """Event means are averaged in part and joined back; the model choice needs one scan."""
+    from pyspark.sql import functions as F
+
+    from arealis.operators import linear as L
+    from arealis.plans.catalog import QUERIES, Tables
+    from arealis.plans.model_queries import features
+
+    for name in ("win_delta_from_event_mean", "cf_variance_split", "agg_weighted_coverage", "st_gamma_flat"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("windowspecdefinition(event#" in x and "ASC" not in x for x in plan.splitlines()), name
+    x, names = features(Tables(spark, small), 8)
+    g = L.grams(x, names, ["y"], "fold")
+    scored = L.metrics(L.out_of_fold(x, g, "fold", 0, 0.1), "y", "oof").first()
+    assert abs(L.fold_r2(g, 0, 0.1) - scored.r2) < 1e-9
+    z = x.withColumn("fold", F.when(F.col("vec_id") % 3 == 0, None).otherwise(F.col("fold")))  # a null fold is one of its own
+    assert abs(L.grams(z, names, ["y"], "fold").total - g.total).max() < 1e-6
+
+
+def test_component_shares(spark, small):
+    import numpy as np
+
+    from arealis.plans.catalog import QUERIES
+
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    groups = {}
+    for r in sorted(rows, key=lambda r: r.vec_id):
+        groups.setdefault((r.label, r.vec_id // 64), []).append(r.embedding)
+    d = np.concatenate([np.diff(np.array(v, float), axis=0) for v in groups.values() if len(v) > 1])
+    values = np.linalg.eigvalsh(np.corrcoef(d.T))[::-1]
+    got = [r.share for r in QUERIES["ml_delta_pca"](spark, small).orderBy("component").collect()]
+    assert np.allclose(got, (values / values.sum())[:5])
