@@ -86,14 +86,17 @@ class Automaton:
         self.two, self.three = W.locate(t.grams, t.two), np.zeros(n, np.int64)
         self.three[t.inner] = W.locate(t.grams, t.three[t.inner])
         before = W.locate(t.words, t.before)
+        self.inner, size = t.inner, len(t.grams)
+        t.word = t.before = t.two = t.three = t.grams = t.gram_n = None  # 10 bytes and more for each byte of text
+        self.two, self.three, before = (x.astype(np.int32) for x in (self.two, self.three, before))
         self.known = word_n > 0
         root = (word_n + 1) / (total + distinct + 1)
         self.root_weight, self.root_next = np.log10(root), np.where(self.known, 1 + np.arange(words), 0)
         # arcs by the number of their n-gram: source, next state, weight; -1 if training has no such n-gram
-        self.source, self.next = np.full(len(t.grams), -1, np.int64), np.zeros(len(t.grams), np.int64)
-        p, self.fall = np.zeros(len(t.grams)), np.zeros(1 + words + len(t.grams))
+        self.source, self.next = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        p, self.fall = np.zeros(size), np.zeros(1 + words + size)
         self.fail = np.zeros(len(self.fall), np.int64)
-        place = np.full(len(t.grams), -1, np.int64)  # where an n-gram occurs
+        place = np.full(size, -1, np.int32)  # where an n-gram occurs
         place[self.two] = np.arange(n)
         pairs = np.flatnonzero(place >= 0)
         c, h, at = gram_n[pairs], word_n[before[place[pairs]]], place[pairs]
@@ -109,7 +112,7 @@ class Automaton:
         self.fail[state] = np.where(word_n[self.word[at]] > 0, 1 + self.word[at], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.fall[state] = np.where(seen, np.log10(mass / (c + mass)), 0)
-        inner = np.flatnonzero(t.inner)
+        inner = np.flatnonzero(self.inner)
         place[:] = -1
         place[self.three[inner]] = inner
         threes = np.flatnonzero(place >= 0)
@@ -148,7 +151,7 @@ class Automaton:
             for arcs in (self.three, self.two):
                 a = arcs[here[open_]]
                 if arcs is self.three:
-                    a = np.where(t.inner[here[open_]], a, -1)
+                    a = np.where(self.inner[here[open_]], a, -1)
                 took = (a >= 0) & (s[open_] > 0) & (self.source[a] == s[open_])
                 hit = open_[took]
                 weight[hit] += self.weight[a[took]]
