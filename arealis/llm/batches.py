@@ -24,6 +24,8 @@ BATCH_BYTES = 8 << 20
 BATCH_ROWS = 1 << 18
 REQUEST = "bucket int, batch long, keys binary, more binary"
 REPLY = "batch long, bucket int, reply binary"
+#: Folders and tables made so far, so that they can be released.
+MADE: list[tuple[str, str]] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -33,7 +35,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"  # one machine: any folder is shared
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    MADE.append(("folder", path))
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders and drop the tables that this session made after the first `since`, but for the last `keep`. Nothing that still reads them may be used again."""
+    for kind, name in MADE[since : len(MADE) - keep]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del MADE[since : len(MADE) - keep]
 
 
 def shared_uri(path: str) -> str:
@@ -95,6 +110,7 @@ def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_
     packed = rows.mapInArrow(pack, "batch long, ids binary, ends binary, text binary, nulls binary")
     n = max(1, min(50_000, rows.rdd.getNumPartitions()))
     name = f"batches_{uuid.uuid4().hex[:12]}"
+    MADE.append(("table", name))
     packed.write.option("compression", "zstd").option("path", work_dir(spark, name)).bucketBy(n, "batch").format("parquet").saveAsTable(name)
     return spark.table(name)
 

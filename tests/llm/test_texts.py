@@ -391,3 +391,33 @@ def test_one_word_of_megabytes_and_repeated(spark):
     assert [(r.doc_id, r.n_words) for r in substrings.repeats(df).orderBy("doc_id").collect()] == [(1, 2_000_000), (2, 1), (3, 2)]
     assert [(r.doc_id, r.n_shingles) for r in jaccard.links(df).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 1)]
     assert [(r.doc_id, r.n_tokens) for r in scoring.score(df).orderBy("doc_id").collect()] == [(1, 2_000_001), (2, 2), (3, 3)]
+
+
+def test_languages_against_plain_compression(spark, small):
+    """Dictionaries, languages and scores of all documents against a plain loop."""
+    import regex
+    import zstandard as zstd
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw")).collect()
+    plain = lambda t: regex.sub(r"[^\p{L}]+", " ", (t or "").lower()).strip(" ")
+    content = {}
+    for r in sorted((r for r in rows if not held_out(r.doc_id, 4, 2) and r.lang is not None and r.text is not None), key=lambda r: (r.lang, r.draw)):
+        t = plain(r.text)
+        begin = max(0, (len(t) - 500) // 2 - 1) if len(t) > 500 else 0
+        t, own = t[begin : begin + 500], content.setdefault(r.lang, [])
+        if t and t not in own[-3:]:
+            own.append(t)
+    learnt = languages.learn(docs.where(languages.trains()))
+    assert learnt == {k: " ".join(v).encode() for k, v in sorted(content.items())}
+    packers = {}
+    for lang, data in learnt.items():
+        d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        packers[lang] = zstd.ZstdCompressor(level=3, dict_data=d, write_content_size=False)
+    want = {}
+    for r in rows:
+        data = plain(r.text).encode()
+        sizes = sorted((sum(len(p.compress(data[i : i + 16384])) for i in range(0, len(data), 16384)), lang) for lang, p in packers.items())
+        want[r.doc_id] = (sizes[0][1], round(1 - sizes[0][0] / sizes[1][0], 9)) if data else ("und", 0.0)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in queries.op10_language_id(spark, small).collect()} == want
