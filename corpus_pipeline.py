@@ -1,7 +1,8 @@
 """The corpus pipeline: stages of the training-data operators over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns the
-pieces of packed sequences. run() writes each stage's result below the shared folder and reads it again for the next.
+pieces of packed sequences. run() writes each stage's result below the shared folder and reads it again for the next;
+what a stage made on its way is deleted then.
 Rows with null text or null id, repeated rows and extra columns follow the operators' own definitions.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealis.llm import jaccard, languages, packing, queries, substrings, suffixes
-from arealis.llm.batches import stored
+from arealis.llm.batches import MADE, release, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = len(MADE)
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, keep=1)  # what the stage made on its way; its result, made last, stays
     return STAGES[-1][1](spark, docs, sf_dir)
