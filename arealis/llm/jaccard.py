@@ -204,8 +204,8 @@ def near_sketches(table: pa.Table, percent: int) -> np.ndarray:
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = df.sparkSession
-    batches = B.stored_batches(df, id_col, text_col)
-    buckets = max(8, batches.count() // 2)
+    batches = B.stored_batches(df, id_col, text_col, B.BATCH_BYTES // 2)  # a text's signatures take more room than its words
+    buckets = max(8, batches.count() // 4)
 
     def classes(b: B.Batch, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
         """The rows that stand for themselves, and for each row the one that stands for it: that with the smallest id of equal sets."""
