@@ -10,6 +10,7 @@ from arealis.operators import linear as L
 from arealis.operators import panel as P
 from arealis.operators import slopes as S
 from arealis.plans.catalog import PANEL, Tables, query, rounded
+from arealis.plans.ridge_sql import METRICS, models
 
 ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 STEP = f"{PANEL}, step AS (SELECT unit, parent, event, A, weight, lag(A) OVER w AS p, A - lag(A) OVER w AS dy, avg(A) OVER (PARTITION BY event) AS tide FROM panel WINDOW w AS (PARTITION BY unit ORDER BY event)), move AS (SELECT *, tide - lag(tide) OVER (PARTITION BY unit ORDER BY event) AS dx FROM step)"
@@ -64,17 +65,17 @@ def ml_ridge_cv(spark, d):
     return spark.createDataFrame([(a, float(s)) for a, s in scores.items()], "alpha double, press double")
 
 
-@query("ml_ridge_loeo")
+@query("ml_ridge_loeo", models(64, {"all": "x"}, [0.1]) + " SELECT vec_id, fold, round(y, 6) AS y, round(oof, 6) AS oof FROM oof")
 def ml_ridge_loeo(spark, d):
     """Each fold predicted by the model of the others."""
     x, names = features(Tables(spark, d))
-    return L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 0.1).select("vec_id", "fold", "y", "oof")
+    return rounded(L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 0.1).select("vec_id", "fold", "y", "oof"))
 
 
-@query("ml_ridge_loeo_rescaled")
+@query("ml_ridge_loeo_rescaled", models(64, {"all": "x"}, [0.1], rescale=True) + " SELECT vec_id, fold, round(y, 6) AS y, round(oof, 6) AS oof FROM oof")
 def ml_ridge_loeo_rescaled(spark, d):
     x, names = features(Tables(spark, d))
-    return L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 0.1, rescale=True).select("vec_id", "fold", "y", "oof")
+    return rounded(L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 0.1, rescale=True).select("vec_id", "fold", "y", "oof"))
 
 
 @query("ml_pca_block")
@@ -85,7 +86,10 @@ def ml_pca_block(spark, d):
     return L.metrics(oof, "y", "oof", ["fold"])
 
 
-@query("ml_ablation")
+ABLATION = {"all": "x"} | {f"without_{k}": f"list_concat(x[1:{k}], x[{k + 17}:64])" for k in range(0, 64, 16)}
+
+
+@query("ml_ablation", models(64, ABLATION, [0.1]) + " SELECT features, round(1 - avg((y - oof) * (y - oof)) / var_pop(y), 5) AS r2 FROM oof GROUP BY 1")
 def ml_ablation(spark, d):
     """Left-out-fold R2 without each group of 16 features: sub-Grams, one scan for the scores."""
     x, names = features(Tables(spark, d))
@@ -98,16 +102,16 @@ def ml_ablation(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return rounded(out, 5)
 
 
-@query("ml_select_model")
+@query("ml_select_model", models(64, {str(n): f"x[1:{n}]" for n in (8, 32, 64)}, ALPHAS) + ", r AS (SELECT CAST(features AS INTEGER) AS n_features, alpha, 1 - avg((y - oof) * (y - oof)) / var_pop(y) AS r2 FROM oof GROUP BY 1, 2) SELECT n_features, alpha, round(r2, 6) AS r2 FROM r ORDER BY r.r2 DESC, alpha, n_features LIMIT 1")
 def ml_select_model(spark, d):
     """The configuration with the best left-out-fold R2, by Grams of one scan."""
     x, names = features(Tables(spark, d))
     g = L.grams(x, names, ["y"], "fold")
     found = [(n, a, L.fold_r2(g.subset(names[:n]), 0, a)) for a in ALPHAS for n in (8, 32, 64)]
-    return spark.createDataFrame([max(found, key=lambda x: (x[2], -x[1], -x[0]))], "n_features int, alpha double, r2 double")
+    return rounded(spark.createDataFrame([max(found, key=lambda x: (x[2], -x[1], -x[0]))], "n_features int, alpha double, r2 double"))
 
 
 @query("ml_weighted_ridge", "WITH x AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(vec_id % 5 + 1 AS DOUBLE) AS w FROM embeddings), m AS (SELECT sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM x), c AS (SELECT any_value(n) AS n, sum(w * (x - mx) * (y - my)) AS cxy, sum(w * (x - mx) * (x - mx)) AS cxx FROM x, m) SELECT round(cxy / cxx / (1 + 10 / n), 6) AS slope FROM c")
@@ -134,22 +138,25 @@ def ml_stack_blend(spark, d):
     return x.select("vec_id", "y", blend.alias("blend"), *parts)
 
 
-@query("ml_poly2")
+POLY2 = "list_concat(x, [" + ", ".join(f"x[{i}] * x[{j}]" for i in range(1, 7) for j in range(i, 7)) + "])"
+
+
+@query("ml_poly2", models(6, {"all": POLY2}, [1.0]) + f" SELECT fold, {METRICS} FROM oof GROUP BY 1")
 def ml_poly2(spark, d):
     """Degree-2 expansion of 6 features, ridge, left-out-fold scores."""
     x, names = features(Tables(spark, d), 6)
     pairs = {f"q{i}_{j}": F.col(a) * F.col(b) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
     x = x.withColumns(pairs)
-    return L.metrics(L.out_of_fold(x, L.grams(x, [*names, *pairs], ["y"], "fold"), "fold", 0, 1.0), "y", "oof", ["fold"])
+    return rounded(L.metrics(L.out_of_fold(x, L.grams(x, [*names, *pairs], ["y"], "fold"), "fold", 0, 1.0), "y", "oof", ["fold"]), 5)
 
 
-@query("ml_typed_slopes")
+@query("ml_typed_slopes", models(8, {"all": "list_concat(x, list_transform(x, lambda v: CASE WHEN vec_id % 2 = 1 THEN v ELSE 0.0 END))"}, [1.0]) + f" SELECT fold, {METRICS} FROM oof GROUP BY 1")
 def ml_typed_slopes(spark, d):
     """Features times group indicators, for slopes of their own."""
     x, names = features(Tables(spark, d), 8)
     kinds = {f"{c}_odd": F.when(F.col("vec_id") % 2 == 1, F.col(c)).otherwise(0.0) for c in names}
     x = x.withColumns(kinds)
-    return L.metrics(L.out_of_fold(x, L.grams(x, [*names, *kinds], ["y"], "fold"), "fold", 0, 1.0), "y", "oof", ["fold"])
+    return rounded(L.metrics(L.out_of_fold(x, L.grams(x, [*names, *kinds], ["y"], "fold"), "fold", 0, 1.0), "y", "oof", ["fold"]), 5)
 
 
 @query("ml_design_compare", f"WITH {STEP}, s AS (SELECT * FROM step WHERE p IS NOT NULL AND event % 2 = 1), a AS (SELECT avg(A) AS my, avg(p) AS mp, covar_pop(A, p) / var_pop(p) AS b FROM step WHERE p IS NOT NULL AND event % 2 = 0) SELECT round(avg((A - my - b * (p - mp)) * (A - my - b * (p - mp))), 5) AS mse_line, round(avg((A - p) * (A - p)), 5) AS mse_flat FROM s, a")
@@ -166,11 +173,11 @@ def explained(t: Tables):
     return x, L.solve(L.grams(x, names, ["y"]).total, names, 0, 0.1)
 
 
-@query("ex_linear_shap")
+@query("ex_linear_shap", models(8, {"all": "x"}, [0.1], whole=True) + " SELECT vec_id, " + ", ".join(f"round(beta[{i + 1}] * (x[{i + 1}] - mean[{i + 1}]), 6) AS c_x{i}" for i in range(8)) + " FROM oof")
 def ex_linear_shap(spark, d):
     """Each feature's contribution to each row's prediction."""
     x, fit = explained(Tables(spark, d))
-    return x.select("vec_id", *[c.alias(f"c_{n}") for c, n in zip(fit.contributions(), fit.features, strict=True)])
+    return rounded(x.select("vec_id", *[c.alias(f"c_{n}") for c, n in zip(fit.contributions(), fit.features, strict=True)]))
 
 
 @query("ex_shap_check", "SELECT CAST(label AS VARCHAR) AS fold, count(*) AS n, 0.0 AS largest_gap FROM embeddings GROUP BY 1")
@@ -234,7 +241,7 @@ def cf_by_territory(spark, d):
     return rounded(I.by_class(residuals(Tables(spark, d)), "r", 0.1, "parent", 30), 5)
 
 
-@query("cf_adaptive")
+@query("cf_adaptive", f"WITH {RES}, edge AS (SELECT list_distinct([quantile_cont(size, 0.2), quantile_cont(size, 0.4), quantile_cont(size, 0.6), quantile_cont(size, 0.8)]) AS edges FROM res), binned AS (SELECT abs(r) AS r, CAST(len(list_filter(edges, lambda x: x < size)) AS INTEGER) AS bin FROM res, edge), o AS (SELECT bin, r, row_number() OVER (PARTITION BY bin ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY bin) AS m, count(*) OVER () AS n FROM binned), h AS (SELECT *, least(1.0, 0.9 * (1 + 1.0 / n)) * (m - 1) AS t FROM o) SELECT bin, count(*) AS n_calibration, round({WIDTH}, 5) AS half_width FROM h GROUP BY 1")
 def cf_adaptive(spark, d):
     return rounded(I.adaptive(residuals(Tables(spark, d)), "r", 0.1, "size"), 5)
 
@@ -273,9 +280,9 @@ def st_grouped_slope(spark, d):
     return rounded(S.ols(moves(Tables(spark, d)), ["parent"], "dx", "dy").select("parent", "n", "slope"), 5)
 
 
-@query("st_eb_shrink")
+@query("st_eb_shrink", f"WITH {STEP}, o AS (SELECT unit, count(*) AS n, covar_pop(dy, dx) AS xy, var_pop(dx) AS xx, var_pop(dy) AS yy FROM move WHERE dx IS NOT NULL AND dy IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND var_pop(dx) > 1e-12), s AS (SELECT unit, n, xy / xx AS slope, sqrt(greatest(0, yy - xy * xy / xx) / greatest(n - 2, 1) / xx) AS se FROM o), g AS (SELECT sum(slope / greatest(se * se, 1e-12)) / sum(1 / greatest(se * se, 1e-12)) AS mean, greatest(0, var_pop(slope) - avg(se * se)) AS tau2 FROM s) SELECT unit, n, round(slope, 5) AS slope, round(se, 5) AS se, round(mean + coalesce(tau2 / nullif(tau2 + se * se, 0), 0) * (slope - mean), 5) AS shrunk FROM s, g")
 def st_eb_shrink(spark, d):
-    return S.shrink(S.ols(moves(Tables(spark, d)), ["unit"], "dx", "dy"))
+    return rounded(S.shrink(S.ols(moves(Tables(spark, d)), ["unit"], "dx", "dy")), 5)
 
 
 @query("st_gamma_flat", f"WITH {STEP} SELECT round(sum(dx * dy) / sum(dx * dx), 5) AS gamma FROM move WHERE dx IS NOT NULL")

@@ -14,8 +14,9 @@ from arealis.operators import panel as P
 from arealis.operators import polls as S
 from arealis.operators import slopes as R
 from arealis.plans.catalog import PANEL, Tables, query, rounded
-from arealis.plans.join_queries import surveys
+from arealis.plans.join_queries import SURVEY, TRUTH, surveys
 from arealis.plans.model_queries import RES, STEP, WIDTH, features, moves, quantile_sql, residuals
+from arealis.plans.ridge_sql import METRICS, models
 
 
 @query("st_level_estimators", f"WITH {PANEL}, x AS (SELECT unit, A, lag(A) OVER (PARTITION BY unit ORDER BY event) AS last, (sum(A) OVER u - A) / nullif(count(*) OVER u - 1, 0) AS others FROM panel WINDOW u AS (PARTITION BY unit)), s AS (SELECT unit, sqrt(avg((A - last) * (A - last))) AS l, sqrt(avg((A - others) * (A - others))) AS o FROM x WHERE last IS NOT NULL GROUP BY 1) SELECT unit, round(l, 5) AS rmse_last, round(o, 5) AS rmse_others, CASE WHEN l <= o THEN 'last' ELSE 'others' END AS best FROM s")
@@ -102,7 +103,7 @@ def st_observed_turnout(spark, d):
     return rounded(rows.groupBy("event_key").agg(P.ratio(F.count_if(F.col("l_linestatus") == "F"), F.count("*"), 100.0).alias("rate")))
 
 
-@query("st_loo_levels")
+@query("st_loo_levels", f"WITH {SURVEY}, {TRUTH}, own AS (SELECT institute, block, poll_date, sum(share - truth) AS s, count(*) AS n FROM c JOIN truth USING (poll_date, block) GROUP BY 1, 2, 3), h AS (SELECT institute, block, poll_date, sum(n) OVER w - n AS n, sum(s) OVER w - s AS s FROM own WINDOW w AS (PARTITION BY institute, block)), x AS (SELECT poll_date, block, exp(-0.1 * date_diff('day', day, poll_date)) AS w, share - CASE WHEN n > 0 THEN s / (n + 2) ELSE 0.0 END AS share FROM c JOIN h USING (institute, block, poll_date)), r AS (SELECT poll_date, block, sum(w * share) / sum(w) AS share FROM x GROUP BY 1, 2) SELECT poll_date, block, round(100 * share / sum(share) OVER (PARTITION BY poll_date), 6) AS share FROM r")
 def st_loo_levels(spark, d):
     """Level per event from readings corrected by institute effects that the event itself has no part in."""
     s = surveys(Tables(spark, d))
@@ -156,16 +157,19 @@ def scores(spark, d, sets: dict[str, list[str]], x, names):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return rounded(out, 5)
 
 
-@query("ml_feature_set_compare")
+SCORES = f" SELECT features, {METRICS} FROM oof GROUP BY 1"
+
+
+@query("ml_feature_set_compare", models(64, {"first": "x[1:16]", "half": "x[1:32]", "all": "x"}, [1.0]) + SCORES)
 def ml_feature_set_compare(spark, d):
     x, names = features(Tables(spark, d))
     return scores(spark, d, {"first": names[:16], "half": names[:32], "all": names}, x, names)
 
 
-@query("ml_add_features_test")
+@query("ml_add_features_test", models(8, {"base": "x", "extra": "list_concat(x, list_transform(x, lambda v: v * v))"}, [1.0]) + SCORES)
 def ml_add_features_test(spark, d):
     """Base features against base and squares, on the same rows."""
     x, names = features(Tables(spark, d), 8)
@@ -173,7 +177,7 @@ def ml_add_features_test(spark, d):
     return scores(spark, d, {"base": names, "extra": [*names, *more]}, x.withColumns(more), [*names, *more])
 
 
-@query("ml_slate_features")
+@query("ml_slate_features", models(8, {"base": "x", "slate": "list_concat(x, [CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END, CASE WHEN vec_id % 5 <> 0 THEN 1.0 ELSE 0.0 END])"}, [1.0]) + SCORES)
 def ml_slate_features(spark, d):
     """Presence flags beside the features."""
     x, names = features(Tables(spark, d), 8)
@@ -181,23 +185,23 @@ def ml_slate_features(spark, d):
     return scores(spark, d, {"base": names, "slate": [*names, *flags]}, x.withColumns(flags), [*names, *flags])
 
 
-@query("ml_tide_interactions")
+@query("ml_tide_interactions", models(8, {"base": "x", "tide": "list_concat(x, [tide], list_transform(x, lambda v: v * tide))"}, [1.0]) + SCORES)
 def ml_tide_interactions(spark, d):
     """Features, a tide and their products."""
     x, names = features(Tables(spark, d), 8)
-    x = x.withColumn("tide", F.avg("y").over(Window.partitionBy("fold")))
+    x = P.with_means(x, ["fold"], {"tide": "y"})
     products = {f"{c}_tide": F.col(c) * F.col("tide") for c in names}
     return scores(spark, d, {"base": names, "tide": [*names, "tide", *products]}, x.withColumns(products), [*names, "tide", *products])
 
 
-@query("ml_ridge_event_cv")
+@query("ml_ridge_event_cv", models(16, {"all": "x"}, [0.1, 1.0, 10.0, 100.0]) + " SELECT CASE alpha WHEN 0.1 THEN 'a0' WHEN 1.0 THEN 'a1' WHEN 10.0 THEN 'a2' ELSE 'a3' END AS alpha, round(sqrt(avg((y - oof) * (y - oof))), 5) AS rmse FROM oof GROUP BY 1")
 def ml_ridge_event_cv(spark, d):
     """Left-out-fold error for each penalty."""
     x, names = features(Tables(spark, d), 16)
     g, alphas = L.grams(x, names, ["y"], "fold"), {"a0": 0.1, "a1": 1.0, "a2": 10.0, "a3": 100.0}
     for name, a in alphas.items():
         x = L.out_of_fold(x, g, "fold", 0, a, out=name)
-    return x.agg(*[F.sqrt(F.avg((F.col("y") - F.col(c)) ** 2)).alias(c) for c in alphas]).unpivot([], list(alphas), "alpha", "rmse")
+    return rounded(x.agg(*[F.sqrt(F.avg((F.col("y") - F.col(c)) ** 2)).alias(c) for c in alphas]).unpivot([], list(alphas), "alpha", "rmse"), 5)
 
 
 def halves(spark, d):
