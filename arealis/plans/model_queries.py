@@ -10,7 +10,7 @@ from arealis.operators import linear as L
 from arealis.operators import panel as P
 from arealis.operators import slopes as S
 from arealis.plans.catalog import PANEL, Tables, query, rounded
-from arealis.plans.ridge_sql import METRICS, models
+from arealis.plans.ridge_sql import METRICS, leverages, models
 
 ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 STEP = f"{PANEL}, step AS (SELECT unit, parent, event, A, weight, lag(A) OVER w AS p, A - lag(A) OVER w AS dy, avg(A) OVER (PARTITION BY event) AS tide FROM panel WINDOW w AS (PARTITION BY unit ORDER BY event)), move AS (SELECT *, tide - lag(tide) OVER (PARTITION BY unit ORDER BY event) AS dx FROM step)"
@@ -56,13 +56,12 @@ def ml_ridge_one(spark, d):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 6), round(float(fit.intercept), 6))], "slope double, intercept double")
 
 
-@query("ml_ridge_cv")
+@query("ml_ridge_cv", leverages(64, ALPHAS) + " SELECT alpha, round(avg((e / (1 - h)) * (e / (1 - h))), 6) AS press FROM h GROUP BY 1")
 def ml_ridge_cv(spark, d):
     """Mean squared leave-one-out error per penalty, from leverages."""
     x, names = features(Tables(spark, d))
-    x = x.withColumn("y", F.col("y"))
     scores = L.press(x, L.grams(x, names, ["y"], "fold"), 0, ALPHAS)
-    return spark.createDataFrame([(a, float(s)) for a, s in scores.items()], "alpha double, press double")
+    return rounded(spark.createDataFrame([(a, float(s)) for a, s in scores.items()], "alpha double, press double"))
 
 
 @query("ml_ridge_loeo", models(64, {"all": "x"}, [0.1]) + " SELECT vec_id, fold, round(y, 6) AS y, round(oof, 6) AS oof FROM oof")

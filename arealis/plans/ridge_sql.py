@@ -41,3 +41,12 @@ e AS (SELECT 1 AS k, * FROM mat UNION ALL SELECT e.k + 1, e.features, e.fold, e.
 fit AS (SELECT e.features, e.fold, e.alpha, any_value(y.mean) - sum(e.r[len(e.r)] * d.inv * d.mean) AS intercept, list(e.r[len(e.r)] * d.inv ORDER BY e.i) AS beta, list(d.mean ORDER BY e.i) AS mean
   FROM e JOIN scaled d ON d.features = e.features AND d.fold = e.fold AND d.j = e.i + 1 JOIN scaled y ON y.features = e.features AND y.fold = e.fold AND y.j = y.last WHERE e.k = len(e.r) GROUP BY ALL),
 oof AS (SELECT s.features, alpha, vec_id, s.fold, y, x, beta, mean, intercept + list_dot_product(beta, x) AS oof FROM s JOIN fit ON fit.features = s.features AND fit.fold = s.fold)"""
+
+
+def leverages(n: int, alphas: Sequence[float]) -> str:
+    """models() of one model over all n features, and `h` (alpha, vec_id, e, h): each row's error and leverage, from the inverse."""
+    return f"""{models(n, {"all": "x"}, alphas, whole=True)},
+q AS (SELECT 1 AS k, alpha, i, list_concat(r[1:{n}], list_transform(range(1, {n + 1}), lambda j: CASE WHEN j = i THEN 1.0 ELSE 0.0 END)) AS r FROM mat UNION ALL SELECT q.k + 1, q.alpha, q.i, CASE WHEN q.i = q.k THEN list_transform(q.r, lambda v: v / q.r[q.k]) ELSE list_transform(list_zip(q.r, p.r), lambda v: v[1] - q.r[q.k] / p.r[q.k] * v[2]) END
+  FROM q JOIN q AS p ON p.alpha = q.alpha AND p.i = q.k WHERE q.k <= {n}),
+u AS (SELECT alpha, vec_id, y - oof AS e, c.n, list_transform(list_zip(x, mean, c.inv), lambda v: (v[1] - v[2]) * v[3]) AS u FROM oof, (SELECT any_value(n) AS n, list(inv ORDER BY j) AS inv FROM scaled WHERE j > 1 AND j < last) AS c),
+h AS (SELECT u.alpha, vec_id, any_value(e) AS e, any_value(1 / n) + sum(u[i] * list_dot_product(r[{n + 1}:{2 * n}], u)) AS h FROM u JOIN q ON q.alpha = u.alpha WHERE q.k = {n + 1} GROUP BY 1, 2)"""
