@@ -224,3 +224,66 @@ def nonnegative(gram: np.ndarray, xy: np.ndarray, rounds: int = 2000) -> np.ndar
         if np.abs(w - before).max() < 1e-12:
             break
     return w
+
+
+def evidence(gram: np.ndarray, p: int, rounds: int = 300, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Bayesian linear model whose two precisions maximise the evidence, from a Gram of (1, p features, target): coefficients,
+    covariance of the coefficients, means of the features, mean of the target, variance of the noise. Each round costs one
+    pass over the eigenvalues of the centred Gram."""
+    n, mean, y = gram[0, 0], gram[0, 1 : p + 1] / gram[0, 0], gram[0, p + 1] / gram[0, 0]
+    values, vectors = np.linalg.eigh(gram[1 : p + 1, 1 : p + 1] - n * np.outer(mean, mean))
+    values = np.maximum(values, 0)
+    v = vectors.T @ (gram[1 : p + 1, p + 1] - n * mean * y)
+    yy = gram[p + 1, p + 1] - n * y * y
+    noise, weight, w = n / max(yy, 1e-12), 1.0, np.zeros(p)
+    for _ in range(rounds):
+        before, w = w, v * noise / (noise * values + weight)
+        used = float((noise * values / (noise * values + weight)).sum())
+        left = max(float(yy - 2 * w @ v + (values * w) @ w), 1e-12)
+        weight, noise = used / max(float(w @ w), 1e-12), max(n - used, 1e-12) / left
+        if np.abs(w - before).sum() < tol:
+            break
+    return vectors @ w, (vectors / (noise * values + weight)) @ vectors.T, mean, float(y), 1 / noise
+
+
+def kernel_features(df: DataFrame, names: Sequence[str], points: np.ndarray, gamma: float, keep: Sequence[str]) -> DataFrame:
+    """Columns `keep`, and k0.. for landmark rows `points`: exp(-gamma * squared distance) times the inverse root of the landmarks'
+    own kernel. Rows with a null or non-finite feature are left out."""
+    pair = lambda a: np.exp(-gamma * ((a[:, None, :] - points[None]) ** 2).sum(2))
+    u, size, vt = np.linalg.svd(pair(points))
+    root = (u / np.sqrt(np.maximum(size, 1e-12))) @ vt
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            x = _matrix(b, len(keep))
+            ok = np.isfinite(x).all(axis=1)
+            if ok.any():
+                k = pair(x[ok]) @ root.T
+                kept = [b.column(i).filter(pa.array(ok)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(k[:, i]) for i in range(k.shape[1])]], [*keep, *[f"k{i}" for i in range(k.shape[1])]])
+
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in names])
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"k{i} double" for i in range(len(points))]))
+
+
+def evidence_out_of_fold(df: DataFrame, g: Grams, fold: str, keep: Sequence[str], out: str, deviation: str) -> DataFrame:
+    """Columns `keep`, and the left-out-fold prediction and its predictive deviation by `evidence`. A matrix per fold goes to the tasks."""
+    fits = {f: evidence(g.without(f), len(g.features)) for f in g.by_fold}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            if b.num_rows:
+                folds, x = np.array(b.column(0).to_pylist(), object), _matrix(b, 1 + len(keep))
+                value, sd = np.full(len(x), np.nan), np.full(len(x), np.nan)
+                for f in set(folds):
+                    if f in fits:
+                        w, cov, mean, y, noise = fits[f]
+                        at = folds == f
+                        z = x[at] - mean
+                        value[at], sd[at] = y + z @ w, np.sqrt(noise + np.einsum("ij,jk,ik->i", z, cov, z))
+                yield pa.RecordBatch.from_arrays([*[b.column(1 + i) for i in range(len(keep))], pa.array(value), pa.array(sd)], [*keep, out, deviation])
+
+    rows = df.select(F.col(fold).cast("string").alias("_fold"), *keep, *g.features)
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{out} double, {deviation} double"]))

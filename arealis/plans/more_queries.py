@@ -240,7 +240,7 @@ def ml_elastic_net_cv(spark, d):
     rows = VectorAssembler(inputCols=names, outputCol="f").transform(x)
     model = LinearRegression(featuresCol="f", labelCol="y", elasticNetParam=0.5)
     grid = ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).build()
-    best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=3, seed=7).fit(rows)
+    best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=5, seed=7).fit(rows)
     return best.transform(rows).select("vec_id", "y", "prediction")
 
 
@@ -260,17 +260,17 @@ def map_party_block_basic(spark, d):
     return Tables(spark, d).part.select("p_partkey", J.rule_chain(F.col("p_type"), [("exact", codes)], "other").alias("block"))
 
 
-def kernel_residual(spark, d, landmarks: int = 24, width: float = 1.0):
+def kernel_residual(spark, d, landmarks: int = 100):
     """Left-out-fold residuals fitted on kernel features: distances to `landmarks` rows, chosen by hash (a fixed, documented
-    number, as in any landmark method); the penalty is fixed."""
+    number, as in any landmark method), by a model whose penalty maximises the evidence."""
     x, names = features(Tables(spark, d), 8)
     x = L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 1.0).withColumn("left", F.col("y") - F.col("oof"))
     complete = x.where(" and ".join(f"{c} is not null" for c in names))
-    points = complete.orderBy(F.xxhash64("vec_id"), "vec_id").select(*names).limit(landmarks).collect()
-    near = lambda p: F.exp(-sum(((F.col(c) - F.lit(float(p[c]))) ** 2 for c in names), F.lit(0.0)) / (2 * width**2))
-    kernel = [f"k{i}" for i in range(len(points))]
-    x = x.withColumns({k: near(p) for k, p in zip(kernel, points, strict=True)})
-    return L.out_of_fold(x, L.grams(x, kernel, ["left"], "fold"), "fold", 0, 1.0, out="more").select("vec_id", "fold", "y", "oof", (F.col("oof") + F.col("more")).alias("fitted"))
+    points = np.array(complete.orderBy(F.xxhash64("vec_id"), "vec_id").select(*names).limit(landmarks).collect(), float)
+    rows = L.kernel_features(x, names, points, 1 / len(names), ["vec_id", "fold", "y", "oof", "left"])
+    g = L.grams(rows, [f"k{i}" for i in range(len(points))], ["left"], "fold")
+    more = L.evidence_out_of_fold(rows, g, "fold", ["vec_id", "fold", "y", "oof"], "more", "deviation")
+    return more.select("vec_id", "fold", "y", "oof", (F.col("oof") + F.col("more")).alias("fitted"), "deviation")
 
 
 @query("ml_kernel_residual")
@@ -280,8 +280,6 @@ def ml_kernel_residual(spark, d):
 
 @query("ml_kernel_calibration")
 def ml_kernel_calibration(spark, d):
-    """The factor that brings the 90th percentile of the scaled errors to that of a normal distribution."""
-    r = kernel_residual(spark, d).withColumn("e", F.col("y") - F.col("fitted"))
-    sd = r.agg(F.stddev_pop("e").alias("sd"))
-    scaled = r.crossJoin(F.broadcast(sd)).select(F.abs(P.ratio("e", "sd")).alias("z"))  # sd is one row
+    """The factor that brings the 90th percentile of the errors, scaled by their predictive deviations, to that of a normal distribution."""
+    scaled = kernel_residual(spark, d).select(F.abs(P.ratio(F.col("y") - F.col("fitted"), "deviation")).alias("z"))
     return scaled.agg((F.percentile("z", 0.9) / 1.645).alias("factor"), F.count("*").alias("n"))
