@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealis.operators.panel import in_bins, ratio
+from arealis.operators.panel import in_bins, quantiles, ratio
 
 
 def level(n: Column, alpha: float) -> Column:
@@ -16,22 +16,9 @@ def level(n: Column, alpha: float) -> Column:
 
 
 def half_widths(df: DataFrame, residual: str, alpha: float, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
-    """Quantile of the absolute residuals per key, linearly interpolated: half_width, n_calibration.
-
-    The level depends on the group's size, which a quantile can't take as an argument: the two order statistics around
-    it are found by rank within the group's sorted distinct values and counts."""
-    from pyspark.sql import Window
-
-    r = df.where(F.col(residual).isNotNull()).withColumn("_r", F.abs(residual)).groupBy(*keys, "_r").agg(F.count("*").alias("_c"))
-    whole = r.groupBy(*keys).agg(F.sum("_c").alias("n_calibration"))
-    sizes = F.lit(n) if n else F.col("n_calibration")
-    whole = whole.withColumn("_at", level(sizes, alpha) * (F.col("n_calibration") - 1))
-    r = r.withColumn("_hi", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.join(F.broadcast(whole), list(keys)) if keys else r.crossJoin(F.broadcast(whole))
-    value = lambda at: F.max(F.when((F.col("_hi") - F.col("_c") <= at) & (at < F.col("_hi")), F.col("_r")))
-    low, high = F.floor("_at"), F.ceil("_at")
-    out = r.groupBy(*keys, "n_calibration", "_at").agg(value(low).alias("_a"), value(high).alias("_b"))
-    return out.select(*keys, "n_calibration", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("half_width"))
+    """Quantile of the absolute residuals per key, linearly interpolated: half_width, n_calibration."""
+    found = quantiles(df.withColumn("_r", F.abs(residual)), "_r", lambda size: [level(F.lit(n) if n else size, alpha)], keys)
+    return found.select(*keys, F.col("n").alias("n_calibration"), F.col("quantiles")[0].alias("half_width"))
 
 
 def by_class(df: DataFrame, residual: str, alpha: float, key: str, least: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ units or events, never the whole table; totals are window sums, so nothing is jo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,16 +135,41 @@ def swing_weights(df: DataFrame, blocks: Sequence[str], weight: str) -> DataFram
     return df.agg(*[ratio(F.sum(F.col(b) * F.col(weight)), F.sum(weight)).alias(b) for b in blocks])
 
 
+def quantiles(df: DataFrame, value: str, levels: Callable[[Column], Sequence[Column]], keys: Sequence[str] = (), cells: int = 100) -> DataFrame:
+    """Exact quantiles per key, linearly interpolated, at the levels that `levels` gives for a group's size: n, quantiles (an array).
+
+    A sketch cuts each group's distinct values into `cells` cells of about equal size; the counts of the cells tell in which
+    ones the wanted ranks lie, and only these are sorted, each by itself. So no task sorts a whole group. Null values are
+    left out; a key without any value, or a null one, gives no row."""
+    keys = list(keys)
+    join = lambda a, b, on: a.join(b, on) if on else a.crossJoin(F.broadcast(b))  # noqa: E731  without keys b has one row
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    whole = values.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile_approx("_v", [i / cells for i in range(1, cells)], 100 * cells).alias("_edges"))
+    whole = whole.where("n > 0").withColumn("_at", F.array(*[x * (F.col("n") - 1) for x in levels(F.col("n"))]))
+    whole = whole.withColumn("_ranks", F.array_distinct(F.concat(F.transform("_at", lambda t: F.floor(t)), F.transform("_at", lambda t: F.ceil(t)))))
+    celled = join(values, whole.select(*keys, "_edges"), keys).select(*keys, "_v", "_c", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_cell"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(upto(Window.partitionBy(*keys).orderBy("_cell"))) - F.col("_n"))  # at most `cells` rows a key
+    holds = lambda low, size: F.exists("_ranks", lambda k: (k >= low) & (k < low + size))
+    hit = join(counts, whole.select(*keys, "_ranks"), keys).where(holds(F.col("_before"), F.col("_n"))).drop("_n")
+    ranked = celled.join(hit, [*keys, "_cell"]).withColumn("_low", F.col("_before") + F.sum("_c").over(upto(Window.partitionBy(*keys, "_cell").orderBy("_v"))) - F.col("_c"))
+    found = ranked.where(holds(F.col("_low"), F.col("_c"))).groupBy(*keys).agg(F.collect_list(F.struct("_low", "_c", "_v")).alias("_found"))
+    at = lambda k: F.filter("_found", lambda x: (x["_low"] <= k) & (k < x["_low"] + x["_c"]))[0]["_v"]
+    between = lambda t: at(F.floor(t)) + (at(F.ceil(t)) - at(F.floor(t))) * (t - F.floor(t))
+    return join(whole.select(*keys, "n", "_at"), found, keys).select(*keys, "n", F.transform("_at", between).alias("quantiles"))
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Interior edges of equal-count bins as an array, equal edges merged, per key."""
-    edges = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    return df.groupBy(*keys).agg(F.array_distinct(edges).alias("edges"))
+    found = quantiles(df, value, lambda n: [F.lit(i / bins) for i in range(1, bins)], keys)
+    return found.select(*keys, F.array_distinct("quantiles").alias("edges"))
 
 
 def in_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
-    """Number of the equal-count bin, from 0; a value on an edge belongs to the lower bin."""
+    """Number of the equal-count bin, from 0; a value on an edge belongs to the lower bin, a null value to none."""
     edges = quantile_edges(df, value, bins)
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    return df.join(F.broadcast(edges), F.lit(True), "left").withColumn(out, F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str = "weighted_median") -> DataFrame:

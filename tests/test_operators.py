@@ -160,6 +160,23 @@ def test_quantile_levels(spark):
     assert few[0] == pytest.approx(I.half_widths(df, "r", 0.1).first().half_width)
 
 
+def test_quantiles(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([np.round(rng.normal(size=900), 1), rng.normal(size=600), np.full(300, 0.25)])
+    df = spark.createDataFrame([(float(x), int(i % 7 % 3)) for i, x in enumerate(v)] + [(None, 1), (None, 9)], "v double, k int")
+    levels = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    for cells in (2, 10, 100):
+        found = P.quantiles(df, "v", lambda n: [F.lit(x) for x in levels], cells=cells).collect()
+        assert len(found) == 1 and found[0].n == len(v) and np.allclose(found[0].quantiles, np.quantile(v, levels))
+    got = {r.k: r.quantiles for r in P.quantiles(df, "v", lambda n: [F.lit(x) for x in levels], ["k"], cells=5).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile(v[np.arange(len(v)) % 7 % 3 == k], levels))
+    assert not P.quantiles(df.where("v is null"), "v", lambda n: [F.lit(0.5)]).collect()
+    assert P.in_bins(df, "v", 4).where("k = 9").count() == 1
+    assert P.in_bins(df.where("v is null"), "v", 4).count() == 2
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(50.0, 30.0, 20.0, True, False, True), (5.0, 5.0, 5.0, False, False, False)], "A double, B double, C double, has_a boolean, has_b boolean, has_c boolean")
     got = [tuple(r)[:3] for r in I.masked(df, {"A": "has_a", "B": "has_b", "C": "has_c"}, 1.0).collect()]
