@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_ID = np.iinfo(np.int64).max
@@ -115,6 +115,19 @@ def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_
     return spark.table(name)
 
 
+def blocked(df: DataFrame, size: Column, most: int, name: str) -> tuple[DataFrame, int]:
+    """Stored rows with `block`, and the number of blocks. A block holds rows of `most` bytes and at most one row more; size: a row's bytes.
+
+    Blocks are cut from running sums within a partition and prefix sums over a row for each partition."""
+    rows = stored(df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"), size.cast("long").alias("_size")), name)
+    totals = rows.groupBy("_part").agg(F.sum("_size").alias("_total"))
+    bases = totals.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_base"))
+    begin = F.col("_base") + F.sum("_size").over(Window.partitionBy("_part").orderBy("_row")) - F.col("_size")
+    cut = rows.join(bases, "_part").withColumn("_begin", begin)
+    out = stored(cut.select(*df.columns, F.floor(F.col("_begin") / most).cast("long").alias("block")), name)
+    return out, (out.agg(F.max("block")).first()[0] or 0) + 1
+
+
 class Batch:
     """A row of stored_batches() in a task."""
 

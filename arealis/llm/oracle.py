@@ -27,3 +27,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST
 
 OP7 = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95), link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), node AS (SELECT vec_id FROM v),
 {_REACH.format(id="vec_id")}, n AS (SELECT a, count(*) AS n FROM link GROUP BY 1) SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM root LEFT JOIN n ON a = vec_id"""
+
+_ITEM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ITEM}) AS ws FROM documents), t AS (SELECT r, unnest(ws) AS term FROM d), i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, {_ITEM})) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY 1, 2), s AS (SELECT count(*) AS docs, coalesce(sum(len(ws)), 0)::BIGINT AS terms FROM d WHERE len(ws) > 0), f AS (SELECT r, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY 1, 2),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs), m AS (SELECT r, doc_id, 25 + (75 * len(ws)::HUGEINT * docs) // terms AS m FROM d, s WHERE len(ws) > 0),
+x AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN v USING (term) JOIN m USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10"""
+
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, {_LETTERS}) AS ws FROM documents), t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10), c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3), v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d), s AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS BIGINT) AS q FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+e AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+UNION ALL SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o QUALIFY part = 'pair' OR rank <= 10"""

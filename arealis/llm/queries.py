@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import ann, html_text, jaccard, languages, oracle, packing, scoring, substrings, suffixes, urls, warc
+from arealis.llm import ann, divergence, html_text, jaccard, languages, oracle, packing, ranking, scoring, substrings, suffixes, urls, warc, wavelet
 
 #: Where the vocabulary of op3 lies; None: as the public_tokenizers package gives it.
 TOKENIZER: str | None = None
@@ -74,6 +74,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~languages.trains()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(ranking.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, path = wavelet.archive(_table(spark, sf_dir, "documents"), tokenizer())
+    return wavelet.read(index, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_matrix": op13_token_matrix,
 }
 SQL: dict[str, str] = {
     "op1_warc_bundles": oracle.OP1,
@@ -92,4 +108,6 @@ SQL: dict[str, str] = {
     "op4_jaccard_join": oracle.OP4,
     "op6_decontaminate": oracle.OP6,
     "op7_vector_dedup": oracle.OP7,
+    "op11_ranked_search": oracle.OP11,
+    "op12_source_divergence": oracle.OP12,
 }

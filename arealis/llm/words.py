@@ -197,6 +197,30 @@ def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at
 
 
+class Vocabulary:
+    """The distinct words of some texts, by number. Other texts' words are found by a digest and compared byte by byte."""
+
+    def __init__(self, w: Words):
+        self.keys, first, self.number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        self.buf, self.at, self.size = w.buf, w.start[first], (w.end - w.start)[first]
+        if not (np.array_equal(self.size[self.number], w.end - w.start) and same(w.buf, w.start, w.buf, self.at[self.number], self.size[self.number]).all()):
+            raise ValueError("two words share a digest")
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, w: Words) -> np.ndarray:
+        """The number of each word, -1 if it isn't among the vocabulary's."""
+        out = np.full(len(w), -1, np.int64)
+        if len(self.keys) and len(w):
+            h = w.hashes()
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            known = np.flatnonzero((self.keys[at] == h) & (self.size[at] == w.end - w.start))
+            known = known[same(w.buf, w.start[known], self.buf, self.at[at[known]], self.size[at[known]])]
+            out[known] = at[known]
+        return out
+
+
 def window_starts(w: Words, k: int) -> np.ndarray:
     """Whether k words of one text start at each word."""
     ok = np.zeros(len(w), bool)
