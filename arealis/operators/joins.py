@@ -24,6 +24,18 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return both.where("_event = 1").select("_row.*", *[F.col(f"_v_{c}").alias(c) for c in columns])
 
 
+def rare_to_unknown(df: DataFrame, keys: Sequence[str], name: str, least: int, unknown: str = "unknown") -> DataFrame:
+    """The name as text, `unknown` where its keys have fewer rows than `least`. Rows with null keys form groups of their own and stay.
+
+    Rows are counted in part and the counts joined back, so that no window holds a frequent key."""
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_rows"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = df.join(counts, same)
+    return joined.withColumn(name, F.when(F.col("_rows") < least, unknown).otherwise(F.col(name).cast("string"))).drop("_rows", *[f"_{k}" for k in keys])
+
+
 def interval(left: DataFrame, events: DataFrame, time: str, at: str, days: int, most_events: int = 100_000) -> DataFrame:
     """Rows of left that lie in the `days` days up to and including an event's date, once for each such event.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,11 +82,14 @@ class Grams:
         return Grams(list(features), self.targets, {k: g[np.ix_(at, at)] for k, g in self.by_fold.items()})
 
 
-def grams(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: str | None = None, weight: str | None = None) -> Grams:
+def grams(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: str | None = None, weight: str | None = None, most: int = 1 << 26) -> Grams:
     side = 1 + len(features) + len(targets)
     out: dict[str, np.ndarray] = {}
+    # a matrix for each fold is held here; group_fits() solves for any number of groups inside the tasks
     for r in moments(df, features, targets, fold, weight).toLocalIterator():
         out[r.fold] = out.get(r.fold, 0.0) + np.frombuffer(r.gram, "<f8")
+        if len(out) * side * side > most:
+            raise ValueError(f"the folds' Grams have more than {most} numbers; solve per group with group_fits()")
     return Grams(list(features), list(targets), {k: v.reshape(side, side) for k, v in sorted(out.items(), key=lambda kv: str(kv[0]))})
 
 
@@ -195,15 +198,8 @@ def out_of_fold(df: DataFrame, g: Grams, fold: str, target: int, alpha: float, o
     Scales come from all rows, unless `rescale`."""
     p, total = len(g.features), g.total
     sd = np.sqrt(np.maximum(np.diag(total)[1 : p + 1] / total[0, 0] - (total[0, 1 : p + 1] / total[0, 0]) ** 2, 0))
-    rows = []
-    for f in g.by_fold:
-        fit = solve(g.without(f), g.features, target, alpha, None if rescale else sd, pca)
-        rows.append((f, float(fit.intercept), [float(x) for x in fit.coefficients]))
-    table = df.sparkSession.createDataFrame(rows, "_fold string, _b double, _c array<double>")
-    joined = df.join(F.broadcast(table), df[fold].cast("string") == F.col("_fold"))
-    x = F.array(*[F.col(c).cast("double") for c in g.features])
-    value = F.aggregate(F.zip_with(x, "_c", lambda a, b: a * b), F.col("_b"), lambda s, v: s + v)
-    return joined.withColumn(out, value).drop("_fold", "_b", "_c")
+    fits = {f: {out: solve(g.without(f), g.features, target, alpha, None if rescale else sd, pca)} for f in g.by_fold}
+    return by_fold(df, fold, fits)
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -287,3 +283,164 @@ def evidence_out_of_fold(df: DataFrame, g: Grams, fold: str, keep: Sequence[str]
     rows = df.select(F.col(fold).cast("string").alias("_fold"), *keep, *g.features)
     types = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{out} double, {deviation} double"]))
+
+
+def gram_entries(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """keys, place, v: the Gram of (1, features, target) of each group of rows, an entry a row, so that Spark can add Grams
+    over keys. Null keys are left out."""
+    schema, names = dict(df.dtypes), list(keys)
+    rows = df.dropna(subset=names).withColumn("_fold", F.to_json(F.struct(*names)))
+    parts = moments(rows, features, [target], "_fold", weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.frombuffer(x, "<f8") for x in b.column(1).to_pylist()]
+            fold = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(fold)), pa.array(place.astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *grams]))], ["fold", "place", "v"])
+
+    entries = parts.mapInArrow(run, "fold string, place int, v double").groupBy("fold", "place").agg(F.sum("v").alias("v"))
+    back = F.from_json("fold", ", ".join(f"`{k}` {schema[k]}" for k in names))
+    return entries.select(back.alias("_k"), "place", "v").select(*[F.col("_k")[k].alias(k) for k in names], "place", "v")
+
+
+def earlier_entries(entries: DataFrame, event: str) -> DataFrame:
+    """Entries summed over all earlier events, for every event but the first: a window holds a row for each event."""
+    w = Window.partitionBy("place").orderBy(event).rowsBetween(Window.unboundedPreceding, -1)
+    whole = entries.groupBy(event, "place").agg(F.sum("v").alias("v"))
+    return whole.select(event, "place", F.sum("v").over(w).alias("v")).where("v is not null")
+
+
+def group_fits(entries: DataFrame, features: Sequence[str], keys: Sequence[str], alpha: float) -> DataFrame:
+    """keys, n (weight), intercept, coefficients: a ridge on the features as they are for each group of entries, solved in the
+    tasks. A matrix of a side for each feature is all that comes together."""
+    names, types, p = list(keys), dict(entries.dtypes), len(features)
+    wide = entries.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("_gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.array(g).reshape(p + 2, p + 2) for g in b.column(len(names)).to_pylist()]
+            fits = [solve(g, features, 0, alpha, np.ones(p)) for g in grams]
+            numbers = [pa.array([g[0, 0] for g in grams], pa.float64()), pa.array([f.intercept for f in fits], pa.float64()), pa.array([f.coefficients.tolist() for f in fits], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *numbers], [*names, "n", "intercept", "coefficients"])
+
+    return wide.mapInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in names], "n double, intercept double, coefficients array<double>"]))
+
+
+def projected(features: Sequence[str], intercept: str = "intercept", coefficients: str = "coefficients") -> Column:
+    """The prediction of a row that has a fit beside it."""
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    return F.aggregate(F.zip_with(x, coefficients, lambda a, b: a * b), F.col(intercept), lambda s, v: s + v)
+
+
+def elastic_path(cov: np.ndarray, xy: np.ndarray, ratios: np.ndarray, penalties: np.ndarray, rounds: int = 1000, tol: float = 1e-9) -> np.ndarray:
+    """Elastic nets from a covariance: coefficients by (penalty, ratio, feature), minimising half the mean squared error plus
+    penalty * (ratio * |b| + (1 - ratio) / 2 * b * b), by coordinate descent with soft thresholds. penalties: (steps, ratios),
+    from the largest down, as each step starts from the one before. All ratios descend together."""
+    b, out = np.zeros((len(ratios), len(xy))), []
+    for step in penalties:
+        cut, shrink = step * ratios, step * (1 - ratios)
+        for _ in range(rounds):
+            before = b.copy()
+            for j in range(len(xy)):
+                if cov[j, j] > 1e-12:
+                    pull = xy[j] - b @ cov[j] + cov[j, j] * b[:, j]
+                    b[:, j] = np.sign(pull) * np.maximum(np.abs(pull) - cut, 0) / (cov[j, j] + shrink)
+            if np.abs(b - before).max() < tol:
+                break
+        out.append(b.copy())
+    return np.array(out)
+
+
+def _centred(gram: np.ndarray, p: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Covariance, covariance with the target, means, mean of the target."""
+    n, mean, y = gram[0, 0], gram[0, 1 : p + 1] / gram[0, 0], gram[0, 1 + p + target] / gram[0, 0]
+    return gram[1 : p + 1, 1 : p + 1] / n - np.outer(mean, mean), gram[1 : p + 1, 1 + p + target] / n - mean * y, mean, float(y)
+
+
+def elastic_net_cv(g: Grams, target: int, ratios: Sequence[float], steps: int = 50, depth: float = 1e-3) -> dict[str, tuple[Fit, float, float]]:
+    """For each fold an elastic net of the other folds, with its penalty and ratio: the pair with the least mean error over the
+    other folds, each left out in turn. Features are scaled by their deviation over the training folds. Everything comes from the
+    folds' Grams: a whole path of penalties costs no pass over the rows."""
+    p, share, out = len(g.features), np.array(ratios, float), {}
+    at = [*range(p + 1), p + 1 + target]
+    for f in g.by_fold:
+        train = g.without(f)
+        cov, xy, mean, y = _centred(train, p, target)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        inv = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0)
+        top = np.abs(xy * inv).max(initial=1e-12) / share
+        penalties = np.geomspace(1, depth, steps)[:, None] * top
+        errors = np.zeros(penalties.shape)
+        inner = [k for k in g.by_fold if k != f]
+        for k in inner:
+            c, v, m, ym = _centred(train - g.by_fold[k], p, target)
+            b = elastic_path(c * np.outer(inv, inv), v * inv, share, penalties) * inv
+            own = g.by_fold[k][np.ix_(at, at)]
+            w = np.concatenate([(ym - b @ m)[..., None], b, -np.ones((*b.shape[:2], 1))], axis=2)
+            errors += np.einsum("sri,ij,srj->sr", w, own, w) / own[0, 0]
+        s, r = np.unravel_index(int(np.argmin(errors)), errors.shape) if inner else (0, 0)
+        beta = elastic_path(cov * np.outer(inv, inv), xy * inv, share[[r]], penalties[: s + 1, [r]])[-1, 0] * inv
+        out[f] = Fit(g.features, float(y - beta @ mean), beta, mean), float(penalties[s, r]), float(share[r])
+    return out
+
+
+def by_fold(df: DataFrame, fold: str, fits: dict[str, dict[str, Fit]], most: int = 10_000) -> DataFrame:
+    """Predictions by the models of each row's fold, a column for each name. fits: fold to name to model. Models for more than
+    `most` folds aren't sent to all tasks."""
+    names = list(next(iter(fits.values()))) if fits else []
+    rows = [(f, *[[m[k].intercept, *m[k].coefficients.tolist()] for k in names]) for f, m in fits.items()]
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["_fold string", *[f"_m{i} array<double>" for i in range(len(names))]]))
+    joined = df.join(F.broadcast(table) if len(rows) <= most else table, df[fold].cast("string") == F.col("_fold"))
+    features = fits[next(iter(fits))][names[0]].features
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    dot = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return joined.withColumns({k: dot(f"_m{i}") for i, k in enumerate(names)}).drop("_fold", *[f"_m{i}" for i in range(len(names))])
+
+
+def nested_blends(g: Grams, parts: dict[str, Sequence[str]], target: int, alpha: float, metas: Sequence[float]) -> dict[str, dict[str, Fit]]:
+    """For each fold, models of the other folds: those of the parts, and their blends: mean, nonnegative weights, and a ridge whose
+    penalty has the least error with each of the other folds left out. The blends' weights come from predictions that each of the
+    other folds got from models without it and without the fold that is scored. All from Grams: a part's predictions are linear in
+    the features, so their Gram over a fold's rows is a product of small matrices."""
+    p, m, at = len(g.features), len(parts), {n: i for i, n in enumerate(g.features)}
+
+    def maps(gram: np.ndarray) -> np.ndarray:
+        """(1, x, y) to (1, predictions, y)."""
+        b = np.zeros((p + 2, m + 2))
+        b[0, 0] = b[p + 1, m + 1] = 1
+        for k, some in enumerate(parts.values()):
+            i = [1 + at[c] for c in some]
+            fit = solve(gram[np.ix_([0, *i, p + 1], [0, *i, p + 1])], some, 0, alpha)
+            b[0, k + 1], b[i, k + 1] = fit.intercept, fit.coefficients
+        return b
+
+    keep = [*range(p + 1), p + 1 + target]
+    grams = {f: x[np.ix_(keep, keep)] for f, x in g.by_fold.items()}
+    total, out = sum(grams.values()), {}
+    for f, own in grams.items():
+        train = total - own
+        seen = {}
+        for k, other in grams.items():
+            if k != f and (train - other)[0, 0] > 0:
+                b = maps(train - other)
+                seen[k] = b.T @ other @ b
+        meta = sum(seen.values())
+        cov, xy, mean, y = _centred(meta, m, 0)
+
+        def error(a: float, seen=seen, meta=meta) -> float:
+            left = 0.0
+            for other in seen.values():
+                fit = solve(meta - other, list(parts), 0, a, np.ones(m))
+                w = np.concatenate([[fit.intercept], fit.coefficients, [-1.0]])
+                left += float(w @ other @ w)
+            return left
+
+        best = min(metas, key=lambda a: (error(a), a)) if len(seen) > 1 else metas[0]
+        weights = {k: np.eye(m)[i] for i, k in enumerate(parts)} | {"mean": np.full(m, 1 / m), "nonnegative": nonnegative(cov, xy), "ridge": solve(meta, list(parts), 0, best, np.ones(m)).coefficients}
+        b = maps(train)
+        out[f] = {}
+        for name, w in weights.items():
+            shift = float(y - w @ mean) if name in ("nonnegative", "ridge") else 0.0
+            out[f][name] = Fit(g.features, shift + float(b[0, 1 : m + 1] @ w), b[1 : p + 1, 1 : m + 1] @ w, train[0, 1 : p + 1] / train[0, 0])
+    return out

@@ -103,6 +103,28 @@ def repaired_lags(df: DataFrame, unit: str, parent: str, order: Sequence[str], c
     return out.drop("_change", *[f"{c}_{x}" for c in columns for x in ("own", "parent")])
 
 
+def lag_across(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], suffix: str = "_lag") -> DataFrame:
+    """Each column's value in the key's previous row, for keys with so many rows that no window may hold one: <column>_lag.
+
+    Rows are dealt into ranges of key and order, and stored, so that the ranges stay as they are; windows hold a range. A
+    range's first row takes its value from the last row of the range before, by a join of a row for each range."""
+    from arealis.sources.io import stored
+
+    by = [*keys, *order]
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = stored(df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_range").orderBy(*by)
+    value = F.struct(*keys, *columns)
+    rows = rows.withColumns({"_before": F.lag(value).over(w), "_place": F.row_number().over(w)})
+    last = rows.groupBy("_range").agg(F.max_by(value, F.struct(*by, "_place")).alias("_last"))
+    carried = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    joined = rows.join(carried, "_range").withColumn("_v", F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_before")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_v.{k}").eqNullSafe(F.col(k))
+    return joined.withColumns({f"{c}{suffix}": F.when(F.col("_v").isNotNull() & same, F.col(f"_v.{c}")) for c in columns}).drop("_range", "_before", "_place", "_carried", "_v")
+
+
 def event_gap(df: DataFrame, series: Sequence[str], when: str, out: str = "gap") -> DataFrame:
     """Time since the previous event of the series."""
     return df.withColumn(out, F.col(when) - F.lag(when).over(Window.partitionBy(*series).orderBy(when)))
@@ -135,15 +157,29 @@ def swing_weights(df: DataFrame, blocks: Sequence[str], weight: str) -> DataFram
     return df.agg(*[ratio(F.sum(F.col(b) * F.col(weight)), F.sum(weight)).alias(b) for b in blocks])
 
 
+def distinct_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Stored rows: keys, _v (a value that isn't null), _c (how often the key has it). What all of a column's quantiles come from."""
+    from arealis.sources.io import stored
+
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    return stored(counted, "values")
+
+
 def quantiles(df: DataFrame, value: str, levels: Callable[[Column], Sequence[Column]], keys: Sequence[str] = (), cells: int = 100) -> DataFrame:
     """Exact quantiles per key, linearly interpolated, at the levels that `levels` gives for a group's size: n, quantiles (an array).
+    Null values are left out; a key without any value, or a null one, gives no row. The input is read once."""
+    return value_quantiles(distinct_values(df, value, keys), levels, keys, cells)
+
+
+def value_quantiles(values: DataFrame, levels: Callable[[Column], Sequence[Column]], keys: Sequence[str] = (), cells: int = 100) -> DataFrame:
+    """quantiles() of distinct_values(), by its keys or some of them.
 
-    A sketch cuts each group's distinct values into `cells` cells of about equal size; the counts of the cells tell in which
-    ones the wanted ranks lie, and only these are sorted, each by itself. So no task sorts a whole group. Null values are
-    left out; a key without any value, or a null one, gives no row."""
+    A sketch cuts each group's values into `cells` cells of about equal size; the counts of the cells tell in which ones the
+    wanted ranks lie, and only these are sorted, each by itself. So no task sorts a whole group."""
     keys = list(keys)
     join = lambda a, b, on: a.join(b, on) if on else a.crossJoin(F.broadcast(b))  # noqa: E731  without keys b has one row
-    values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    if set(values.columns) != {*keys, "_v", "_c"}:
+        values = values.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     whole = values.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile_approx("_v", [i / cells for i in range(1, cells)], 100 * cells).alias("_edges"))
     whole = whole.where("n > 0").withColumn("_at", F.array(*[x * (F.col("n") - 1) for x in levels(F.col("n"))]))
     whole = whole.withColumn("_ranks", F.array_distinct(F.concat(F.transform("_at", lambda t: F.floor(t)), F.transform("_at", lambda t: F.ceil(t)))))

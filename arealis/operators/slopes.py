@@ -37,11 +37,12 @@ def left_out_pair(df: DataFrame, keys: Sequence[str], a: str, b: str, y: str, ou
     return joined.withColumn(out, left).drop("_n", "_m0", "_m1", "_m2", *pairs)
 
 
-def shrink(slopes: DataFrame, slope: str = "slope", se: str = "se") -> DataFrame:
-    """Empirical Bayes: slopes drawn to their precision-weighted mean; tau2 is the variance beyond the sampling error: shrunk."""
+def shrink(slopes: DataFrame, slope: str = "slope", se: str = "se", keys: Sequence[str] = ()) -> DataFrame:
+    """Empirical Bayes: slopes drawn to their precision-weighted mean; tau2 is the variance beyond the sampling error: shrunk.
+    Mean and tau2 are those of all slopes, or of each key."""
     w = 1 / F.greatest(F.col(se) ** 2, F.lit(1e-12))
-    one = slopes.agg(ratio(F.sum(w * F.col(slope)), F.sum(w)).alias("_mean"), F.greatest(F.lit(0.0), F.var_pop(slope) - F.avg(F.col(se) ** 2)).alias("_tau2"))
-    joined = slopes.crossJoin(F.broadcast(one))
+    one = slopes.groupBy(*keys).agg(ratio(F.sum(w * F.col(slope)), F.sum(w)).alias("_mean"), F.greatest(F.lit(0.0), F.var_pop(slope) - F.avg(F.col(se) ** 2)).alias("_tau2"))
+    joined = slopes.join(one, list(keys)) if keys else slopes.crossJoin(F.broadcast(one))
     b = F.coalesce(ratio(F.col("_tau2"), F.col("_tau2") + F.col(se) ** 2), F.lit(0.0))
     return joined.withColumn("shrunk", F.col("_mean") + b * (F.col(slope) - F.col("_mean"))).drop("_mean", "_tau2")
 

@@ -63,4 +63,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-from arealis.plans import join_queries, model_queries, more_queries, panel_queries, run_queries, scalar_queries, source_queries  # noqa: E402, F401
+from arealis.plans import backtest_queries, join_queries, model_queries, more_queries, panel_queries, run_queries, scalar_queries, source_queries  # noqa: E402, F401

@@ -199,8 +199,8 @@ def map_overrides(spark, d):
 @query("map_rare_to_unknown", "SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER (PARTITION BY l_partkey, l_suppkey) < 2 THEN 'unknown' ELSE CAST(l_partkey AS VARCHAR) END AS name FROM lineitem")
 def map_rare_to_unknown(spark, d):
     lines = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    often = lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return lines.join(often, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", F.when(F.col("n") < 2, "unknown").otherwise(F.col("l_partkey").cast("string")).alias("name"))
+    name = J.rare_to_unknown(lines, ["l_partkey", "l_suppkey"], "l_partkey", 2)
+    return name.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("name"))
 
 
 @query("map_lineage", "WITH o AS (SELECT o_custkey, o_orderdate AS at, min(o_orderstatus) AS s FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2) SELECT o_orderkey, coalesce(s, 'none') AS status FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') p ASOF LEFT JOIN o ON p.o_custkey = o.o_custkey AND p.o_orderdate > o.at")

@@ -104,13 +104,22 @@ def ml_ablation(spark, d):
     return rounded(out, 5)
 
 
-@query("ml_select_model", models(64, {str(n): f"x[1:{n}]" for n in (8, 32, 64)}, ALPHAS) + ", r AS (SELECT CAST(features AS INTEGER) AS n_features, alpha, 1 - avg((y - oof) * (y - oof)) / var_pop(y) AS r2 FROM oof GROUP BY 1, 2) SELECT n_features, alpha, round(r2, 6) AS r2 FROM r ORDER BY r.r2 DESC, alpha, n_features LIMIT 1")
+#: Rows of the validation fold are seen by no choice.
+VALIDATION = "9"
+
+
+@query("ml_select_model", models(64, {str(n): f"x[1:{n}]" for n in (8, 32, 64)}, ALPHAS, hold=VALIDATION) + f""", r AS (SELECT CAST(features AS INTEGER) AS n_features, alpha, fold = '{VALIDATION}' AS held, avg((y - oof) * (y - oof)) AS mse, var_pop(y) AS spread FROM oof GROUP BY 1, 2, 3),
+c AS (SELECT n_features, alpha, 1 - mse / spread AS r2 FROM r WHERE NOT held ORDER BY r2 DESC, alpha, n_features LIMIT 1) SELECT n_features, c.alpha, round(c.r2, 6) AS r2, round(1 - mse / spread, 6) AS validation_r2, round(sqrt(mse), 6) AS validation_rmse FROM c JOIN r USING (n_features) WHERE held AND r.alpha = c.alpha""")
 def ml_select_model(spark, d):
-    """The configuration with the best left-out-fold R2, by Grams of one scan."""
+    """The configuration with the best left-out-fold R2 on the training folds, by Grams of one scan; then one pass of the chosen one over
+    the validation fold, which took no part in the choice."""
     x, names = features(Tables(spark, d))
     g = L.grams(x, names, ["y"], "fold")
-    found = [(n, a, L.fold_r2(g.subset(names[:n]), 0, a)) for a in ALPHAS for n in (8, 32, 64)]
-    return rounded(spark.createDataFrame([max(found, key=lambda x: (x[2], -x[1], -x[0]))], "n_features int, alpha double, r2 double"))
+    train = L.Grams(g.features, g.targets, {f: m for f, m in g.by_fold.items() if f != VALIDATION})
+    n, a, r2 = max(((n, a, L.fold_r2(train.subset(names[:n]), 0, a)) for a in ALPHAS for n in (8, 32, 64)), key=lambda x: (x[2], -x[1], -x[0]))
+    fit = L.solve(train.subset(names[:n]).total, names[:n], 0, a)
+    held = L.metrics(x.where(F.col("fold") == VALIDATION).withColumn("p", fit.predict()), "y", "p")
+    return rounded(held.select(F.lit(n).alias("n_features"), F.lit(float(a)).alias("alpha"), F.lit(float(r2)).alias("r2"), F.col("r2").alias("validation_r2"), F.col("rmse").alias("validation_rmse")))
 
 
 @query("ml_weighted_ridge", "WITH x AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(vec_id % 5 + 1 AS DOUBLE) AS w FROM embeddings), m AS (SELECT sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM x), c AS (SELECT any_value(n) AS n, sum(w * (x - mx) * (y - my)) AS cxy, sum(w * (x - mx) * (x - mx)) AS cxx FROM x, m) SELECT round(cxy / cxx / (1 + 10 / n), 6) AS slope FROM c")
@@ -123,18 +132,13 @@ def ml_weighted_ridge(spark, d):
 
 @query("ml_stack_blend")
 def ml_stack_blend(spark, d):
-    """Non-negative weights that blend left-out-fold predictions of three models."""
+    """Left-out-fold scores of three models and of their blends, whose weights never see the fold that they score."""
     x, names = features(Tables(spark, d))
-    g = L.grams(x, names, ["y"], "fold")
     parts = {"m0": names[:24], "m1": names[24:48], "m2": names[48:]}
-    for name, some in parts.items():
-        x = L.out_of_fold(x, g.subset(some), "fold", 0, 0.1, out=name)
-    m = L.grams(x, list(parts), ["y"]).total
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    cov = m[1:, 1:] - n * np.outer(mean, mean)
-    w = L.nonnegative(cov[:3, :3], cov[:3, 3])
-    blend = sum((F.lit(float(a)) * (F.col(c) - float(mu)) for c, a, mu in zip(parts, w, mean[:3], strict=True)), F.lit(float(mean[3])))
-    return x.select("vec_id", "y", blend.alias("blend"), *parts)
+    fits = L.nested_blends(L.grams(x, names, ["y"], "fold"), parts, 0, 0.1, [float(a) for a in np.logspace(-4, 4, 20)])
+    rows = L.by_fold(x, "fold", fits)
+    long = rows.unpivot(["vec_id", "y"], [*parts, "mean", "nonnegative", "ridge"], "method", "p")
+    return L.metrics(long, "y", "p", ["method"])
 
 
 POLY2 = "list_concat(x, [" + ", ".join(f"x[{i}] * x[{j}]" for i in range(1, 7) for j in range(i, 7)) + "])"
@@ -158,15 +162,6 @@ def ml_typed_slopes(spark, d):
     return rounded(L.metrics(L.out_of_fold(x, L.grams(x, [*names, *kinds], ["y"], "fold"), "fold", 0, 1.0), "y", "oof", ["fold"]), 5)
 
 
-@query("ml_design_compare", f"WITH {STEP}, s AS (SELECT * FROM step WHERE p IS NOT NULL AND event % 2 = 1), a AS (SELECT avg(A) AS my, avg(p) AS mp, covar_pop(A, p) / var_pop(p) AS b FROM step WHERE p IS NOT NULL AND event % 2 = 0) SELECT round(avg((A - my - b * (p - mp)) * (A - my - b * (p - mp))), 5) AS mse_line, round(avg((A - p) * (A - p)), 5) AS mse_flat FROM s, a")
-def ml_design_compare(spark, d):
-    """A fitted line against the previous share, on the same held-out rows."""
-    m = moves(Tables(spark, d)).where("p is not null")
-    fit = L.solve(L.grams(m.where("event % 2 = 0"), ["p"], ["A"]).total, ["p"], 0, 0.0)
-    held = m.where("event % 2 = 1")
-    return rounded(held.agg(F.avg((F.col("A") - fit.predict()) ** 2).alias("mse_line"), F.avg((F.col("A") - F.col("p")) ** 2).alias("mse_flat")), 5)
-
-
 def explained(t: Tables):
     x, names = features(t, 8)
     return x, L.solve(L.grams(x, names, ["y"]).total, names, 0, 0.1)
@@ -179,11 +174,12 @@ def ex_linear_shap(spark, d):
     return rounded(x.select("vec_id", *[c.alias(f"c_{n}") for c, n in zip(fit.contributions(), fit.features, strict=True)]))
 
 
-@query("ex_shap_check", "SELECT CAST(label AS VARCHAR) AS fold, count(*) AS n, 0.0 AS largest_gap FROM embeddings GROUP BY 1")
+@query("ex_shap_check", models(8, {"all": "x"}, [0.1], whole=True) + " SELECT CAST(label AS VARCHAR) AS fold, count(*) AS n, round(avg(oof), 5) AS mean, round(min(oof), 5) AS least, round(max(oof), 5) AS most, 0.0 AS largest_gap FROM oof JOIN embeddings USING (vec_id) GROUP BY 1")
 def ex_shap_check(spark, d):
+    """Base and contributions added up, against the model's predictions."""
     x, fit = explained(Tables(spark, d))
     total = sum(fit.contributions(), F.lit(fit.base()))
-    return rounded(x.groupBy("fold").agg(F.count("*").alias("n"), F.max(F.abs(fit.predict() - total)).alias("largest_gap")))
+    return rounded(x.groupBy("fold").agg(F.count("*").alias("n"), F.avg(total).alias("mean"), F.min(total).alias("least"), F.max(total).alias("most"), F.max(F.abs(fit.predict() - total)).alias("largest_gap")), 5)
 
 
 @query("topk_per_row", "WITH x AS (SELECT vec_id, unnest([{'v': -abs(CAST(embedding[1] AS DOUBLE)), 'i': 0}, {'v': -abs(CAST(embedding[2] AS DOUBLE)), 'i': 1}, {'v': -abs(CAST(embedding[3] AS DOUBLE)), 'i': 2}, {'v': -abs(CAST(embedding[4] AS DOUBLE)), 'i': 3}]) AS s FROM embeddings), r AS (SELECT vec_id, s.i AS i, row_number() OVER (PARTITION BY vec_id ORDER BY s.v, s.i) AS k FROM x) SELECT vec_id, max(i) FILTER (k = 1) AS first, max(i) FILTER (k = 2) AS second FROM r GROUP BY 1")
@@ -193,13 +189,30 @@ def topk_per_row(spark, d):
     return Tables(spark, d).embeddings.select("vec_id", top.alias("t")).select("vec_id", F.col("t")[0]["i"].alias("first"), F.col("t")[1]["i"].alias("second"))
 
 
-@query("ex_unit_record")
+def unit_records(x, fit, blocks: dict[str, list[str]], width, top: int = 3):
+    """Each row's record: prediction, its bounds, what each block of features adds to it, and its largest contributions, as nested values."""
+    part = dict(zip(fit.features, fit.contributions(), strict=True))
+    drivers = F.array_sort(F.array(*[F.struct((-F.abs(c)).alias("size"), F.lit(i).alias("i"), F.lit(n).alias("feature"), c.alias("value")) for i, (n, c) in enumerate(part.items())]))
+    adds = F.struct(*[sum((part[c] for c in some), F.lit(0.0)).alias(b) for b, some in blocks.items()])
+    listed = F.transform(F.slice(drivers, 1, top), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value")))
+    wide = x.crossJoin(F.broadcast(width))  # one row
+    return wide.select("vec_id", F.struct(fit.predict().alias("prediction"), (fit.predict() - F.col("half_width")).alias("low"), (fit.predict() + F.col("half_width")).alias("high"), F.lit(fit.base()).alias("base"), adds.alias("blocks"), listed.alias("drivers")).alias("record"))
+
+
+RECORD = models(8, {"all": "x"}, [0.1], whole=True) + """, ranked AS (SELECT abs(y - oof) AS r, row_number() OVER (ORDER BY abs(y - oof)) - 1 AS k, count(*) OVER () AS n FROM oof), placed AS (SELECT *, least(1.0, 0.9 * (1 + 1.0 / n)) * (n - 1) AS t FROM ranked),
+width AS (SELECT max(r) FILTER (k = floor(t)) + (max(r) FILTER (k = ceil(t)) - max(r) FILTER (k = floor(t))) * (any_value(t) - floor(any_value(t))) AS w FROM placed), parts AS (SELECT vec_id, oof, list_transform(range(1, 9), lambda i: beta[i] * (x[i] - mean[i])) AS c FROM oof)
+SELECT vec_id, round(oof, 5) AS prediction, round(oof - w, 5) AS low, round(oof + w, 5) AS high, round(c[1] + c[2] + c[3], 5) AS first, round(c[4] + c[5] + c[6] + c[7] + c[8], 5) AS rest,
+array_to_string(list_transform(list_sort(list_transform(range(1, 9), lambda i: {'s': -abs(c[i]), 'i': i - 1}))[1:3], lambda s: 'x' || s.i), ',') AS drivers FROM parts, width"""
+
+
+@query("ex_unit_record", RECORD)
 def ex_unit_record(spark, d):
-    """A record per row: prediction and its three largest contributions, as nested values."""
+    """A record per row, its nested values laid flat."""
     x, fit = explained(Tables(spark, d))
-    parts = F.array(*[F.struct((-F.abs(c)).alias("size"), F.lit(n).alias("feature"), c.alias("value")) for c, n in zip(fit.contributions(), fit.features, strict=True)])
-    drivers = F.transform(F.slice(F.array_sort(parts), 1, 3), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value")))
-    return x.select("vec_id", F.struct(fit.predict().alias("prediction"), drivers.alias("drivers")).alias("record"))
+    width = I.half_widths(x.withColumn("_e", F.col("y") - fit.predict()), "_e", 0.1).select("half_width")
+    found = unit_records(x, fit, {"first": fit.features[:3], "rest": fit.features[3:]}, width)
+    flat = found.select("vec_id", "record.prediction", "record.low", "record.high", "record.blocks.first", "record.blocks.rest", F.array_join(F.transform("record.drivers", lambda s: s["feature"]), ",").alias("drivers"))
+    return rounded(flat, 5)
 
 
 RES = f"{STEP}, res AS (SELECT unit, parent, event, A, p, A - p AS r, abs(p - avg(p) OVER (PARTITION BY event)) AS size, weight FROM step WHERE p IS NOT NULL)"
@@ -245,16 +258,26 @@ def cf_adaptive(spark, d):
     return rounded(I.adaptive(residuals(Tables(spark, d)), "r", 0.1, "size"), 5)
 
 
-@query("cf_coverage", f"WITH {RES} SELECT event, round(avg(CASE WHEN abs(r) <= 3 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(6.0, 6) AS width FROM res GROUP BY 1")
+FITTED = f"{RES}, {quantile_sql('res', '', '').replace('FROM res)', 'FROM res WHERE event <= 1998)')}, q AS (SELECT {WIDTH} AS w FROM h), b AS (SELECT event, A, weight, greatest(0, p - w) AS low, least(100, p + w) AS high FROM res, q WHERE event > 1998)"
+
+
+def banded(t: Tables):
+    """Rows after 1998 with bounds by the width of the rows up to then."""
+    from arealis.functions.text import clip
+
+    r = residuals(t)
+    w = I.half_widths(r.where("event <= 1998"), "r", 0.1).select("half_width")
+    return r.where("event > 1998").crossJoin(F.broadcast(w)).withColumns({"low": clip(F.col("p") - F.col("half_width")), "high": clip(F.col("p") + F.col("half_width"))})
+
+
+@query("cf_coverage", f"WITH {FITTED} SELECT event, count(*) AS n, round(avg(CASE WHEN A >= low AND A <= high THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(high - low), 6) AS width, round(median(high - low), 6) AS median_width FROM b GROUP BY 1")
 def cf_coverage(spark, d):
-    r = residuals(Tables(spark, d)).withColumns({"low": F.col("p") - 3, "high": F.col("p") + 3})
-    return rounded(I.coverage(r, "A", "low", "high", ["event"]))
+    return rounded(I.coverage(banded(Tables(spark, d)), "A", "low", "high", ["event"]))
 
 
-@query("agg_weighted_coverage", f"WITH {RES} SELECT event, round(sum(CASE WHEN abs(r) <= 3 THEN weight ELSE 0 END) / sum(weight), 6) AS coverage, round(6.0, 6) AS width FROM res GROUP BY 1")
+@query("agg_weighted_coverage", f"WITH {FITTED} SELECT event, count(*) AS n, round(sum(CASE WHEN A >= low AND A <= high THEN weight ELSE 0 END) / sum(weight), 6) AS coverage, round(avg(high - low), 6) AS width, round(median(high - low), 6) AS median_width FROM b GROUP BY 1")
 def agg_weighted_coverage(spark, d):
-    r = residuals(Tables(spark, d)).withColumns({"low": F.col("p") - 3, "high": F.col("p") + 3})
-    return rounded(I.coverage(r, "A", "low", "high", ["event"], "weight"))
+    return rounded(I.coverage(banded(Tables(spark, d)), "A", "low", "high", ["event"], "weight"))
 
 
 @query("cf_variance_split", f"WITH {RES}, x AS (SELECT r, avg(r) OVER (PARTITION BY event) AS m FROM res) SELECT round(100 * var_pop(m) / var_pop(r), 5) AS overall, round(100 * var_pop(r - m) / var_pop(r), 5) AS own FROM x")
@@ -323,12 +346,6 @@ def st_gamma_stability(spark, d):
     return rounded(part("event <= 1998", "a").join(part("event > 1998", "b"), "parent").agg(F.corr("a", "b").alias("r")), 4)
 
 
-@query("st_slope_backtest", f"WITH {STEP} SELECT event, round(sqrt(avg((dy - dx) * (dy - dx))), 5) AS rmse_uniform, round(sqrt(avg(dy * dy)), 5) AS rmse_none FROM move WHERE dx IS NOT NULL GROUP BY 1")
-def st_slope_backtest(spark, d):
-    m = moves(Tables(spark, d)).where("dx is not null")
-    return rounded(m.groupBy("event").agg(F.sqrt(F.avg((F.col("dy") - F.col("dx")) ** 2)).alias("rmse_uniform"), F.sqrt(F.avg(F.col("dy") ** 2)).alias("rmse_none")), 5)
-
-
 @query("st_bootstrap_band")
 def st_bootstrap_band(spark, d):
     return S.bootstrap_band(moves(Tables(spark, d)).where("dx is not null"), "parent", "dx", "dy", row=("unit", "event"))

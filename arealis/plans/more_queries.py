@@ -19,16 +19,6 @@ from arealis.plans.model_queries import RES, STEP, WIDTH, features, moves, quant
 from arealis.plans.ridge_sql import METRICS, models
 
 
-@query("st_level_estimators", f"WITH {PANEL}, x AS (SELECT unit, A, lag(A) OVER (PARTITION BY unit ORDER BY event) AS last, (sum(A) OVER u - A) / nullif(count(*) OVER u - 1, 0) AS others FROM panel WINDOW u AS (PARTITION BY unit)), s AS (SELECT unit, sqrt(avg((A - last) * (A - last))) AS l, sqrt(avg((A - others) * (A - others))) AS o FROM x WHERE last IS NOT NULL GROUP BY 1) SELECT unit, round(l, 5) AS rmse_last, round(o, 5) AS rmse_others, CASE WHEN l <= o THEN 'last' ELSE 'others' END AS best FROM s")
-def st_level_estimators(spark, d):
-    """Two history rules for the level of each unit, judged on the events that both can predict."""
-    u, w = Window.partitionBy("unit"), Window.partitionBy("unit").orderBy("event")
-    x = Tables(spark, d).panel().select("unit", "A", F.lag("A").over(w).alias("last"), P.ratio(F.sum("A").over(u) - F.col("A"), F.count("*").over(u) - 1).alias("others")).where("last is not null")
-    rmse = lambda c: F.sqrt(F.avg((F.col("A") - F.col(c)) ** 2))
-    s = x.groupBy("unit").agg(rmse("last").alias("rmse_last"), rmse("others").alias("rmse_others"))
-    return rounded(s.withColumn("best", F.when(F.col("rmse_last") <= F.col("rmse_others"), "last").otherwise("others")), 5)
-
-
 @query("st_gap_model_loo", f"WITH {PANEL}, s AS (SELECT unit, event, A, event - 1998.0 AS x FROM panel), t AS (SELECT *, count(*) OVER u - 1 AS n, sum(x) OVER u - x AS sx, sum(A) OVER u - A AS sy, sum(x * x) OVER u - x * x AS sxx, sum(x * A) OVER u - x * A AS sxy FROM s WINDOW u AS (PARTITION BY unit)), b AS (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM t) SELECT unit, event, round((sy - slope * sx) / n + slope * x, 5) AS loo FROM b WHERE n >= 2")
 def st_gap_model_loo(spark, d):
     """A line over time per unit, fitted without each row in turn, from delete-one sums."""
@@ -41,12 +31,29 @@ def st_gap_model_loo(spark, d):
     return rounded(t.select("unit", "event", F.expr("(sy - slope * sx) / n + slope * x").alias("loo")), 5)
 
 
-@query("st_floor_sensitivity", f"WITH {PANEL}, x AS (SELECT unit, event, A, min(A) OVER (PARTITION BY unit) AS every, min(A) OVER (PARTITION BY unit ORDER BY event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, min(A) OVER (PARTITION BY unit ORDER BY event ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent FROM panel) SELECT event, round(100 * avg(CASE WHEN A = every THEN 1.0 ELSE 0.0 END), 5) AS leak, round(avg(past - every), 5) AS past_above, round(avg(recent - past), 5) AS recent_above FROM x WHERE past IS NOT NULL GROUP BY 1")
+FLOORS = f"""WITH {PANEL}, m AS (SELECT *, A - avg(A) OVER (PARTITION BY event) AS dev, avg(A) OVER (PARTITION BY event) AS mean FROM panel), k AS (SELECT event, lag(mean) OVER (ORDER BY event) AS anchor FROM (SELECT event, any_value(mean) AS mean FROM m GROUP BY 1)),
+x AS (SELECT unit, event, A, weight, lag(A) OVER u AS before, min(A) OVER (PARTITION BY unit) AS every, min(A) OVER p AS past, min(A) OVER (PARTITION BY unit ORDER BY event ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent, anchor + min(dev) OVER p AS level
+FROM m JOIN k USING (event) WINDOW u AS (PARTITION BY unit ORDER BY event), p AS (PARTITION BY unit ORDER BY event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT event, A, weight, before, unnest(['every', 'past', 'recent', 'level']) AS floor, unnest([every, past, recent, level]) AS f FROM x WHERE past IS NOT NULL), g AS (SELECT *, greatest(before - least(f, before), 0) AS room, greatest(before - A, 0) AS real FROM f)
+SELECT event, floor, count(*) AS n, round(100 * avg(CASE WHEN abs(A - f) <= 1e-9 THEN 1.0 ELSE 0.0 END), 5) AS leak, round(min(f), 5) AS lowest, round(avg(room), 5) AS room, round(max(room), 5) AS largest, round(sum(room * weight) / 100, 3) AS stock, round(CASE WHEN var_pop(room) > 1e-12 AND var_pop(real) > 1e-12 THEN corr(room, real) END, 4) AS r FROM g GROUP BY 1, 2"""
+
+
+@query("st_floor_sensitivity", FLOORS)
 def st_floor_sensitivity(spark, d):
-    """Floors from all, past and recent events: how often the target itself is the floor, and how far the others lie apart."""
+    """Four floors of a unit's level: of all events, of past ones, of the last two, and of past deviations on the level known before.
+    For each event: how often the target itself is the floor, the room down to it, and how well that foretells the fall."""
+    m = P.deviations(Tables(spark, d).panel(), ["event"], ["A"])
+    means = m.groupBy("event").agg(F.avg("A").alias("mean"))
+    anchor = means.select("event", F.lag("mean").over(Window.orderBy("event")).alias("anchor"))  # a row for each event
     w = Window.partitionBy("unit").orderBy("event")
-    x = Tables(spark, d).panel().select("event", "A", F.min("A").over(Window.partitionBy("unit")).alias("every"), F.min("A").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.min("A").over(w.rowsBetween(-2, -1)).alias("recent")).where("past is not null")
-    return rounded(x.groupBy("event").agg((100 * F.avg(F.when(F.col("A") == F.col("every"), 1.0).otherwise(0.0))).alias("leak"), F.avg(F.expr("past - every")).alias("past_above"), F.avg(F.expr("recent - past")).alias("recent_above")), 5)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    floors = {"every": F.min("A").over(Window.partitionBy("unit")), "past": F.min("A").over(past), "recent": F.min("A").over(w.rowsBetween(-2, -1)), "level": F.col("anchor") + F.min("dev_A").over(past)}
+    x = m.join(anchor, "event").select("event", "A", "weight", F.lag("A").over(w).alias("before"), *[c.alias(k) for k, c in floors.items()]).where("past is not null")
+    long = x.unpivot(["event", "A", "weight", "before"], list(floors), "floor", "f")
+    long = long.withColumns({"room": F.greatest(F.col("before") - F.least("f", "before"), F.lit(0.0)), "real": F.greatest(F.col("before") - F.col("A"), F.lit(0.0))})
+    r = F.when((F.var_pop("room") > 1e-12) & (F.var_pop("real") > 1e-12), P.ratio(F.covar_pop("room", "real"), F.sqrt(F.var_pop("room") * F.var_pop("real"))))
+    found = long.groupBy("event", "floor").agg(F.count("*").alias("n"), (100 * F.avg(F.when(F.abs(F.col("A") - F.col("f")) <= 1e-9, 1.0).otherwise(0.0))).alias("leak"), F.min("f").alias("lowest"), F.avg("room").alias("room"), F.max("room").alias("largest"), (F.sum(F.col("room") * F.col("weight")) / 100).alias("stock"), r.alias("r"))
+    return found.withColumns({c: F.round(c, k) + F.lit(0.0) for c, k in (("leak", 5), ("lowest", 5), ("room", 5), ("largest", 5), ("stock", 3), ("r", 4))})
 
 
 RATES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -85,15 +92,6 @@ def st_gamma_per_unit(spark, d):
     return rounded(own.join(base, "parent").select("unit", F.expr("base + (g - base) * n / (n + 4)").alias("gamma")), 5)
 
 
-@query("st_gamma_backtest", f"WITH {STEP}, t AS (SELECT * FROM move WHERE dx IS NOT NULL), g AS (SELECT sum(dx * dy) / sum(dx * dx) AS g FROM t WHERE event < 2000) SELECT event, round(sqrt(avg((dy - g * dx) * (dy - g * dx))), 5) AS rmse_flat, round(sqrt(avg(dy * dy)), 5) AS rmse_none FROM t, g WHERE event >= 2000 GROUP BY 1")
-def st_gamma_backtest(spark, d):
-    """A response learnt from earlier events, tried on later ones."""
-    m = moves(Tables(spark, d)).where("dx is not null")
-    g = m.where("event < 2000").agg(P.ratio(F.sum(F.col("dx") * F.col("dy")), F.sum(F.col("dx") ** 2)).alias("g"))
-    late = m.where("event >= 2000").crossJoin(F.broadcast(g))  # one row
-    return rounded(late.groupBy("event").agg(F.sqrt(F.avg(F.expr("(dy - g * dx) * (dy - g * dx)"))).alias("rmse_flat"), F.sqrt(F.avg(F.expr("dy * dy"))).alias("rmse_none")), 5)
-
-
 @query("st_observed_turnout", "WITH k AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS k, avg(CASE WHEN l_linestatus = 'F' THEN 100.0 ELSE 0.0 END) AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT CAST(k AS INTEGER) AS event_key, round(rate, 6) AS rate FROM k WHERE k IN (199606, 199706, 199806)")
 def st_observed_turnout(spark, d):
     t = Tables(spark, d)
@@ -204,44 +202,43 @@ def ml_ridge_event_cv(spark, d):
     return rounded(x.agg(*[F.sqrt(F.avg((F.col("y") - F.col(c)) ** 2)).alias(c) for c in alphas]).unpivot([], list(alphas), "alpha", "rmse"), 5)
 
 
-def halves(spark, d):
-    x, names = features(Tables(spark, d), 8)
-    return L.grams(x.withColumn("half", F.pmod(F.xxhash64("vec_id"), F.lit(2))), names, ["y"], "half"), names
-
-
-@query("st_coef_stability")
-def st_coef_stability(spark, d):
-    """Correlation of the coefficients of two halves of the rows."""
-    g, names = halves(spark, d)
-    a, b = (L.solve(m, names, 0, 1.0).coefficients for m in g.by_fold.values())
-    return spark.createDataFrame([(float(np.corrcoef(a, b)[0, 1]),)], "r double")
-
-
-@query("st_gamma_within_across")
-def st_gamma_within_across(spark, d):
-    """Error on one half of the rows of the model of the other half, and of its own."""
-    x, names = features(Tables(spark, d), 8)
-    x = x.withColumn("half", F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("string"))
-    g = L.grams(x, names, ["y"], "half")
-    own = L.solve(g.by_fold["0"], names, 0, 1.0).predict()
-    other = L.solve(g.by_fold["1"], names, 0, 1.0).predict()
-    return x.where("half = '0'").agg(F.sqrt(F.avg((F.col("y") - own) ** 2)).alias("within"), F.sqrt(F.avg((F.col("y") - other) ** 2)).alias("across"))
-
-
 @query("ml_elastic_net_cv")
 def ml_elastic_net_cv(spark, d):
-    """Elastic net with its penalty chosen among three by cross-validation."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    x, names = features(Tables(spark, d), 8)
-    rows = VectorAssembler(inputCols=names, outputCol="f").transform(x)
-    model = LinearRegression(featuresCol="f", labelCol="y", elasticNetParam=0.5)
-    grid = ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).build()
-    best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=5, seed=7).fit(rows)
-    return best.transform(rows).select("vec_id", "y", "prediction")
+    """Each fold predicted by an elastic net of the others, its penalty and ratio chosen among 300 by leaving each of those out in turn."""
+    x, names = features(Tables(spark, d), 16)
+    x = x.withColumn("fold", F.pmod(F.col("vec_id"), F.lit(5)).cast("string"))
+    found = L.elastic_net_cv(L.grams(x, names, ["y"], "fold"), 0, [0.1, 0.5, 0.7, 0.9, 0.95, 0.99])
+    return L.by_fold(x, "fold", {f: {"prediction": fit} for f, (fit, _, _) in found.items()}).select("vec_id", "fold", "y", "prediction")
+
+
+NETS = """b AS (SELECT vec_id % 5 AS fold, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS z, 0.7 * embedding[1]::DOUBLE - 0.2 * embedding[2]::DOUBLE + 0.5 * embedding[3]::DOUBLE AS y FROM embeddings),
+g AS (SELECT f.fold, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM (SELECT DISTINCT fold FROM b) f JOIN b ON b.fold <> f.fold GROUP BY 1),
+s AS (SELECT *, xz / sqrt(xx * zz) AS c, xy / sqrt(xx) AS u, zy / sqrt(zz) AS v FROM g), p AS (SELECT s.*, a.penalty, r.ratio, a.penalty * r.ratio AS l1, 1 + a.penalty * (1 - r.ratio) AS d FROM s, (SELECT unnest([0.003, 0.01, 0.03]::DOUBLE[]) AS penalty) a, (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS ratio) r),
+k AS (SELECT *, CASE WHEN i <> 0 AND j <> 0 THEN ((u - l1 * i) * d - c * (v - l1 * j)) / (d * d - c * c) WHEN i <> 0 THEN (u - l1 * i) / d ELSE 0 END AS a1, CASE WHEN i <> 0 AND j <> 0 THEN ((v - l1 * j) * d - c * (u - l1 * i)) / (d * d - c * c) WHEN j <> 0 THEN (v - l1 * j) / d ELSE 0 END AS a2 FROM p, unnest([-1, 0, 1]) AS m(i), unnest([-1, 0, 1]) AS n(j)),
+ok AS (SELECT * FROM k WHERE sign(a1) = i AND sign(a2) = j AND (i <> 0 OR abs(u - c * a2) <= l1) AND (j <> 0 OR abs(v - c * a1) <= l1)),
+e AS (SELECT ok.*, b.y - my - a1 / sqrt(xx) * (b.x - mx) - a2 / sqrt(zz) * (b.z - mz) AS e FROM ok JOIN b ON b.fold = ok.fold)"""
+
+
+@query("ml_elastic_net_path", f"WITH {NETS} SELECT CAST(fold AS VARCHAR) AS fold, penalty, ratio, round(any_value(a1 / sqrt(xx)), 5) AS b0, round(any_value(a2 / sqrt(zz)), 5) AS b1, round(avg(e * e), 6) AS mse FROM e GROUP BY 1, 2, 3")
+def ml_elastic_net_path(spark, d):
+    """Two features, nine pairs of penalty and ratio: coefficients of the other folds and error on the fold, from one scan."""
+    x, names = features(Tables(spark, d), 3)
+    x = x.withColumns({"fold": F.pmod(F.col("vec_id"), F.lit(5)).cast("string"), "y": F.expr("0.7D * x0 - 0.2D * x1 + 0.5D * x2")})
+    g, ratios, penalties = L.grams(x, names[:2], ["y"], "fold"), np.array([0.1, 0.5, 0.9]), [0.03, 0.01, 0.003]
+    rows = []
+    for f, own in g.by_fold.items():
+        t = g.without(f)
+        mean = t[0, 1:] / t[0, 0]
+        cov = t[1:, 1:] / t[0, 0] - np.outer(mean, mean)
+        sd = np.sqrt(np.diag(cov)[:2])
+        path = L.elastic_path(cov[:2, :2] / np.outer(sd, sd), cov[:2, 2] / sd, ratios, np.repeat(np.array(penalties)[:, None], 3, axis=1)) / sd
+        for i, a in enumerate(penalties):
+            for j, r in enumerate(ratios.tolist()):
+                b = path[i, j]
+                w = np.array([mean[2] - b @ mean[:2], *b, -1.0])
+                rows.append((f, a, r, float(b[0]), float(b[1]), float(w @ own @ w / own[0, 0])))
+    found = spark.createDataFrame(rows, "fold string, penalty double, ratio double, b0 double, b1 double, mse double")
+    return found.select("fold", "penalty", "ratio", *[(F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("b0", 5), ("b1", 5), ("mse", 6))])
 
 
 @query("map_poll_block", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'low' WHEN p_brand LIKE 'Brand#2%' THEN 'two' WHEN p_brand LIKE '%3%' THEN 'three' WHEN p_brand LIKE '%4%' THEN 'four' ELSE 'other' END AS block FROM part")

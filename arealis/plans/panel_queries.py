@@ -72,7 +72,7 @@ def win_trend(spark, d):
 def win_lag_national(spark, d):
     t = typed(Tables(spark, d))
     level = P.lags(t.groupBy("kind", "event").agg(F.avg("level").alias("m")), ["kind"], ["event"], ["m"])
-    return rounded(t.join(F.broadcast(level), ["kind", "event"]).select("unit", "kind", "event", F.col("m_lag1").alias("before")), 4)
+    return rounded(t.join(level, ["kind", "event"]).select("unit", "kind", "event", F.col("m_lag1").alias("before")), 4)
 
 
 @query("win_event_gap", f"WITH {TYPED}, e AS (SELECT DISTINCT kind, event FROM typed WHERE (event + length(kind)) % 3 <> 0) SELECT kind, event, event - lag(event) OVER (PARTITION BY kind ORDER BY event) AS gap FROM e")
@@ -94,8 +94,11 @@ def win_delta_lags(spark, d):
 
 @query("win_group_transform", f"WITH {PANEL} SELECT unit, event, round(median(A) OVER (PARTITION BY parent, event), 6) AS middle, sum(weight) OVER (PARTITION BY parent, event) AS total FROM panel")
 def win_group_transform(spark, d):
-    w = Window.partitionBy("parent", "event")
-    return rounded(Tables(spark, d).panel().select("unit", "event", F.median("A").over(w).alias("middle"), F.sum("weight").over(w).alias("total")))
+    """A group's median and total beside each of its rows: aggregated in part and joined back, so that no task holds a group."""
+    panel, keys = Tables(spark, d).panel(), ["parent", "event"]
+    middle = P.quantiles(panel, "A", lambda n: [F.lit(0.5)], keys).select(*keys, F.col("quantiles")[0].alias("middle"))
+    total = panel.groupBy(*keys).agg(F.sum("weight").alias("total"))
+    return rounded(panel.select("unit", *keys).join(middle.join(total, keys), keys).select("unit", "event", "middle", "total"))
 
 
 @query("agg_parent_mean", f"WITH {PANEL} SELECT parent, event, round(avg(A), 6) AS A, round(avg(N), 6) AS N FROM panel GROUP BY 1, 2")
@@ -236,7 +239,7 @@ def agg_flat_baseline(spark, d):
     led = P.leader(Tables(spark, d).panel(), B)
     favourite = P.leader(P.rollup(led, ["event"], B, "weight"), B).select("event", F.col("lead").alias("said"))
     hit = F.when(F.col("lead") == F.col("said"), F.col("weight")).otherwise(0.0)
-    return rounded(led.join(F.broadcast(favourite), "event").groupBy("event").agg(P.ratio(F.sum(hit), F.sum("weight")).alias("accuracy")))
+    return rounded(led.join(favourite, "event").groupBy("event").agg(P.ratio(F.sum(hit), F.sum("weight")).alias("accuracy")))
 
 
 @query("agg_weighted_r2", f"WITH {PANEL}, x AS (SELECT A AS y, lag(A) OVER (PARTITION BY unit ORDER BY event) AS p, weight AS w, event FROM panel), z AS (SELECT *, sum(w * y) OVER (PARTITION BY event) / sum(w) OVER (PARTITION BY event) AS m FROM x WHERE p IS NOT NULL) SELECT event, round(1 - sum(w * (y - p) * (y - p)) / sum(w * (y - m) * (y - m)), 5) AS r2 FROM z GROUP BY 1")
@@ -328,8 +331,7 @@ def agg_median_price(spark, d):
 @query("agg_distinct", "SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_returnflag) AS flags FROM lineitem")
 def agg_distinct(spark, d):
     lines = Tables(spark, d).lineitem
-    one = lambda c, name: lines.agg(F.countDistinct(c).alias(name))
-    return one("l_orderkey", "orders").crossJoin(one("l_partkey", "parts")).crossJoin(one("l_returnflag", "flags"))
+    return lines.agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_returnflag").alias("flags"))
 
 
 @query("agg_grouped_counts", "SELECT o_orderpriority, CAST(year(o_orderdate) AS BIGINT) AS event, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -355,7 +357,7 @@ def agg_bbox_audit(spark, d):
     e = F.col("embedding")
     points = Tables(spark, d).embeddings.select("vec_id", "label", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
     box = points.where("vec_id % 10 <> 0").groupBy("label").agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
-    return points.join(F.broadcast(box), "label").where("x < x0 - 0.01 or x > x1 + 0.01 or y < y0 - 0.01 or y > y1 + 0.01").select("vec_id")
+    return points.join(box, "label").where("x < x0 - 0.01 or x > x1 + 0.01 or y < y0 - 0.01 or y > y1 + 0.01").select("vec_id")
 
 
 @query("agg_centroid_points", "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS y, count(*) AS n FROM embeddings GROUP BY 1")

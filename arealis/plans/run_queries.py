@@ -11,6 +11,7 @@ from arealis.operators import panel as P
 from arealis.operators import slopes as S
 from arealis.plans.catalog import Tables, query, rounded
 from arealis.plans.model_queries import RES, STEP, moves, residuals
+from arealis.plans.ridge_sql import solved
 
 TYPED = """typed AS (SELECT CAST(c_nationkey AS BIGINT) AS unit, o_orderpriority AS kind, CAST(year(o_orderdate) AS BIGINT) AS event, 100 * sum(l_quantity) FILTER (l_returnflag = 'N') / sum(l_quantity) AS share, 100 * sum(l_quantity) FILTER (l_linestatus = 'F') / sum(l_quantity) AS rate
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
@@ -52,6 +53,35 @@ def ml_extended_training(spark, d):
     return rounded(rows.select("unit", "kind", "event", "dev_share", "share_lag1", "share_lag2", "dev_share_lag1", "dev_share_lag2", "weight").withColumnsRenamed({"dev_share": "dev", "dev_share_lag1": "dev_lag1", "dev_share_lag2": "dev_lag2"}), 5)
 
 
+def design_sql(name: str, where: str, part: str) -> str:
+    return f"SELECT * FROM (SELECT '{name}' AS design, unit, kind, event, dev, lag(share) OVER w AS s1, lag(dev) OVER w AS d1 FROM (SELECT *, share - avg(share) OVER (PARTITION BY kind, event) AS dev FROM typed {where}) WINDOW w AS (PARTITION BY {part} ORDER BY event, kind)) WHERE s1 IS NOT NULL AND d1 IS NOT NULL"
+
+
+DESIGNS = f"""WITH RECURSIVE {TYPED}, d AS ({design_sql("own", "WHERE kind = '1-URGENT'", "unit")} UNION ALL {design_sql("all", "", "unit")} UNION ALL {design_sql("isolated", "", "unit, kind")}),
+g AS (SELECT design AS key, i, j, sum(z[i] * z[j]) AS g FROM (SELECT design, [1.0, s1, d1, dev] AS z FROM d WHERE event < 2000), unnest(range(1, 5)) AS a(i), unnest(range(1, 5)) AS b(j) GROUP BY 1, 2, 3), {solved("g", "f", 2, 1.0)},
+h AS (SELECT * FROM d WHERE event >= 2000 AND kind = '1-URGENT'), c AS (SELECT unit, event FROM h GROUP BY 1, 2 HAVING count(*) = 3),
+p AS (SELECT design, dev AS y, intercept + list_dot_product(beta, [s1, d1]) AS p FROM h JOIN c USING (unit, event) JOIN f ON key = design) SELECT design, count(*) AS n, round(1 - avg((y - p) ** 2) / var_pop(y), 5) AS r2, round(sqrt(avg((y - p) ** 2)), 5) AS rmse FROM p GROUP BY 1"""
+
+
+@query("ml_design_compare", DESIGNS)
+def ml_design_compare(spark, d):
+    """Three designs of the training rows, scored on the same later rows of one kind: that kind's rows alone; rows and lags of all
+    kinds; rows of all kinds with lags that stay within a kind. One scan gives the Grams of all designs."""
+    t = typed(Tables(spark, d)).withColumn("series", F.concat_ws("|", "unit", "kind"))
+    kinds = [r.kind for r in t.select("kind").distinct().collect()]  # a handful
+    designs = {"own": (["1-URGENT"], "unit"), "all": (kinds, "unit"), "isolated": (kinds, "series")}
+    rows = None
+    for name, (some, series) in designs.items():
+        one = P.condition_rows(t, some, "kind", series, ["event", "kind"], ["share"], [], depth=1).select(F.lit(name).alias("design"), "unit", "kind", "event", "dev_share", "share_lag1", "dev_share_lag1")
+        rows = one if rows is None else rows.unionByName(one)
+    features = ["share_lag1", "dev_share_lag1"]
+    fits = L.group_fits(L.gram_entries(rows.where("event < 2000"), features, "dev_share", ["design"]), features, ["design"], 1.0)
+    held = rows.where("event >= 2000 and kind = '1-URGENT'")
+    common = held.groupBy("unit", "event").agg(F.count("*").alias("_n")).where(F.col("_n") == len(designs)).select("unit", "event")
+    scored = held.join(common, ["unit", "event"], "left_semi").join(fits, "design").withColumn("p", L.projected(features))
+    return rounded(L.metrics(scored, "dev_share", "p", ["design"]).select("design", "n", "r2", "rmse"), 5)
+
+
 CALIBRATED = """x AS (SELECT parent, unit, event, p AS a, CAST(event % 2 AS DOUBLE) AS b, A AS y FROM step WHERE p IS NOT NULL), g AS (SELECT *, count(*) OVER w - 1 AS n, sum(a) OVER w - a AS sa, sum(b) OVER w - b AS sb, sum(y) OVER w - y AS sy, sum(a * a) OVER w - a * a AS saa, sum(b * b) OVER w - b * b AS sbb, sum(a * b) OVER w - a * b AS sab, sum(a * y) OVER w - a * y AS say, sum(b * y) OVER w - b * y AS sby FROM x WINDOW w AS (PARTITION BY parent)),
 c AS (SELECT *, saa - sa * sa / n AS aa, sbb - sb * sb / n AS bb, sab - sa * sb / n AS ab, say - sa * sy / n AS ay, sby - sb * sy / n AS by_ FROM g)"""
 
@@ -63,31 +93,50 @@ def st_intention_calibration(spark, d):
     return rounded(S.left_out_pair(m, ["parent"], "p", "instrument", "A").select("unit", "event", F.col("A").alias("y"), "left_out"), 4)
 
 
-def block_sql(alpha: float) -> str:
-    width = "max(CASE WHEN k = floor(t) THEN r END) + (max(CASE WHEN k = ceil(t) THEN r END) - max(CASE WHEN k = floor(t) THEN r END)) * (max(t) - floor(max(t)))"
-    return f"SELECT CAST({alpha} AS DOUBLE) AS alpha, count(*) AS n, round(avg(CASE WHEN abs(e.r) <= w THEN 1.0 ELSE 0.0 END), 5) AS coverage, round(sum(CASE WHEN abs(e.r) <= w THEN e.weight ELSE 0.0 END) / sum(e.weight), 5) AS weighted, round(avg(2 * w), 4) AS width FROM res e, (SELECT {width} AS w FROM (SELECT r, k, least(1.0, {1 - alpha} * (1 + 1.0 / n)) * (n - 1) AS t FROM o)) WHERE event > 1998"
+METHODS = f"""WITH {RES}, ed AS (SELECT list_distinct([quantile_cont(size, 0.2), quantile_cont(size, 0.4), quantile_cont(size, 0.6), quantile_cont(size, 0.8)]) AS edges FROM res WHERE event <= 1998),
+x AS (SELECT event, A, weight, unnest(['standard', 'territory', 'adaptive', 'masked']) AS method, unnest(['all', CAST(parent AS VARCHAR), CAST(len(list_filter(edges, lambda e: e < size)) AS VARCHAR), 'all']) AS class, unnest([p, p, p, CASE WHEN unit % 5 <> 1 THEN p ELSE 0 END]) AS c FROM res, ed),
+al AS (SELECT unnest([0.2, 0.1, 0.05]::DOUBLE[]) AS alpha), o AS (SELECT method, class, abs(A - c) AS r, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY method, class) AS n FROM x WHERE event <= 1998 WINDOW w AS (PARTITION BY method, class ORDER BY abs(A - c))),
+h AS (SELECT o.*, alpha, least(1.0, (1 - alpha) * (1 + 1.0 / CASE WHEN method = 'adaptive' THEN (SELECT count(*) FROM res WHERE event <= 1998) ELSE n END)) * (n - 1) AS t FROM o, al),
+q AS (SELECT method, class, alpha, any_value(n) AS n, max(r) FILTER (k = floor(t)) + (max(r) FILTER (k = ceil(t)) - max(r) FILTER (k = floor(t))) * (any_value(t) - floor(any_value(t))) AS w FROM h GROUP BY 1, 2, 3),
+b AS (SELECT x.method, x.class, s.alpha, A, weight, greatest(0, c - coalesce(q.w, s.w)) AS low, least(100, c + coalesce(q.w, s.w)) AS high FROM x JOIN q s ON s.method = 'standard' LEFT JOIN q ON q.method = x.method AND q.class = x.class AND q.alpha = s.alpha AND (q.method <> 'territory' OR q.n >= 10) WHERE event > 1998)
+SELECT method, alpha, class, count(*) AS n, round(avg(CASE WHEN A >= low AND A <= high THEN 1.0 ELSE 0.0 END), 5) AS coverage, round(sum(CASE WHEN A >= low AND A <= high THEN weight ELSE 0 END) / sum(weight), 5) AS weighted, round(avg(high - low), 5) AS width, round(median(high - low), 5) AS median_width FROM b GROUP BY 1, 2, 3"""
 
 
-@query("cf_run_block", f"WITH {RES}, o AS (SELECT abs(r) AS r, row_number() OVER (ORDER BY abs(r)) - 1 AS k, count(*) OVER () AS n FROM res WHERE event <= 1998) " + " UNION ALL ".join(block_sql(a) for a in (0.2, 0.1, 0.05)))
+@query("cf_run_block", METHODS)
 def cf_run_block(spark, d):
-    """One block's run: residuals, widths from the earlier events for each level, coverage and width on the later ones."""
-    return rounded(I.run_block(residuals(Tables(spark, d)), "A", "p", F.col("event") <= 1998, [0.2, 0.1, 0.05], "weight"), 5)
+    """One block's run: widths from the earlier events by four methods, for each class and level; coverage and widths on the later ones."""
+    r = residuals(Tables(spark, d)).withColumn("present", F.col("unit") % 5 != 1)
+    return rounded(I.run_methods(r, "A", "p", F.col("event") <= 1998, [0.2, 0.1, 0.05], "weight", "parent", "size", "present", least=10), 5)
+
+
+def changes(t: Tables, n: int):
+    """Changes of the first n embedding components from each label's previous row."""
+    e = F.col("embedding")
+    rows = t.embeddings.select("vec_id", "label", *[e[i].cast("double").alias(f"x{i}") for i in range(n)])
+    lagged = P.lag_across(rows, ["label"], ["vec_id"], [f"x{i}" for i in range(n)])
+    return lagged.select("vec_id", "label", *[(F.col(f"x{i}") - F.col(f"x{i}_lag")).alias(f"d{i}") for i in range(n)])
 
 
 @query("ml_delta_pca")
 def ml_delta_pca(spark, d):
     """Principal components of the changes of all 64 embedding components along each label's rows: component, share of variance."""
-    from pyspark.sql import Window
-
-    e = F.col("embedding")
-    # rows follow each other by id within 64 slices of a label, so that no window holds a whole label
-    w = Window.partitionBy("label", F.floor(F.col("vec_id") / 64)).orderBy("vec_id")
-    rows = Tables(spark, d).embeddings.select(*[(e[i].cast("double") - F.lag(e[i].cast("double")).over(w)).alias(f"d{i}") for i in range(64)])
-    names = [f"d{i}" for i in range(64)]
-    shares = L.component_shares(L.grams(rows, names, []).total, 5)
+    shares = L.component_shares(L.grams(changes(Tables(spark, d), 64), [f"d{i}" for i in range(64)], []).total, 5)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(shares)], "component int, share double")
 
 
+DELTAS = """b AS (SELECT embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+p AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(embedding[i + 1] AS DOUBLE) - CAST(before[i + 1] AS DOUBLE) AS a, CAST(embedding[j + 1] AS DOUBLE) - CAST(before[j + 1] AS DOUBLE) AS b FROM b, unnest(range(64)) AS x(i), unnest(range(64)) AS y(j) WHERE i <= j AND before IS NOT NULL)"""
+
+
+@query("ml_delta_covariance", f"WITH {DELTAS} SELECT i, j, count(*) AS n, round(covar_pop(a, b), 6) AS covariance FROM p GROUP BY 1, 2")
+def ml_delta_covariance(spark, d):
+    """What the components come from: the covariance of every two changes, and over how many rows."""
+    g = L.grams(changes(Tables(spark, d), 64), [f"d{i}" for i in range(64)], []).total
+    n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    return spark.createDataFrame([(i, j, int(n), round(float(cov[i, j]), 6) + 0.0) for i in range(64) for j in range(i, 64)], "i int, j int, n long, covariance double")
+
+
 @query("ml_boosted_slopes")
 def ml_boosted_slopes(spark, d):
     """Response slopes by boosted trees of three capacities, fitted on earlier events and scored on later ones: error of the change."""

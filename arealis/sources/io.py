@@ -17,6 +17,8 @@ POLLS = "candidat string, parti string, intentions string, nom_institut string,
 SALES = "nature_mutation string, valeur_fonciere double, code_commune string, type_local string, surface_reelle_bati double"
 FEATURE = "type string, properties struct<codeBureauVote:string, codeCommune:string>, geometry struct<type:string, coordinates:string>"
 RINGS = "array<array<array<double>>>"
+#: Scratch folders made so far, each with its application.
+MADE: list[tuple[str, str]] = []
 RULES = [(";", 0), (",", 1), ("\t", 2)]
 
 
@@ -40,7 +42,25 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    MADE.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a scratch folder and read it again: its lineage ends there, and it survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders that this application has made so far. No table that still reads them may be used again."""
+    mine = [x for x in MADE if x[0] == spark.sparkContext.applicationId]
+    for x in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(x)
 
 
 def polls_tree(spark: SparkSession, path: str, kinds: dict[str, str], exclude: str = "municipal") -> DataFrame:

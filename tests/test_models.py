@@ -50,48 +50,103 @@ def test_pca_block(spark, small, data):
         assert r.n == len(e) and r.mae == pytest.approx(np.abs(e).mean()) and r.r2 == pytest.approx(1 - (e**2).mean() / y[fold == f].var())
 
 
+def best_nonnegative(x, y):
+    """Least squares without negative weights: the best over all supports."""
+    c, best = x - x.mean(0), (np.inf, None)
+    for some in range(1, 1 << x.shape[1]):
+        at = [i for i in range(x.shape[1]) if some >> i & 1]
+        w = np.zeros(x.shape[1])
+        w[at] = np.linalg.lstsq(c[:, at], y - y.mean(), rcond=None)[0]
+        e = ((y - y.mean() - c @ w) ** 2).sum()
+        if (w >= 0).all() and e < best[0]:
+            best = e, w
+    return best[1]
+
+
 def test_stack_blend(spark, small, data):
-    """The blend is the least-squares mix of the three predictions with no negative weight: best over all supports."""
+    """Nested: weights for a fold come from rows of other folds, whose predictions come from models without their fold and without it."""
     ids, x, fold = data
     y = target(ids, x)
-    m = np.column_stack([left_out(x[:, a:b], y, fold, 0.1) for a, b in ((0, 24), (24, 48), (48, 64))])
-    c, best = m - m.mean(0), None
-    for some in range(1, 8):
-        at = [i for i in range(3) if some >> i & 1]
-        w = np.linalg.lstsq(c[:, at], y - y.mean(), rcond=None)[0]
-        fit = y.mean() + c[:, at] @ w
-        if (w >= 0).all() and (best is None or ((y - fit) ** 2).sum() < ((y - best) ** 2).sum()):
-            best = fit
-    got = {r.vec_id: r for r in QUERIES["ml_stack_blend"](spark, small).collect()}
-    assert np.allclose([[got[i][c] for c in ("m0", "m1", "m2")] for i in ids], m)
-    assert np.allclose([got[i].blend for i in ids], best, atol=1e-6)
-
-
-def test_unit_record(spark, small, data):
-    ids, x, _ = data
-    x = x[:, :8]
-    beta, base = ridge(x, target(ids, x), 0.1)
-    parts = beta * (x - x.mean(0))
-    got = {r.vec_id: r.record for r in QUERIES["ex_unit_record"](spark, small).collect()}
-    for i, p, row in zip(ids, parts, x, strict=True):
-        order = np.argsort(-np.abs(p), kind="stable")[:3]
-        assert got[i].prediction == pytest.approx(row @ beta + base)
-        assert [d.feature for d in got[i].drivers] == [f"x{k}" for k in order] and [d.value for d in got[i].drivers] == pytest.approx(list(p[order]))
-
-
-def test_halves(spark, small, data):
-    from pyspark.sql import functions as F
-
+    parts, folds = ((0, 24), (24, 48), (48, 64)), sorted(set(fold))
+
+    def predict(train, at):
+        return np.column_stack([(lambda m: x[at, a:b] @ m[0] + m[1])(ridge(x[train, a:b], y[train], 0.1)) for a, b in parts])
+
+    out = {k: np.zeros(len(y)) for k in ("m0", "m1", "m2", "mean", "nonnegative", "ridge")}
+    for f in folds:
+        base = np.zeros((len(y), 3))
+        for k in folds:
+            if k != f:
+                base[fold == k] = predict((fold != f) & (fold != k), fold == k)
+        rest, own = fold != f, predict(fold != f, fold == f)
+        m, t = base[rest], y[rest]
+        line = lambda a, x, y: (lambda c: np.linalg.solve(c.T @ c + a * np.eye(3), c.T @ (y - y.mean())))(x - x.mean(0))
+        errors = {}
+        for a in np.logspace(-4, 4, 20):
+            errors[a] = 0
+            for k in folds:
+                if k != f:
+                    mine, others = fold[rest] == k, fold[rest] != k
+                    w = line(a, m[others], t[others])
+                    errors[a] += ((t[mine] - t[others].mean() - (m[mine] - m[others].mean(0)) @ w) ** 2).sum()
+        weights = {"nonnegative": best_nonnegative(m, t), "ridge": line(min(errors, key=errors.get), m, t)}
+        for i in range(3):
+            out[f"m{i}"][fold == f] = own[:, i]
+        out["mean"][fold == f] = own.mean(1)
+        for k, w in weights.items():
+            out[k][fold == f] = t.mean() + (own - m.mean(0)) @ w
+    got = {r.method: r for r in QUERIES["ml_stack_blend"](spark, small).collect()}
+    assert set(got) == set(out)
+    for k, p in out.items():
+        assert got[k].rmse == pytest.approx(np.sqrt(((y - p) ** 2).mean()), rel=1e-5), k
+    assert got["nonnegative"].rmse < got["mean"].rmse
+
+
+def test_elastic_net_cv(spark, small, data):
+    """Penalty and ratio by inner folds, against proximal gradient steps over all rows."""
     ids, x, _ = data
-    x = x[:, :8]
+    x, fold = x[:, :16], ids % 5
     y = target(ids, x)
-    half = {r.vec_id: r.h for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(2)).alias("h")).collect()}
-    one = np.array([half[i] == 0 for i in ids])
-    (a, a0), (b, b0) = ridge(x[one], y[one], 1.0), ridge(x[~one], y[~one], 1.0)
-    assert QUERIES["st_coef_stability"](spark, small).first().r == pytest.approx(np.corrcoef(a, b)[0, 1])
-    rmse = lambda w, c: np.sqrt(np.mean((y[one] - x[one] @ w - c) ** 2))
-    r = QUERIES["st_gamma_within_across"](spark, small).first()
-    assert (r.within, r.across) == (pytest.approx(rmse(a, a0)), pytest.approx(rmse(b, b0)))
+    ratios = np.array([0.1, 0.5, 0.7, 0.9, 0.95, 0.99])
+
+    def nets(x, y, sd, penalties, shares):
+        c, t = (x - x.mean(0)) / sd, y - y.mean()
+        cov, xy = c.T @ c / len(y), c.T @ t / len(y)
+        b, step = np.zeros((len(penalties), x.shape[1])), 1 / (np.linalg.eigvalsh(cov)[-1] + penalties * (1 - shares))[:, None]
+        z, pace = b, 1.0
+        for _ in range(4000):
+            g = z @ cov - xy + (penalties * (1 - shares))[:, None] * z
+            u = z - step * g
+            new = np.sign(u) * np.maximum(np.abs(u) - step * (penalties * shares)[:, None], 0)
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            z, b, pace = new + (pace - 1) / faster * (new - b), new, faster
+        return b / sd, y.mean() - (b / sd) @ x.mean(0)
+
+    want = np.zeros(len(y))
+    for f in range(5):
+        train = fold != f
+        sd = x[train].std(0)
+        top = np.abs(((x[train] - x[train].mean(0)) / sd).T @ (y[train] - y[train].mean())).max() / train.sum()
+        penalties = (np.geomspace(1, 1e-3, 50)[:, None] * (top / ratios)).ravel()
+        shares, errors = np.tile(ratios, 50), np.zeros(300)
+        for k in range(5):
+            if k != f:
+                some, mine = train & (fold != k), fold == k
+                b, c = nets(x[some], y[some], sd, penalties, shares)
+                errors += ((y[mine][None] - b @ x[mine].T - c[:, None]) ** 2).mean(1)
+        best = int(np.argmin(errors))
+        b, c = nets(x[train], y[train], sd, penalties[[best]], shares[[best]])
+        want[fold == f] = x[fold == f] @ b[0] + c[0]
+    got = {r.vec_id: r.prediction for r in QUERIES["ml_elastic_net_cv"](spark, small).collect()}
+    assert np.allclose([got[i] for i in ids], want, atol=2e-4)
+
+
+def test_delta_pca(spark, small, data):
+    ids, x, fold = data
+    d = np.concatenate([np.diff(x[fold == f], axis=0) for f in sorted(set(fold))])
+    z = (d - d.mean(0)) / d.std(0)
+    values = np.linalg.eigvalsh(z.T @ z)[::-1]
+    assert np.allclose([r.share for r in sorted(QUERIES["ml_delta_pca"](spark, small).collect())], values[:5] / values.sum())
 
 
 def bayes(x, y, rounds=300):

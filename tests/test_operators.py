@@ -272,3 +272,184 @@ def test_component_shares(spark, small):
     values = np.linalg.eigvalsh(np.corrcoef(d.T))[::-1]
     got = [r.share for r in QUERIES["ml_delta_pca"](spark, small).orderBy("component").collect()]
     assert np.allclose(got, (values / values.sum())[:5])
+
+
+def test_lag_across(spark):
+    """Equals a window's lag, whatever range a row falls into; null keys are a key, and ranges may be empty."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from arealis.operators import panel as P
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, rng.random()])) for i in range(300)] + [("c", 1000, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    want = df.withColumn("v_lag", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    assert sorted(map(repr, P.lag_across(df.repartition(3), ["k"], ["t"], ["v"]).collect())) == sorted(map(repr, want.collect()))
+    assert P.lag_across(df.limit(0), ["k"], ["t"], ["v"]).count() == 0
+
+
+def moved(spark, seed=2):
+    """Units in two groups over seven events, with nulls; unit slopes differ."""
+    import random
+
+    rng = random.Random(seed)
+    tide = [rng.uniform(-3, 3) for _ in range(7)]
+    rows = []
+    for u in range(12):
+        slope, level = 0.2 + 0.15 * u, 20.0
+        for e, x in enumerate(tide):
+            dy = slope * x + rng.gauss(0, 0.3)
+            rows.append((u, u % 2, 2000 + e, level, x, dy if rng.random() > 0.05 else None))
+            level += dy
+    return rows, spark.createDataFrame(rows, "unit int, parent int, event int, p double, dx double, dy double")
+
+
+def test_slope_backtest_sees_earlier_events_only(spark):
+    import numpy as np
+
+    from arealis.operators import backtests as B
+
+    rows, df = moved(spark)
+    own = {(r.unit, r.event): (r.n, r.slope, r.se) for r in B.rolling_slopes(df, ["unit"], "event", "dx", "dy").collect()}
+    for (u, e), (n, slope, se) in own.items():
+        x, y = (np.array([r[i] for r in rows if r[0] == u and r[2] < e and r[5] is not None]) for i in (4, 5))
+        b, a = np.polyfit(x, y, 1)
+        assert n == len(x) and abs(b - slope) < 1e-9
+        assert abs(se - np.sqrt(((y - a - b * x) ** 2).mean() / max(n - 2, 1) / x.var())) < 1e-9
+    got = {(r.event, r.method): r for r in B.slope_backtest(df, "unit", "parent", "event", "dx", "dy").collect()}
+    last = max(e for e, _ in got)
+    assert got[last, "unit"].rmse < got[last, "uniform"].rmse and got[last, "unit"].het_corr > 0.5 and got[last, "uniform"].het_corr is None
+    # what comes later changes nothing
+    before = {k: v for k, v in got.items() if k[0] < last}
+    again = {(r.event, r.method): r for r in B.slope_backtest(df.where(f"event < {last}"), "unit", "parent", "event", "dx", "dy").collect()}
+    assert before == again
+    assert B.slope_backtest(df.limit(0), "unit", "parent", "event", "dx", "dy").count() == 0
+
+
+def test_response_backtest(spark):
+    import numpy as np
+
+    from arealis.operators import backtests as B
+
+    rows, df = moved(spark, 3)
+    got = {(r.event, r.method): r for r in B.response_backtest(df, "unit", "event", "p", "dx", "dy", bins=3, width=0.5).collect()}
+    ok = [r for r in rows if r[5] is not None]
+    for (e, method), r in got.items():
+        past, now = [x for x in ok if x[2] < e], [x for x in ok if x[2] == e]
+        flat = sum(x[4] * x[5] for x in past) / sum(x[4] ** 2 for x in past)
+        assert r.n == len(now)
+        if method == "flat":
+            assert abs(r.rmse - np.sqrt(np.mean([(x[5] - flat * x[4]) ** 2 for x in now]))) < 1e-9 and r.het_corr is None
+        if method == "curve":
+            cells = {}
+            for x in past:
+                c = cells.setdefault(int(np.floor(x[3] / 0.5)), [0, 0.0, 0.0, 0.0])
+                for i, v in enumerate((1, x[3], x[4] * x[5], x[4] ** 2)):
+                    c[i] += v
+            bins, done = {}, 0
+            for c in sorted(cells):
+                b = bins.setdefault(int(3 * (done + cells[c][0] / 2) / len(past)), [0, 0.0, 0.0, 0.0])
+                bins[int(3 * (done + cells[c][0] / 2) / len(past))] = [p + q for p, q in zip(b, cells[c])]
+                done += cells[c][0]
+            points = sorted((b[1] / b[0], b[2] / b[3]) for b in bins.values())
+            g = np.clip(np.interp([x[3] for x in now], *zip(*points)), 0, 1)
+            assert abs(r.rmse - np.sqrt(np.mean([(x[5] - k * x[4]) ** 2 for k, x in zip(g, now)]))) < 1e-9
+    assert {m for _, m in got} == {"flat", "curve", "unit"} and min(e for e, _ in got) == 2001
+    assert B.response_backtest(df.limit(0), "unit", "event", "p", "dx", "dy").count() == 0
+
+
+def test_within_across_and_stability(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from arealis.operators import backtests as B
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for e in range(4):
+        for u in range(40):
+            z = rng.normal(size=2)
+            x = float(rng.uniform(0.5, 2))
+            rows.append((u, e, "a" if u % 2 else "b", 10 + float(z[0]), float(z[0]), float(z[1]), x, float(x * (0.5 + 0.1 * z[0] * (1 if e % 2 else -1) + 0.02 * rng.normal()))))
+    df = spark.createDataFrame([*rows, (99, 1, "a", None, 0.0, 0.0, 1.0, 1.0), (98, 1, "b", 1.0, 0.0, 0.0, 0.0, 1.0)], "unit int, event int, half string, p double, z0 double, z1 double, dx double, dy double")
+
+    def fit(some):
+        z, w = np.array([r[4:6] for r in some]), np.array([r[6] ** 2 for r in some])
+        y = np.array([r[7] / r[6] for r in some])
+        mz, my = w @ z / w.sum(), w @ y / w.sum()
+        beta = np.linalg.solve((z - mz).T @ ((z - mz) * w[:, None]) + 2.0 * np.eye(2), (z - mz).T @ (w * (y - my)))
+        return my - beta @ mz, beta
+
+    got = {(r.event, r.method): r for r in B.within_across(df, "event", "half", ["z0", "z1"], "p", "dx", "dy", 2.0, bins=4).collect()}
+    assert {e for e, _ in got} == {1, 2, 3}
+    for e in (1, 2, 3):
+        tried = [r for r in rows if r[1] == e and r[2] == "b"]
+        for method, some in (("within", [r for r in rows if r[1] == e and r[2] == "a"]), ("across", [r for r in rows if r[1] < e])):
+            a, b = fit(some)
+            p = [np.clip(a + b @ np.array(r[4:6]), 0, 1) * r[6] for r in tried]
+            assert abs(got[e, method].rmse - np.sqrt(np.mean([(r[7] - q) ** 2 for r, q in zip(tried, p)]))) < 1e-9
+        assert got[e, "within"].rmse < got[e, "across"].rmse  # the pattern turns round at each event
+    stable = {(r.event_a, r.event_b): r for r in B.coefficient_stability(df, "event", ["z0", "z1"], "dx", "dy", 2.0).collect()}
+    assert set(stable) == {(a, b) for a in range(4) for b in range(a + 1, 4)} and all(r.same_direction for r in stable.values())
+    beta = [fit([r for r in rows if r[1] == e])[1] for e in range(4)]
+    assert abs(stable[0, 2].r - np.corrcoef(beta[0], beta[2])[0, 1]) < 1e-9
+    assert B.within_across(df.limit(0), "event", "half", ["z0", "z1"], "p", "dx", "dy", 2.0).count() == 0
+    assert B.coefficient_stability(df.where(F.lit(False)), "event", ["z0", "z1"], "dx", "dy", 2.0).count() == 0
+
+
+def test_level_rules(spark):
+    """Left-out guesses by brute force, with a series of one event, one kind and a survey."""
+    import numpy as np
+
+    from arealis.operators import levels as E
+
+    rows = [("s", "x", 1.0, 10.0), ("s", "y", 2.5, 12.0), ("s", "x", 3.0, 11.0), ("s", "y", 6.0, 16.0), ("s", "x", 7.0, 15.0), ("one", "x", 1.0, 5.0), ("polled", "x", 1.0, 5.0), ("polled", "x", 2.0, 7.0)]
+    df = spark.createDataFrame(rows, "series string, kind string, t double, level double")
+    surveys = spark.createDataFrame([("polled", 6.5), ("nobody", 1.0)], "series string, survey double")
+    got = {r.series: r for r in E.choose_rule(df, "series", "kind", "t", "level", 9.0, "x", surveys).collect()}
+    t, y, kinds = np.array([1.0, 2.5, 3.0, 6.0, 7.0]), np.array([10.0, 12, 11, 16, 15]), "xyxyx"
+    gap, guesses = np.diff(t), {r: {} for r in E.RULES}
+    for i in range(5):
+        others = [k for k in range(5) if k != i]
+        if i:
+            ok = [k for k in others if k]
+            b, a = np.polyfit(gap[[k - 1 for k in ok]], y[ok], 1)
+            guesses["gap"][i] = a + b * gap[i - 1]
+            guesses["last"][i] = y[i - 1]
+        same = [k for k in others if kinds[k] == kinds[i]]
+        guesses["same_mean"][i], guesses["mean"][i] = y[same].mean(), y[others].mean()
+        if [k for k in same if k < i]:
+            guesses["last_same"][i] = y[max(k for k in same if k < i)]
+    rmse = {r: np.sqrt(np.mean([(y[i] - v) ** 2 for i, v in g.items()])) for r, g in guesses.items()}
+    for r, e in rmse.items():
+        assert abs(got["s"][f"rmse_{r}"] - e) < 1e-9
+    assert got["s"].best == min(rmse, key=rmse.get)
+    assert (got["polled"].best, got["polled"].predicted) == ("survey", 6.5)
+    assert got["one"].best is None and got["one"].predicted is None
+    assert E.choose_rule(df.limit(0), "series", "kind", "t", "level", 9.0, "x").count() == 0
+
+
+def test_interval_methods_on_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    from arealis.operators import intervals as I  # noqa: E741
+
+    rows = [(i, f"t{i % 3}" if i % 7 else None, float(i % 11), float(i % 5), 1.0 + i % 2, i % 4 != 0, i < 60) for i in range(90)] + [(90, "new", 5.0, 4.0, 1.0, True, False), (91, "t1", None, 1.0, 1.0, True, True), (92, "t1", 1.0, None, 1.0, True, False)]
+    df = spark.createDataFrame(rows, "id int, terr string, y double, p double, w double, here boolean, cal boolean")
+    got = {(r.method, r.alpha, r["class"]): r for r in I.run_methods(df, "y", "p", F.col("cal"), [0.2, 0.5], "w", "terr", "p", "here", bins=2, least=5).collect()}
+    assert {m for m, _, _ in got} == {"standard", "territory", "adaptive", "masked"}
+    assert got["standard", 0.2, "all"].n == 31 and got["territory", 0.2, "new"].n == 1
+    assert got["territory", 0.2, "none"].n == sum(i % 7 == 0 for i in range(60, 90))
+    assert all(0 <= r.coverage <= 1 and r.width <= 100 and r.median_width <= 100 for r in got.values())
+    assert sum(r.n for k, r in got.items() if k[:2] == ("adaptive", 0.5)) == 31
+    assert I.run_methods(df.limit(0), "y", "p", F.col("cal"), [0.2], "w", "terr", "p", "here").count() == 0
+
+
+def test_rare_names_keep_null_keys(spark):
+    from arealis.operators import joins as J
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    assert {(r.v, r.k) for r in J.rare_to_unknown(df, ["k"], "k", 2).collect()} == {("a", "1"), ("b", "1"), ("c", "unknown"), ("d", None), ("e", None)}
