@@ -26,6 +26,10 @@ from arealis.llm.batches import stored
 NOT_LETTERS = W._table(bytes([*range(0x00, 0x61), *range(0x7B, 0x80)]))
 
 
+#: Letters of a dictionary word that a name is asked for.
+HEAD = 8
+
+
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
     url = F.col(url) if isinstance(url, str) else url
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
@@ -83,24 +87,28 @@ def viterbi(name: str, found: list[tuple[int, int, int]], total: int) -> list[st
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name, words for distinct names of letters (column name). Names and dictionary words may have any length: a name
-    meets the dictionary in a row for each of its places and each length that a dictionary word of at most its length has."""
-    counts, names = stored(counts, "words"), stored(names, "names")
+    """name, words for distinct names of letters (column name). Names and dictionary words may have any length: from each of
+    its places a name asks for its next 1 to HEAD letters; dictionary words that begin with HEAD of them are then compared with
+    the name. So a name has some rows for each letter, and the plan doesn't depend on the lengths."""
+    counts = stored(counts.withColumn("key", F.left("word", F.lit(HEAD))), "words")
+    names = stored(names.withColumn("id", F.monotonically_increasing_id()), "names")
     total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
-    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
-    lengths = sorted(r.size for r in counts.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect())  # at most as many as the longest name has letters
-    at = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    sizes = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= F.length("name") - F.col("at") + 1)
-    parts = at.select("name", "at", F.explode(sizes).alias("size")).select("name", "at", "size", F.col("name").substr(F.col("at"), F.col("size")).alias("word"))
-    arcs = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("at", "size", "n")).alias("arcs"))
+    heads = names.select("id", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    heads = heads.select("id", "at", F.col("name").substr(F.col("at"), F.lit(HEAD)).alias("head"))
+    parts = heads.select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda k: F.left("head", k))).alias("key"))
+    long = F.length("key") == HEAD
+    found = parts.join(counts, "key").select("id", F.struct("at", F.length("word").alias("size"), "n", F.when(long, F.col("word")).alias("word")).alias("arc"))
+    arcs = found.groupBy("id").agg(F.collect_list("arc").alias("arcs"))  # of one name
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            names = b.column(0).to_pylist()
-            words = [viterbi(name, [(a["at"] - 1, a["size"], a["n"]) for a in arcs or []], total) for name, arcs in zip(names, b.column(1).to_pylist(), strict=True)]
+            names, words = b.column(0).to_pylist(), []
+            for name, arcs in zip(names, b.column(1).to_pylist(), strict=True):
+                fit = [(a["at"] - 1, a["size"], a["n"]) for a in arcs or [] if a["word"] is None or name.startswith(a["word"], a["at"] - 1)]
+                words.append(viterbi(name, fit, total))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
-    return names.join(arcs, "name", "left").select("name", "arcs").mapInArrow(run, "name string, words array<string>")
+    return names.join(arcs, "id", "left").select("name", "arcs").mapInArrow(run, "name string, words array<string>")
 
 
 def judge(pages: DataFrame, texts: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", text_col: str = "text") -> DataFrame:
