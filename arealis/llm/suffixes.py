@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm import words as W
-from arealis.llm.batches import stored
+from arealis.llm.batches import blocked, stored, work_dir
 
 MATCH = "array<struct<start:long,length:long,item_id:string,item_start:long>>"
 KINDS = {"doc_id": "long", "text": "string", "hit": "binary", "n_words": "long", "items": "array<string>", "matches": MATCH}
@@ -199,8 +199,6 @@ def marked(b: pa.RecordBatch, tests: Tests) -> list[pa.Array]:
     ranks = tests.rank(w) if len(tests.vocabulary) else np.zeros(len(w), np.uint64)
     array, lo, hi = occurrences(ranks, w.text, tests)
     hit = np.zeros(len(w), bool)
-    if not b.column(2).null_count and len(b):
-        hit |= np.frombuffer(b"".join(x or b"" for x in b.column(2).to_pylist()), np.uint8).astype(bool)
     full, pairs, starts = np.flatnonzero(hi > lo), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     windows = np.int64(max(1, len(lo)))
     for size in np.unique(tests.size[full]).tolist():  # ranges of windows of one size don't meet
@@ -215,14 +213,11 @@ def marked(b: pa.RecordBatch, tests: Tests) -> list[pa.Array]:
     item = tests.items[_ranges(tests.first_item[window], tests.first_item[window] + n)] if len(pair) else pair
     met = np.unique(np.repeat(doc, n) * np.int64(len(tests.ids) + 1) + item)
     doc, item = met // (len(tests.ids) + 1), met % (len(tests.ids) + 1)
-    items = [set(x or ()) for x in b.column(4).to_pylist()]
+    items: list[set] = [set() for _ in range(len(b))]
     for d, t in zip(doc.tolist(), item.tolist(), strict=True):
         if tests.ids[t] is not None:
             items[d].add(tests.ids[t])
-    matches = b.column(5)
-    if len(met):
-        found = located(w, ranks, np.concatenate(starts), tests, np.unique(doc), np.unique(item))
-        matches = found if not any(len(x or ()) for x in matches.to_pylist()) else pa.array([(x or []) + y for x, y in zip(matches.to_pylist(), found.to_pylist(), strict=True)], _MATCHES)
+    matches = located(w, ranks, np.concatenate(starts), tests, np.unique(doc), np.unique(item)) if len(met) else pa.array([[]] * len(b), _MATCHES)
     marks = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(w.first.astype(np.int32)), pa.py_buffer(hit.astype(np.uint8))])
     return [marks, pa.array(w.counts(), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), matches.cast(_MATCHES)]
 
@@ -233,27 +228,47 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     columns to keep. Of runs that start where a window does, those are listed that don't merely end an earlier one."""
     spark = documents.sparkSession
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = total // block_bytes + 1
+    size = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 16
+    total = tests.agg(F.sum(size)).first()[0] or 0
     kinds, keep = dict(documents.dtypes), [c for c in keep or [] if c not in KINDS]
     names = [*KINDS, *keep]
     schema = ", ".join([*[f"{c} {k}" for c, k in KINDS.items()], *[f"`{c}` {kinds[c]}" for c in keep]])
-    start = [F.lit(None).cast("binary").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast(MATCH).alias("matches")]
-    out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *start, *[F.col(f"`{c}`") for c in keep])
-    for i in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else tests
-        sent = spark.sparkContext.broadcast(block.toArrow())  # block_bytes, or one larger item
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    if total <= block_bytes:
+        known = spark.sparkContext.broadcast(tests.toArrow())
 
-        def look(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Tests(sent.value, window)
+        def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Tests(known.value, window)
             for b in W.pieces(rows, 1, 4 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *marked(b, known), *b.columns[6:]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *marked(b, items), *b.columns[2:]], names)
+
+        return docs.mapInArrow(look, schema)
+    # each block gives marks for the documents that it hits, without their texts; they meet the documents once
+    tests, blocks = blocked(tests, size, block_bytes, "tests")
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    path, marks = work_dir(spark, "marks"), f"_row long, hit binary, items array<string>, matches {MATCH}"
+    for i in range(blocks):
+        sent = spark.sparkContext.broadcast(tests.where(F.col("block") == i).select("item_id", "text").toArrow())  # block_bytes and one text
 
-        out = out.mapInArrow(look, schema)
-        if blocks > 1:
-            out = stored(out, "marked")
-            sent.unpersist()
-    return out
+        def mark(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = Tests(sent.value, window)
+            for b in W.pieces(rows, 1, 4 << 20):
+                hit, _, found, matches = marked(b, items)
+                some = pa.array([any(x) for x in hit.to_pylist()])
+                yield pa.RecordBatch.from_arrays([x.filter(some) for x in (b.column(0), hit, found, matches)], ["_row", "hit", "items", "matches"])
+
+        docs.select("_row", "text").mapInArrow(mark, marks).write.mode("append").parquet(path)
+        sent.unpersist()
+    parts = spark.read.schema(marks).parquet(path).groupBy("_row").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))  # a row for each block at most
+    rows = docs.join(parts, "_row", "left").select("doc_id", "text", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("matches", F.array().cast(MATCH)).alias("matches"), *[F.col(f"`{c}`") for c in keep])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.pieces(batches, 1, 4 << 20):
+            n = W.words_of(b.column(1), W.NOT_ALNUM, lower=True).counts()
+            hits = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in found]).tobytes() if found else bytes(k) for found, k in zip(b.column(2).to_pylist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(n), b.column(3), b.column(4), *b.columns[5:]], names)
+
+    return rows.mapInArrow(unite, schema)
 
 
 def n_hit(hit: str = "hit"):
