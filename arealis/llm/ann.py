@@ -4,8 +4,9 @@ Equal vectors are one node. Shards have about `shard_size` nodes, fewer if vecto
 ever fewer nodes, each node linked to near but mutually distant neighbours. Graphs and vectors are written once below the
 shared folder. A task takes one graph and one block of vectors, which it reads by path, so nothing is copied through a
 shuffle. It searches each vector: down the layers to a near node, then with a beam on the lowest layer. A search whose
-beam is full of hits is repeated with a beam twice as wide, in the end against the whole shard. Before, the task audits
-its beam: a random sample of its vectors, of its own shard or another, is compared with all of the graph's, and the beam
+beam is full of hits is repeated with a beam twice as wide, in the end against the whole shard. A graph's
+beam is chosen when it is built: near copies of random nodes, just above the threshold, are made and searched, and the beam
+is doubled until the wanted share of their links is found. Before it searches, a task audits that beam: a random sample of its vectors, of its own shard or another, is compared with all of the graph's, and the beam
 is doubled until the search finds the wanted share of their links. Cosines are computed in double precision.
 
 Links count for both ends, whoever found them. Searches that compared a vector with the whole shard are exact and return
@@ -34,6 +35,8 @@ from arealis.llm.graph import components
 from arealis.llm.words import mix
 
 DEGREE, BUILD_BEAM, EXPAND, ROWS = 12, 40, 4, 256
+#: Near copies that are made to find a graph's beam.
+PROBES = 512
 #: How far a cosine in single precision may be from the one in double precision.
 ROUNDING = 1e-4
 
@@ -217,6 +220,24 @@ class Graph:
             found = count()
         return beam, true, found
 
+    def needed_beam(self, least: float, beam: int, recall: float, probes: int) -> int:
+        """The beam with which the graph's own near copies are found: for `probes` random nodes a vector whose cosine with the node lies
+        just above `least` is made, so that there are as many known links at least, however rare near copies are among the real vectors."""
+        rng = np.random.default_rng(self.n)
+        node = rng.integers(0, self.n, probes)
+        away = rng.normal(size=(probes, self.x.shape[1]))
+        away -= np.einsum("ij,ij->i", away, self.x[node])[:, None] * self.x[node]
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        cosine = rng.uniform(least + ROUNDING, min(1.0, least + 0.01), (probes, 1))
+        q = cosine * self.x[node] + np.sqrt(1 - cosine**2) * away / np.maximum(size, 1e-300)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        true, block = 0, max(1, min(ROWS, (1 << 24) // self.n))
+        for lo in range(0, probes, block):
+            true += int((q[lo : lo + block] @ self.x.T >= least).sum())
+        while beam < self.n and sum(len(f) for _, f in self.within(q, least, beam)) < recall * true:
+            beam *= 2
+        return beam
+
     def audited(self, least: float, beam: int, recall: float, sample: int) -> int:
         return self.audit(self.x, np.arange(self.n), least, beam, recall, sample)[0]
 
@@ -298,6 +319,7 @@ def search_all(df: DataFrame, least: float, shards: int, shard_size: int, beam:
 
         ids, x, shard = table.column("rep").to_numpy(), _matrix(table.column("v")), table.column("shard")[0].as_py()
         graph = Graph(x, ids)
+        wide = graph.needed_beam(least, beam, recall, PROBES)
         graph.hold(None)
         files, folder = pafs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
@@ -305,43 +327,48 @@ def search_all(df: DataFrame, least: float, shards: int, shard_size: int, beam:
         with files.open_output_stream(f"{folder}/{name}.x", compression=None) as sink:
             sink.write(memoryview(np.ascontiguousarray(x)).cast("B"))
         with files.open_output_stream(f"{folder}/{name}", compression=None) as sink:
-            pickle.dump((ids, table.column("n").to_numpy(), graph), sink, protocol=5)
-        return pa.table([table.column("dim")[:1], pa.array([shard]), pa.array([len(ids)]), pa.array([name])], ["dim", "shard", "size", "name"])
+            pickle.dump(graph, sink, protocol=5)
+        with files.open_output_stream(f"{folder}/{name}.n", compression=None) as sink:
+            sink.write(np.stack([ids, table.column("n").to_numpy()], axis=1).astype(np.int64).tobytes())
+        return pa.table([table.column("dim")[:1], pa.array([shard]), pa.array([len(ids)]), pa.array([name]), pa.array([wide])], ["dim", "shard", "size", "name", "beam"])
 
-    graphs = stored(dealt.select("dim", "shard", "rep", "n", "v").groupBy("shard").applyInArrow(build, "dim int, shard long, size long, name string"), "graphs")
+    graphs = stored(dealt.select("dim", "shard", "rep", "n", "v").groupBy("shard").applyInArrow(build, "dim int, shard long, size long, name string, beam long"), "graphs")
 
     def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
         files, folder = pafs.FileSystem.from_uri(path)
 
-        def vectors(name: str, dim: int, lo: int, hi: int) -> np.ndarray:
-            with files.open_input_file(f"{folder}/{name}.x") as source:
-                source.seek(lo * dim * 8)
-                return np.frombuffer(source.read((hi - lo) * dim * 8), np.float64).reshape(-1, dim)
-
-        def nodes(name: str) -> tuple[np.ndarray, np.ndarray, Graph]:
-            with files.open_input_stream(f"{folder}/{name}", compression=None) as source:
-                return pickle.loads(source.read())
+        def part(name: str, width: int, kind: type, lo: int, hi: int) -> np.ndarray:
+            with files.open_input_file(f"{folder}/{name}") as source:
+                source.seek(lo * width * 8)
+                return np.frombuffer(source.read((hi - lo) * width * 8), kind).reshape(-1, width)
 
+        held, g, ids, weight = None, None, None, None
         for b in rows:
             for pair in b.to_pylist():
-                ids, weight, g = nodes(pair["graph"])
-                g.hold(vectors(pair["graph"], pair["dim"], 0, len(ids)))
+                if held != pair["graph"]:  # pairs come in order of their graph
+                    held, n = pair["graph"], pair["nodes"]
+                    with files.open_input_stream(f"{folder}/{held}", compression=None) as source:
+                        g = pickle.loads(source.read())
+                    ids, weight = part(f"{held}.n", 2, np.int64, 0, n).T
+                    g.hold(part(f"{held}.x", pair["dim"], np.float64, 0, n))
                 lo, hi = pair["block"] * block, min(pair["size"], (pair["block"] + 1) * block)
-                same = pair["graph"] == pair["queries"]
-                q_ids, q_weight = (x[lo:hi] for x in ((ids, weight) if same else nodes(pair["queries"])[:2]))
-                q, own = vectors(pair["queries"], pair["dim"], lo, hi), np.arange(lo, hi) if same else np.full(hi - lo, -1)
-                wide, true, found = g.audit(q, own, least, beam, recall, audit, 2 * audit)
+                q_ids, q_weight = part(f"{pair['queries']}.n", 2, np.int64, lo, hi).T
+                q = part(f"{pair['queries']}.x", pair["dim"], np.float64, lo, hi)
+                own = np.arange(lo, hi) if held == pair["queries"] else np.full(hi - lo, -1)
+                wide, true, found = g.audit(q, own, least, pair["beam"], recall, audit, 2 * audit)
                 links = searched(g, ids, weight, q, q_ids, q_weight, own, least, wide)
                 links.add(AUDIT, 0, 0, true, found)
                 yield links.batch(pair["mine"], pair["theirs"])
 
-    one = graphs.select("dim", F.col("shard").alias("theirs"), F.col("name").alias("graph"))
+    one = graphs.select("dim", F.col("shard").alias("theirs"), F.col("name").alias("graph"), F.col("size").alias("nodes"), "beam")
     blocks = graphs.select("dim", F.col("shard").alias("mine"), F.col("name").alias("queries"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("block"))
     pairs = one.join(blocks, "dim")  # a row for each graph and block of queries of the same dimension, without vectors
-    tasks = pairs.count()
-    return stored(pairs.repartition(max(1, min(tasks, 20_000))).mapInArrow(look, LINKS), "links")
+    tasks = max(1, min(pairs.count(), 20_000))
+    # a task's pairs have one graph or a few, one after another
+    dealt = pairs.repartitionByRange(tasks, "graph", "queries", "block").sortWithinPartitions("graph", "queries", "block")
+    return stored(dealt.mapInArrow(look, LINKS), "links")
 
 
 def counted(links: DataFrame) -> DataFrame:
