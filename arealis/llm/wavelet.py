@@ -274,7 +274,8 @@ def read(index: DataFrame, path: str) -> DataFrame:
 
 
 def counts(index: DataFrame, path: str, tokens: list[int]) -> DataFrame:
-    """How often some ids occur in all shards, by rank alone: token, n."""
+    """How often some ids occur in all shards, by rank alone: token, n. An id that is asked for twice counts once."""
+    tokens = sorted(set(tokens))
 
     def look(shard: Shard, row: dict) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([shard.count(t) for t in tokens], pa.int64())], ["token", "n"])
@@ -284,6 +285,7 @@ def counts(index: DataFrame, path: str, tokens: list[int]) -> DataFrame:
 
 def occurrences(index: DataFrame, path: str, tokens: list[int]) -> DataFrame:
     """Where some ids occur, by select: token, doc_id, place (in the document), at (in the stream of all documents)."""
+    tokens = sorted(set(tokens))
 
     def look(shard: Shard, row: dict) -> Iterator[pa.RecordBatch]:
         docs = _ids(shard)
