@@ -136,6 +136,7 @@ def slope_backtest(df: DataFrame, unit: str, group: str, event: str, dx: str, dy
 
 def standardised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """New columns with mean 0 and population deviation 1 over all rows: new name to column."""
+    df = stored(df, "features")
     one = df.agg(*[f(c).alias(f"_{k}{i}") for i, c in enumerate(columns.values()) for k, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
     wide = df.crossJoin(F.broadcast(one))
     z = {name: F.coalesce(ratio(F.col(c) - F.col(f"_m{i}"), f"_s{i}"), F.lit(0.0)) for i, (name, c) in enumerate(columns.items())}
@@ -169,7 +170,8 @@ def coefficient_stability(df: DataFrame, event: str, features: Sequence[str], dx
     """event_a, event_b, r, same_direction: for each pair of events, the correlation of the coefficients of a weighted ridge of the
     response on the features, fitted on each event alone. Events with fewer rows than `least` are left out."""
     x = F.col(dx)
-    rows = df.dropna(subset=[dx, dy, *features]).where(x != 0).withColumns({"_r": F.col(dy) / x, "_w": x * x})
+    known = df.select(event, *dict.fromkeys([*features, dx, dy])).dropna(subset=[dx, dy, *features])
+    rows = stored(known.where(x != 0).withColumns({"_r": F.col(dy) / x, "_w": x * x}), "moves")
     sizes = rows.groupBy(event).agg(F.count("*").alias("_n"), F.avg(dx).alias("_tide"))
     fits = group_fits(gram_entries(rows, features, "_r", [event], "_w"), features, [event], alpha).join(sizes.where(F.col("_n") >= least), event)
     long = fits.select(F.col(event).alias("event"), "_tide", F.posexplode("coefficients").alias("_i", "_c"))
