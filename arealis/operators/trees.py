@@ -22,15 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arealis.operators.panel import quantiles
+from arealis.sources.io import stored
+
 
 @dataclass
 class Model:
     """What one model learns from and how. trains: rows that teach; judges: rows on which rounds are judged, if `patience` rounds
-    without progress end it; leaf: share of the teaching rows that a leaf has at least."""
+    without progress end it; leaf: share of the teaching rows that a leaf has at least; offset: what is known of the target
+    already, so that the model learns the rest."""
 
     name: str
     trains: Column
     judges: Column | None = None
+    offset: Column | None = None
     depth: int = 3
     rounds: int = 100
     step: float = 0.05
@@ -97,14 +102,12 @@ def best_splits(h: np.ndarray, least: float, l2: float) -> list[tuple[int, int,
     return out
 
 
-def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[Model], weight: str | None = None, keep: Sequence[str] = (), bins: int = 32, every: int = 10, rows_per_task: int = 500_000) -> DataFrame:
-    """Columns `keep`, and a prediction for each model by its name. The models' trees stay in them."""
-    from arealis.operators.panel import quantiles
-    from arealis.sources.io import scratch
-
-    spark, size, m = df.sparkSession, bins + 1, len(models)
+def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[Model], weight: str | None = None, keep: Sequence[str] = (), bins: int = 32, every: int = 25, rows_per_task: int = 500_000) -> DataFrame:
+    """Columns `keep`, and a prediction for each model by its name, without its offset. The models' trees stay in them."""
+    size, m = bins + 1, len(models)
     finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
-    wide = df.select(*keep, *[finite(c).alias(f"_x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"), *[F.coalesce(x.trains, F.lit(False)).alias(f"_t{k}") for k, x in enumerate(models)], *[F.coalesce(x.judges, F.lit(False)).alias(f"_j{k}") if x.judges is not None else F.lit(False).alias(f"_j{k}") for k, x in enumerate(models)])
+    wide = df.select(*keep, *[finite(c).alias(f"_x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"), *[F.coalesce(x.trains, F.lit(False)).alias(f"_t{k}") for k, x in enumerate(models)], *[F.coalesce(x.judges, F.lit(False)).alias(f"_j{k}") if x.judges is not None else F.lit(False).alias(f"_j{k}") for k, x in enumerate(models)], *[(x.offset if x.offset is not None else F.lit(0.0)).cast("double").alias(f"_o{k}") for k, x in enumerate(models)])
+    wide = stored(wide, "boosting")
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_x{i}").alias("x")) for i in range(len(features))])).alias("v")).select("v.*")
     edges = {r.f: sorted(set(r.quantiles)) for r in quantiles(long, "x", lambda n: [F.lit(i / bins) for i in range(1, bins)], ["f"]).collect()}  # some numbers for each feature
     names, kinds = [*keep, "_bins", "_y", "_w", "_roles", "_margin"], dict(wide.dtypes)
@@ -119,19 +122,15 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
             x = np.column_stack([np.where(np.isnan(v := column(i).astype(np.float64)), 0, 1 + np.searchsorted(edges.get(i, []), v)) for i in range(len(features))]).astype(np.uint8)
             roles = np.column_stack([column(len(features) + 2 + k).astype(np.uint8) | column(len(features) + 2 + m + k).astype(np.uint8) << 1 for k in range(m)])
             ok = np.isfinite(column(len(features)).astype(np.float64)) & np.isfinite(column(len(features) + 1).astype(np.float64))
+            margin = np.column_stack([column(len(features) + 2 + 2 * m + k).astype(np.float64) for k in range(m)])
             roles[~ok] = 0
-            margin = np.zeros((len(x), m))
+            roles[~np.isfinite(margin)] = 0
+            margin = np.nan_to_num(margin)
             blob = lambda z: pa.array([r.tobytes() for r in z], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], blob(x), b.column(at + len(features)), b.column(at + len(features) + 1), blob(roles), blob(margin)], names)
 
-    def written(rows: DataFrame) -> DataFrame:
-        path = scratch(spark, "boosting")
-        rows.write.parquet(path)
-        return spark.read.schema(schema).parquet(path)
-
-    table = written(wide.mapInArrow(binned, schema))
-    tasks = max(1, table.count() // rows_per_task + 1)
-    table = written(table.coalesce(tasks)) if table.rdd.getNumPartitions() > tasks else table
+    tasks = max(1, wide.count() // rows_per_task + 1)
+    table = stored((wide.coalesce(tasks) if wide.rdd.getNumPartitions() > tasks else wide).mapInArrow(binned, schema), "boosting")
 
     def arrays(b: pa.RecordBatch) -> tuple:
         blob = lambda i, t, n: np.frombuffer(b"".join(b.column(at + i).to_pylist()), t).reshape(-1, n)
@@ -164,7 +163,7 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
 
     def start(x, y, w, roles, margin) -> np.ndarray:
         teach = (roles & 1) > 0
-        return np.concatenate([(teach * (w * y)[:, None]).sum(0), (teach * w[:, None]).sum(0), teach.sum(0)])
+        return np.concatenate([(teach * w[:, None] * (y[:, None] - margin)).sum(0), (teach * w[:, None]).sum(0), teach.sum(0)])
 
     sums = swept(start, 3 * m)
     for k, model in enumerate(models):
@@ -223,18 +222,18 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
             models[k].trees.append(trees[k])
             fresh[k].append(trees[k])
         if max(len(f) for f in fresh) >= every:
-            table, fresh = written(_advanced(table, arrays, fresh, names, schema, at)), [[] for _ in models]
+            table, fresh = stored(_advanced(table, arrays, fresh, names, schema, at), "boosting"), [[] for _ in models]
     for x in models:  # rounds after the best one don't count
         if x.judges is not None and x.errors:
             x.trees = x.trees[: int(np.argmin(x.errors))]
-    plain = json.dumps([{"base": x.base, "trees": x.trees} for x in models])
+    plain, outputs = json.dumps([{"base": x.base, "trees": x.trees} for x in models]), [*keep, *[x.name for x in models]]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = json.loads(plain)
         for b in batches:
             if b.num_rows:
                 x = np.frombuffer(b"".join(b.column(at).to_pylist()), np.uint8).reshape(-1, len(features))
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(k["base"] + tree_values(k["trees"], x)) for k in known]], [*keep, *[y.name for y in models]])
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(k["base"] + tree_values(k["trees"], x)) for k in known]], outputs)
 
     return table.select(*keep, "_bins").mapInArrow(predict, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{x.name}` double" for x in models]]))
 

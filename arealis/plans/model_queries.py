@@ -351,36 +351,40 @@ def st_bootstrap_band(spark, d):
     return S.bootstrap_band(moves(Tables(spark, d)).where("dx is not null"), "parent", "dx", "dy", row=("unit", "event"))
 
 
-def trees_out_of_fold(rows, names, label, trees, out, parts=3):
-    """Predictions of each part of the folds by trees that were fitted on the other parts."""
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=names, outputCol="f").transform(rows.withColumn("part", F.pmod(F.hash("fold"), F.lit(parts))))
-    done = None
-    for k in range(parts):
-        model = trees.copy({trees.featuresCol: "f", trees.labelCol: label, trees.predictionCol: out}).fit(rows.where(F.col("part") != k))
-        one = model.transform(rows.where(F.col("part") == k)).drop("f", "part")
-        done = one if done is None else done.unionByName(one)
-    return done
+#: A leaf has a share of the training rows at least, as tables differ in size by orders of magnitude.
+LEAF = 0.01
 
 
 @query("ml_residual_boost")
 def ml_residual_boost(spark, d):
-    """Boosted trees fitted on other folds' left-out-fold residuals; the sum is out of fold. 8 of the 64 components."""
-    from pyspark.ml.regression import GBTRegressor
+    """A hundred boosted trees a fold on the other folds' left-out-fold residuals; the sum is out of fold. All folds grow together. 8 of
+    the 64 components."""
+    from arealis.operators import trees as T
 
     x, names = features(Tables(spark, d), 8)
-    oof = L.out_of_fold(x, L.grams(x, names, ["y"], "fold"), "fold", 0, 1.0).withColumn("left", F.col("y") - F.col("oof"))
-    done = trees_out_of_fold(oof, names, "left", GBTRegressor(maxDepth=3, maxIter=20, stepSize=0.05, seed=7), "tree")
-    return done.select("vec_id", "y", "oof", (F.col("oof") + F.col("tree")).alias("boosted"))
+    g = L.grams(x, names, ["y"], "fold")
+    oof = L.out_of_fold(x, g, "fold", 0, 1.0).withColumn("left", F.col("y") - F.col("oof"))
+    folds = {f: f"fold{i}" for i, f in enumerate(g.by_fold)}  # a model for each, as a Gram for each
+    models = [T.Model(name, F.col("fold") != f, depth=3, rounds=100, step=0.05, leaf=LEAF) for f, name in folds.items()]
+    done = T.boost(oof, names, "left", models, keep=["vec_id", "fold", "y", "oof"])
+    own = F.coalesce(*[F.when(F.col("fold") == f, F.col(name)) for f, name in folds.items()])
+    return done.select("vec_id", "y", "oof", (F.col("oof") + own).alias("boosted"))
 
 
 @query("ml_random_forest")
 def ml_random_forest(spark, d):
-    """A weighted forest of 150 trees of depth 8, out of fold. 8 of the 64 components."""
+    """A weighted forest of 150 trees of depth 8 on samples of 15 %, out of fold. 8 of the 64 components."""
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    from arealis.sources.io import stored
+
     x, names = features(Tables(spark, d), 8)
-    x = x.withColumn("w", 1.0 + F.pmod("vec_id", F.lit(2)))
-    done = trees_out_of_fold(x, names, "y", RandomForestRegressor(numTrees=150, maxDepth=8, subsamplingRate=0.5, weightCol="w", seed=7), "prediction")
-    return done.select("vec_id", "y", "prediction")
+    x = stored(x.withColumns({"w": 1.0 + F.pmod("vec_id", F.lit(2)), "part": F.pmod(F.hash("fold"), F.lit(3))}), "forest")
+    rows = VectorAssembler(inputCols=names, outputCol="f").transform(x)
+    leaf, done = max(1, round(LEAF * 0.15 * x.count() * 2 / 3)), None
+    for k in range(3):
+        forest = RandomForestRegressor(featuresCol="f", labelCol="y", weightCol="w", numTrees=150, maxDepth=8, minInstancesPerNode=leaf, subsamplingRate=0.15, seed=7)
+        one = forest.fit(rows.where(F.col("part") != k)).transform(rows.where(F.col("part") == k)).select("vec_id", "y", "prediction")
+        done = one if done is None else done.unionByName(one)
+    return done

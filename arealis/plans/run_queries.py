@@ -139,19 +139,22 @@ def ml_delta_covariance(spark, d):
 
 @query("ml_boosted_slopes")
 def ml_boosted_slopes(spark, d):
-    """Response slopes by boosted trees of three capacities, fitted on earlier events and scored on later ones: error of the change."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    """Response slopes by boosted trees of three capacities, and by a curve over the level with boosted trees on what it leaves over;
+    learnt on earlier events with early stopping, scored on later ones: error of the change. All models grow together."""
+    from arealis.operators import backtests as B
+    from arealis.operators import trees as T
+    from arealis.sources.io import stored
 
     m = moves(Tables(spark, d)).where("dx is not null and abs(dx) > 0.01")
-    m = m.select("unit", "event", "p", "weight", "dx", "dy", (F.col("dy") / F.col("dx")).alias("slope"), (F.col("dx") ** 2).alias("w"), (F.pmod(F.xxhash64("unit", "event"), F.lit(100)) < 15).alias("validation"))
-    rows = VectorAssembler(inputCols=["p", "weight"], outputCol="f").transform(m)
-    train, later = rows.where("event <= 1999").cache(), rows.where("event > 1999")
-    out = later
-    for name, depth, leaf, step in (("medium", 3, 5, 0.05), ("strong", 2, 10, 0.03), ("strongest", 2, 20, 0.02)):
-        model = GBTRegressor(featuresCol="f", labelCol="slope", weightCol="w", validationIndicatorCol="validation", maxDepth=depth, minInstancesPerNode=leaf, stepSize=step, maxIter=30, seed=7).fit(train)
-        out = model.setPredictionCol(name).transform(out)
-    train.unpersist()
-    rmse = lambda g: F.sqrt(F.avg((F.col("dy") - g * F.col("dx")) ** 2))
-    flat = float(np.nan_to_num(train.agg(P.ratio(F.sum(F.col("dx") * F.col("dy")), F.sum(F.col("dx") ** 2))).first()[0] or 0.0))
-    return out.agg(F.count("*").alias("n"), rmse(F.lit(flat)).alias("flat"), *[rmse(F.col(k)).alias(k) for k in ("medium", "strong", "strongest")])
+    m = stored(m.select("unit", "event", "p", "weight", "dx", "dy", (F.col("dy") / F.col("dx")).alias("slope"), (F.col("dx") ** 2).alias("w"), F.lit(0).alias("all")), "moves")
+    early = F.col("event") <= 1999
+    judges = F.pmod(F.xxhash64("unit", "event"), F.lit(100)) < 15
+    curve = B.curves(B.level_cells(m.where(early), "all", "p", "dx", "dy", 1.0), "all", 20)
+    flat = m.where(early).groupBy("all").agg(P.ratio(F.sum(F.col("dx") * F.col("dy")), F.sum(F.col("dx") ** 2)).alias("flat"))
+    rows = stored(m.join(F.broadcast(curve.join(flat, "all")), "all", "left").withColumn("curve", B.interpolated("points", F.col("p"))).drop("points"), "moves")  # one row
+    model = lambda name, offset=None, **more: T.Model(name, early & ~judges, early & judges, offset, **more)
+    models = [model("medium", depth=3, rounds=400, step=0.05, leaf=0.0015, l2=1.0), model("strong", depth=2, rounds=400, step=0.03, leaf=0.015, l2=10.0), model("strongest", depth=2, rounds=300, step=0.02, leaf=0.06, l2=30.0), model("rest", F.col("curve"), depth=2, rounds=300, step=0.02, leaf=0.04, l2=20.0)]
+    done = T.boost(rows, ["p", "weight"], "slope", models, "w", ["event", "dx", "dy", "flat", "curve"]).where("event > 1999")
+    guesses = {"flat": F.col("flat"), "curve": F.col("curve"), **{k: F.col(k) for k in ("medium", "strong", "strongest")}, "curve_rest": F.col("curve") + F.col("rest")}
+    clipped = lambda g: F.least(F.greatest(g, F.lit(0.0)), F.lit(1.0))
+    return done.agg(F.count("*").alias("n"), *[F.sqrt(F.avg((F.col("dy") - (g if k == "flat" else clipped(g)) * F.col("dx")) ** 2)).alias(k) for k, g in guesses.items()])

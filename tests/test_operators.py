@@ -453,3 +453,78 @@ def test_rare_names_keep_null_keys(spark):
 
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
     assert {(r.v, r.k) for r in J.rare_to_unknown(df, ["k"], "k", 2).collect()} == {("a", "1"), ("b", "1"), ("c", "unknown"), ("d", None), ("e", None)}
+
+
+def plain_boost(x, y, w, teach, judge, depth, rounds, step, least, l2, patience):
+    """Boosted trees by loops over rows; x: bins."""
+    base = sum(w[i] * y[i] for i in teach) / sum(w[i] for i in teach)
+    value, trees, errors = [base] * len(y), [], []
+    out = [list(value)]
+
+    def grow(rows, left):
+        best, total = None, (sum(w[i] * (y[i] - value[i]) for i in rows), sum(w[i] for i in rows))
+        for f in range(len(x[0])):
+            for c in range(int(x.max())):
+                a, b = [i for i in rows if x[i][f] <= c], [i for i in rows if x[i][f] > c]
+                if min(len(a), len(b)) < max(1, least):
+                    continue
+                g = [(sum(w[i] * (y[i] - value[i]) for i in z), sum(w[i] for i in z)) for z in (a, b)]
+                gain = round(sum(s * s / (n + l2) for s, n in g) - total[0] ** 2 / (total[1] + l2), 9)
+                if gain > 1e-9 and (best is None or gain > best[0]):
+                    best = gain, f, c, [step * s / (n + l2) for s, n in g], a, b
+        if best is None:
+            return None
+        deeper = [grow(z, left - 1) if left > 1 else None for z in best[4:]]
+        return best[1], best[2], best[3], deeper
+
+    def leaf(tree, row):
+        side = int(row[tree[0]] > tree[1])
+        return leaf(tree[3][side], row) if tree[3][side] else tree[2][side]
+
+    for _ in range(rounds):
+        if judge:
+            errors.append(sum(w[i] * (y[i] - value[i]) ** 2 for i in judge) / sum(w[i] for i in judge))
+            if len(errors) - 1 - errors.index(min(errors)) >= patience:
+                break
+        tree = grow(teach, depth)
+        if tree is None:
+            break
+        trees.append(tree)
+        value = [v + leaf(tree, r) for v, r in zip(value, x)]
+        out.append(list(value))
+    return out[errors.index(min(errors))] if errors else out[-1]
+
+
+def test_boosting_against_loops(spark):
+    """All models of a pass, with nulls, weights, leaf minima, early stopping and an offset, equal trees grown row by row."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from arealis.operators import trees as T
+
+    rng = np.random.default_rng(8)
+    n = 200
+    x = rng.normal(size=(n, 3)).round(1)
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0) + 0.2 * rng.normal(size=n)
+    w = rng.integers(1, 4, n).astype(float)
+    rows = [(i, float(x[i, 0]) if i % 17 else None, float(x[i, 1]), float(x[i, 2]), float(y[i]) if i % 23 else None, float(w[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, w double").repartition(3)
+    third, half = F.col("id") % 3, F.col("id") % 2
+    made = lambda: [T.Model("deep", third != 0, depth=3, rounds=6, step=0.3, leaf=0.05), T.Model("flat", third != 1, depth=1, rounds=5, step=0.5, l2=3.0), T.Model("stops", half == 0, half == 1, depth=2, rounds=30, step=0.6, leaf=0.02, patience=3), T.Model("rest", third != 2, offset=F.col("b"), depth=2, rounds=4, step=0.5), T.Model("none", F.lit(False), rounds=3)]
+    models = made()
+    got = {r.id: r for r in T.boost(df, ["a", "b", "c"], "y", models, "w", ["id"], bins=8, every=4, rows_per_task=90).collect()}
+    assert len(got) == n
+    bins = np.zeros((n, 3), int)
+    for f in range(3):
+        known = np.array([r[1 + f] is not None for r in rows])
+        v = np.array([r[1 + f] for r in rows if r[1 + f] is not None])
+        edges = sorted(set(np.quantile(v, np.arange(1, 8) / 8).tolist()))
+        bins[known, f] = 1 + np.searchsorted(edges, v)
+    ok = [i for i in range(n) if i % 23]
+    cases = {"deep": (lambda i: i % 3 != 0, None, y, 3, 6, 0.3, 0.05, 0.0, 10), "flat": (lambda i: i % 3 != 1, None, y, 1, 5, 0.5, 0.0, 3.0, 10), "stops": (lambda i: i % 2 == 0, lambda i: i % 2 == 1, y, 2, 30, 0.6, 0.02, 0.0, 3), "rest": (lambda i: i % 3 != 2, None, y - x[:, 1], 2, 4, 0.5, 0.0, 0.0, 10)}
+    for name, (trains, judges, target, depth, rounds, step, leaf, l2, patience) in cases.items():
+        teach, judge = [i for i in ok if trains(i)], [i for i in ok if judges and judges(i)]
+        want = plain_boost(bins, target, w, teach, judge, depth, rounds, step, leaf * len(teach), l2, patience)
+        assert np.allclose([got[i][name] for i in range(n)], want, atol=1e-9), name
+    assert 0 < len(models[2].trees) < 30 and all(got[i]["none"] == 0 for i in range(n))
+    assert T.boost(df.limit(0), ["a", "b", "c"], "y", made(), "w", ["id"]).count() == 0
