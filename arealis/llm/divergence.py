@@ -29,7 +29,7 @@ from arealis.llm.batches import stored
 U = np.uint64
 #: All of ASCII but letters; capitals are lowered before.
 NOT_LETTER = W._table(bytes([*range(0x00, 0x61), *range(0x7B, 0x80)]))
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: Kept terms times groups in a bucket; sources in a block; cells of a dense stretch.
 BUCKET_ROWS, BLOCK, CELLS = 500_000, 512, 1 << 20
 #: Groups that may be sent to all tasks.
@@ -111,7 +111,8 @@ def counted(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
             w = W.words_of(b.column(2), NOT_LETTER, lower=True)
             at, n, docs = runs(w, group)
             doc = pa.array(w.text[at])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), strings(w.buf, w.start[at], w.end[at] - w.start[at]), pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+            found = pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), strings(w.buf, w.start[at], w.end[at] - w.start[at]), pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+            yield from (found.slice(i, 1 << 16) for i in range(0, len(found), 1 << 16))
 
     rows = _groups(df, lang_col, source_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
