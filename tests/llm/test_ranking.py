@@ -240,3 +240,91 @@ def test_wavelet_matrix(monkeypatch):
             shard.access(np.array([n]))
         with pytest.raises(IndexError):
             shard.select(0, np.array([shard.count(0)]))
+
+
+def test_benchmark_blocks_hold_their_limit(spark, monkeypatch):
+    """Two thousand items with one text lie in blocks of bounded bytes, and all of them are found."""
+    from arealis.llm import batches, suffixes
+
+    text = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, text) for i in range(2000)] + [(5000, "other words " * 8)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {text} then"), (2, "nothing here"), (3, None), (4, "other words " * 5)], "doc_id long, text string")
+    seen, made = [], suffixes.Tests
+
+    def counted(table, window):
+        seen.append(table.num_rows)
+        return made(table, window)
+
+    held, blocks = batches.blocked(bench, batches.F.octet_length("text") + 20, 20_000, "tests")
+    sizes = [r.b for r in held.groupBy("block").agg(batches.F.sum(batches.F.octet_length("text") + 20).alias("b")).collect()]
+    assert blocks > 4 and max(sizes) <= 20_000 + len(text) + 20
+    monkeypatch.setattr(suffixes, "Tests", counted)
+    got = {r.doc_id: r for r in suffixes.decontaminate(docs, bench, block_bytes=20_000).collect()}
+    assert [len(got[i]["items"]) for i in (1, 2, 3, 4)] == [2000, 0, 0, 1]
+    whole = {r.doc_id: r for r in suffixes.decontaminate(docs, bench).collect()}
+    for i in (1, 2, 3, 4):
+        assert got[i].hit == whole[i].hit and got[i]["items"] == whole[i]["items"] and got[i].n_words == whole[i].n_words
+        assert {tuple(m)[:2] for m in got[i].matches} == {tuple(m)[:2] for m in whole[i].matches}
+
+
+def test_very_long_names(spark):
+    """A name of ten thousand letters, with dictionary words of all lengths that it doesn't have, takes seconds."""
+    import time
+
+    from arealis.llm import urls
+
+    rng = random.Random(1)
+    name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000))
+    words = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), 3) for n in range(2, 2000, 3)] + [(name[100:140], 50), (name[5000:5009], 7), ("cheap", 9), ("pills", 9), (name[9000:9008] + "zzz", 5)]
+    counts = spark.createDataFrame(words, "word string, n long")
+    names = spark.createDataFrame([(name,), ("cheappills",)], "name string")
+    began = time.time()
+    got = {r.name: r.words for r in urls.segmented(names, counts).collect()}
+    assert time.time() - began < 60
+    assert "".join(got[name]) == name and name[100:140] in got[name] and got["cheappills"] == ["cheap", "pills"]
+    short = name[60:200]
+    total = sum(n for _, n in words)
+    found = [(i, len(w), n) for w, n in words for i in range(len(short)) if short.startswith(w, i)]
+    assert {r.name: r.words for r in urls.segmented(spark.createDataFrame([(short,)], "name string"), counts).collect()}[short] == urls.viterbi(short, found, total)
+
+
+def test_hot_text_over_many_batches(spark, monkeypatch):
+    """One long text copied into very many batches: its set is stored once, and all copies are one component."""
+    from arealis.llm import batches, jaccard
+
+    monkeypatch.setattr(batches, "BATCH_BYTES", 30_000)
+    text = " ".join(f"v{i}" for i in range(3000))
+    rows = [(i, text) for i in range(40)] + [(100 + i, text + f" tail{i}") for i in range(10)] + [(500, "quite another text of some words")]
+    sizes, settle = [], batches.settle
+
+    def watched(*args):
+        out = settle(*args)
+        if set(out.columns) == {"a_uid", "elements"}:
+            sizes.append(out)
+        return out
+
+    monkeypatch.setattr(batches, "settle", watched)
+    got = {r.doc_id: r.component_id for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {got[i] for i in [*range(40), *range(100, 110)]} == {0} and got[500] == 500
+    for out in sizes:
+        assert out.groupBy("a_uid").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rare_near_copies_are_found(seed):
+    """Twenty near copies of a graph's nodes, just above the threshold, among 8192 other vectors of another shard."""
+    from arealis.llm import ann
+
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = unit(rng.normal(size=(6000, 64)))
+    graph = ann.Graph(nodes, np.arange(6000))
+    wide = graph.needed_beam(0.95, 4, 0.99, ann.PROBES)
+    assert wide > 4  # the given beam loses links, and random vectors alone would not show it
+    q, of = unit(rng.normal(size=(8192, 64))), rng.choice(6000, 20, replace=False)
+    away = rng.normal(size=(20, 64))
+    away = unit(away - np.einsum("ij,ij->i", away, nodes[of])[:, None] * nodes[of])
+    c = rng.uniform(0.951, 0.96, (20, 1))
+    q[:20] = c * nodes[of] + np.sqrt(1 - c * c) * away
+    found = {r: f.tolist() for r, f in graph.within(q[:512], 0.95, wide)}
+    assert sum(of[i] in found.get(i, []) for i in range(20)) >= 19
