@@ -56,18 +56,20 @@ KINDS = ["click", "error", "purchase", "signup", "view"]
 @query("src_polls_wide", "SELECT CAST(ts AS DATE) AS date, 'Firm ' || (user_id % 10) AS institute, upper(event_type) AS party, max(floor(value)) AS value FROM events GROUP BY 1, 2, 3")
 def src_polls_wide(spark, d):
     path = io.scratch(spark, "wide")
-    wide(Tables(spark, d), KINDS).drop("city").write.csv(path, header=True)
-    return io.wide_to_long(spark.read.csv(path, header=True), ["Sample size"], "Sondeur", "Date")
+    table = wide(Tables(spark, d), KINDS).drop("city").withColumnRenamed("Date", "Fieldwork date").withColumns({"Source": F.lit("web"), "Abs.": F.lit("31")})
+    table.write.csv(path, header=True)
+    return io.wide_to_long(spark.read.csv(path, header=True))
 
 
 @query("src_polls_municipal", "SELECT 'City ' || (user_id % 10 % 3) AS city, CASE WHEN user_id % 10 % 3 = 2 THEN 2 ELSE 1 END AS round, CAST(ts AS DATE) AS date, 'Firm ' || (user_id % 10) AS institute, upper(event_type) || CASE WHEN user_id % 10 % 3 = 2 THEN '-X' ELSE '' END AS party, max(floor(value)) AS value FROM events WHERE user_id % 10 % 3 <> 1 OR event_type <> 'view' GROUP BY 1, 2, 3, 4, 5")
 def src_polls_municipal(spark, d):
-    """Three cities' tables: one without a column, one whose headers name coalitions."""
+    """Three cities' tables: one with more columns that are no party's, one without a column, one whose headers name coalitions."""
     path, table = io.scratch(spark, "cities"), wide(Tables(spark, d), KINDS)
     names = [f"{k.title()}[1]" for k in KINDS]
     for city in range(3):
         own = [F.col(f"`{c}`").alias(c.replace("[", "-X[") if city == 2 else c) for c in (names[:-1] if city == 1 else names)]
-        table.where(F.col("city") == city).select("Sondeur", "Date", "Sample size", *own).write.csv(f"{path}/polls_city_{city}.csv", header=True)
+        more = [F.col("Date").alias("Fieldwork date"), F.lit("web").alias("Source"), F.lit("31").alias("Abs.")] if city == 0 else ["Date"]
+        table.where(F.col("city") == city).select("Sondeur", *more, "Sample size", *own).write.csv(f"{path}/polls_city_{city}.csv", header=True)
     return io.polls_municipal(spark, path, "polls_")
 
 

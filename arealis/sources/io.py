@@ -76,7 +76,25 @@ def polls_tree(spark: SparkSession, path: str, kinds: dict[str, str], exclude: s
 #: First columns of a city's survey table, by which its header line is told.
 HEADER = "(?i)^\"?(sondeur|polling firm)\"?,"
 #: Columns of a survey table that aren't parties.
-META = ("sondeur", "polling firm", "date", "échantillon", "sample size")
+META = ("sondeur", "polling firm", "source", "date début", "date fin", "date", "fieldwork date", "échantillon", "sample size", "abs.")
+#: The first column whose name has a word that begins like this tells the date.
+DATED = r"(?i)(^|\s)(date|fieldwork|période)"
+FIRMS = ("sondeur", "polling firm")
+
+
+def is_party(header: Column) -> Column:
+    """Whether a survey table's column, by its name, is a party's."""
+    name = F.lower(F.trim(header))
+    return ~(name.isin(*META) | name.rlike(DATED) | name.contains("unnamed") | (name == ""))
+
+
+def survey_columns(names: Sequence[str]) -> tuple[str | None, str | None, list[str]]:
+    """The date column, the institute's and the parties' of a survey table, by their names."""
+    low = {c: c.lower().strip() for c in names}
+    date = next((c for c in names if re.search(DATED, low[c])), None)
+    firm = next((c for f in FIRMS for c in names if low[c] == f), None)
+    parties = [c for c in names if low[c] and low[c] not in META and "unnamed" not in low[c] and not re.search(DATED, low[c])]
+    return date, firm, parties
 
 
 def polls_municipal(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
@@ -88,19 +106,26 @@ def polls_municipal(spark: SparkSession, path: str, prefix: str = "") -> DataFra
     name = F.regexp_replace("file", "/part-[^/]*$", "")
     lines = lines.select("file", X.city_from_file(name, prefix).alias("city"), F.col("value").rlike(HEADER).alias("first"), cells.alias("cells"))
     heads = lines.where("first").groupBy("file").agg(F.first("cells").alias("headers"))
-    is_party = lambda h: ~F.lower(h).isin(*META)
     heads = heads.withColumn("round", X.round_from_columns(F.filter("headers", is_party)))
     rows = lines.where(~F.col("first")).join(heads, "file")
-    at = lambda *names: F.element_at(F.transform(F.filter(F.arrays_zip("headers", "cells"), lambda c: F.lower(c["headers"]).isin(*names)), lambda c: c["cells"]), 1)
-    text = at("date")
-    rows = rows.select("city", "round", F.coalesce(X.french_date(text), X.iso_date(text)).alias("date"), at("sondeur", "polling firm").alias("institute"), F.explode(F.filter(F.arrays_zip("headers", "cells"), lambda c: is_party(c["headers"]))).alias("c"))
+    at = lambda fits: F.try_element_at(F.transform(F.filter(F.arrays_zip("headers", "cells"), lambda c: fits(F.lower(c["headers"]))), lambda c: c["cells"]), F.lit(1))
+    text = at(lambda h: h.rlike(DATED))
+    rows = rows.select("city", "round", F.coalesce(X.french_date(text), X.iso_date(text)).alias("date"), at(lambda h: h.isin(*FIRMS)).alias("institute"), F.explode(F.filter(F.arrays_zip("headers", "cells"), lambda c: is_party(c["headers"]))).alias("c"))
     return rows.select("city", "round", "date", "institute", X.poll_header(F.col("c.headers")).alias("party"), X.poll_value(F.col("c.cells")).alias("value")).where("date is not null and value is not null")
 
 
-def wide_to_long(df: DataFrame, meta: Sequence[str], institute: str, date: str) -> DataFrame:
-    """A wide survey table, one string column per party, as rows date, institute, party, value; every column outside `meta` is a party."""
-    parties = [c for c in df.columns if c not in (*meta, institute, date)]
-    keyed = df.select(F.coalesce(X.french_date(F.col(f"`{date}`")), X.iso_date(F.col(f"`{date}`"))).alias("date"), F.col(f"`{institute}`").alias("institute"), *[F.col(f"`{c}`").cast("string").alias(c) for c in parties])
+def wide_to_long(df: DataFrame, meta: Sequence[str] = (), institute: str | None = None, date: str | None = None) -> DataFrame:
+    """A wide survey table, one string column per party, as rows date, institute, party, value. Columns are told by their names where
+    they aren't given: the first one with a date in its name, the institute's, and those that are no party's; `meta` names more of
+    these. Without an institute's column it is `unknown`; without a date's there are no rows."""
+    found_date, found_firm, parties = survey_columns(df.columns)
+    date, institute = date or found_date, institute or found_firm
+    parties = [c for c in parties if c not in (*meta, institute, date)]
+    when = F.coalesce(X.french_date(F.col(f"`{date}`")), X.iso_date(F.col(f"`{date}`"))) if date else F.lit(None).cast("date")
+    firm = F.col(f"`{institute}`") if institute else F.lit("unknown")
+    keyed = df.select(when.alias("date"), firm.alias("institute"), *[F.col(f"`{c}`").cast("string").alias(c) for c in parties])
+    if not parties:
+        return keyed.select("date", "institute", F.lit(None).cast("string").alias("party"), F.lit(None).cast("double").alias("value")).where(F.lit(False))
     long = keyed.unpivot(["date", "institute"], [f"`{c}`" for c in parties], "party", "cell")
     return long.select("date", "institute", X.poll_header(F.col("party")).alias("party"), X.poll_value(F.col("cell")).alias("value")).where("date is not null and value is not null")
 

@@ -222,6 +222,9 @@ def test_files(spark, tmp_path):
     wide = spark.createDataFrame([("I", "5-10 mars 2026", "26[d]", "—"), ("J", "2026-03-11", "<1", "12 %")], "Sondeur string, Dates string, `LFI[a]` string, PS string")
     long = {(r.institute, r.party): (r.date, r.value) for r in io.wide_to_long(wide, [], "Sondeur", "Dates").collect()}
     assert long == {("I", "LFI"): (dt.date(2026, 3, 10), 26.0), ("J", "LFI"): (dt.date(2026, 3, 11), 1.0), ("J", "PS"): (dt.date(2026, 3, 11), 12.0)}
+    assert io.survey_columns(["Source", "Fieldwork date", "Polling firm", "Candidate A", "PS", "Abs.", "Unnamed: 7", "date fin"]) == ("Fieldwork date", "Polling firm", ["Candidate A", "PS"])
+    assert io.wide_to_long(wide.drop("Dates")).count() == 0 and {r.institute for r in io.wide_to_long(wide.drop("Sondeur")).collect()} == {"unknown"}
+    assert io.wide_to_long(wide.select("Sondeur", "Dates")).count() == 0
     (tmp_path / "geo.json").write_text('{"type":"Feature","properties":{"codeBureauVote":"1","codeCommune":"c"},"geometry":{"type":"Polygon","coordinates":[[[0.0,0.0],[2.0,0.0],[2.0,2.0],[0.0,2.0]]]}}\n')
     r = io.boundaries(spark, str(tmp_path / "geo.json")).first()
     assert (r.unit, r.lon, r.lat) == ("1", 1.0, 1.0)
