@@ -26,11 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once. Rows without id stay."""
+    """Of each group of near-duplicates the document with the smallest id stays, each of its texts once. Rows without id stay."""
     kept = jaccard.links(docs).where("doc_id = component_id").select("doc_id").distinct()
     chosen = docs.join(stored(kept, "kept"), "doc_id", "left_semi")
-    # a row repeated under one id is one document
-    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    # a row repeated under one id is one document; another text under the same id stays
+    chosen = chosen.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.*")
     return chosen.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
