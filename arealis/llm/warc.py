@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from itertools import accumulate
@@ -69,7 +70,7 @@ def parse(data: bytes, place: int = 0) -> Iterator[tuple]:
         number = lambda x: int(x[10:-1]) if len(x) > 11 else None
         url = head.get("WARC-Target-URI")
         if url is not None and "\\" in url:
-            url = url.replace("\\\\", "\0").replace("\\r", "\r").replace("\\n", "\n").replace("\0", "\\")
+            url = re.sub(r"\\(.)", lambda m: {"r": "\r", "n": "\n"}.get(m[1], m[1]), url)
         digest, kind = head["WARC-Payload-Digest"][5:], head["WARC-Type"]
         if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
             raise ValueError(f"record {head['WARC-Record-ID']}: the payload doesn't have its digest")

@@ -407,3 +407,8 @@ def test_audits_across_shards(spark):
     true, found = ann.recall_of(links)
     assert true > 300 and found >= 0.99 * true
     assert ann.recall_of(links.where(F.col("mine") != F.col("theirs")))[0] > 200
+
+
+def test_urls_survive_the_archive():
+    for url in ("a\\b", "a\0\\n", "\\r\r\n\\\\n", "http://x/\\0\0"):
+        assert next(warc.parse(warc.record(1, url, b"p", None)))[1] == url

@@ -54,3 +54,11 @@ def test_last_stage_and_run(spark, small):
     empty = docs.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_texts_under_one_id(spark, small):
+    """Another text under the same id is no copy; a repeated row is."""
+    one, other = "a b c d e f g h i j", "quite other words that stand here all alone now"
+    docs = spark.createDataFrame([(1, one, "en", "s", 1), (1, other, "en", "s", 1), (1, one, "de", "t", 2), (2, one, "en", "s", 1), (None, one, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.near_duplicates(spark, docs, small).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, other), (0, one)])
