@@ -40,12 +40,14 @@ def moments(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold
             z = np.column_stack([np.ones(b.num_rows), _matrix(b, 2)])
             # incomplete rows go here: a filter over many columns makes the optimiser infer constraints without end
             ok = np.isfinite(z).all(axis=1) & np.isfinite(w)
-            number = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            for k, name in [*enumerate(code.dictionary.to_pylist()), (-1, None)]:
-                m = ok & (number == k)
-                if m.any():
-                    part = (z[m] * w[m, None]).T @ z[m]
-                    sums[name] = sums[name] + part if name in sums else part
+            number = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)[ok]
+            names = [*code.dictionary.to_pylist(), None]  # the last one is number -1
+            order = np.argsort(number, kind="stable")
+            number, z, w = number[order], z[ok][order], w[ok][order]
+            begin = np.flatnonzero(np.diff(number, prepend=-2))
+            for lo, hi in zip(begin, np.append(begin, len(number))[1:], strict=True):
+                name, part = names[number[lo]], (z[lo:hi] * w[lo:hi, None]).T @ z[lo:hi]
+                sums[name] = sums[name] + part if name in sums else part
         yield packed(sums)
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

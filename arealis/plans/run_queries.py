@@ -54,7 +54,7 @@ def ml_extended_training(spark, d):
 
 
 def design_sql(name: str, where: str, part: str) -> str:
-    return f"SELECT * FROM (SELECT '{name}' AS design, unit, kind, event, dev, lag(share) OVER w AS s1, lag(dev) OVER w AS d1 FROM (SELECT *, share - avg(share) OVER (PARTITION BY kind, event) AS dev FROM typed {where}) WINDOW w AS (PARTITION BY {part} ORDER BY event, kind)) WHERE s1 IS NOT NULL AND d1 IS NOT NULL"
+    return f"SELECT * FROM (SELECT '{name}' AS design, unit, kind, event, dev, lag(share) OVER w AS s1, lag(dev) OVER w AS d1 FROM (SELECT *, share - avg(share) OVER (PARTITION BY kind, event) AS dev FROM typed {where}) WINDOW w AS (PARTITION BY {part} ORDER BY event, kind)) WHERE s1 IS NOT NULL AND d1 IS NOT NULL AND dev IS NOT NULL"
 
 
 DESIGNS = f"""WITH RECURSIVE {TYPED}, d AS ({design_sql("own", "WHERE kind = '1-URGENT'", "unit")} UNION ALL {design_sql("all", "", "unit")} UNION ALL {design_sql("isolated", "", "unit, kind")}),
@@ -72,7 +72,7 @@ def ml_design_compare(spark, d):
     designs = {"own": (["1-URGENT"], "unit"), "all": (kinds, "unit"), "isolated": (kinds, "series")}
     rows = None
     for name, (some, series) in designs.items():
-        one = P.condition_rows(t, some, "kind", series, ["event", "kind"], ["share"], [], depth=1).select(F.lit(name).alias("design"), "unit", "kind", "event", "dev_share", "share_lag1", "dev_share_lag1")
+        one = P.condition_rows(t, some, "kind", series, ["event", "kind"], ["share"], [], depth=1).where("dev_share is not null").select(F.lit(name).alias("design"), "unit", "kind", "event", "dev_share", "share_lag1", "dev_share_lag1")
         rows = one if rows is None else rows.unionByName(one)
     features = ["share_lag1", "dev_share_lag1"]
     fits = L.group_fits(L.gram_entries(rows.where("event < 2000"), features, "dev_share", ["design"]), features, ["design"], 1.0)

@@ -141,14 +141,6 @@ def test_elastic_net_cv(spark, small, data):
     assert np.allclose([got[i] for i in ids], want, atol=2e-4)
 
 
-def test_delta_pca(spark, small, data):
-    ids, x, fold = data
-    d = np.concatenate([np.diff(x[fold == f], axis=0) for f in sorted(set(fold))])
-    z = (d - d.mean(0)) / d.std(0)
-    values = np.linalg.eigvalsh(z.T @ z)[::-1]
-    assert np.allclose([r.share for r in sorted(QUERIES["ml_delta_pca"](spark, small).collect())], values[:5] / values.sum())
-
-
 def bayes(x, y, rounds=300):
     """The evidence loop by whole matrices: coefficients, their covariance, the variance of the noise."""
     c, t, noise, weight, w = x - x.mean(0), y - y.mean(), 1 / y.var(), 1.0, np.zeros(x.shape[1])
