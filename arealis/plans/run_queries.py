@@ -137,6 +137,10 @@ def ml_delta_covariance(spark, d):
     return spark.createDataFrame([(i, j, int(n), round(float(cov[i, j]), 6) + 0.0) for i in range(64) for j in range(i, 64)], "i int, j int, n long, covariance double")
 
 
+#: Rounds at most. A round is three small jobs, so a few hundred take a minute on small tables.
+ROUNDS = 100
+
+
 @query("ml_boosted_slopes")
 def ml_boosted_slopes(spark, d):
     """Response slopes by boosted trees of three capacities, and by a curve over the level with boosted trees on what it leaves over;
@@ -153,7 +157,7 @@ def ml_boosted_slopes(spark, d):
     flat = m.where(early).groupBy("all").agg(P.ratio(F.sum(F.col("dx") * F.col("dy")), F.sum(F.col("dx") ** 2)).alias("flat"))
     rows = stored(m.join(F.broadcast(curve.join(flat, "all")), "all", "left").withColumn("curve", B.interpolated("points", F.col("p"))).drop("points"), "moves")  # one row
     model = lambda name, offset=None, **more: T.Model(name, early & ~judges, early & judges, offset, **more)
-    models = [model("medium", depth=3, rounds=400, step=0.05, leaf=0.0015, l2=1.0), model("strong", depth=2, rounds=400, step=0.03, leaf=0.015, l2=10.0), model("strongest", depth=2, rounds=300, step=0.02, leaf=0.06, l2=30.0), model("rest", F.col("curve"), depth=2, rounds=300, step=0.02, leaf=0.04, l2=20.0)]
+    models = [model("medium", depth=3, rounds=ROUNDS, step=0.05, leaf=0.0015, l2=1.0), model("strong", depth=2, rounds=ROUNDS, step=0.03, leaf=0.015, l2=10.0), model("strongest", depth=2, rounds=ROUNDS, step=0.02, leaf=0.06, l2=30.0), model("rest", F.col("curve"), depth=2, rounds=ROUNDS, step=0.02, leaf=0.04, l2=20.0)]
     done = T.boost(rows, ["p", "weight"], "slope", models, "w", ["event", "dx", "dy", "flat", "curve"]).where("event > 1999")
     guesses = {"flat": F.col("flat"), "curve": F.col("curve"), **{k: F.col(k) for k in ("medium", "strong", "strongest")}, "curve_rest": F.col("curve") + F.col("rest")}
     clipped = lambda g: F.least(F.greatest(g, F.lit(0.0)), F.lit(1.0))
