@@ -284,11 +284,21 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
     batch_of = lambda c: F.shiftright(F.col(c), ROW_BITS)
 
-    def fetch(b: B.Batch, needs: pa.Table) -> pa.Table:
-        """The sets that other batches need, each once."""
-        uid = np.unique(needs.column("a_uid").to_numpy())
-        sets = _some(b, uid & ((1 << ROW_BITS) - 1), shingle)
-        return pa.table([pa.array(uid), pa.array([sets.of(i).tobytes() for i in range(len(uid))], pa.binary())], ["a_uid", "elements"])
+    def fetch(rows):
+        """The sets that other batches need, some megabytes at a time: a text that very many need is never held that often."""
+        for b in rows:
+            for i in range(b.num_rows):
+                one, needs = B.Batch(b, i), b.column(b.num_columns - 1)[i].values
+                uid, to = (needs.field(k).to_numpy() for k in ("a_uid", "to"))
+                place, inverse = np.unique(uid & ((1 << ROW_BITS) - 1), return_inverse=True)
+                sets = _some(one, place, shingle)
+                stop = np.cumsum(8 * sets.size[inverse])
+                lo = 0
+                while lo < len(uid):
+                    hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + (4 << 20), side="right")))
+                    blobs = [sets.of(k).tobytes() for k in inverse[lo:hi]]
+                    yield pa.RecordBatch.from_arrays([pa.array(to[lo:hi]), pa.array(uid[lo:hi]), pa.array(blobs, pa.binary())], ["batch", "a_uid", "elements"])
+                    lo = hi
 
     def test(b: B.Batch, rows: pa.Table) -> pa.Table:
         given = rows.filter(rows.column("elements").is_valid())
@@ -307,13 +317,11 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
         return pa.table([asked.column("a"), asked.column("b"), asked.column("b_uid"), pa.array(ok, pa.bool_()), pa.array(far, pa.float64())], TESTED)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """linked and distance of each pair: the first one's set is stored once, and a join of stored rows sends it to the batches
-        of the second ones, so that no worker holds a copy for each of them."""
+        """linked and distance of each pair: the first one's set is sent to the second one's batch."""
         pairs = B.stored(pairs.distinct(), f"{name}-pairs")
-        needs = B.stored(pairs.select("a_uid", batch_of("b_uid").alias("batch")).distinct(), f"{name}-needs")
-        wanted = needs.select(batch_of("a_uid").alias("batch"), "a_uid").distinct()
-        sets = B.settle(batches, wanted, lambda b, t: fetch(b, t) if len(t) else pa.table({"a_uid": pa.array([], pa.int64()), "elements": pa.array([], pa.binary())}), "a_uid long, elements binary")
-        sent = B.stored(sets, f"{name}-sets").join(needs, "a_uid").select("batch", "a_uid", "elements")
+        needs = pairs.select(batch_of("a_uid").alias("batch"), "a_uid", batch_of("b_uid").alias("to")).distinct()
+        needs = needs.groupBy("batch").agg(F.collect_list(F.struct("a_uid", "to")).alias("needs"))  # numbers only, of one batch
+        sent = batches.join(needs, "batch").mapInArrow(fetch, "batch long, a_uid long, elements binary")
         tests = sent.unionByName(pairs.withColumn("batch", batch_of("b_uid")), allowMissingColumns=True)
         none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())], TESTED)
         return B.stored(B.settle(batches, tests, lambda b, t: test(b, t) if len(t) else none, "a long, b long, b_uid long, linked boolean, distance double"), f"{name}-links")
