@@ -49,37 +49,62 @@ class Model:
     done: bool = False
 
 
-def tree_values(trees: Sequence[dict], bins: np.ndarray) -> np.ndarray:
-    """Sum of the trees' leaves for rows of bins. A tree: feature and cut of each inner node in heap order (feature -1: a leaf
-    already), value of each node."""
-    out = np.zeros(len(bins))
-    for t in trees:
-        out += np.asarray(t["value"])[node_of(t, bins)]
+def tree_values(trees: Sequence[dict], columns: np.ndarray) -> np.ndarray:
+    """Sum of the trees' leaves; columns: the rows' bins, a row of the array for each feature. A tree: feature and cut of each inner
+    node in heap order (feature -1: a leaf already), value of each node."""
+    out = np.zeros(columns.shape[1])
+    for i in range(0, len(trees), 8):  # some trees at a time, as their rows' places stay in the cache
+        some = trees[i : i + 8]
+        for ends, place in zip(_ends(some), places(some, columns), strict=True):
+            out += ends.take(place)
     return out
 
 
-def node_of(tree: dict, bins: np.ndarray) -> np.ndarray:
-    """The node that each row ends in."""
-    at, feature, cut = np.zeros(len(bins), np.int64), np.asarray(tree["feature"]), np.asarray(tree["cut"])
-    rows = np.arange(len(bins))
-    for _ in range(int(np.log2(len(feature) + 1)) if len(feature) else 0):
-        inner = at < len(feature)
-        f = np.where(inner, feature[np.minimum(at, len(feature) - 1)], -1)
-        go = f >= 0
-        right = bins[rows, np.maximum(f, 0)] > cut[np.minimum(at, len(feature) - 1)]
-        at = np.where(go, 2 * at + 1 + right, at)
-    return at
-
-
-def histogram(bins: np.ndarray, node: np.ndarray, gradient: np.ndarray, weight: np.ndarray, first: int, nodes: int, size: int) -> np.ndarray:
-    """(nodes, features, bins, 3): weighted gradients, weights and rows of the nodes of a level."""
-    out = np.zeros((nodes, bins.shape[1], size, 3))
-    own = (node >= first) & (node < first + nodes)
-    n, g, w, b = node[own] - first, gradient[own], weight[own], bins[own]
-    for f in range(bins.shape[1]):
-        key = n * size + b[:, f]
-        for k, v in enumerate((g * w, w, None)):
-            out[:, f, :, k] = np.bincount(key, v, nodes * size).reshape(nodes, size)
+def _stacked(trees: Sequence[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and cuts of the trees' inner nodes, all of the deepest one's number of levels."""
+    inner = max(len(t["feature"]) for t in trees)
+    padded = lambda key, fill: np.array([[*t[key], *[fill] * (inner - len(t[key]))] for t in trees], np.int64).reshape(len(trees), inner)
+    return padded("feature", -1), padded("cut", 0)
+
+
+def _ends(trees: Sequence[dict]) -> np.ndarray:
+    """The values of the nodes in which the trees' rows end, by their places."""
+    feature, _ = _stacked(trees)
+    levels = int(np.log2(feature.shape[1] + 1))
+    at, each = np.zeros((len(trees), 2**levels), np.int64), np.arange(len(trees))[:, None]
+    for level in reversed(range(levels)):
+        at = np.where(feature[each, at] >= 0, 2 * at + 1 + (np.arange(2**levels) >> level & 1), at)
+    return np.array([np.asarray(t["value"])[a] for t, a in zip(trees, at, strict=True)])
+
+
+def places(trees: Sequence[dict], columns: np.ndarray) -> np.ndarray:
+    """For each tree, the rows' places among the nodes of the deepest tree's next level; below a leaf rows go left. A node costs a
+    comparison of bytes, as all rows are compared by one feature and cut."""
+    feature, cut = _stacked(trees)
+    cut = np.where(feature >= 0, cut, 255).astype(np.uint8)  # no bin is above that
+    levels = int(np.log2(feature.shape[1] + 1))
+    place = np.zeros((len(trees), columns.shape[1]), np.uint8 if levels <= 8 else np.int64)
+    for level in range(levels):
+        right, first = np.zeros(place.shape, bool), 2**level - 1
+        for node in range(first, 2 * first + 1):
+            goes = columns[np.maximum(feature[:, node], 0)] > cut[:, node, None]
+            right |= goes & (place == node - first) if level else goes
+        place = place << 1 | right
+    return place
+
+
+def histogram(columns: np.ndarray, place: np.ndarray, teach: np.ndarray, gradient: np.ndarray, weight: np.ndarray, nodes: int, size: int) -> np.ndarray:
+    """(nodes, features, bins, 3): weighted gradients, weights and rows of the nodes of a level, of the rows that teach."""
+    out = np.zeros((nodes, len(columns), size, 3))
+    first, pull = np.where(teach, place.astype(np.int64), nodes) * size, gradient * weight  # rows that don't teach go to a node of their own
+    plain = bool((weight == 1).all())
+    for f, column in enumerate(columns):
+        key = first + column
+        for k, v in enumerate((pull, weight, None)):
+            if k != 1 or not plain:
+                out[:, f, :, k] = np.bincount(key, v, (nodes + 1) * size)[: nodes * size].reshape(nodes, size)
+    if plain:
+        out[..., 1] = out[..., 2]
     return out
 
 
@@ -102,8 +127,11 @@ def best_splits(h: np.ndarray, least: float, l2: float) -> list[tuple[int, int,
     return out
 
 
-def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[Model], weight: str | None = None, keep: Sequence[str] = (), bins: int = 32, every: int = 25, rows_per_task: int = 500_000) -> DataFrame:
-    """Columns `keep`, and a prediction for each model by its name, without its offset. The models' trees stay in them."""
+def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[Model], weight: str | None = None, keep: Sequence[str] = (), bins: int = 32, every: int = 25, rows_per_task: int = 500_000, least_per_task: int = 10_000) -> DataFrame:
+    """Columns `keep`, and a prediction for each model by its name, without its offset. The models' trees stay in them.
+
+    Rows are dealt to all cores, unless a task would have fewer than `least_per_task` of them, and to more tasks where one would have
+    more than `rows_per_task`."""
     size, m = bins + 1, len(models)
     finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
     wide = df.select(*keep, *[finite(c).alias(f"_x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"), *[F.coalesce(x.trains, F.lit(False)).alias(f"_t{k}") for k, x in enumerate(models)], *[F.coalesce(x.judges, F.lit(False)).alias(f"_j{k}") if x.judges is not None else F.lit(False).alias(f"_j{k}") for k, x in enumerate(models)], *[(x.offset if x.offset is not None else F.lit(0.0)).cast("double").alias(f"_o{k}") for k, x in enumerate(models)])
@@ -129,11 +157,20 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
             blob = lambda z: pa.array([r.tobytes() for r in z], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], blob(x), b.column(at + len(features)), b.column(at + len(features) + 1), blob(roles), blob(margin)], names)
 
-    tasks = max(1, wide.count() // rows_per_task + 1)
-    table = stored((wide.coalesce(tasks) if wide.rdd.getNumPartitions() > tasks else wide).mapInArrow(binned, schema), "boosting")
+    rows = wide.count()
+    tasks = max(rows // rows_per_task + 1, min(df.sparkSession.sparkContext.defaultParallelism, rows // least_per_task + 1))
+    parts = wide.rdd.getNumPartitions()
+    dealt = wide.coalesce(tasks) if parts > tasks else wide.repartition(tasks) if parts < tasks else wide
+    table = stored(dealt.mapInArrow(binned, schema), "boosting")
+
+    def arrays(b: pa.RecordBatch, at: int = 0) -> tuple:
+        """Bins, targets, weights, roles and margins; of bins, roles and margins a row of the array for each feature or model."""
+
+        def blob(i: int, t: type, n: int) -> np.ndarray:
+            width = n * np.dtype(t).itemsize
+            c = b.column(at + i).cast(pa.binary(width))
+            return np.ascontiguousarray(np.frombuffer(c.buffers()[1], np.uint8)[c.offset * width : (c.offset + len(c)) * width].view(t).reshape(-1, n).T)
 
-    def arrays(b: pa.RecordBatch) -> tuple:
-        blob = lambda i, t, n: np.frombuffer(b"".join(b.column(at + i).to_pylist()), t).reshape(-1, n)
         y, w = (b.column(at + i).fill_null(0.0).to_numpy(zero_copy_only=False) for i in (1, 2))
         return blob(0, np.uint8, len(features)), y, w, blob(3, np.uint8, m), blob(4, np.float64, m)
 
@@ -154,7 +191,7 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
                     total += np.frombuffer(x)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        parts = table.mapInArrow(run, "sums binary")
+        parts = table.select("_bins", "_y", "_w", "_roles", "_margin").mapInArrow(run, "sums binary")
         if tasks > 64:  # in two steps, so that the driver adds up few
             parts = parts.repartition(int(tasks**0.5)).mapInArrow(add, "sums binary")
         return sum((np.frombuffer(r.sums) for r in parts.collect()), np.zeros(length))
@@ -163,7 +200,7 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
 
     def start(x, y, w, roles, margin) -> np.ndarray:
         teach = (roles & 1) > 0
-        return np.concatenate([(teach * w[:, None] * (y[:, None] - margin)).sum(0), (teach * w[:, None]).sum(0), teach.sum(0)])
+        return np.concatenate([np.where(teach, w * (y - margin), 0.0).sum(1), np.where(teach, w, 0.0).sum(1), teach.sum(1)])
 
     sums = swept(start, 3 * m)
     for k, model in enumerate(models):
@@ -182,16 +219,15 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
             each = nodes * len(features) * size * 3
             bases, known = [x.base for x in models], [list(f) for f in fresh]
 
-            def work(x, y, w, roles, margin, some=some, first=first, nodes=nodes, trees=trees, bases=bases, known=known, each=each) -> np.ndarray:
+            def work(x, y, w, roles, margin, some=some, nodes=nodes, trees=trees, bases=bases, known=known, each=each) -> np.ndarray:
                 out = np.zeros(each * len(some) + 2 * len(some))
                 for i, k in enumerate(some):
-                    left = y - bases[k] - margin[:, k] - tree_values(known[k], x)
-                    teach = (roles[:, k] & 1) > 0
-                    node = node_of(trees[k], x[teach])
-                    out[i * each : (i + 1) * each] = histogram(x[teach], node, left[teach], w[teach], first, nodes, size).ravel()
-                    judge = (roles[:, k] & 2) > 0
-                    out[each * len(some) + 2 * i] = (w[judge] * left[judge] ** 2).sum()
-                    out[each * len(some) + 2 * i + 1] = w[judge].sum()
+                    left = y - bases[k] - margin[k] - tree_values(known[k], x)
+                    out[i * each : (i + 1) * each] = histogram(x, places([trees[k]], x)[0], (roles[k] & 1) > 0, left, w, nodes, size).ravel()
+                    judge = (roles[k] & 2) > 0
+                    if judge.any():
+                        out[each * len(some) + 2 * i] = (w[judge] * left[judge] ** 2).sum()
+                        out[each * len(some) + 2 * i + 1] = w[judge].sum()
                 return out
 
             found = swept(work, each * len(some) + 2 * len(some))
@@ -232,7 +268,7 @@ def boost(df: DataFrame, features: Sequence[str], target: str, models: Sequence[
         known = json.loads(plain)
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column(at).to_pylist()), np.uint8).reshape(-1, len(features))
+                x = np.ascontiguousarray(np.frombuffer(b"".join(b.column(at).to_pylist()), np.uint8).reshape(-1, len(features)).T)
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(k["base"] + tree_values(k["trees"], x)) for k in known]], outputs)
 
     return table.select(*keep, "_bins").mapInArrow(predict, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`{x.name}` double" for x in models]]))
@@ -244,8 +280,8 @@ def _advanced(table: DataFrame, arrays, fresh: list[list[dict]], names: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, _, _, _, margin = arrays(b)
-                new = np.column_stack([margin[:, k] + tree_values(f, x) for k, f in enumerate(fresh)])
+                x, _, _, _, margin = arrays(b, at)
+                new = np.column_stack([margin[k] + tree_values(f, x) for k, f in enumerate(fresh)])
                 yield pa.RecordBatch.from_arrays([*b.columns[: at + 4], pa.array([r.tobytes() for r in new], pa.binary())], names)
 
     return table.mapInArrow(run, schema)

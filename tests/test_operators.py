@@ -530,3 +530,32 @@ def test_boosting_against_loops(spark):
         assert np.allclose([got[i][name] for i in range(n)], want, atol=1e-9), name
     assert 0 < len(models[2].trees) < 30 and all(got[i]["none"] == 0 for i in range(n))
     assert T.boost(df.limit(0), ["a", "b", "c"], "y", made(), "w", ["id"]).count() == 0
+
+
+def test_boosting_deals_rows_to_all_cores(spark):
+    """A table in one part is dealt to all cores, and a pass adds up what a plain walk down the trees gives."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from arealis.operators import trees as T
+
+    df = spark.range(0, 50_000, 1, 1).select("id", F.sin(F.col("id")).alias("a"), (F.col("id") % 7).alias("b"), (F.sin(F.col("id")) * (F.col("id") % 7)).alias("y"))
+    done = T.boost(df, ["a", "b"], "y", [T.Model("m", F.col("id") % 5 != 0, rounds=3)], keep=["id"])
+    assert done.rdd.getNumPartitions() >= min(4, spark.sparkContext.defaultParallelism) and done.count() == 50_000
+    assert T.boost(df.limit(300), ["a", "b"], "y", [T.Model("m", F.lit(True), rounds=1)], keep=["id"]).rdd.getNumPartitions() == 1
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 33, (400, 3)).astype(np.uint8)
+    trees, want = [], np.zeros(400)
+    for levels in (0, 1, 2, 3, 9):
+        inner = 2**levels - 1
+        feature = [-1 if i and rng.random() < 0.3 else int(rng.integers(0, 3)) for i in range(inner)]
+        for i in range(1, inner):
+            feature[i] = -1 if feature[(i - 1) // 2] < 0 else feature[i]
+        trees.append({"feature": feature, "cut": rng.integers(0, 32, inner).tolist(), "value": rng.normal(size=2 * inner + 1).tolist()})
+        for r in range(400):
+            at = 0
+            while at < inner and feature[at] >= 0:
+                at = 2 * at + 1 + int(x[r, feature[at]] > trees[-1]["cut"][at])
+            want[r] += trees[-1]["value"][at]
+    assert np.array_equal(T.tree_values(trees, np.ascontiguousarray(x.T)), want)
