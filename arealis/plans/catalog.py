@@ -27,19 +27,27 @@ class Tables:
     """The tables of a folder, and the panel that most queries read."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.cells = spark, folder, None
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def cell(self) -> DataFrame:
-        """unit (nation), parent (region), event (year), block (return flag), votes."""
+        """unit (nation), parent (region), event (year), block (return flag), votes.
+
+        The sums are stored, as the panel and all that is joined to it read them many times: the large tables are read and shuffled
+        once. Orders meet their customers first, so that the lines are shuffled for one join alone."""
+        from arealis.sources.io import stored
+
+        if self.cells is not None:
+            return self.cells
         lines = self.lineitem.select("l_orderkey", "l_returnflag", "l_quantity")
         orders = self.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("event"))
         people = self.customer.select("c_custkey", "c_nationkey").join(self.nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
+        joined = lines.join(orders.join(people, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
         keys = [F.col("n_nationkey").cast("long").alias("unit"), F.col("n_regionkey").cast("long").alias("parent"), "event", F.col("l_returnflag").alias("block")]
-        return joined.groupBy(*keys).agg(F.sum("l_quantity").alias("votes"))
+        self.cells = stored(joined.groupBy(*keys).agg(F.sum("l_quantity").alias("votes")), "cells")
+        return self.cells
 
     def panel(self) -> DataFrame:
         """One row per unit and event: percentages of the blocks A, N, R and the total as weight."""

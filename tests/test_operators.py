@@ -262,6 +262,18 @@ def test_no_window_holds_a_whole_event(spark, small):
     assert abs(L.grams(z, names, ["y"], "fold").total - g.total).max() < 1e-6
 
 
+def test_large_tables_are_read_once(spark, small):
+    """The panel and all that is joined to it come from stored sums, not from the lines and orders each time."""
+    from arealis.plans.catalog import QUERIES, Tables
+    from arealis.plans.model_queries import residuals
+
+    tables = Tables(spark, small)
+    for df in (tables.panel(), residuals(tables), QUERIES["cf_coverage"](spark, small), QUERIES["agg_weighted_coverage"](spark, small)):
+        assert "l_quantity" not in df._jdf.queryExecution().optimizedPlan().toString()
+    cells = tables.cells
+    assert cells is not None and tables.panel().count() > 0 and tables.cells is cells
+
+
 def test_component_shares(spark, small):
     import numpy as np
 
