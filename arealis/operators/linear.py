@@ -247,7 +247,13 @@ def evidence(gram: np.ndarray, p: int, rounds: int = 300, tol: float = 1e-5) ->
 def kernel_features(df: DataFrame, names: Sequence[str], points: np.ndarray, gamma: float, keep: Sequence[str]) -> DataFrame:
     """Columns `keep`, and k0.. for landmark rows `points`: exp(-gamma * squared distance) times the inverse root of the landmarks'
     own kernel. Rows with a null or non-finite feature are left out."""
-    pair = lambda a: np.exp(-gamma * ((a[:, None, :] - points[None]) ** 2).sum(2))
+
+    def pair(a: np.ndarray, some: int = 256) -> np.ndarray:
+        out = np.empty((len(a), len(points)))
+        for i in range(0, len(a), some):  # some rows at a time, as their differences to all landmarks are held
+            out[i : i + some] = np.exp(-gamma * ((a[i : i + some, None, :] - points[None]) ** 2).sum(2))
+        return out
+
     u, size, vt = np.linalg.svd(pair(points))
     root = (u / np.sqrt(np.maximum(size, 1e-12))) @ vt
 

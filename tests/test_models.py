@@ -180,6 +180,34 @@ def test_kernel_residual(spark, small, data):
     assert r.n == len(ids) and r.factor == pytest.approx(np.quantile(np.abs((y - want) / sd), 0.9) / 1.645, rel=1e-2)
 
 
+def test_kernel_features_hold_few_rows(spark):
+    """A batch needs little more memory than its features, and gives the kernel of all landmarks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from arealis.operators import linear as L
+
+    class Rows:  # the function that tasks run, by itself
+        dtypes = [("id", "bigint")]
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = np.random.default_rng(3)
+    x, points = rng.normal(size=(4000, 8)), rng.normal(size=(100, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), *[pa.array(c) for c in x.T]], ["id", *[f"x{i}" for i in range(8)]])
+    run = L.kernel_features(Rows(), [f"x{i}" for i in range(8)], points, 1 / 8, ["id"])
+    tracemalloc.start()
+    found = next(run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = lambda a: np.exp(-((a[:, None] - points[None]) ** 2).sum(2) / 8)
+    values, vectors = np.linalg.eigh(near(points))
+    want = near(x) @ (vectors / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
+    assert np.allclose(np.column_stack([found.column(1 + i).to_numpy() for i in range(100)]), want, atol=1e-8)
+    assert most < 4 * want.nbytes
+
+
 def test_bootstrap_band(spark, small):
     """The band holds each parent's own slope, or nearly, and every parent has one."""
     from pyspark.sql import functions as F
