@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,29 @@ def shared_uri(path: str) -> str:
     return path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df below the shared folder and read it again: its lineage ends there, and it survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", group_rows: int | None = None) -> DataFrame:
+    """Write df below the shared folder and read it again: its lineage ends there, and it survives lost executors.
+
+    group_rows: rows of a row group at most. Else a task holds up to 100 rows before it writes any, however large they are, and reads as many at once."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    grouped = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    df.write.options(compression=codec, **grouped).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries that run meanwhile hand rows to Python in batches of `most` bytes and one row more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
 def stored_batches(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) -> DataFrame:
     """Columns batch, ids, ends, text, nulls: some texts in one row. A row has one text at least, about `size` bytes and BATCH_ROWS texts at most.
 

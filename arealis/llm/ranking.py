@@ -10,6 +10,9 @@ slices follows a bound for every document and item, as weighted sums of bitmaps.
 are scored exactly from their texts; then all others whose bound isn't below the k-th exact score so far. The rest can't
 be among the k best. Shards of a task share their k best; the tasks' lists are merged by rank.
 
+Memory: a shard is a row of some megabytes, and a row group of its own. Tasks write, read and search one after another,
+so what a task holds doesn't grow with the shards that it has.
+
 Score: a term's weight is floor(1000 * ln((2N + 2) / (2df + 1))); a document adds weight * ((10^9 tf) div (1000 tf + 8m))
 for every term of the item, repeats included, where m = 25 + (75nN) div L. N: documents with a term; L: all their terms;
 n: the document's; df: the documents that have the term; tf: its occurrences.
@@ -31,16 +34,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.llm import words as W
-from arealis.llm.batches import BATCH_ROWS, NO_ID, blocked, stored, work_dir
+from arealis.llm.batches import BATCH_ROWS, NO_ID, arrow_bytes, blocked, stored, work_dir
 
 U = np.uint64
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: A searching task gets shards of so many bytes together, and one shard more.
+READ_BYTES = 1 << 20
 #: Slices for terms that occur 1, 2, 4 ... times.
 LEVELS = 6
 #: Rows that a term sets, and rows of a class for each distinct term of its largest document.
 PROBES, ROWS_PER_TERM = 3, 8
 #: Numbers in a matrix of bounds or of frequencies.
-CELLS = 1 << 22
+CELLS = 1 << 21
 _HASH_BITS = U(46)
 _SALTS = W.factors(PROBES, 7)
 INDEX = "docs long, terms long, ids binary, counts binary, ends binary, text binary, classes array<struct<members:binary,slices:array<struct<level:int,rows:int,bits:binary>>>>"
@@ -98,7 +103,15 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, INDEX), "signatures")
+    with arrow_bytes(df.sparkSession, size * 3 // 4):  # mostly a shard, with the row that exceeds it
+        return stored(rows.mapInArrow(run, INDEX), "signatures", group_rows=1)
+
+
+def one_by_one(rows: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """The shards of a task's batches, which arrow_bytes() keeps to about one."""
+    for b in rows:
+        for i in range(b.num_rows):
+            yield Shard(b.slice(i, 1).to_pylist()[0])
 
 
 class Items:
@@ -126,14 +139,17 @@ class Shard:
 
     def __init__(self, row: dict):
         self.ids, self.counts, self.ends = (np.frombuffer(row[c], np.int64) for c in ("ids", "counts", "ends"))
-        self.text, self.classes = np.frombuffer(row["text"], np.uint8), row["classes"]
+        self.text, self.classes = np.frombuffer(row["text"], np.uint8), row.get("classes", [])
+
+    def places(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the texts of some documents begin and end."""
+        return np.where(docs > 0, self.ends[docs - 1], 0), self.ends[docs]
 
     def words(self, docs: np.ndarray) -> W.Words:
         """The words of some documents, which are numbered anew."""
-        begin = np.where(docs > 0, self.ends[docs - 1], 0)
-        n = self.ends[docs] - begin
-        stop = np.cumsum(n)
-        return W.Words(W.LOWER[self.text[np.repeat(begin - (stop - n), n) + np.arange(int(n.sum()))]], stop, W.NOT_ALNUM)
+        begin, end = self.places(docs)
+        text = np.concatenate([self.text[:0], *(self.text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))])
+        return W.Words(W.LOWER[text], np.cumsum(end - begin), W.NOT_ALNUM)
 
     def frequencies(self, docs: np.ndarray, terms: W.Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in docs, term, occurrences), exactly."""
@@ -207,10 +223,12 @@ class Search:
         some = np.flatnonzero(wanted.any(axis=0))
         if not len(some):
             return
-        doc, term, tf = shard.frequencies(docs[some], self.items.terms)
-        n = shard.counts[docs[some]]
+        m = lengths(shard.counts[docs[some]], self.docs, self.terms)
         parts = np.zeros((len(some), len(self.items.terms)), np.int64)
-        parts[doc, term] = impact(tf, lengths(n, self.docs, self.terms)[doc])
+        begin, end = shard.places(docs[some])
+        for lo, hi in spans(np.cumsum(end - begin)):
+            doc, term, tf = shard.frequencies(docs[some[lo:hi]], self.items.terms)
+            parts[lo + doc, term] = impact(tf, m[lo + doc])
         ids = shard.ids[docs[some]]
         for i in np.flatnonzero(wanted.any(axis=1)).tolist():
             mine = np.flatnonzero(wanted[i, some])
@@ -231,22 +249,21 @@ def document_frequencies(shards: DataFrame, sent, docs_col: str = "ids") -> np.n
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = sent.value.terms
         df = np.zeros(len(terms), np.int64)
-        for b in rows:
-            for row in b.to_pylist():
-                shard = Shard(row | {"classes": []})
-                for lo, hi in spans(shard.ends):
-                    df += np.bincount(shard.frequencies(np.arange(lo, hi), terms)[1], minlength=len(terms))
+        for shard in one_by_one(rows):
+            for lo, hi in spans(shard.ends):
+                df += np.bincount(shard.frequencies(np.arange(lo, hi), terms)[1], minlength=len(terms))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 
     found = shards.select("ids", "counts", "ends", "text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    table = found.toArrow()  # a row for each term of a block
+    with arrow_bytes(shards.sparkSession, READ_BYTES):
+        table = found.toArrow()  # a row for each term of a block
     out = np.zeros(len(sent.value.terms), np.int64)
     out[table.column("term").to_numpy()] = table.column("df").to_numpy()
     return out
 
 
-def spans(ends: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def spans(ends: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Documents of about `size` bytes together."""
     lo, begin = 0, 0
     while lo < len(ends):
@@ -276,16 +293,16 @@ def search(shards: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item
 
         def run(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             found = Search(sent.value, docs, terms, k)
-            for b in rows:
-                for row in b.to_pylist():
-                    found.see(Shard(row))
+            for shard in one_by_one(rows):
+                found.see(shard)
             item = np.repeat(np.arange(len(found.best)), [len(x) for x in found.best])
             best = np.array([x for y in found.best for x in y], np.int64).reshape(-1, 2)
             part = pa.array(np.full(len(item), TaskContext.get().partitionId()), pa.int32())
             yield pa.RecordBatch.from_arrays([sent.value.ids.take(pa.array(item)), pa.array(item), part, pa.array(best[:, 1], mask=best[:, 1] == NO_ID), pa.array(-best[:, 0])], ["item_id", "item", "part", "doc_id", "score"])
 
         ranked = shards.select("ids", "counts", "ends", "text", "classes").mapInArrow(run, schema)
-        ranked.withColumn("block", F.lit(block)).write.mode("append").parquet(path)
+        with arrow_bytes(spark, READ_BYTES):
+            ranked.withColumn("block", F.lit(block)).write.mode("append").parquet(path)
         sent.unpersist()
     ranked = spark.read.schema(schema + ", block int").parquet(path)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]

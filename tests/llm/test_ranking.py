@@ -114,6 +114,31 @@ def test_bounds_hold(odd):
     assert total > 0  # and some documents are excluded
 
 
+def test_shards_alone(spark, odd):
+    """A task writes, reads and searches one shard after another, however many it has."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows, df = odd
+    shards = ranking.index(df.coalesce(1), size=3000)
+    files = [pq.read_metadata(f.removeprefix("file://")) for f in shards.inputFiles()]
+    assert len(files) == 1 and files[0].num_rows > 20
+    assert [files[0].row_group(i).num_rows for i in range(files[0].num_row_groups)] == [1] * files[0].num_rows
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key)
+    with ranking.arrow_bytes(spark, 1):
+        most = [r.n for r in shards.select("ids", "counts", "ends", "text", "classes").mapInArrow(count, "n long").collect()]
+    assert sum(most) == files[0].num_rows and max(most) == 1 and spark.conf.get(key) == had
+    items = [(1, "waa wba wca École"), (2, rows[7][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert order(tuple(r) for r in ranking.search(shards, bench).collect()) == order(expect_ranks([r[:2] for r in rows], items))
+
+
 def expect_audit(docs, least=10, top=10):
     count, langs, have = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
     groups = set()
