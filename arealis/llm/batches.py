@@ -62,10 +62,11 @@ def shared_uri(path: str) -> str:
 def stored(df: DataFrame, name: str, codec: str = "zstd", group_rows: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it again: its lineage ends there, and it survives lost executors.
 
-    group_rows: rows of a row group at most. Else a task holds up to 100 rows before it writes any, however large they are, and reads as many at once."""
+    group_rows: rows of a row group at most. Else a task holds up to 100 rows before it writes any, however large they are, and
+    reads as many at once. Such groups have no statistics: a writer would hold each group's least and largest values until its file ends."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    grouped = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    grouped = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows, "parquet.column.statistics.enabled": False}
     df.write.options(compression=codec, **grouped).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

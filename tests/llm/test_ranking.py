@@ -124,6 +124,9 @@ def test_shards_alone(spark, odd):
     files = [pq.read_metadata(f.removeprefix("file://")) for f in shards.inputFiles()]
     assert len(files) == 1 and files[0].num_rows > 20
     assert [files[0].row_group(i).num_rows for i in range(files[0].num_row_groups)] == [1] * files[0].num_rows
+    # a writer holds the statistics of all groups of its file, and with them the shards' texts
+    columns = [files[0].row_group(i).column(j) for i in range(files[0].num_row_groups) for j in range(files[0].num_columns)]
+    assert not any(c.is_stats_set and c.statistics.has_min_max for c in columns)
 
     def count(batches):
         for b in batches:
